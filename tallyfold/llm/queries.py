@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, license_scan, mixing, piece_codec, quality_rules, simhash, toxicity
+from . import exact_dedup, language_id, license_scan, line_dedup, mixing, piece_codec, quality_rules, simhash, suffix_dedup, toxicity
 from .common import read
 
 PIECE_MODEL = os.environ.get("TALLYFOLD_PIECE_MODEL", "")
@@ -25,6 +25,10 @@ def piece_model() -> str:
     return "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_digests(read(spark, sf_dir, "documents"), piece_model())
 
@@ -41,6 +45,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -59,10 +67,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_piece_codec": op2_piece_codec,
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_license_scan": op5_license_scan,
+    "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
@@ -73,6 +83,21 @@ _STOP_LIST = ", ".join(f"'{w}'" for w in quality_rules.STOP_FORMS)
 _RULE_BOUNDS = {r.name: r for r in quality_rules.RULES}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT rid, doc_id, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i,
+             unnest(list_transform(range(0, greatest(len(h) // 2 - 49, 0)), lambda k: md5(substr(h, 2 * k + 1, 100)))) AS w FROM d),
+f AS (SELECT rid, doc_id, i, min(doc_id) OVER (PARTITION BY w) AS first FROM s),
+r AS (SELECT rid, i, i - coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -100) > 50 AS opens FROM f WHERE first < doc_id),
+g AS (SELECT rid, i, sum(opens::INT) OVER (PARTITION BY rid ORDER BY i) AS span FROM r),
+p AS (SELECT rid, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY rid, span),
+k AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM p),
+o AS (SELECT k.rid, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+      FROM k JOIN d USING (rid) GROUP BY k.rid)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN o USING (rid)
+""",
     "op3_mix_sources": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
