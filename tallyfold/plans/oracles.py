@@ -41,11 +41,11 @@ mom AS (SELECT asset, count(*) AS n, avg(x) AS m, stddev_samp(x) AS sd, min(x) A
 
 
 def lagged(lags: int, value: str = "x", tag: str = "") -> str:
-    """lagged{tag}(asset, lag, n, cross, cross2, ss) of a transform of x."""
+    """lagged{tag}(asset, lag, n, xs, xs2, ss) of a transform of x."""
     return f""",
 y{tag} AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY date) AS t, ({value}) - avg({value}) OVER (PARTITION BY asset) AS d, count(*) OVER (PARTITION BY asset) AS n FROM x),
 ss{tag} AS (SELECT asset, sum(d * d) AS ss FROM y{tag} GROUP BY asset),
-lagged{tag} AS (SELECT a.asset, g.lag, a.n, sum(a.d * b.d) AS cross, sum(a.d * b.d * a.d * b.d) AS cross2, any_value(ss) AS ss
+lagged{tag} AS (SELECT a.asset, g.lag, a.n, sum(a.d * b.d) AS xs, sum(a.d * b.d * a.d * b.d) AS xs2, any_value(ss) AS ss
                FROM y{tag} a JOIN (SELECT unnest(range(1, {lags + 1})) AS lag) g ON true JOIN y{tag} b ON a.asset = b.asset AND b.t = a.t + g.lag JOIN ss{tag} s ON a.asset = s.asset GROUP BY 1, 2, 3)"""
 
 

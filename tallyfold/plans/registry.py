@@ -169,16 +169,16 @@ query(
 _L = o.lagged(20) + o.lagged(20, "abs(x)", "_a") + o.lagged(20, "x * x", "_s")
 query(
     "acf_lags",
-    f"{P}{_L} {sel(asset='c.asset', lag='#c.lag', raw='~c.cross / c.ss', band='~1.96 / sqrt(c.n)', robust_band='~1.96 * sqrt(c.cross2 / (c.n - c.lag) / ((c.ss / c.n) * (c.ss / c.n)) / c.n)', absolute='~a.cross / a.ss', squared='~s.cross / s.ss')} FROM lagged c JOIN lagged_a a ON a.asset = c.asset AND a.lag = c.lag JOIN lagged_s s ON s.asset = c.asset AND s.lag = c.lag",
+    f"{P}{_L} {sel(asset='c.asset', lag='#c.lag', raw='~c.xs / c.ss', band='~1.96 / sqrt(c.n)', robust_band='~1.96 * sqrt(c.xs2 / (c.n - c.lag) / ((c.ss / c.n) * (c.ss / c.n)) / c.n)', absolute='~a.xs / a.ss', squared='~s.xs / s.ss')} FROM lagged c JOIN lagged_a a ON a.asset = c.asset AND a.lag = c.lag JOIN lagged_s s ON s.asset = c.asset AND s.lag = c.lag",
 )(lambda b: statistics.acf(b.r, 20))
 query(
     "robust_portmanteau",
-    P + o.lagged(20) + ", rp AS (" + " UNION ALL ".join(f"SELECT asset, {k} AS lags, sum(cross * cross / cross2) AS q FROM lagged WHERE lag <= {k} GROUP BY asset" for k in (10, 20)) + ") "
+    P + o.lagged(20) + ", rp AS (" + " UNION ALL ".join(f"SELECT asset, {k} AS lags, sum(xs * xs / xs2) AS q FROM lagged WHERE lag <= {k} GROUP BY asset" for k in (10, 20)) + ") "
     + sel(asset="asset", lags="#lags", q="~q", p=f"~CASE lags WHEN 10 THEN {o.chi2_sf('q', 10)} ELSE {o.chi2_sf('q', 20)} END") + " FROM rp",
 )(lambda b: statistics.robust_portmanteau(b.r, (10, 20)))
 query(
     "ljung_box",
-    P + _L + ", lb AS (" + " UNION ALL ".join(f"SELECT asset, {k} AS lags, '{t}' AS transform, any_value(n) * (any_value(n) + 2) * sum(cross / ss * cross / ss / (n - lag)) AS q FROM lagged{s} WHERE lag <= {k} GROUP BY asset" for k in (10, 20) for t, s in (("raw", ""), ("absolute", "_a"), ("squared", "_s"))) + ") "
+    P + _L + ", lb AS (" + " UNION ALL ".join(f"SELECT asset, {k} AS lags, '{t}' AS transform, any_value(n) * (any_value(n) + 2) * sum(xs / ss * xs / ss / (n - lag)) AS q FROM lagged{s} WHERE lag <= {k} GROUP BY asset" for k in (10, 20) for t, s in (("raw", ""), ("absolute", "_a"), ("squared", "_s"))) + ") "
     + sel(asset="asset", lags="#lags", transform="transform", q="~q", p=f"~CASE lags WHEN 10 THEN {o.chi2_sf('q', 10)} ELSE {o.chi2_sf('q', 20)} END") + " FROM lb",
 )(lambda b: statistics.ljung_box(b.r, (10, 20)))
 query(
@@ -191,7 +191,7 @@ query(
     "historical_var",
     f"{P}, hq AS (SELECT asset, quantile_cont(x / 100, 0.05) AS q, avg(CASE WHEN x / 100 <= -0.02 THEN 1.0::DOUBLE ELSE 0 END) AS ecdf FROM x GROUP BY asset), hc AS (SELECT x.asset, avg(x / 100) AS mb FROM x JOIN hq USING (asset) WHERE x / 100 <= q GROUP BY 1) {sel(asset='asset', var_log='~-q', var_simple='~1 - exp(q)', cvar='~-mb', ecdf='~ecdf')} FROM hq JOIN hc USING (asset)",
 )(lambda b: statistics.historical_var(b.r.select("date", "asset", (F.col("x") / 100).alias("x"))))
-query("autocovariance", f"{P}{o.lagged(10)} {sel(asset='asset', lag='#lag', autocov='~cross / n')} FROM lagged")(lambda b: statistics.autocovariance(b.r, 10))
+query("autocovariance", f"{P}{o.lagged(10)} {sel(asset='asset', lag='#lag', autocov='~xs / n')} FROM lagged")(lambda b: statistics.autocovariance(b.r, 10))
 query("qq_points", f"{P}, qz AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY x, date) AS i, count(*) OVER (PARTITION BY asset) AS n, (x - avg(x) OVER (PARTITION BY asset)) / stddev_samp(x) OVER (PARTITION BY asset) AS z FROM x) {sel(asset='asset', i='#i', prob='~(i - 0.5) / n', z='~z')} FROM qz")(lambda b: statistics.qq_points(b.r))
 query(
     "histogram",
