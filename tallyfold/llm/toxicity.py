@@ -21,10 +21,13 @@ from dataclasses import dataclass, field
 from math import fsum
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SAMPLE_TOXIC = 2500
 SAMPLE_OTHER = 3500
 PREFIXES = (4, 5, 6, 7, 8)
@@ -45,10 +48,6 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if n <= len(word))]
 
 
-def sentence_features(text: str) -> list[set[str]]:
-    return [found for s in SENTENCE.findall(text.lower()) if (found := {f for w in set(WORD.findall(s)) for f in features(w)})]
-
-
 def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
@@ -92,29 +91,34 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def train(texts: list[str], toxic: np.ndarray, prior: float) -> ToxicityModel:
-    """Noisy-or model of document labels; prior: share of toxic documents that the threshold is placed for."""
+def choose_features(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -> list[str]:
+    """Features that toxic documents have MIN_RATIO times as often as others, strongest first, MAX_FEATURES at most."""
+    ratio = {f: (c / max(1, n_pos)) / ((neg.get(f, 0) + 1) / (n_neg + 1)) for f, c in pos.items() if c >= MIN_DOCS}
+    return sorted((f for f, r in ratio.items() if r >= MIN_RATIO), key=lambda f: (-ratio[f] * pos[f], f))[:MAX_FEATURES]
+
+
+def known_features(text: str, index: dict[str, int]) -> tuple[int, list[int], list[int]]:
+    """Number of sentences with a word, and (sentence, feature) of the chosen features in them."""
+    n, sent, feat = 0, [], []
+    for s in SENTENCE.findall(text.lower()):
+        if words := set(WORD.findall(s)):
+            known = sorted({k for w in words for f in features(w) if (k := index.get(f)) is not None})
+            sent += [n] * len(known)
+            feat += known
+            n += 1
+    return n, sent, feat
+
+
+def fit_weights(chosen: list[str], docs: list[tuple[int, list[int], list[int]]], toxic: np.ndarray, fitted: np.ndarray, prior: float) -> ToxicityModel:
+    """Noisy-or model of document labels over known_features(); prior: share of toxic documents to place the threshold for."""
     toxic = np.asarray(toxic, bool)
-    if toxic.all() or not toxic.any():
+    if toxic.all() or not toxic.any() or not fitted.any():
         return ToxicityModel()
-    docs = [sentence_features(t) for t in texts]
-    fitted = np.arange(len(docs)) % 5 != 4
-    pos, neg = Counter(), Counter()
-    for d, y, use in zip(docs, toxic, fitted):
-        if use:
-            (pos if y else neg).update(set().union(*d))
-    n_pos, n_neg = max(1, int((toxic & fitted).sum())), max(1, int((~toxic & fitted).sum()))
-    ratio = {f: (c / n_pos) / ((neg[f] + 1) / (n_neg + 1)) for f, c in pos.items() if c >= MIN_DOCS}
-    chosen = sorted((f for f, r in ratio.items() if r >= MIN_RATIO), key=lambda f: (-ratio[f] * pos[f], f))[:MAX_FEATURES]
-    index = {f: k for k, f in enumerate(chosen)}
-    doc_of, sent_of, feat = [], [], []
-    for k, d in enumerate(docs):
-        for s in d:
-            known = [index[f] for f in s if f in index]
-            sent_of += [len(doc_of)] * len(known)
-            feat += known
-            doc_of.append(k)
-    doc_of, sent_of, feat = (np.array(x, np.int64) for x in (doc_of, sent_of, feat))
+    n_sent = np.array([d[0] for d in docs], np.int64)
+    doc_of = np.repeat(np.arange(len(docs)), n_sent)
+    base = np.cumsum(n_sent) - n_sent
+    sent_of = np.concatenate([np.asarray(d[1], np.int64) + k for d, k in zip(docs, base)])
+    feat = np.concatenate([np.asarray(d[2], np.int64) for d in docs])
     inside = fitted[doc_of]
     w, b = np.zeros(len(chosen)), -4.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
@@ -162,9 +166,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     draw = F.pmod(F.xxhash64(F.lit("toxic"), F.col("doc_id")), F.lit(1 << 30)).cast("double") / float(1 << 30)
     share = F.when(F.col("y") == 1, F.lit(SAMPLE_TOXIC / sizes[1])).otherwise(F.lit(SAMPLE_OTHER / sizes[0]))
     sample = known.filter(draw < share)  # about SAMPLE_TOXIC + SAMPLE_OTHER rows at most, so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").join(F.broadcast(sample), "doc_id").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    return train(rows["text"].tolist(), rows["y"].to_numpy() == 1, sizes[1] / (sizes[0] + sizes[1]))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").join(F.broadcast(sample), "doc_id")
+    texts = cut(texts.withColumn("fitted", F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(5)) != 4))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        for pdf in batches:
+            for t, y in zip(pdf["text"], pdf["y"]):
+                found[y].update({f for w in set(WORD.findall(t.lower())) for f in features(w)})
+        for y, c in found.items():
+            names, counts = list(c), list(c.values())
+            for k in range(0, len(names), 20_000):
+                yield pd.DataFrame({"feature": names[k : k + 20_000], "y": y, "n": counts[k : k + 20_000]})
+
+    per = texts.filter("fitted").select("text", "y").mapInPandas(count, "feature string, y int, n long").groupBy("feature").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg"))
+    totals = {r["y"]: r["count"] for r in texts.filter("fitted").groupBy("y").count().collect()}
+    n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
+    ratio = (F.col("pos") / max(1, n_pos)) / ((F.col("neg") + 1) / F.lit(n_neg + 1))
+    strong = per.filter((F.col("pos") >= MIN_DOCS) & (ratio >= MIN_RATIO)).orderBy(F.desc(ratio * F.col("pos")), "feature").limit(MAX_FEATURES).toPandas()
+    chosen = choose_features(dict(zip(strong["feature"], strong["pos"])), dict(zip(strong["feature"], strong["neg"])), n_pos, n_neg)
+    index = {f: k for k, f in enumerate(chosen)}
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [known_features(t, index) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "fitted": pdf["fitted"], "n": [m[0] for m in made], "sent": [m[1] for m in made], "feat": [m[2] for m in made]})
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = texts.select("doc_id", "y", "fitted", "text").mapInPandas(place, f"doc_id {kind}, y int, fitted boolean, n int, sent array<int>, feat array<int>").toPandas()
+    rows = rows.sort_values(["doc_id", "n"], kind="stable").drop_duplicates("doc_id")
+    return fit_weights(chosen, list(zip(rows["n"], rows["sent"], rows["feat"])), rows["y"].to_numpy() == 1, rows["fitted"].to_numpy(bool), sizes[1] / (sizes[0] + sizes[1]))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
