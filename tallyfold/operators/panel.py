@@ -6,15 +6,20 @@ the calendar. Only the calendar's numbering is a window without a key; it has on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 FILL_LIMIT = 3
 EXTREME_MOVE = 0.15
 STALE = 1e-12
 
-_by_asset = Window.partitionBy("asset").orderBy("session")
-_so_far = _by_asset.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _by_asset() -> WindowSpec:
+    return Window.partitionBy("asset").orderBy("session")
+
+
+def _so_far() -> WindowSpec:
+    return _by_asset().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def calendar(obs: DataFrame, reference: str | None = None, start: str | None = None) -> DataFrame:
@@ -38,8 +43,8 @@ def align(obs: DataFrame, cal: DataFrame, assets: DataFrame, limit: int = FILL_L
     """The panel on calendar x assets; each gap's first limit sessions carry the last price, nothing comes before the first."""
     grid = cal.crossJoin(assets.select("asset"))  # every cell of the panel is a row of the result
     panel = grid.join(obs.select("date", "asset", F.col("price").alias("price_raw"), "volume"), ["date", "asset"], "left")
-    last = F.last("price_raw", ignorenulls=True).over(_so_far)
-    seen = F.last(F.when(F.col("price_raw").isNotNull(), F.col("session")), ignorenulls=True).over(_so_far)
+    last = F.last("price_raw", ignorenulls=True).over(_so_far())
+    seen = F.last(F.when(F.col("price_raw").isNotNull(), F.col("session")), ignorenulls=True).over(_so_far())
     return panel.withColumn("price", F.when(F.col("session") - seen <= limit, last)).select("session", "date", "asset", "price_raw", "price", "volume")
 
 
@@ -60,7 +65,7 @@ def gap_islands(panel: DataFrame, column: str = "price") -> DataFrame:
     """asset, gap_start, gap_end, sessions of each run of missing values after the asset's first value."""
     first = F.min(F.when(F.col(column).isNotNull(), F.col("session"))).over(Window.partitionBy("asset"))
     missing = panel.withColumn("first", first).filter(F.col(column).isNull() & (F.col("session") > F.col("first")))
-    island = missing.withColumn("island", F.col("session") - F.row_number().over(_by_asset))
+    island = missing.withColumn("island", F.col("session") - F.row_number().over(_by_asset()))
     return island.groupBy("asset", "island").agg(F.min("date").alias("gap_start"), F.max("date").alias("gap_end"), F.count(F.lit(1)).alias("sessions")).drop("island")
 
 
@@ -79,7 +84,7 @@ def first_complete(panel: DataFrame) -> DataFrame:
 def log_returns(panel: DataFrame) -> DataFrame:
     """The panel with r, the log return on the dense grid: a missing price leaves two returns missing."""
     logged = F.ln("price")
-    return panel.withColumn("r", logged - F.lag(logged).over(_by_asset))
+    return panel.withColumn("r", logged - F.lag(logged).over(_by_asset()))
 
 
 def availability(obs: DataFrame, panel: DataFrame, min_years: float) -> DataFrame:
@@ -136,8 +141,8 @@ def moves_by(moves: DataFrame, how: str) -> DataFrame:
 
 def interpolate(panel: DataFrame) -> DataFrame:
     """price with interior gaps bridged linearly by row position; nothing outside the first and last value."""
-    before = F.last(F.when(F.col("price_raw").isNotNull(), F.struct("session", "price_raw")), ignorenulls=True).over(_so_far)
-    after = F.first(F.when(F.col("price_raw").isNotNull(), F.struct("session", "price_raw")), ignorenulls=True).over(_by_asset.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    before = F.last(F.when(F.col("price_raw").isNotNull(), F.struct("session", "price_raw")), ignorenulls=True).over(_so_far())
+    after = F.first(F.when(F.col("price_raw").isNotNull(), F.struct("session", "price_raw")), ignorenulls=True).over(_by_asset().rowsBetween(Window.currentRow, Window.unboundedFollowing))
     held = panel.withColumn("b", before).withColumn("a", after)
     share = F.try_divide((F.col("session") - F.col("b.session")).cast("double"), (F.col("a.session") - F.col("b.session")).cast("double"))
     blend = F.col("b.price_raw") + (F.col("a.price_raw") - F.col("b.price_raw")) * share

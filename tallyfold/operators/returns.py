@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..sources.market import period_end
 from .panel import log_returns
 
-_by_asset = Window.partitionBy("asset").orderBy("session")
+
+def _by_asset() -> WindowSpec:
+    return Window.partitionBy("asset").orderBy("session")
 
 
 def full_window(value: Column, over: Column, width: int) -> Column:
     """value over the trailing width rows, null until all of them are there."""
-    trailing = _by_asset.rowsBetween(-(width - 1), Window.currentRow)
+    trailing = _by_asset().rowsBetween(-(width - 1), Window.currentRow)
     return F.when(F.count(over).over(trailing) == width, value.over(trailing))
 
 
@@ -26,7 +28,7 @@ def period_returns(panel: DataFrame, freq: str) -> DataFrame:
 
 
 def simple_returns(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("s", F.try_divide(F.col("price"), F.lag("price").over(_by_asset)) - 1)
+    return panel.withColumn("s", F.try_divide(F.col("price"), F.lag("price").over(_by_asset())) - 1)
 
 
 def complete_periods(returns: DataFrame, last_day: str) -> DataFrame:
@@ -47,7 +49,7 @@ def moving_averages(panel: DataFrame, short: int, long: int) -> DataFrame:
 def normalised(panel: DataFrame) -> DataFrame:
     """Prices over those of the first date that all assets have."""
     complete = panel.withColumn("gap", F.count_if(F.col("price").isNull()).over(Window.partitionBy("date"))).filter("gap = 0")
-    base = F.first("price").over(_by_asset.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    base = F.first("price").over(_by_asset().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return complete.select("date", "asset", (F.col("price") / base).alias("growth"))
 
 
@@ -59,7 +61,7 @@ def yearly(panel: DataFrame) -> DataFrame:
 
 def wealth_paths(panel: DataFrame) -> DataFrame:
     """Additive and compounded wealth of each asset."""
-    up_to = _by_asset.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up_to = _by_asset().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = simple_returns(panel).filter("s is not null")
     return s.select("date", "asset", (1 + F.sum("s").over(up_to)).alias("additive"), F.exp(F.sum(F.log1p("s")).over(up_to)).alias("compounded"))
 
@@ -68,7 +70,7 @@ def split_rows(panel: DataFrame, share: float = 0.7) -> DataFrame:
     """The panel's return rows marked train or test by their place."""
     s = simple_returns(panel).filter("s is not null")
     n = F.count(F.lit(1)).over(Window.partitionBy("asset"))
-    return s.select("date", "asset", "s", F.when(F.row_number().over(_by_asset) <= F.rint(n * share), "train").otherwise("test").alias("part"))
+    return s.select("date", "asset", "s", F.when(F.row_number().over(_by_asset()) <= F.rint(n * share), "train").otherwise("test").alias("part"))
 
 
 def inventory(panel: DataFrame, freqs: tuple[str, ...] = ("weekly", "monthly")) -> DataFrame:
