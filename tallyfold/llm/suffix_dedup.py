@@ -14,7 +14,7 @@ their own anchor only and none is missed.
 5. Each shard hears the smallest ids of its contexts, and cuts its texts.
 
 Every step is a shuffle by shard or anchor hash of packed blobs; a shard holds SHARD_BYTES of text, a bucket of anchors
-about as much. A string that a third of all documents has is one context in each shard.
+less. A string that a third of all documents has is one context in each shard.
 
 Edge cases: null texts count as empty; texts under LENGTH bytes stay whole; rows that repeat an id aren't smaller than
 each other; null ids count as larger than any other; other columns are ignored; an empty table gives an empty result.
@@ -34,7 +34,9 @@ from .common import whole_text
 
 LENGTH = 50
 GRAM = 24
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
+#: Strings sorted at once in a task, but for those of one anchor.
+SLICE_STRINGS = 400_000
 BASE = 0x9E3779B97F4A7C15
 LAST_ID = np.iinfo(np.int64).max
 _ONE = 1 << 64
@@ -75,7 +77,8 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     if width < span:
         least = np.minimum(least[: width - span], least[span - width :])
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    return least[first], first, np.r_[first[1:], len(least)] - 1
+    # least hashes crowd at the low end; mixed again they are spread evenly over buckets
+    return _mix(least[first] + np.uint64(BASE)), first, np.r_[first[1:], len(least)] - 1
 
 
 class Shard:
@@ -186,7 +189,7 @@ def _send_contexts(bits: int):
                 if len(ks):
                     a = low[ks]
                     text = b"".join([shard.texts[d][i:j] for d, i, j in zip(shard.doc[a].tolist(), shard.first[a].tolist(), (shard.last[a] + LENGTH).tolist())])
-                    rows.append((b, h[ks].tobytes(), ks.astype(np.int32).tobytes(), shard.ids[shard.doc[a]].tobytes(), shard.ids[shard.doc[high[ks]]].tobytes(), (shard.last[a] - shard.first[a] + 1).astype(np.int32).tobytes(), text))
+                    rows.append((b, h[ks].tobytes(), np.diff(ks, prepend=0).astype(np.int32).tobytes(), shard.ids[shard.doc[a]].tobytes(), (shard.ids[shard.doc[high[ks]]] - shard.ids[shard.doc[a]]).tobytes(), (shard.last[a] - shard.first[a] + 1).astype(np.int32).tobytes(), text))
         made = {n: pa.array([r[k + 1] for r in rows], pa.binary()) for k, n in enumerate(("hash", "number", "low", "high", "size", "text"))}
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([key[0].as_py()] * len(rows), pa.int32()), **made})
 
@@ -197,35 +200,45 @@ _CONTEXT_SCHEMA = "bucket int, shard int, hash binary, number binary, low binary
 _RUN = np.dtype([("number", "<i4"), ("from", "<i4"), ("n", "<i4"), ("id", "<i8")])
 
 
-def smallest_ids(h: np.ndarray, low: np.ndarray, size: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each context's strings, smallest id of each string) of contexts, size strings each."""
+def smallest_ids(h: np.ndarray, low: np.ndarray, size: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Smallest id of each string of contexts, size strings each; low is the smallest id that has the context."""
     nbytes = size + LENGTH - 1
-    begin = np.cumsum(nbytes) - nbytes
-    slot = np.cumsum(size) - size
     context = np.repeat(np.arange(len(h)), size)
-    nth = np.arange(int(size.sum())) - slot[context]
-    start = begin[context] + nth
-    ids = low[context].copy()
+    start = np.repeat((np.cumsum(nbytes) - nbytes) - (np.cumsum(size) - size), size) + np.arange(len(context))
+    ids = low[context]
     # only strings of an anchor that has several contexts can have an id other than their context's own
     _, group = np.unique(h, return_inverse=True)
-    several = (np.bincount(group) > 1)[group][context]
-    pick = np.flatnonzero(several)
+    pick = np.flatnonzero((np.bincount(group) > 1)[group][context])
     if len(pick):
-        # equal strings lie alike around their anchor; the word that starts there is compared first in any case
         member, cls = equal_groups(group[context[pick]], start[pick], LENGTH, text)
         if len(member):
             order = np.argsort(cls, kind="stable")
             member, cls = pick[member[order]], cls[order]
             at = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
             ids[member] = np.repeat(np.minimum.reduceat(ids[member], at), np.diff(np.r_[at, len(cls)]))
-    return slot, ids
+    return ids
+
+
+def _slices(h: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of sorted contexts that hold whole anchors and about SLICE_STRINGS strings each."""
+    ends = np.r_[np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)]
+    total = np.cumsum(size)[ends - 1]
+    out, lo, before = [], 0, 0
+    while lo < len(h):
+        k = min(int(np.searchsorted(total, before + SLICE_STRINGS)), len(ends) - 1)
+        out.append((lo, int(ends[k])))
+        lo, before = int(ends[k]), int(total[k])
+    return out
 
 
 def _sort_contexts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     def joined(name: str, kind) -> np.ndarray:
         return np.concatenate([np.frombuffer(b.as_py(), kind) for b in table.column(name)])
 
-    h, number, low, high = joined("hash", np.uint64), joined("number", np.int32), joined("low", np.int64), joined("high", np.int64)
+    # numbers are sent as steps and largest ids as distances, which compress well
+    h, low = joined("hash", np.uint64), joined("low", np.int64)
+    number = np.concatenate([np.cumsum(np.frombuffer(b.as_py(), np.int32)) for b in table.column("number")])
+    high = low + joined("high", np.int64)
     size, text = joined("size", np.int32).astype(np.int64), joined("text", np.uint8)
     sender = np.repeat(np.arange(table.num_rows), [len(b.as_py()) // 8 for b in table.column("hash")])
     # equal contexts of several shards are sorted once: found by hash, confirmed by their bytes
@@ -242,23 +255,27 @@ def _sort_contexts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     if not np.array_equal(text, text[np.repeat(begin[one[cls]], nbytes) + at]):
         raise ValueError("two different contexts have the same hashes")
     least = np.minimum.reduceat(low[order], np.flatnonzero(new))
-    part = np.repeat(begin[one], nbytes[one]) + np.arange(int(nbytes[one].sum())) - np.repeat(np.cumsum(nbytes[one]) - nbytes[one], nbytes[one])
-    slot, ids = smallest_ids(h[one], least, size[one], text[part])
+    slot, ids = np.cumsum(size[one]) - size[one], np.empty(int(size[one].sum()), np.int64)
+    for lo, hi in _slices(h[one], size[one]):
+        k = one[lo:hi]
+        n = nbytes[k]
+        part = np.repeat(begin[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        ids[slot[lo] : slot[lo] + int(size[k].sum())] = smallest_ids(h[k], least[lo:hi], size[k], text[part])
     # back to the contexts of each shard, as runs of strings with the same smallest id
-    mine = np.repeat(slot[cls], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    owner = np.repeat(np.arange(len(h)), size)
-    value = ids[mine]
-    run_start = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])])
-    run = np.zeros(len(run_start), _RUN)
-    who = owner[run_start]
-    run["number"], run["id"] = number[who], value[run_start]
-    run["from"] = run_start - (np.cumsum(size) - size)[who]
-    run["n"] = np.diff(np.r_[run_start, len(owner)])
-    useful = run["id"] < high[who]
-    run, sent = run[useful], sender[who][useful]
-    cuts = _cuts(sent, table.num_rows)
-    shards = table.column("shard").to_pylist()
-    rows = [(shards[k], run[cuts[k] : cuts[k + 1]].tobytes()) for k in range(table.num_rows) if cuts[k] < cuts[k + 1]]
+    shards, cuts = table.column("shard").to_pylist(), _cuts(sender, table.num_rows)
+    rows = []
+    for sent, lo, hi in zip(shards, cuts[:-1], cuts[1:]):
+        n, c = size[lo:hi], cls[lo:hi]
+        first = np.cumsum(n) - n
+        owner = np.repeat(np.arange(hi - lo), n)
+        value = ids[np.repeat(slot[c] - first, n) + np.arange(int(n.sum()))]
+        start = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])])
+        run = np.zeros(len(start), _RUN)
+        who = owner[start]
+        run["number"], run["id"], run["from"], run["n"] = number[lo:hi][who], value[start], start - first[who], np.diff(np.r_[start, len(owner)])
+        run = run[run["id"] < high[lo:hi][who]]
+        if len(run):
+            rows.append((sent, run.tobytes()))
     return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -313,10 +330,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(F.col(text_col)).alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(1, -(-total // shard_bytes))
-    bits = max(0, (n_shards - 1).bit_length())
+    bits = max(0, (n_shards - 1).bit_length())  # buckets: half to all as many for names, twice that for contexts
     dealt = source.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).cast("int"))
     shards = dealt.groupBy("shard")
-    shared = shards.applyInArrow(_send_anchors(bits), _ANCHOR_SCHEMA).groupBy("bucket").applyInArrow(_find_shared, _SHARED_SCHEMA)
-    contexts = shards.cogroup(shared.groupBy("shard")).applyInArrow(_send_contexts(bits), _CONTEXT_SCHEMA)
+    shared = shards.applyInArrow(_send_anchors(max(0, bits - 1)), _ANCHOR_SCHEMA).groupBy("bucket").applyInArrow(_find_shared, _SHARED_SCHEMA)
+    contexts = shards.cogroup(shared.groupBy("shard")).applyInArrow(_send_contexts(bits + 1), _CONTEXT_SCHEMA)
     found = contexts.groupBy("bucket").applyInArrow(_sort_contexts, _SHARED_SCHEMA)
     return shards.cogroup(found.groupBy("shard")).applyInArrow(_cut_texts(with_text), _RESULT_SCHEMA)
