@@ -160,3 +160,36 @@ def buy_and_hold(panel: DataFrame, benchmark: str) -> DataFrame:
     )
     base = own.filter(F.col("asset") == benchmark).select(F.col("growth").alias("base"))
     return own.crossJoin(F.broadcast(base)).select("asset", "growth", (F.pow("growth", F.try_divide(F.lit(1.0), F.col("years"))) - 1).alias("cagr"), (F.col("sd") * F.sqrt(F.lit(52.0))).alias("vol"), (F.col("growth") > F.col("base")).alias("beats"))  # one row
+
+
+def data_checks(obs: DataFrame) -> DataFrame:
+    """Rows, missing, non-positive and non-finite prices of each asset."""
+    bad = F.isnan("price") | (F.abs("price") == float("inf"))
+    return obs.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("price").isNull()).alias("missing"), F.count_if(F.col("price") <= 0).alias("not_positive"), F.count_if(bad).alias("not_finite"))
+
+
+def complete_rows(returns: DataFrame, value: str = "r") -> DataFrame:
+    """Rows of the dates on which no asset's value is missing; taken after returns, so a gap costs two dates."""
+    gap = F.count_if(F.col(value).isNull()).over(Window.partitionBy("date"))
+    return returns.withColumn("gap", gap).filter("gap = 0").drop("gap")
+
+
+def adjustment_table(adjusted: DataFrame, unadjusted: DataFrame, actions: DataFrame) -> DataFrame:
+    """Yearly growth of both price series over their common dates, the difference, and events after the first date.
+
+    adjusted, unadjusted: date, asset, price (unadjusted ones already filled); actions: date, asset, dividend, split.
+    """
+    both = adjusted.select("date", "asset", F.col("price").alias("adj")).join(unadjusted.select("date", "asset", F.col("price").alias("raw")), ["date", "asset"]).filter("adj is not null and raw is not null")
+    span = both.groupBy("asset").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.min_by("adj", "date").alias("a0"), F.max_by("adj", "date").alias("a1"), F.min_by("raw", "date").alias("r0"), F.max_by("raw", "date").alias("r1"))
+    events = actions.join(span.select("asset", "first", "last"), "asset").filter("date > first and date <= last").groupBy("asset").agg(F.count_if(F.coalesce("dividend", F.lit(0.0)) != 0).alias("dividends"), F.count_if(F.coalesce("split", F.lit(0.0)) != 0).alias("splits"))
+    power = F.try_divide(F.lit(1.0), F.datediff("last", "first") / 365.25)
+    grown = span.withColumn("adj_cagr", F.pow(F.col("a1") / F.col("a0"), power) - 1).withColumn("raw_cagr", F.pow(F.col("r1") / F.col("r0"), power) - 1)
+    return grown.join(events, "asset", "left").select("asset", "first", "last", "adj_cagr", "raw_cagr", (F.col("adj_cagr") - F.col("raw_cagr")).alias("gap"), F.coalesce("dividends", F.lit(0).cast("long")).alias("dividends"), F.coalesce("splits", F.lit(0).cast("long")).alias("splits"))
+
+
+def classify_actions(actions: DataFrame, returns: DataFrame) -> DataFrame:
+    """Each split-like event as split (whole ratio, either way) or spin-off, with the log return of its day."""
+    whole = lambda c: F.abs(c - F.round(c)) < 1e-6
+    ratio = F.greatest(F.col("split"), F.try_divide(F.lit(1.0), F.col("split")))
+    kind = F.when(whole(ratio), "split").otherwise("spin-off")
+    return actions.filter("split is not null and split <> 0").select("date", "asset", "split", kind.alias("kind")).join(returns.select("date", "asset", "r"), ["date", "asset"], "left")

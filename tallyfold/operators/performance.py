@@ -102,3 +102,24 @@ def replication_metrics(returns: DataFrame, periods: int) -> DataFrame:
         F.avg(F.when(F.col("fall") < 0, F.col("fall"))).alias("mean_fall"), _share(F.col("ret") > 0).alias("win_pct"), F.skewness("ret").alias("skew"), F.kurtosis("ret").alias("kurt"),
     )
     return a.select(*_run, "ann_return", "ann_vol", F.try_divide("ann_return", "ann_vol").alias("sharpe"), "max_dd", F.try_divide("ann_return", "max_dd").alias("calmar"), F.try_divide(F.col("ann_return"), -F.col("mean_fall")).alias("sterling"), "win_pct", "skew", "kurt")
+
+
+def annual_table(panel: DataFrame, periods: int) -> DataFrame:
+    """Arithmetic annual return, volatility and Sharpe of each asset. panel: asset, s."""
+    a = panel.filter("s is not null").groupBy("asset").agg((F.avg("s") * periods).alias("ret"), (F.stddev_samp("s") * F.sqrt(F.lit(float(periods)))).alias("vol"))
+    return a.withColumn("sharpe", F.try_divide("ret", "vol"))
+
+
+def downside_table(panel: DataFrame, level: float = 0.05) -> DataFrame:
+    """Semi-deviation over all rows, value at risk, the mean beyond it, and the drawdown of summed (not compounded) returns."""
+    up_to = Window.partitionBy("asset").orderBy("session").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = panel.filter("s is not null").select("asset", "session", "s", F.avg("s").over(Window.partitionBy("asset")).alias("m")).withColumn("path", F.sum("s").over(up_to))
+    s = s.withColumn("fall", F.max("path").over(up_to) - F.col("path"))
+    a = s.groupBy("asset").agg(F.sqrt(F.avg(F.pow(F.least(F.col("s") - F.col("m"), F.lit(0.0)), F.lit(2.0)))).alias("semi_dev"), F.percentile("s", F.lit(level)).alias("q"), F.max("fall").alias("max_dd"))
+    beyond = s.join(a.select("asset", "q"), "asset").filter("s <= q").groupBy("asset").agg((-F.avg("s")).alias("cvar"))
+    return a.join(beyond, "asset").select("asset", "semi_dev", (-F.col("q")).alias("var"), "cvar", "max_dd")
+
+
+def turnover_by(turnovers: DataFrame, groups: DataFrame, column: str) -> DataFrame:
+    """Median turnover of each strategy within groups of experiments."""
+    return turnovers.join(groups, "experiment").groupBy("strategy", column).agg(F.median("turnover").alias("turnover"), F.count(F.lit(1)).alias("n"))

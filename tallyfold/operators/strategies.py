@@ -89,3 +89,46 @@ def distances(weights: DataFrame) -> DataFrame:
     b = weights.filter("w is not null").select("experiment", "k", "asset", F.col("strategy").alias("b"), F.col("w").alias("wb"))
     d = a.join(b, ["experiment", "k", "asset"]).filter("a < b").groupBy("a", "b", "experiment", "k").agg((F.sum(F.abs(F.col("wa") - F.col("wb"))) / 2).alias("d"))
     return d.groupBy("a", "b").agg(F.avg("d").alias("distance"), F.avg(F.when(F.col("d") < 1e-4, 1.0).otherwise(0.0)).alias("coincide"))
+
+
+def quintiles(est: DataFrame) -> DataFrame:
+    """Best fifth (rounded) by mean, by mean over variance and by mean over deviation, equally weighted."""
+    by = Window.partitionBy("experiment", "k")
+    n = F.count(F.lit(1)).over(by)
+    size = F.greatest(F.rint(n / 5.0), F.lit(1.0))
+    scores = {"mean": F.col("mean"), "mean_var": F.try_divide(F.col("mean"), F.col("sd") * F.col("sd")), "mean_sd": F.try_divide(F.col("mean"), F.col("sd"))}
+    ranked = est.select("experiment", "k", "asset", size.alias("size"), *(F.row_number().over(by.orderBy(F.desc(c), "asset")).alias(s) for s, c in scores.items()))
+    rows = F.explode(F.array(*(F.struct(F.lit(f"QNT {s}").alias("strategy"), F.when(F.col(s) <= F.col("size"), 1 / F.col("size")).otherwise(0.0).alias("w")) for s in scores))).alias("t")
+    return ranked.select("experiment", "k", "asset", rows).select("experiment", "t.strategy", "k", "asset", "t.w", F.lit(None).cast("string").alias("error"))
+
+
+def conditioning(rows: DataFrame) -> DataFrame:
+    """Condition number, largest correlation and its pair of each estimation window."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = pdf.pivot(index="pos", columns="asset", values="s").corr()
+        e = np.linalg.eigvalsh(c.to_numpy())
+        i, j = np.triu_indices(len(c), 1)
+        top = int(np.argmax(c.to_numpy()[i, j]))
+        return pd.DataFrame({"experiment": [pdf["experiment"].iloc[0]], "k": [pdf["k"].iloc[0]], "condition": [e[-1] / e[0]], "max_corr": [c.to_numpy()[i[top], j[top]]], "pair": [f"{c.columns[i[top]]}/{c.columns[j[top]]}"]})
+
+    return rows.groupBy("experiment", "k").applyInPandas(run, "experiment int, k int, condition double, max_corr double, pair string")
+
+
+def shrinkage(rows: DataFrame) -> DataFrame:
+    """Ledoit-Wolf intensity of each estimation window."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        share = kernels.shrink_constant_correlation(pdf.pivot(index="pos", columns="asset", values="s").to_numpy())[1]
+        return pd.DataFrame({"experiment": [pdf["experiment"].iloc[0]], "k": [pdf["k"].iloc[0]], "intensity": [share]})
+
+    return rows.groupBy("experiment", "k").applyInPandas(run, "experiment int, k int, intensity double")
+
+
+def optimality(weights: DataFrame, covs: DataFrame) -> DataFrame:
+    """For each (experiment, strategy, k): sum, smallest weight, portfolio variance and that of equal weights."""
+    w = weights.filter("w is not null").select("experiment", "k", "strategy", "asset", "w")
+    b = w.select("experiment", "k", "strategy", F.col("asset").alias("b"), F.col("w").alias("wb"))
+    pairs = w.withColumnRenamed("asset", "a").join(covs, ["experiment", "k", "a"]).join(b, ["experiment", "k", "strategy", "b"])
+    var = pairs.groupBy("experiment", "strategy", "k").agg(F.sum(F.col("w") * F.col("wb") * F.col("cov")).alias("variance"), F.avg("cov").alias("equal_variance"))
+    return var.join(w.groupBy("experiment", "strategy", "k").agg(F.sum("w").alias("total"), F.min("w").alias("least")), ["experiment", "strategy", "k"])

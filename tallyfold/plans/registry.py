@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import backtest, dependence, panel, performance, returns, robustness, sampler, statistics, strategies
+from ..functions import formatting
+from ..operators import backtest, dependence, panel, performance, returns, robustness, sampler, statistics, strategies, volatility
 from . import oracles as o
 from .context import BENCHMARK, SCHEDULE, STRESS, Lab, Runs, tidy
 from .oracles import sel
@@ -331,3 +332,99 @@ query(
 query("median_by_year", f"{T}, yr AS (SELECT experiment, year(min(date)) AS y FROM win WHERE pos = {SCHEDULE.estimation + 1} GROUP BY 1) {sel(strategy='strategy', year='#y', sharpe='~median(sharpe)')} FROM m JOIN yr USING (experiment) WHERE basis = 'net' GROUP BY strategy, y")(
     lambda b: _metrics(b).filter("basis = 'net'").join(b.windows.filter(F.col("pos") == SCHEDULE.estimation + 1).groupBy("experiment").agg(F.year(F.min("date")).alias("year")), "experiment").groupBy("strategy", "year").agg(F.median("sharpe").alias("sharpe"))
 )
+
+
+# ---- more audits, tests and tables ----
+query("data_checks", f"{P} {sel(asset='asset', n='#count(*)', missing='#count(*) FILTER (price IS NULL)', not_positive='#count(*) FILTER (price <= 0)', not_finite='#count(*) FILTER (isnan(price) OR isinf(price))')} FROM obs GROUP BY asset")(lambda b: panel.data_checks(b.obs))
+query("complete_rows", f"{D}, mi AS (SELECT date FROM ret GROUP BY date HAVING count(r) = count(*)) {sel(date='date', asset='asset', r='~r')} FROM ret WHERE date IN (SELECT date FROM mi)", "daily")(lambda b: panel.complete_rows(panel.log_returns(b.panel)).select("date", "asset", "r"))
+_EVENTS = ", ac AS (SELECT date, asset, CASE WHEN session % 13 = 0 THEN 0.1::DOUBLE ELSE 0 END AS dividend, CASE WHEN session % 101 = 0 THEN 2.0::DOUBLE WHEN session % 103 = 0 THEN 1.25 ELSE 0 END AS split FROM panel)"
+
+
+def _actions(b: Lab) -> DataFrame:
+    """Corporate actions by arithmetic on the session, as there is no table of them."""
+    return b.panel.select("date", "asset", F.when(F.col("session") % 13 == 0, 0.1).otherwise(0.0).alias("dividend"), F.when(F.col("session") % 101 == 0, 2.0).when(F.col("session") % 103 == 0, 1.25).otherwise(0.0).alias("split"))
+
+
+query(
+    "adjustment_table",
+    f"""{P}{_EVENTS}, un AS (SELECT date, asset, price AS adj, price * (1 + 0.0005::DOUBLE * session) AS raw FROM panel WHERE price IS NOT NULL),
+    sp AS (SELECT asset, min(date) AS f, max(date) AS l, min_by(adj, date) AS a0, max_by(adj, date) AS a1, min_by(raw, date) AS r0, max_by(raw, date) AS r1 FROM un GROUP BY asset),
+    ev AS (SELECT ac.asset, count(*) FILTER (dividend <> 0) AS nd, count(*) FILTER (split <> 0) AS ns FROM ac JOIN sp ON ac.asset = sp.asset WHERE date > f AND date <= l GROUP BY 1),
+    cg AS (SELECT *, power(a1 / a0, 365.25::DOUBLE / (l - f)) - 1 AS ac, power(r1 / r0, 365.25::DOUBLE / (l - f)) - 1 AS rc FROM sp)
+    {sel(asset='cg.asset', first='f', last='l', adj_cagr='~ac', raw_cagr='~rc', gap='~ac - rc', dividends='#coalesce(nd, 0)', splits='#coalesce(ns, 0)')} FROM cg LEFT JOIN ev ON cg.asset = ev.asset""",
+)(lambda b: panel.adjustment_table(b.panel, b.panel.withColumn("price", F.col("price") * (1 + 0.0005 * F.col("session"))), _actions(b)))
+query("classified_actions", f"""{P}{_EVENTS} {sel(date='ac.date', asset='ac.asset', split='~split', kind="CASE WHEN abs(split - round(split)) < 1e-6 THEN 'split' ELSE 'spin-off' END", r='~r')} FROM ac JOIN ret ON ac.date = ret.date AND ac.asset = ret.asset WHERE split <> 0""")(lambda b: panel.classify_actions(_actions(b), panel.log_returns(b.panel)))
+query("formatted_headline", f"""{T} {sel(strategy='strategy', basis='basis', ann_return="format('{:,.2f}', round(median(ann_return) * 100, 6))", n="format('{:,.0f}', sum(n)::DOUBLE)")} FROM m GROUP BY strategy, basis""")(
+    lambda b: _metrics(b).groupBy("strategy", "basis").agg(formatting.fixed(F.round(F.median("ann_return") * 100, 6), 2).alias("ann_return"), formatting.fixed(F.sum("n").cast("double"), 0).alias("n"))
+)
+query("annual_table", f"{P}, an AS (SELECT asset, avg(s) * 52 AS r1, stddev_samp(s) * sqrt(52) AS v FROM ret WHERE s IS NOT NULL GROUP BY asset) {sel(asset='asset', ret='~r1', vol='~v', sharpe='~r1 / nullif(v, 0)')} FROM an")(lambda b: performance.annual_table(returns.simple_returns(b.panel), 52))
+query(
+    "downside_table",
+    f"""{P}, ds AS (SELECT asset, session, s, avg(s) OVER (PARTITION BY asset) AS m, sum(s) OVER (PARTITION BY asset ORDER BY session) AS path FROM ret WHERE s IS NOT NULL),
+    dm AS (SELECT *, max(path) OVER (PARTITION BY asset ORDER BY session) - path AS fall FROM ds),
+    da AS (SELECT asset, sqrt(avg(power(least(s - m, 0), 2))) AS sd, quantile_cont(s, 0.05) AS q, max(fall) AS dd FROM dm GROUP BY asset),
+    dc AS (SELECT ds.asset, -avg(s) AS cv FROM ds JOIN da ON ds.asset = da.asset WHERE s <= q GROUP BY 1)
+    {sel(asset='da.asset', semi_dev='~sd', var='~-q', cvar='~cv', max_dd='~dd')} FROM da JOIN dc ON da.asset = dc.asset""",
+)(lambda b: performance.downside_table(returns.simple_returns(b.panel)))
+query(
+    "quintile_weights",
+    E + ", qr AS (SELECT experiment, k, asset, greatest(round_even(count(*) OVER p / 5.0::DOUBLE, 0), 1) AS sz, row_number() OVER (PARTITION BY experiment, k ORDER BY mean DESC, asset) AS a, row_number() OVER (PARTITION BY experiment, k ORDER BY mean / nullif(sd * sd, 0) DESC NULLS LAST, asset) AS b, row_number() OVER (PARTITION BY experiment, k ORDER BY mean / nullif(sd, 0) DESC NULLS LAST, asset) AS c FROM est WINDOW p AS (PARTITION BY experiment, k)), ql AS ("
+    + " UNION ALL ".join(f"SELECT experiment, 'QNT {n}' AS strategy, k, asset, CASE WHEN {c} <= sz THEN 1 / sz ELSE 0.0::DOUBLE END AS w FROM qr" for n, c in (("mean", "a"), ("mean_var", "b"), ("mean_sd", "c")))
+    + f") {sel(experiment='#experiment', strategy='strategy', k='#k', asset='asset', w='~w')} FROM ql",
+)(lambda b: strategies.quintiles(strategies.estimates(b.rows)).drop("error"))
+
+
+def _two(b: Lab) -> DataFrame:
+    """Estimation rows of the first two assets of each experiment, for closed forms."""
+    first = b.exp_asset.groupBy("experiment").agg(F.slice(F.sort_array(F.collect_list("asset")), 1, 2).alias("pair"))  # a subset each
+    return b.rows.join(first, "experiment").filter(F.array_contains("pair", F.col("asset"))).drop("pair")
+
+
+_TWO = E + """,
+e2 AS (SELECT *, dense_rank() OVER (PARTITION BY experiment ORDER BY asset) AS rk FROM er),
+c2 AS (SELECT a.experiment, a.k, a.asset AS a1, b.asset AS a2, var_samp(a.s) * 52 AS v1, var_samp(b.s) * 52 AS v2, covar_samp(a.s, b.s) * 52 AS c, avg(a.s) * 52 AS m1, avg(b.s) * 52 AS m2
+       FROM e2 a JOIN e2 b ON a.experiment = b.experiment AND a.k = b.k AND a.pos = b.pos AND a.rk = 1 AND b.rk = 2 GROUP BY 1, 2, 3, 4),
+x2 AS (SELECT *, least(greatest((v2 - c) / (v1 + v2 - 2 * c), 0), 1) AS gmv, (1 / sqrt(v1)) / (1 / sqrt(v1) + 1 / sqrt(v2)) AS iv, least(greatest(((m1 - m2) / 3.0::DOUBLE + v2 - c) / (v1 + v2 - 2 * c), 0), 1) AS mv,
+              v2 * m1 - c * m2 AS y1, v1 * m2 - c * m1 AS y2 FROM c2),
+r2 AS (SELECT *, CASE WHEN m1 <= 0 AND m2 <= 0 THEN NULL WHEN y1 >= 0 AND y2 >= 0 AND y1 + y2 > 0 THEN y1 / (y1 + y2) WHEN m1 / sqrt(v1) > m2 / sqrt(v2) THEN 1.0 ELSE 0.0 END AS msr FROM x2),
+l2 AS (SELECT experiment, k, a1, a2, unnest(['GMV', 'MDP', 'ERC', 'MDC', 'MV', 'MSR']) AS strategy, unnest([gmv, iv, iv, 0.5::DOUBLE, mv, msr]) AS x FROM r2),
+w2 AS (SELECT experiment, strategy, k, a1 AS asset, x AS w FROM l2 UNION ALL SELECT experiment, strategy, k, a2, 1 - x FROM l2)"""
+for _name, _keep in (("gmv_n2", ("GMV",)), ("mv_n2", ("MV",)), ("msr_n2", ("MSR",)), ("risk_based_n2", ("MDP", "ERC", "MDC"))):
+    query(_name, f"{_TWO} {sel(experiment='#experiment', strategy='strategy', k='#k', asset='asset', w='~w')} FROM w2 WHERE strategy IN ({', '.join(repr(x) for x in _keep)})")(
+        lambda b, keep=_keep: strategies.solved(_two(b), SCHEDULE, names=keep).select("experiment", "strategy", "k", "asset", "w")
+    )
+query("solved_optimality", f"{E}, sk AS (SELECT DISTINCT experiment, k FROM tr) {sel(experiment='#experiment', k='#k', invested='true', long_only='true', calmer='true')} FROM sk")(
+    lambda b: strategies.optimality(b.solved.filter("strategy = 'GMV'"), strategies.pair_covariances(b.rows)).select("experiment", "k", (F.abs(F.col("total") - 1) < 1e-9).alias("invested"), (F.col("least") >= 0).alias("long_only"), (F.col("variance") <= F.col("equal_variance") + 1e-12).alias("calmer"))
+)
+query("equal_risk_shares", f"{E} {sel(experiment='#experiment', k='#k', asset='asset', equal='true')} FROM est")(
+    lambda b: strategies.risk_contributions(strategies.solved(b.rows, SCHEDULE, names=("ERC",)), strategies.pair_covariances(b.rows)).select("experiment", "k", "asset", (F.abs(F.col("share") - 0.1) < 1e-7).alias("equal"))
+)
+query("holdings", f"{E} SELECT experiment::BIGINT AS experiment, " + ", ".join(f"bool_or(asset = 'NATION_{k}') AS NATION_{k}" for k in range(25)) + " FROM ea GROUP BY experiment")(lambda b: robustness.holdings(b.exp_asset, [f"NATION_{k}" for k in range(25)]))
+query("crisis_by_year", f"{E}{o.CRISIS}, yr AS (SELECT experiment, year(min(date)) AS y FROM win WHERE pos = {SCHEDULE.estimation + 1} GROUP BY 1) {sel(year='#y', crisis='crisis', n='#count(*)')} FROM cr JOIN yr USING (experiment) GROUP BY y, crisis")(
+    lambda b: robustness.crisis_groups(b.windows, SCHEDULE.estimation, *STRESS).join(b.windows.filter(F.col("pos") == SCHEDULE.estimation + 1).groupBy("experiment").agg(F.year(F.min("date")).alias("year")), "experiment").groupBy("year", "crisis").agg(F.count(F.lit(1)).alias("n"))
+)
+query(
+    "turnover_by_collinearity",
+    f"""{S}, mc AS (SELECT a.experiment, a.asset, b.asset AS b2, corr(a.s, b.s) AS c FROM win a JOIN win b ON a.experiment = b.experiment AND a.pos = b.pos AND a.asset < b.asset WHERE a.pos > {SCHEDULE.estimation - SCHEDULE.lookback} AND a.pos <= {SCHEDULE.estimation} GROUP BY 1, 2, 3),
+    cl AS (SELECT experiment, max(c) > 0.3 AS collinear FROM mc GROUP BY 1), tv AS (SELECT experiment, strategy, coalesce(sum(turnover) FILTER (k > 0), 0) AS t FROM td GROUP BY 1, 2)
+    {sel(strategy='strategy', collinear='collinear', turnover='~median(t)', n='#count(*)')} FROM tv JOIN cl USING (experiment) GROUP BY strategy, collinear""",
+)(lambda b: performance.turnover_by(backtest.turnover(_runs(b).traded, SCHEDULE), robustness.max_pair_correlation(b.windows, SCHEDULE.estimation, SCHEDULE.lookback).select("experiment", (F.col("max_corr") > 0.3).alias("collinear")), "collinear"))
+query("calm_experiments", f"{T}{o.CRISIS} {sel(strategy='strategy', n='#count(*)', d_sharpe='~median(sharpe - b_sharpe)')} FROM ag2 JOIN cr USING (experiment) WHERE basis = 'net' AND crisis = 'neither' GROUP BY strategy")(
+    lambda b: performance.against(_metrics(b)).filter("basis = 'net'").join(robustness.crisis_groups(b.windows, SCHEDULE.estimation, *STRESS).filter("crisis = 'neither'"), "experiment").groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.median(F.col("sharpe") - F.col("b_sharpe")).alias("d_sharpe"))
+)
+query("conditioning", None)(lambda b: strategies.conditioning(b.rows))
+query("shrinkage_intensity", None)(lambda b: strategies.shrinkage(b.rows).agg(F.min("intensity").alias("least"), F.median("intensity").alias("median"), F.max("intensity").alias("most")))
+query("aversion_sweep", None)(lambda b: _aversions(b))
+query("normality_tests", None)(lambda b: volatility.normality_tests(b.r))
+query("volatility_models", None)(lambda b: volatility.fit_models(b.r))
+query("volatility_persistence", None)(lambda b: volatility.persistence(volatility.fit_models(b.r)))
+query("news_impact", None)(lambda b: volatility.news_impact(volatility.fit_models(b.r, ("GARCH-N", "GJR-t"))))
+
+
+def _aversions(b: Lab, values: tuple[float, ...] = (1.0, 2.0, 3.0, 5.0, 10.0, 20.0)) -> DataFrame:
+    """Mean largest mean-variance weight at each risk aversion."""
+    out = None
+    for a in values:
+        one = strategies.solved(b.rows, SCHEDULE, names=("MV",), aversion=a).groupBy("experiment", "k").agg(F.max("w").alias("top")).agg(F.avg("top").alias("mean_top")).select(F.lit(a).alias("aversion"), "mean_top")
+        out = one if out is None else out.unionByName(one)
+    return out
