@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,7 +175,7 @@ def _find_shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def _send_contexts(bits: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Table) -> pa.Table:
-        rows = []
+        rows, squeeze = [], zstandard.ZstdCompressor(level=6).compress
         if docs.num_rows and shared.num_rows:
             shard = _shard(docs)
             number, low, high = shard.distinct()
@@ -189,7 +190,7 @@ def _send_contexts(bits: int):
                 if len(ks):
                     a = low[ks]
                     text = b"".join([shard.texts[d][i:j] for d, i, j in zip(shard.doc[a].tolist(), shard.first[a].tolist(), (shard.last[a] + LENGTH).tolist())])
-                    rows.append((b, h[ks].tobytes(), np.diff(ks, prepend=0).astype(np.int32).tobytes(), shard.ids[shard.doc[a]].tobytes(), (shard.ids[shard.doc[high[ks]]] - shard.ids[shard.doc[a]]).tobytes(), (shard.last[a] - shard.first[a] + 1).astype(np.int32).tobytes(), text))
+                    rows.append((b, h[ks].tobytes(), np.diff(ks, prepend=0).astype(np.int32).tobytes(), shard.ids[shard.doc[a]].tobytes(), (shard.ids[shard.doc[high[ks]]] - shard.ids[shard.doc[a]]).tobytes(), (shard.last[a] - shard.first[a] + 1).astype(np.int32).tobytes(), squeeze(text)))
         made = {n: pa.array([r[k + 1] for r in rows], pa.binary()) for k, n in enumerate(("hash", "number", "low", "high", "size", "text"))}
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([key[0].as_py()] * len(rows), pa.int32()), **made})
 
@@ -239,7 +240,8 @@ def _sort_contexts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     h, low = joined("hash", np.uint64), joined("low", np.int64)
     number = np.concatenate([np.cumsum(np.frombuffer(b.as_py(), np.int32)) for b in table.column("number")])
     high = low + joined("high", np.int64)
-    size, text = joined("size", np.int32).astype(np.int64), joined("text", np.uint8)
+    size, open_ = joined("size", np.int32).astype(np.int64), zstandard.ZstdDecompressor().decompress
+    text = np.concatenate([np.frombuffer(open_(b.as_py()), np.uint8) for b in table.column("text")])
     sender = np.repeat(np.arange(table.num_rows), [len(b.as_py()) // 8 for b in table.column("hash")])
     # equal contexts of several shards are sorted once: found by hash, confirmed by their bytes
     nbytes = size + LENGTH - 1
