@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formatting
-from ..operators import backtest, dependence, panel, performance, returns, robustness, sampler, statistics, strategies, volatility
+from ..operators import backtest, dependence, panel, performance, returns, robustness, sampler, statistics, strategies, verdicts, volatility
 from . import oracles as o
 from .context import BENCHMARK, SCHEDULE, STRESS, Lab, Runs, tidy
 from .oracles import sel
@@ -428,3 +428,28 @@ def _aversions(b: Lab, values: tuple[float, ...] = (1.0, 2.0, 3.0, 5.0, 10.0, 20
         one = strategies.solved(b.rows, SCHEDULE, names=("MV",), aversion=a).groupBy("experiment", "k").agg(F.max("w").alias("top")).agg(F.avg("top").alias("mean_top")).select(F.lit(a).alias("aversion"), "mean_top")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+query(
+    "verdict_serial_correlation",
+    P + o.lagged(20) + ", rp AS (" + " UNION ALL ".join(f"SELECT asset, {k} AS lags, sum(xs * xs / xs2) AS q FROM lagged WHERE lag <= {k} GROUP BY asset" for k in (10, 20)) + f"), pp AS (SELECT asset, min(CASE lags WHEN 10 THEN {o.chi2_sf('q', 10)} ELSE {o.chi2_sf('q', 20)} END) AS p FROM rp GROUP BY asset), "
+    + "mr AS (SELECT asset, max(abs(xs / ss)) AS mx FROM lagged GROUP BY asset) "
+    + sel(asset="pp.asset", fact="#1", verdict="CASE WHEN p >= 0.05 THEN 'Supported' WHEN mx < 0.1 THEN 'Partial' ELSE 'Not supported' END") + " FROM pp JOIN mr ON pp.asset = mr.asset",
+)(lambda b: verdicts.serial_correlation(statistics.robust_portmanteau(b.r, (10, 20)), statistics.acf(b.r, 20)).drop("evidence"))
+
+
+def _verdicts(b: Lab) -> DataFrame:
+    tests, fits = volatility.normality_tests(b.r), volatility.fit_models(b.r, ("GJR-t", "EGARCH-t"))
+    out = verdicts.serial_correlation(statistics.robust_portmanteau(b.r, (10, 20)), statistics.acf(b.r, 20))
+    for part in (
+        verdicts.fat_tails(statistics.describe(b.r), tests),
+        verdicts.negative_skew(tests),
+        verdicts.clustering(statistics.ljung_box(b.r, (10, 20)), tests),
+        verdicts.leverage(fits),
+        verdicts.conditional_normality(statistics.describe(volatility.standardised_residuals(b.r)), volatility.persistence(fits)),
+    ):
+        out = out.unionByName(part)
+    return out
+
+
+query("verdicts", None)(_verdicts)
