@@ -109,3 +109,18 @@ def inclusion(exp_asset: DataFrame, universe: DataFrame) -> DataFrame:
     joined = universe.select("asset", "sector").join(drawn, "asset", "left")
     middle: Column = F.try_element_at("anchors", (F.floor(F.size("anchors") / 2) + 1).cast("int"))
     return joined.select("asset", "sector", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.try_element_at("anchors", F.lit(1)).alias("first"), middle.alias("middle"), F.try_element_at("anchors", F.lit(-1)).alias("last"))
+
+
+def flat_fee_returns(seg: DataFrame, traded: DataFrame, fee: float) -> DataFrame:
+    """Returns less turnover times a flat fee, taken off the first return after each trade (the second implementation's rule)."""
+    v = seg.select(*_run, "k", "pos", "date", "execution", "v").distinct()
+    gross = v.withColumn("gross", F.col("v") / F.lag("v").over(Window.partitionBy(*_run, "k").orderBy("pos")) - 1).filter("pos > execution")
+    charged = traded.select(*_run, (F.col("execution") + 1).alias("pos"), (F.col("turnover") * fee).alias("charge"))
+    return gross.join(charged, [*_run, "pos"], "left").select(*_run, "pos", "date", (F.col("gross") - F.coalesce("charge", F.lit(0.0))).alias("ret"))
+
+
+def one_way_turnover(traded: DataFrame, returns: DataFrame) -> DataFrame:
+    """Half the turnover after the opening trade, a year of 365 days between the first and the last return."""
+    span = returns.groupBy(*_run).agg((F.datediff(F.max("date"), F.min("date")) / 365.0).alias("years"))
+    moved = traded.groupBy(*_run).agg((F.sum(F.when(F.col("k") > 0, F.col("turnover")).otherwise(0.0)) / 2).alias("moved"))
+    return moved.join(span, [*_run]).select(*_run, F.try_divide("moved", "years").alias("turnover"))

@@ -123,3 +123,17 @@ def downside_table(panel: DataFrame, level: float = 0.05) -> DataFrame:
 def turnover_by(turnovers: DataFrame, groups: DataFrame, column: str) -> DataFrame:
     """Median turnover of each strategy within groups of experiments."""
     return turnovers.join(groups, "experiment").groupBy("strategy", column).agg(F.median("turnover").alias("turnover"), F.count(F.lit(1)).alias("n"))
+
+
+#: Whether more of a metric is better.
+HIGHER = {"ann_return": True, "ann_vol": False, "sharpe": True, "max_dd": False, "calmar": True, "sterling": True, "win_pct": True}
+
+
+def benchmark_wins(metrics: DataFrame, benchmark: str = "EW", directions: dict[str, bool] = HIGHER) -> DataFrame:
+    """Runs compared, mean difference and share of wins of each strategy and metric, rows without both values left out."""
+    long = metrics.unpivot(["experiment", "strategy", "basis"], list(directions), "metric", "value")
+    b = long.filter(F.col("strategy") == benchmark).select("experiment", "basis", "metric", F.col("value").alias("theirs"))
+    j = long.filter(F.col("strategy") != benchmark).join(b, ["experiment", "basis", "metric"]).filter("value is not null and theirs is not null")
+    sign = F.when(F.col("metric").isin(*(m for m, up in directions.items() if up)), 1.0).otherwise(-1.0)
+    d = F.col("value") - F.col("theirs")
+    return j.groupBy("strategy", "basis", "metric").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_d"), _share(d * sign > 0).alias("win_pct"))

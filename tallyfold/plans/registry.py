@@ -453,3 +453,24 @@ def _verdicts(b: Lab) -> DataFrame:
 
 
 query("verdicts", None)(_verdicts)
+
+
+# ---- the second implementation's conventions ----
+_FEE = 0.0015
+_SECOND = S + f""",
+dv AS (SELECT DISTINCT experiment, strategy, k, pos, date, execution, v FROM seg),
+dg AS (SELECT *, v / lag(v) OVER (PARTITION BY experiment, strategy, k ORDER BY pos) - 1 AS gross FROM dv),
+f2 AS (SELECT d.experiment, d.strategy, d.pos, d.date, gross - coalesce(turnover, 0) * {_FEE} AS ret FROM (SELECT * FROM dg WHERE pos > execution) d LEFT JOIN td c ON d.experiment = c.experiment AND d.strategy = c.strategy AND d.pos = c.execution + 1)"""
+query("flat_fee_returns", f"{_SECOND} {sel(experiment='#experiment', strategy='strategy', pos='#pos', date='date', ret='~ret')} FROM f2")(lambda b: backtest.flat_fee_returns(_runs(b).segments, _runs(b).traded, _FEE))
+query(
+    "one_way_turnover",
+    f"{_SECOND}, ys AS (SELECT experiment, strategy, (max(date) - min(date)) / 365.0::DOUBLE AS y FROM f2 GROUP BY 1, 2), mo AS (SELECT experiment, strategy, coalesce(sum(turnover) FILTER (k > 0), 0) / 2 AS m FROM td GROUP BY 1, 2) {sel(experiment='#mo.experiment', strategy='mo.strategy', turnover='~m / nullif(y, 0)')} FROM mo JOIN ys ON mo.experiment = ys.experiment AND mo.strategy = ys.strategy",
+)(lambda b: backtest.one_way_turnover(_runs(b).traded, backtest.flat_fee_returns(_runs(b).segments, _runs(b).traded, _FEE)))
+_REPLICATION = f"""{R}{o.PATH},
+    rm AS (SELECT experiment, strategy, basis, avg(ret) * 52 AS ann_return, stddev_samp(ret) * sqrt(52) AS ann_vol, -least(min(fall), 0) AS max_dd, avg(fall) FILTER (fall < 0) AS mean_fall, {o.share('ret > 0')} AS win_pct FROM fl GROUP BY 1, 2, 3),
+    rl AS (SELECT experiment, strategy, basis, unnest(['ann_return', 'ann_vol', 'sharpe', 'max_dd', 'calmar', 'sterling', 'win_pct']) AS metric,
+           unnest([ann_return, ann_vol, ann_return / nullif(ann_vol, 0), max_dd, ann_return / nullif(max_dd, 0), ann_return / nullif(-mean_fall, 0), win_pct]) AS value FROM rm),
+    rj AS (SELECT a.strategy, a.basis, a.metric, a.value - b.value AS d, CASE WHEN a.metric IN ('ann_vol', 'max_dd') THEN -1.0::DOUBLE ELSE 1.0 END AS sg FROM rl a JOIN rl b ON a.experiment = b.experiment AND a.basis = b.basis AND a.metric = b.metric AND b.strategy = 'EW' WHERE a.strategy <> 'EW' AND a.value IS NOT NULL AND b.value IS NOT NULL)"""
+query("benchmark_wins", f"{_REPLICATION} {sel(strategy='strategy', basis='basis', metric='metric', n='#count(*)', mean_d='~avg(d)', win_pct='~' + o.share('d * sg > 0'))} FROM rj GROUP BY strategy, basis, metric")(
+    lambda b: performance.benchmark_wins(performance.replication_metrics(_runs(b).returns, 52))
+)
