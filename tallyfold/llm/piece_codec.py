@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NEVER = float("-inf")
-CACHE_SPANS = 400_000
+CACHE_SPANS = 700_000
 CACHED_CHARS = 48
 
 
