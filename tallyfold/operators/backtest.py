@@ -39,12 +39,12 @@ def segments(targets: DataFrame, windows: DataFrame, schedule: Schedule) -> Data
 def daily_weights(seg: DataFrame, schedule: Schedule) -> DataFrame:
     """Weights held after any trade at each close, from the opening trade on."""
     held = (F.col("pos") < F.col("until")) | (F.col("pos") == schedule.window)
-    return seg.filter(held).select(*_run, "asset", "pos", "date", (F.col("g") / F.col("v")).alias("weight"))
+    return seg.filter(held).select(*_run, "asset", "pos", "date", F.try_divide("g", "v").alias("weight"))
 
 
 def trade_list(targets: DataFrame, seg: DataFrame, weights: DataFrame, trades: DataFrame, universe: DataFrame) -> DataFrame:
     """experiment, strategy, k, execution, turnover, cost (at 1x), status of every scheduled trade."""
-    before = seg.filter("pos = until").select(*_run, "asset", F.col("until").alias("execution"), (F.col("g") / F.col("v")).alias("drifted"))
+    before = seg.filter("pos = until").select(*_run, "asset", F.col("until").alias("execution"), F.try_divide("g", "v").alias("drifted"))
     moved = targets.join(before, [*_run, "asset", "execution"], "left").join(universe.select("asset", "cost_bp"), "asset", "left")
     size = F.abs(F.col("w") - F.coalesce("drifted", F.lit(0.0)))
     # a missing cost must not pass as free
@@ -66,7 +66,7 @@ def daily_returns(seg: DataFrame, traded: DataFrame, schedule: Schedule, multipl
     A trade's cost comes off at its close; the opening trade's off the first day after it.
     """
     v = seg.select(*_run, "k", "pos", "date", "execution", "v").distinct()
-    gross = v.withColumn("gross", F.col("v") / F.lag("v").over(Window.partitionBy(*_run, "k").orderBy("pos")) - 1).filter("pos > execution")
+    gross = v.withColumn("gross", F.try_divide(F.col("v"), F.lag("v").over(Window.partitionBy(*_run, "k").orderBy("pos"))) - 1).filter("pos > execution")
     at = F.when(F.col("k") == 0, F.lit(schedule.estimation + 1)).otherwise(F.col("execution"))
     charged = traded.select(*_run, at.alias("pos"), "cost").groupBy(*_run, "pos").agg(F.collect_list("cost").alias("costs"))
     days = gross.select(*_run, "pos", "date", "gross").join(charged, [*_run, "pos"], "left")
@@ -114,7 +114,7 @@ def inclusion(exp_asset: DataFrame, universe: DataFrame) -> DataFrame:
 def flat_fee_returns(seg: DataFrame, traded: DataFrame, fee: float) -> DataFrame:
     """Returns less turnover times a flat fee, taken off the first return after each trade (the second implementation's rule)."""
     v = seg.select(*_run, "k", "pos", "date", "execution", "v").distinct()
-    gross = v.withColumn("gross", F.col("v") / F.lag("v").over(Window.partitionBy(*_run, "k").orderBy("pos")) - 1).filter("pos > execution")
+    gross = v.withColumn("gross", F.try_divide(F.col("v"), F.lag("v").over(Window.partitionBy(*_run, "k").orderBy("pos"))) - 1).filter("pos > execution")
     charged = traded.select(*_run, (F.col("execution") + 1).alias("pos"), (F.col("turnover") * fee).alias("charge"))
     return gross.join(charged, [*_run, "pos"], "left").select(*_run, "pos", "date", (F.col("gross") - F.coalesce("charge", F.lit(0.0))).alias("ret"))
 

@@ -41,7 +41,7 @@ def relational(est: DataFrame) -> DataFrame:
     wide = est.select(
         "experiment", "k", "asset",
         (1.0 / n).alias("EW"),
-        (1 / F.col("sd") / F.sum(1 / F.col("sd")).over(by)).alias("IV"),
+        F.try_divide(F.try_divide(F.lit(1.0), F.col("sd")), F.sum(F.try_divide(F.lit(1.0), F.col("sd"))).over(by)).alias("IV"),
         F.when(rank <= fifth, 1.0 / fifth).otherwise(0.0).alias("QNT"),
         F.when(rank == 1, 1.0).otherwise(0.0).alias("GMRP"),
     )

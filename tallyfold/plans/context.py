@@ -28,16 +28,16 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 class Lab:
-    def __init__(self, spark: SparkSession, sf_dir: str, freq: str = "weekly"):
-        self.spark, self.sf_dir, self.freq = spark, sf_dir, freq
+    def __init__(self, spark: SparkSession, sf_dir: str, freq: str = "weekly", level: str = "nation"):
+        self.spark, self.sf_dir, self.freq, self.level = spark, sf_dir, freq, level
 
     @cached_property
     def obs(self) -> DataFrame:
-        return market.observations(self.spark, self.sf_dir, self.freq)
+        return market.observations(self.spark, self.sf_dir, self.freq, level=self.level)
 
     @cached_property
     def universe(self) -> DataFrame:
-        return market.universe(self.spark, self.sf_dir)
+        return market.universe(self.spark, self.sf_dir, self.level)
 
     @cached_property
     def cal(self) -> DataFrame:

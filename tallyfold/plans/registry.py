@@ -33,7 +33,8 @@ def query(name: str, sql: str | None, freq: str = "weekly") -> Callable:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["run_metrics"](spark, sf_dir)
+    """Metrics of every run; at region level, so that small tables have complete windows too."""
+    return tidy(_metrics(Lab(spark, sf_dir, level="region")))
 
 
 def _runs(lab: Lab) -> Runs:

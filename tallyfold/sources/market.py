@@ -23,12 +23,15 @@ def period_end(day: Column, freq: str) -> Column:
     raise ValueError(f"unknown frequency {freq!r}")
 
 
-def observations(spark: SparkSession, sf_dir: str, freq: str = "weekly", damping: float = DAMPING) -> DataFrame:
-    """date, asset, price, volume of every period in which an asset traded."""
+def observations(spark: SparkSession, sf_dir: str, freq: str = "weekly", damping: float = DAMPING, level: str = "nation") -> DataFrame:
+    """date, asset, price, volume of every period in which an asset traded; level: nation, or region for small tables."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_shipdate", "l_quantity", "l_extendedprice")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.col("n_name").alias("asset"))
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    if level == "region":
+        nation = nation.join(spark.read.parquet(f"{sf_dir}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nation = nation.select("n_nationkey", F.col("r_name" if level == "region" else "n_name").alias("asset"))
     owner = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     sold = line.join(owner.select("o_orderkey", "asset"), line.l_orderkey == owner.o_orderkey)
     return sold.groupBy(period_end(F.col("l_shipdate"), freq).alias("date"), "asset").agg(
@@ -37,8 +40,11 @@ def observations(spark: SparkSession, sf_dir: str, freq: str = "weekly", damping
     )
 
 
-def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def universe(spark: SparkSession, sf_dir: str, level: str = "nation") -> DataFrame:
     """asset, ord, sector, cost_bp: the fixed asset order and each asset's one-way cost in basis points."""
+    if level == "region":
+        region = spark.read.parquet(f"{sf_dir}/region.parquet")
+        return region.select(F.col("r_name").alias("asset"), F.col("r_regionkey").cast("int").alias("ord"), F.lit("ALL").alias("sector"), (F.lit(2.0) + F.col("r_regionkey") % 4).alias("cost_bp"))
     nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
     joined = nation.join(region, nation.n_regionkey == region.r_regionkey)
     return joined.select(F.col("n_name").alias("asset"), F.col("n_nationkey").cast("int").alias("ord"), F.col("r_name").alias("sector"), (F.lit(2.0) + F.col("n_nationkey") % 4).alias("cost_bp"))
