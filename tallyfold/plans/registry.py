@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formatting
 from ..operators import backtest, dependence, panel, performance, returns, robustness, sampler, statistics, strategies, verdicts, volatility
+from ..sources.lineage import written
 from . import oracles as o
 from .context import BENCHMARK, SCHEDULE, STRESS, Lab, Runs, tidy
 from .oracles import sel
@@ -34,11 +35,14 @@ def query(name: str, sql: str | None, freq: str = "weekly") -> Callable:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of every run; at region level, so that small tables have complete windows too."""
-    return tidy(_metrics(Lab(spark, sf_dir, level="region")))
+    return tidy(_runs(Lab(spark, sf_dir, level="region")).metrics)
 
 
 def _runs(lab: Lab) -> Runs:
-    return Runs(lab, lab.relational)
+    """The runs of the relational strategies, one object for each query."""
+    if not hasattr(lab, "runs"):
+        lab.runs = Runs(lab, lab.relational)
+    return lab.runs
 
 
 P, D = o.PANEL, o.panel("daily")
@@ -258,13 +262,16 @@ query("solved_metrics", None)(lambda b: Runs(b, b.solved.unionByName(b.relationa
 
 # ---- performance ----
 def _metrics(b: Lab) -> DataFrame:
-    return _runs(b).metrics
+    """Metrics of the runs, written once for a query that reads them more than once."""
+    if not hasattr(b, "metrics"):
+        b.metrics = written(_runs(b).metrics)
+    return b.metrics
 
 
-query("run_metrics", f"{T} {sel(experiment='#experiment', strategy='strategy', basis='basis', n='#n', ann_return='~ann_return', ann_vol='~ann_vol', sharpe='~sharpe', sortino='~sortino', max_dd='~max_dd', calmar='~calmar', sterling='~sterling')} FROM m")(_metrics)
+query("run_metrics", f"{T} {sel(experiment='#experiment', strategy='strategy', basis='basis', n='#n', ann_return='~ann_return', ann_vol='~ann_vol', sharpe='~sharpe', sortino='~sortino', max_dd='~max_dd', calmar='~calmar', sterling='~sterling')} FROM m")(lambda b: _runs(b).metrics)
 query("win_rate", f"{T} {sel(strategy='strategy', basis='basis', beats_pct='~' + o.share('sharpe > b_sharpe'))} FROM ag2 GROUP BY strategy, basis")(lambda b: performance.win_rates(_metrics(b)))
-query("headline", f"{T} {sel(strategy='strategy', basis='basis', ann_return='~median(ann_return) * 100', ann_vol='~median(ann_vol) * 100', sharpe='~median(sharpe)', max_dd='~median(max_dd) * 100', sterling='~median(sterling)')} FROM m GROUP BY strategy, basis")(lambda b: performance.headline(_metrics(b)))
-query("dispersion", f"{T} {sel(strategy='strategy', basis='basis', median='~median(sharpe)', iqr='~quantile_cont(sharpe, 0.75) - quantile_cont(sharpe, 0.25)', p10='~quantile_cont(sharpe, 0.1)', p90='~quantile_cont(sharpe, 0.9)')} FROM m GROUP BY strategy, basis")(lambda b: performance.dispersion(_metrics(b)))
+query("headline", f"{T} {sel(strategy='strategy', basis='basis', ann_return='~median(ann_return) * 100', ann_vol='~median(ann_vol) * 100', sharpe='~median(sharpe)', max_dd='~median(max_dd) * 100', sterling='~median(sterling)')} FROM m GROUP BY strategy, basis")(lambda b: performance.headline(_runs(b).metrics))
+query("dispersion", f"{T} {sel(strategy='strategy', basis='basis', median='~median(sharpe)', iqr='~quantile_cont(sharpe, 0.75) - quantile_cont(sharpe, 0.25)', p10='~quantile_cont(sharpe, 0.1)', p90='~quantile_cont(sharpe, 0.9)')} FROM m GROUP BY strategy, basis")(lambda b: performance.dispersion(_runs(b).metrics))
 query(
     "cost_impact",
     f"{T} {sel(strategy='a.strategy', sharpe_before='~median(a.sharpe)', sharpe_after='~median(b.sharpe)', difference='~median(b.sharpe - a.sharpe)', drag_bp='~median(a.ann_return - b.ann_return) * 1e4')} FROM m a JOIN m b ON a.experiment = b.experiment AND a.strategy = b.strategy AND a.basis = 'gross' AND b.basis = 'net' GROUP BY a.strategy",
