@@ -6,11 +6,13 @@ for each language. A text gets the language of lowest cross-entropy per letter.
 if its cross-entropy is far above what texts of that language that the model didn't see had.
 
 The models are fitted on a bounded sample: about SAMPLE_DOCS whole documents of each language, by a hash of the id;
-one in five calibrates. All documents are scored.
+one in five calibrates. A language of fewer than CALIBRATED_DOCS documents learns from all of them; it, and any other
+without calibration texts of its own, has the limit of all calibration texts together. All documents are scored.
 
 Edge cases: null texts and texts without letters are `und` with score 0 and rejected; rows without a language are
 scored, never learned from; equal scores go to the first language in code point order; without any labelled row
-every text is `und`; other columns are ignored; repeated rows are scored as often as they occur.
+every text is `und`; if no language has calibration texts, only texts without letters are rejected; other columns are
+ignored; repeated rows are scored as often as they occur.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ DISCOUNT = 0.75
 EVIDENCE = 60
 #: A text is rejected beyond mean + REJECT_SD standard deviations of the calibration texts.
 REJECT_SD = 8.0
+#: Languages with fewer documents set none aside for calibration.
+CALIBRATED_DOCS = 10
 CACHE_WORDS = 300_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MARK = 1
@@ -200,7 +204,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30)).cast("double") / float(1 << 30)
     share = F.element_at(F.create_map(*(F.lit(v) for x in langs for v in (x, min(1.0, sample_docs / sizes[x])))), F.col("lang"))
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(5))
-    sample = labelled.filter(draw < share).withColumn("fold", F.when(F.lit(min(sizes.values()) < 10), F.lit(1)).otherwise(fold))
+    rare = [x for x in langs if sizes[x] < CALIBRATED_DOCS]
+    sample = labelled.filter(draw < share).withColumn("fold", F.when(F.col("lang").isin(rare), F.lit(1)).otherwise(fold))
     words = sample.filter("fold <> 0").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     rows = counted.groupBy("lang").applyInPandas(_fit_language, "lang string, n int, hash long, logp double, backoff double").toPandas()
@@ -212,8 +217,13 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
             found = [(x, model.entropy(t)[0]) for x, t in zip(pdf["lang"], pdf["text"])]
             yield pd.DataFrame([(x, float(e[langs.index(x)])) for x, e in found if e is not None], columns=["lang", "e"])
 
-    spread = {r["lang"]: r for r in held.mapInPandas(entropies, "lang string, e double").groupBy("lang").agg(F.avg("e").alias("m"), F.stddev_pop("e").alias("s")).collect()}
-    model.limit = np.array([spread[x]["m"] + REJECT_SD * max(spread[x]["s"], 0.05) if x in spread else np.inf for x in langs])
+    spread = {r["lang"]: r for r in held.mapInPandas(entropies, "lang string, e double").groupBy("lang").agg(F.count("e").alias("n"), F.avg("e").alias("m"), F.stddev_pop("e").alias("s")).collect()}
+    pooled = np.inf
+    if spread:
+        n, m, s = np.array([[r["n"], r["m"], r["s"]] for r in spread.values()]).T
+        mean = np.average(m, weights=n)
+        pooled = mean + REJECT_SD * max(float(np.sqrt(np.average(s**2 + (m - mean) ** 2, weights=n))), 0.05)
+    model.limit = np.array([spread[x]["m"] + REJECT_SD * max(spread[x]["s"], 0.05) if x in spread else pooled for x in langs])
     return model
 
 

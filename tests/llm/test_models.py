@@ -60,6 +60,21 @@ def test_language_edge_rows(spark, docs, texts):
     assert by[4]["lang_pred"] in model.langs
 
 
+@needs_tables
+def test_rejection_beside_a_one_row_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(-1, "Selten ist dieses eine Wort hier zu lesen.", "xx")], docs.schema)
+    model = language_id.fit(docs.filter("lang <> 'de'").unionByName(rare))
+    assert model.langs == ["en", "es", "fr", "xx"] and np.isfinite(model.limit).all()
+    gibberish = spark.createDataFrame([(k, " ".join(f"{w}qzx{w[::-1]}kj" for w in ("vwq", "jzk", "qqxz", "wvk")) * k, "en") for k in (1, 5, 20)], docs.schema)
+    german = docs.filter("lang = 'de'")
+    for unknown in (gibberish, german):
+        assert language_id.classify(unknown, model).agg({"rejected": "min"}).first()[0]
+    known = language_id.classify(docs.filter("lang <> 'de'"), model).toPandas()
+    assert known.rejected.mean() < 0.01
+    assert not language_id.classify(rare, model).first()["rejected"]
+
+
 def test_language_without_labels(docs, empty, texts):
     got = language_id.language_id(docs.drop("lang").selectExpr("*", "cast(null as string) AS lang"))
     assert {r["lang_pred"] for r in got.collect()} == {"und"} and got.count() == len(texts)
