@@ -4,19 +4,27 @@ A hash rolls over the hashes of the last WINDOW lines; where it is 0 modulo SPRE
 moves the boundaries near it only. A chunk of two lines or more that stands in several places is kept in the first, by
 id and place, and removed in the others, once its bytes have been compared.
 
+With passages=True every line ends a chunk and each is grown by its next lines for as long as they are found together
+elsewhere: any MIN_LINES consecutive lines that stand in an earlier place are removed, so a repeated passage goes in
+full, whatever stands around it. Two blank lines are no passage of their own. Within a document a passage isn't
+removed where it overlaps its first place. Of each line at least the first place in the table stays.
+
 Documents are dealt into shards by id. A shard names the hashes of its chunks, hears which are found elsewhere as
 well, sends the bytes of those only, each once, and hears where they are found first. A chunk that a third of all
 documents hold is one row for each shard.
 
 Edge cases: null texts count as empty; a chunk found twice in one document stays once; rows that repeat an id follow
-each other in no fixed order but lose the same chunks; null ids come last; a text of one line has no multi-line chunk;
-other columns are ignored; an empty table gives an empty result.
+each other in the order of their texts and, by chunks, lose the same ones; by passages, they are documents of their
+own, but rows that repeat an id and its text lose the same lines; null ids come last and count as one id; a text of
+one line has no multi-line chunk; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +36,7 @@ SPREAD = 4
 MIN_LINES = 2
 SHARD_BYTES = 8_000_000
 LAST_ID = (1 << 63) - 1
+PLACE = ("id", "which", "nth")
 _M = (1 << 64) - 1
 
 
@@ -50,68 +59,93 @@ def chunks(lines: list[bytes], window: int = WINDOW, spread: int = SPREAD) -> li
 
 
 class _Shard:
-    """Rows in order of their ids, with (row, first line, end, hash, bytes) of each multi-line chunk in that order."""
+    """Rows in order of their ids and texts; a place is (id, which text of the id, nth chunk of the text)."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, passages: bool):
         import xxhash
 
+        self.passages = passages
         ids = [LAST_ID if x is None else x for x in table.column("doc_id").to_pylist()]
-        self.order = sorted(range(len(ids)), key=ids.__getitem__)
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
+        which = [xxhash.xxh64_intdigest(t) - (1 << 63) if passages else 0 for t in texts]
+        self.order = sorted(range(len(ids)), key=lambda k: (ids[k], which[k], texts[k]))
         self.ids = [ids[k] for k in self.order]
-        texts = table.column("text").to_pylist()
-        self.lines = [(texts[k] or "").encode("utf-8", "surrogatepass").split(b"\n") for k in self.order]
-        self.found = []
+        self.which = [which[k] for k in self.order]
+        self.lines = [texts[k].split(b"\n") for k in self.order]
+
+    def hashes(self) -> Iterator[tuple[int, list[int], list[tuple[int, int, int]]]]:
+        """Of each row its number, the hashes of its multi-line chunks and their (nth, first line, end)."""
+        import xxhash
+
         for row, lines in enumerate(self.lines):
-            for nth, (i, j) in enumerate(chunks(lines)):
-                if j - i >= MIN_LINES:
-                    data = b"\n".join(lines[i:j])
-                    self.found.append((row, nth, i, j, xxhash.xxh64_intdigest(data, seed=7) - (1 << 63), data))
+            if self.passages:
+                h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
+                made = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]).view(np.int64)
+                places = [(k, k, k + MIN_LINES) for k in range(len(made))]
+                if b"" in lines:
+                    keep = [k for k in range(len(made)) if lines[k].strip() or lines[k + 1].strip()]
+                    made, places = made[keep], [places[k] for k in keep]
+                yield row, made.tolist(), places
+            else:
+                places = [(nth, i, j) for nth, (i, j) in enumerate(chunks(lines)) if j - i >= MIN_LINES]
+                yield row, [xxhash.xxh64_intdigest(b"\n".join(lines[i:j]), seed=7) - (1 << 63) for _, i, j in places], places
+
+    def named(self, names: set[int]) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+        """(row, nth, first line, end, hash, bytes) of each chunk whose hash is in names, in order."""
+        for row, made, places in self.hashes():
+            for h, (nth, i, j) in zip(made, places):
+                if h in names:
+                    yield row, nth, i, j, h, b"\n".join(self.lines[row][i:j])
+
+
+def _name(passages: bool):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        found = [np.array(made, np.int64) for _, made, _ in _Shard(table, passages).hashes()]
+        h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+        return pa.table({"h": pa.array(h), "shard": pa.array(np.full(len(h), key[0].as_py(), np.int32)), "n": pa.array(n.astype(np.int64))})
 
+    return run
 
-def _name(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    count: dict[int, int] = {}
-    for *_, h, _ in _Shard(table).found:
-        count[h] = count.get(h, 0) + 1
-    return pa.table({"h": pa.array(list(count), pa.int64()), "shard": pa.array([key[0].as_py()] * len(count), pa.int32()), "n": pa.array(list(count.values()), pa.int64())})
 
+def _send(passages: bool):
+    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, wanted: pa.Table) -> pa.Table:
+        rows: dict[bytes, tuple] = {}
+        if docs.num_rows and wanted.num_rows:
+            shard = _Shard(docs, passages)
+            for row, nth, _, _, h, data in shard.named(set(wanted.column("h").to_pylist())):
+                if data not in rows:
+                    rows[data] = (h, len(rows), shard.ids[row], shard.which[row], nth)
+        columns = list(zip(*rows.values())) or [()] * 5
+        made = {n: pa.array(c, pa.int64()) for n, c in zip(("h", "number", "id", "which", "nth"), columns)}
+        return pa.table(made | {"shard": pa.array([key[0].as_py()] * len(rows), pa.int32()), "data": pa.array(list(rows), pa.binary())})
 
-def _send(key: tuple[pa.Scalar, ...], docs: pa.Table, wanted: pa.Table) -> pa.Table:
-    rows: dict[bytes, tuple] = {}
-    if docs.num_rows and wanted.num_rows:
-        shard, names = _Shard(docs), set(wanted.column("h").to_pylist())
-        for row, nth, _, _, h, data in shard.found:
-            if h in names and data not in rows:
-                rows[data] = (h, len(rows), shard.ids[row], nth)
-    columns = list(zip(*rows.values())) or [()] * 4
-    made = {n: pa.array(c, pa.int64()) for n, c in zip(("h", "number", "id", "nth"), columns)}
-    return pa.table(made | {"shard": pa.array([key[0].as_py()] * len(rows), pa.int32()), "data": pa.array(list(rows), pa.binary())})
+    return run
 
 
 def _compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    data, places = table.column("data").to_pylist(), list(zip(table.column("id").to_pylist(), table.column("nth").to_pylist()))
-    first: dict[bytes, tuple[int, int]] = {}
+    data, places = table.column("data").to_pylist(), list(zip(*(table.column(c).to_pylist() for c in PLACE)))
+    first: dict[bytes, tuple[int, int, int]] = {}
     for d, p in zip(data, places):
         first[d] = min(p, first.get(d, p))
-    return pa.table({
-        "shard": table.column("shard").cast(pa.int32()), "number": table.column("number"),
-        "id": pa.array([first[d][0] for d in data], pa.int64()), "nth": pa.array([first[d][1] for d in data], pa.int64()),
-    })
+    return pa.table({"shard": table.column("shard").cast(pa.int32()), "number": table.column("number")} | {c: pa.array([first[d][k] for d in data], pa.int64()) for k, c in enumerate(PLACE)})
 
 
-def _cut(with_text: bool):
+def _cut(with_text: bool, passages: bool):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        shard = _Shard(docs)
-        first = {n: (i, k) for n, i, k in zip(*(wanted.column(c).to_pylist() for c in ("number", "id", "nth")))} if wanted.num_rows else {}
+        shard = _Shard(docs, passages)
+        first = {n: tuple(p) for n, *p in zip(*(wanted.column(c).to_pylist() for c in ("number", *PLACE)))} if wanted.num_rows else {}
         names = set(wanted.column("h").to_pylist()) if wanted.num_rows else set()
         number: dict[bytes, int] = {}
         gone: list[set[int]] = [set() for _ in shard.lines]
         dropped = [0] * len(shard.lines)
-        for row, nth, i, j, h, data in shard.found:
-            if h in names:
-                n = number.setdefault(data, len(number))
-                if first[n] != (shard.ids[row], nth):
-                    gone[row].update(range(i, j))
-                    dropped[row] += 1
+        for row, nth, i, j, _, data in shard.named(names):
+            n = number.setdefault(data, len(number))
+            *text, at = first[n]
+            own = text == [shard.ids[row], shard.which[row]]
+            if not own or (nth - at >= MIN_LINES if passages else nth != at):
+                # a passage that goes on from a removed line is the same one
+                dropped[row] += not (passages and i in gone[row])
+                gone[row].update(range(i, j))
         kept = [b"\n".join([x for k, x in enumerate(lines) if k not in g]) for lines, g in zip(shard.lines, gone)]
         return pa.table({
             "doc_id": docs.column("doc_id").cast(pa.int64()).take(pa.array(shard.order)),
@@ -125,17 +159,21 @@ def _cut(with_text: bool):
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id (as long), n_lines, n_removed, n_chunks_removed, kept_sha256 and, if asked for, kept of every row of docs."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, shard_bytes: int = SHARD_BYTES, passages: bool = False) -> DataFrame:
+    """doc_id (as long), n_lines, n_removed, n_chunks_removed, kept_sha256 and, if asked for, kept of every row of docs.
+
+    passages removes every repeated passage of MIN_LINES lines or more, not only whole chunks; n_chunks_removed then
+    counts passages.
+    """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(F.col(text_col)).alias("text"))
     n_shards = max(1, -(-(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
     shards = source.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).cast("int")).groupBy("shard")
-    named = shards.applyInArrow(_name, "h long, shard int, n long")
+    named = shards.applyInArrow(_name(passages), "h long, shard int, n long")
     repeated = named.groupBy("h").agg(F.sum("n").alias("total")).filter("total > 1").select("h")
     wanted = named.join(repeated, "h").select("shard", "h")
-    sent = shards.cogroup(wanted.groupBy("shard")).applyInArrow(_send, "h long, number long, id long, nth long, shard int, data binary")
+    sent = shards.cogroup(wanted.groupBy("shard")).applyInArrow(_send(passages), "h long, number long, id long, which long, nth long, shard int, data binary")
     bucket = F.pmod(F.col("h"), F.lit(max(16, n_shards))).alias("bucket")
-    firsts = sent.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_compare, "shard int, number long, id long, nth long")
+    firsts = sent.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_compare, "shard int, number long, id long, which long, nth long")
     # the names and the answers of a shard come back together
-    both = firsts.select("shard", "number", "id", "nth", F.lit(None).cast("long").alias("h")).unionByName(wanted.select("shard", F.lit(None).cast("long").alias("number"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("nth"), "h"))
-    return shards.cogroup(both.groupBy("shard")).applyInArrow(_cut(with_text), "doc_id long, n_lines long, n_removed long, n_chunks_removed long, kept_sha256 string, kept string")
+    both = firsts.unionByName(wanted, allowMissingColumns=True).select("shard", "number", *PLACE, "h")
+    return shards.cogroup(both.groupBy("shard")).applyInArrow(_cut(with_text, passages), "doc_id long, n_lines long, n_removed long, n_chunks_removed long, kept_sha256 string, kept string")

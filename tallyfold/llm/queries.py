@@ -46,7 +46,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(read(spark, sf_dir, "documents")).drop("kept")
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents"), passages=True).drop("kept")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

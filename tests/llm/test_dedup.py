@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyfold.llm import exact_dedup, line_dedup, simhash, suffix_dedup
+from tallyfold.llm import exact_dedup, line_dedup, queries, simhash, suffix_dedup
 from tallyfold.llm.blind_trie import BlindTrie, equal_groups
 
 from .conftest import ordered, result
@@ -133,6 +133,49 @@ def test_lines(docs, texts, shard_bytes):
     assert result(got, "doc_id", "n_lines", "n_removed", "n_chunks_removed", "kept_sha256") == brute_lines(texts)
 
 
+def brute_passages(texts):
+    rows = sorted((LAST if i is None else i, xxhash.xxh64_intdigest((t or "").encode()), (t or "").encode().split(b"\n"), i) for i, t, *_ in texts)
+    pairs = lambda lines: [(k, p) for k, p in enumerate(zip(lines, lines[1:])) if any(x.strip() for x in p)]
+    first, out = {}, []
+    for rank, which, lines, _ in rows:
+        for k, p in pairs(lines):
+            first.setdefault(p, (rank, which, k))
+    for rank, which, lines, i in rows:
+        gone = np.zeros(len(lines), bool)
+        for k, p in pairs(lines):
+            if first[p][:2] != (rank, which) or k - first[p][2] >= 2:
+                gone[k : k + 2] = True
+        kept = [x for x, g in zip(lines, gone) if not g]
+        out.append((i, len(lines), int(gone.sum()), hashlib.sha256(b"\n".join(kept)).hexdigest()))
+    return ordered(out)
+
+
+def short_passages():
+    """Passages of 2 to 4 lines, each within two texts that are otherwise different."""
+    return [[f"passage {n} line {k}" for k in range(2 + n % 3)] for n in range(30)]
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 30, 1_000])
+def test_short_passages_go(spark, docs, texts, shard_bytes):
+    own = lambda i, a, b: [f"text {i} line {k}" for k in range(a, b)]
+    rows = [(100 * half + n, "\n".join(own(100 * half + n, 0, 5) + p + own(100 * half + n, 5, 9))) for half in (1, 2) for n, p in enumerate(short_passages())]
+    rows += [(None, "x\ny\n\n\nq"), (None, "x\ny\n\n\nz"), (900, "a\na\na\na\nb"), (901, "c\na\na\nd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.line_dedup(df, shard_bytes=shard_bytes, passages=True)
+    assert result(got, "doc_id", "n_lines", "n_removed", "kept_sha256") == brute_passages(rows)
+    removed = {r["doc_id"]: (r["n_removed"], r["n_chunks_removed"]) for r in got.collect()}
+    assert all(removed[100 + n] == (0, 0) and removed[200 + n] == (len(p), 1) for n, p in enumerate(short_passages()))
+    got = line_dedup.line_dedup(docs, shard_bytes=60 * shard_bytes, passages=True)
+    assert result(got, "doc_id", "n_lines", "n_removed", "kept_sha256") == brute_passages(texts)
+
+
+def test_registered_lines_remove_short_passages(spark, tmp_path):
+    rows = [(100 * half + n, "\n".join([f"before {half} {n}", *p, f"after {half} {n}"])) for half in (1, 2) for n, p in enumerate(short_passages())]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    removed = {r["doc_id"]: r["n_removed"] for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert all(removed[200 + n] == len(p) for n, p in enumerate(short_passages()))
+
+
 def test_line_chunks_resist_shifts():
     lines = [f"line {k * 7919 % 1000}".encode() for k in range(300)]
     a, b = line_dedup.chunks(lines), line_dedup.chunks([b"inserted", *lines])
