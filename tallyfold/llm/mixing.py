@@ -55,12 +55,16 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS,
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = SOURCE_WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = 42,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken (copies * size) of every row of docs."""
+    """doc_id, source, size, source_size, target, copies, taken (copies * size) and the columns to keep of every row of docs.
+
+    Columns to keep order rows of equal key, id and size.
+    """
     text = whole_text(F.col(text_col))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double")
     u = (draw + 0.5) / float(1 << 52)
-    keyed = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"), (-F.log(u) / quality_weight(text)).alias("key")))
+    keyed = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"), (-F.log(u) / quality_weight(text)).alias("key"), *keep))
     totals = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = source_targets(totals.select("source", "source_size"), weights, share, max_epochs)
     epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))), F.lit(0)).cast("long")
@@ -82,9 +86,9 @@ def mix_sources(
     )
 
     rows = ranged.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
-    inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source").orderBy("key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     on_edge = rows.filter("range = edge").withColumn("start", F.col("before") + F.sum("size").over(inside) - F.col("size"))
     on_edge = on_edge.withColumn("more", (F.col("start") + F.col("size") / 2 <= F.col("budget")).cast("long")).drop("start")
     off_edge = rows.filter("edge is null or range <> edge").withColumn("more", F.coalesce((F.col("range") < F.col("edge")).cast("long"), F.lit(0).cast("long")))
     out = off_edge.unionByName(on_edge).withColumn("copies", F.col("epochs") + F.col("more"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)

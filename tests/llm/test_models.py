@@ -131,6 +131,20 @@ def test_pipeline_stages(spark):
     assert sorted(five.toPandas().n_tokens) == sorted(piece_codec.piece_digests(four, piece_model()).toPandas().n_tokens)
 
 
+def test_pipeline_decides_by_row(spark):
+    words = [f"word{k * k % 89} of line{k}" for k in range(200)]
+    a, b, c = " ".join(words), " ".join(words[::-1]), " ".join(f"{w} else" for w in words)
+    # repeated rows, rows without an id, one id with two texts
+    rows = [(1, a), (1, a), (2, a), (2, a), (2, b), (None, c), (None, c), (None, a), (3, b), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    found = lambda df: sorted(((r["doc_id"] or 0, r["text"] or "") for r in df.collect()))
+    assert found(corpus_pipeline.drop_copies(spark, docs, SF)) == sorted([(2, a), (3, b), (0, c), (4, "")])
+    assert found(corpus_pipeline.drop_near_copies(spark, docs, SF)) == sorted([(1, a), (2, b), (0, c), (4, "")])
+    copies = docs.filter("text <> ''")
+    mixed = corpus_pipeline.mix(spark, copies, SF).count()
+    assert mixed == mixing.mix_sources(copies).agg({"copies": "sum"}).first()[0]
+
+
 def test_pipeline_stages_on_edge_rows(spark, docs, empty, texts):
     for table in (docs, empty):
         out = table
