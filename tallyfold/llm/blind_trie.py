@@ -1,4 +1,4 @@
-"""Ordering strings as deep-shallow sorting does: by words to a shallow depth, then by blind tries."""
+"""Ordering strings as deep-shallow sorting does: multikey quicksort to a shallow depth, then blind tries."""
 
 from __future__ import annotations
 
@@ -61,31 +61,68 @@ def words_at(text: np.ndarray) -> np.ndarray:
     return out
 
 
+def multikey_quicksort(perm: np.ndarray, lo: np.ndarray, hi: np.ndarray, key_of, depths: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sort the segments lo..hi of perm in place by their keys of depth 0, 1, ...; (lo, hi) of what is equal in all.
+
+    Three-way partitioning about a median of three: the smaller and the larger part stay at their depth, the equal
+    part goes one deeper. All segments take a step at once. key_of(members, depths) gives keys.
+    """
+    depth = np.zeros(len(lo), np.int64)
+    equal: list[tuple[np.ndarray, np.ndarray]] = []
+    keep = hi - lo > 1
+    lo, hi, depth = lo[keep], hi[keep], depth[keep]
+    while len(lo):
+        size = hi - lo
+        first = np.cumsum(size) - size
+        seg = np.repeat(np.arange(len(lo)), size)
+        at = np.arange(len(seg)) + (lo - first)[seg]
+        moved = perm[at]
+        key = key_of(moved, depth[seg])
+        a, b, c = key[first], key[first + size // 2], key[first + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[seg]
+        less, more = key < pivot, key > pivot
+        same = ~(less | more)
+        n_less, n_same = np.add.reduceat(less, first, dtype=np.int64), np.add.reduceat(same, first, dtype=np.int64)
+        to = np.empty(len(seg), np.int64)
+        for part, begin in ((less, lo), (same, lo + n_less), (more, lo + n_less + n_same)):
+            rank = np.cumsum(part) - part
+            to[part] = (begin[seg] + rank - rank[first][seg])[part]
+        perm[to] = moved
+        last = depth + 1 >= depths
+        equal.append(((lo + n_less)[last], (lo + n_less + n_same)[last]))
+        mid, end = lo + n_less, lo + n_less + n_same
+        lo, hi, depth = np.r_[lo, mid[~last], end], np.r_[mid, end[~last], hi], np.r_[depth, depth[~last] + 1, depth]
+        keep = hi - lo > 1
+        lo, hi, depth = lo[keep], hi[keep], depth[keep]
+    lo, hi = (np.concatenate([x[k] for x in equal]) if equal else lo for k in (0, 1))
+    keep = hi - lo > 1
+    return lo[keep], hi[keep]
+
+
 def equal_groups(group: np.ndarray, start: np.ndarray, length: int, text: np.ndarray, shallow_words: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(member, class) of strings text[start:start + length] that another of their group equals, classes in order.
 
-    Multikey sorting splits each group by words of 8 bytes to shallow_words; what is alone is done. Members that still
-    share their prefix are ordered by a blind trie, unless all the rest of the class is equal, which is one leaf.
+    Multikey quicksort orders each group to a depth of shallow_words words of 8 bytes; what is alone by then is done.
+    Members that still share their prefix are ordered by a blind trie, unless all the rest of them is equal, which is
+    one leaf.
     """
+    if not len(group):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = words_at(text)
-    member = np.arange(len(group))
-    cls = group
-    for depth in range(-1, min(shallow_words, length // 8)):
-        key = word[start[member] + 8 * depth] if depth >= 0 else np.zeros(len(member), np.uint64)
-        order = np.lexsort((key, cls))
-        member, cls, key = member[order], cls[order], key[order]
-        if not len(member):
-            return member, cls
-        new = np.r_[True, (cls[1:] != cls[:-1]) | (key[1:] != key[:-1])]
-        cls = np.cumsum(new) - 1
-        several = np.bincount(cls)[cls] > 1
-        member, cls = member[several], cls[several]
-    if not len(member):
-        return member, cls
-    first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
-    size = np.diff(np.r_[first, len(cls)])
-    head = np.repeat(member[first], size)
-    done = 8 * min(shallow_words, length // 8)
+    perm = np.argsort(group, kind="stable")
+    lo = np.flatnonzero(np.r_[True, group[perm][1:] != group[perm][:-1]])
+    hi = np.r_[lo[1:], len(perm)]
+    depths = min(shallow_words, length // 8)
+    if depths:
+        lo, hi = multikey_quicksort(perm, lo, hi, lambda m, d: word[start[m] + 8 * d], depths)
+    lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+    if not len(lo):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(lo)
+    lo, size = lo[order], (hi - lo)[order]
+    first = np.cumsum(size) - size
+    member = perm[np.arange(int(size.sum())) + np.repeat(lo - first, size)]
+    head, done = np.repeat(member[first], size), 8 * depths
     same = np.ones(len(member), bool)
     for k in [*range(done, length - 7, 8), *([length - 8] if length >= 8 and (length - done) % 8 else range(done, length) if length < 8 else [])]:
         same &= (word[start[member] + k] == word[start[head] + k]) if length >= 8 else text[start[member] + k] == text[start[head] + k]
@@ -94,8 +131,7 @@ def equal_groups(group: np.ndarray, start: np.ndarray, length: int, text: np.nda
     data = text.tobytes()
     for c in np.flatnonzero(~whole):
         trie = BlindTrie()
-        lo, hi = first[c], first[c] + size[c]
-        for k in range(lo, hi):
+        for k in range(first[c], first[c] + size[c]):
             at = int(start[member[k]])
             trie.insert(data[at + done : at + length], k)
         for rank, ks in enumerate(trie.ordered()):

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyfold.llm import exact_dedup, line_dedup, queries, simhash, suffix_dedup
 from tallyfold.llm.blind_trie import BlindTrie, equal_groups
@@ -35,10 +36,13 @@ def brute_suffix(texts, length=50):
     return ordered(out)
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 30, 60_000])
-def test_suffixes(docs, texts, shard_bytes):
-    got = suffix_dedup.suffix_dedup(docs, with_text=True, shard_bytes=shard_bytes)
-    assert result(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffix(texts)
+SUFFIX = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 60_000}, {"shard_bytes": 60_000, "hot_contexts": 1}, {"shard_bytes": 20_000, "fan": 4, "hot_contexts": 1}])
+def test_suffixes(docs, texts, sizes):
+    got = suffix_dedup.suffix_dedup(docs, with_text=True, **sizes)
+    assert result(got, *SUFFIX) == brute_suffix(texts)
     for r in got.collect():
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"]
         assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"]
@@ -49,7 +53,56 @@ def test_suffixes_of_repetitive_texts(spark):
     base = "".join(rng.choice("ab ") for _ in range(400))
     texts = [(k, base[a : a + rng.randint(0, 200)] + "xyz" * rng.randint(0, 40) + "a" * rng.randint(0, 130)) for k in range(60) for a in [rng.randint(0, 300)]]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    assert result(suffix_dedup.suffix_dedup(df, shard_bytes=2000), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffix(texts)
+    for sizes in ({"shard_bytes": 2000}, {"shard_bytes": 700, "fan": 2, "hot_contexts": 3}):
+        assert result(suffix_dedup.suffix_dedup(df, **sizes), *SUFFIX) == brute_suffix(texts)
+
+
+def colliding_pair():
+    """Two texts without a common 50-byte string whose polynomial hashes modulo 2^64 agree (Thue-Morse arrangement)."""
+    rng = random.Random(7)
+    grams = ["".join(rng.choice("abcdefghij") for _ in range(suffix_dedup.GRAM)) for _ in range(4000)]
+    least = lambda g: int(suffix_dedup.gram_hashes(np.frombuffer(g.encode(), np.uint8), suffix_dedup.GRAM)[0])
+    gram = min(grams, key=least)
+    block = lambda k, swap: f"{gram}{chr(65 + k // 32)}{chr(65 + k % 32)}{'pq'[(k.bit_count() + swap) % 2]}"
+    return ["".join(block(k, swap) for k in range(1024)) for swap in (0, 1)]
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 30, 20_000])
+def test_equal_hashes_of_different_bytes_stay_apart(spark, shard_bytes):
+    a, b = colliding_pair()
+    assert [len(x) for x in (a, b)] == [27_648] * 2 and not {a[k : k + 50] for k in range(len(a) - 49)} & {b[k : k + 50] for k in range(len(b) - 49)}
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    assert len(set(suffix_dedup.string_hashes(data, np.array([0, len(a)]), np.array([len(a)] * 2)).tolist())) == 1
+    df = spark.createDataFrame([(1, a), (2, b), (3, a), (4, b)], "doc_id long, text string").repartition(4)
+    for hot in (1 << 30, 1):
+        got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(df, shard_bytes=shard_bytes, hot_contexts=hot).collect()}
+        assert got == {1: 0, 2: 0, 3: 27_648, 4: 27_648}
+
+
+def test_hash_classes_are_decided_by_bytes():
+    text = np.frombuffer(b"aaXbbYaaXbbZ", np.uint8)
+    begin, n = np.array([0, 3, 6, 9, 0]), np.array([3, 3, 3, 3, 2])
+    same = np.zeros(5, np.uint64)
+    order, new = suffix_dedup.equal_classes(same, same, begin, n, text)
+    assert (order.tolist(), new.tolist()) == ([4, 0, 2, 1, 3], [True, True, False, True, True])
+
+
+def test_a_hot_anchor_and_a_row_repeated_often(spark):
+    line = "    " * 6 + "a line that very many of these documents hold, as it were"
+    rows = [(k, f"{k * k} {line} {k * 7919}") for k in range(4000)] + [(5000, "the same row again and again, of more than fifty bytes of text")] * 20_000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = suffix_dedup.suffix_dedup(df, shard_bytes=100_000, hot_contexts=500)
+    assert result(got, *SUFFIX) == brute_suffix(rows)
+
+
+def test_rows_shuffled_grow_with_the_input(spark):
+    rows = [(k, f"{k * k % 977} of the {k * 31 % 1009} and {k}. " * 40) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.monotonically_increasing_id())
+    for n, hops in ((8, 2), (64, 4)):
+        shards = df.selectExpr("doc_id", "text", f"cast(id % {n} as int) AS shard").groupBy("shard")
+        bits = n.bit_length()
+        assert len(suffix_dedup._hops(bits, 4)) == hops
+        assert suffix_dedup.name_packets(shards, bits, 4).count() <= 4 * n
 
 
 def test_suffixes_of_nothing(empty):
