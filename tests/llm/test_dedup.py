@@ -151,6 +151,24 @@ def test_exact(docs, texts, digest_all):
     assert not digest_all or {r["text_sha256"] for r in got.collect()} == digests
 
 
+def test_registered_groups_come_from_the_refinement(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    grouped = []
+    monkeypatch.setattr(exact_dedup, "cut", lambda df: grouped.append(df) or df)
+    got = queries.op4_exact_dedup(spark, str(tmp_path))
+    (plan,) = [df._jdf.queryExecution().optimizedPlan().toString() for df in grouped]
+    # the groups: rows that both sieves let through, by the hash of the whole text
+    assert plan.count("bitmap_construct_agg") == 3  # by length; by prefix, of those that the length lets through
+    assert "octet_length" in plan and "xxhash64" in plan and "sha2" in plan
+    physical = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in physical and "Arrow" not in physical
+    # rows that are alone are hashed for output only and join nothing
+    together, alone = got._jdf.queryExecution().optimizedPlan().children().apply(0), got._jdf.queryExecution().optimizedPlan().children().apply(1)
+    assert "LeftOuter" in together.toString() and "group_size" not in alone.toString().split("Filter")[1]
+    survive = {r["doc_id"] for r in exact_dedup.survivors(docs).filter("shared").collect()}
+    assert {4, 5, 2, 3, None} <= survive and not {1, 6, 9, 11} & survive  # 7 and 12 share length and prefix
+
+
 def test_exact_of_nothing(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
