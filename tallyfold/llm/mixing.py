@@ -3,8 +3,9 @@
 Every document gets an exponential key, -ln(u) divided by its quality weight, with u from a hash of the seed and its
 id. A source whose target is n whole epochs and a rest is taken n times in full; for the rest its documents, sorted by
 key, are taken until their prefix sum of words meets the budget (the one on the edge if that brings the sum nearer).
-The sort within a source is cut into key ranges: range sums locate the edge range, and only that range is sorted, so
-no task holds a whole source.
+The edge is found without sorting a source: sums over 1,024 ranges of the key locate the range with the edge, sums over
+1,024 parts of that range the part, and so on for LEVELS levels; what is left is about a millionth of a source, and
+only that is sorted, equal rows counted as one. Each window has 1,024 rows at most, or that rest.
 
 Edge cases: null texts have size 0; a null source is a source of its own, ranked last; a source without words has
 target 0; equal keys are ordered by id and size, and rows that repeat an id draw the same key and are counted row by
@@ -21,8 +22,9 @@ from .common import WORD_PATTERN, cut, whole_text
 SOURCE_WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
-#: Rows of the largest source for each key range.
-RANGE_ROWS = 2048
+#: Keys are below 512; a level cuts a range of them in 1,024.
+LEVELS = 3
+LEVEL_BITS = 10
 NOISE_CHARS = "0123456789#*$%&|<>{}[]\\^~=+_@"
 
 
@@ -69,26 +71,31 @@ def mix_sources(
     targets = source_targets(totals.select("source", "source_size"), weights, share, max_epochs)
     epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))), F.lit(0)).cast("long")
     budgets = targets.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    n_ranges = max(1024, (keyed.count() // RANGE_ROWS))
-    ranged = keyed.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * n_ranges), F.lit(n_ranges - 1)))
-
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    up_to = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.withColumn("before", F.sum("words").over(up_to) - F.col("words"))
-    edge = (
-        sums.alias("s").join(budgets.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source")))
-        .filter("before < budget and budget <= before + words")
-        .select("s.source", F.col("range").alias("edge"), "before")
-    )
-    plan = cut(
-        budgets.alias("b").join(edge.alias("e"), F.col("b.source").eqNullSafe(F.col("e.source")), "left")
-        .select("b.source", "source_size", "target", "epochs", "budget", "edge", "before")
-    )
-
-    rows = ranged.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
+    cell = F.floor(F.col("key") * float(1 << LEVEL_BITS * (LEVELS - 1) + 1)).cast("long")
+    celled = keyed.withColumn("cell", cell)
+    plan = budgets.withColumn("edge", F.lit(None).cast("long")).withColumn("before", F.lit(0).cast("long"))
+    for level in range(LEVELS):
+        at = F.shiftright("cell", LEVEL_BITS * (LEVELS - 1 - level))
+        above = F.shiftright("cell", LEVEL_BITS * (LEVELS - level))
+        base = celled.withColumn("r_source", F.col("source")).drop("source").join(
+            plan.select("source", "edge", F.col("before").alias("base"), "budget"),
+            F.col("r_source").eqNullSafe(F.col("source")) & (F.lit(True) if level == 0 else above == F.col("edge")),
+        )
+        sums = base.groupBy("source", at.alias("part")).agg(F.sum("size").alias("words"), F.first("base").alias("base"), F.first("budget").alias("budget"))
+        up_to = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = sums.withColumn("start", F.col("base") + F.sum("words").over(up_to) - F.col("words"))
+        edge = sums.filter("start < budget and budget <= start + words").select(F.col("source").alias("e_source"), F.col("part").alias("edge"), F.col("start").alias("before"))
+        plan = cut(plan.drop("edge", "before").join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source"))
+
+    rows = celled.withColumnRenamed("source", "r_source").join(plan, F.col("r_source").eqNullSafe(F.col("source"))).drop("r_source")
+    same = ("source", "key", "doc_id", "size", *keep)
     inside = Window.partitionBy("source").orderBy("key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    on_edge = rows.filter("range = edge").withColumn("start", F.col("before") + F.sum("size").over(inside) - F.col("size"))
-    on_edge = on_edge.withColumn("more", (F.col("start") + F.col("size") / 2 <= F.col("budget")).cast("long")).drop("start")
-    off_edge = rows.filter("edge is null or range <> edge").withColumn("more", F.coalesce((F.col("range") < F.col("edge")).cast("long"), F.lit(0).cast("long")))
-    out = off_edge.unionByName(on_edge).withColumn("copies", F.col("epochs") + F.col("more"))
+    # equal rows stand next to each other; the first few of them that still fit are taken
+    equal = rows.filter("cell = edge").groupBy(*same).agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("source_size", "target", "epochs", "budget", "before")))
+    words = F.col("n") * F.col("size")
+    room = F.col("budget") - (F.col("before") + F.sum(words).over(inside) - words)
+    fit = F.when(F.col("size") == 0, F.when(room >= 0, F.col("n")).otherwise(0)).otherwise(F.least(F.col("n"), F.greatest(F.lit(0), F.floor(F.try_divide(room, F.col("size").cast("double")) + 0.5))))
+    on_edge = equal.withColumn("fit", fit.cast("long")).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("more", (F.col("nth") <= F.col("fit")).cast("long"))
+    off_edge = rows.filter("edge is null or cell <> edge").withColumn("more", F.coalesce((F.col("cell") < F.col("edge")).cast("long"), F.lit(0).cast("long")))
+    out = off_edge.unionByName(on_edge, allowMissingColumns=True).withColumn("copies", F.col("epochs") + F.col("more"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)

@@ -98,6 +98,18 @@ def test_mix_prefers_quality_and_meets_targets(spark):
     assert some[some.doc_id % 2 == 0].copies.mean() > some[some.doc_id % 2 == 1].copies.mean()
 
 
+def test_mix_of_keys_that_crowd(spark):
+    """A third of the rows is one row, the others are mostly symbols: taken as a sort by key says."""
+    rows = [(None, "1 2 3 ## 4", "a")] * 700 + [(k, "12 34 ## 56 " + "x" * (k % 3), "a") for k in range(1400)] + [(k, "words " * (k % 7), "b") for k in range(2000, 2100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).toPandas()
+    for s, part in got.groupby("source"):
+        target = part.target.iloc[0]
+        assert abs(part.taken.sum() - target) <= part["size"].max() / 2 + 1e-6 and len(part) == sum(r[2] == s for r in rows)
+    null = got[got.doc_id.isna()]
+    assert len(null) == 700 and set(null.copies) <= {null.copies.min(), null.copies.min() + 1}
+
+
 def test_mix_of_nothing(empty):
     assert mixing.mix_sources(empty).count() == 0
 
