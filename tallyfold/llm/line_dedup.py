@@ -9,14 +9,16 @@ elsewhere: any MIN_LINES consecutive lines that stand in an earlier place are re
 full, whatever stands around it. Two blank lines are no passage of their own. Within a document a passage isn't
 removed where it overlaps its first place. Of each line at least the first place in the table stays.
 
-Documents are dealt into shards by id. A shard names the hashes of its chunks, hears which are found elsewhere as
-well, sends the bytes of those only, each once, and hears where they are found first. A chunk that a third of all
-documents hold is one row for each shard.
+Documents are dealt into shards by row, so copies of one row are spread too. A shard names the hashes of its chunks,
+hears which are found elsewhere as well, sends the bytes of those only, each once, and hears where they are found
+first: a minimum over the bytes, summed up before it is shuffled. A chunk that a third of all documents hold is one
+row for each shard, which a skewed join splits.
 
 Edge cases: null texts count as empty; a chunk found twice in one document stays once; rows that repeat an id follow
 each other in the order of their texts and, by chunks, lose the same ones; by passages, they are documents of their
 own, but rows that repeat an id and its text lose the same lines; null ids come last and count as one id; a text of
-one line has no multi-line chunk; other columns are ignored; an empty table gives an empty result.
+one line has no multi-line chunk; ids are whole numbers; other columns are ignored; an empty table gives an empty result. The rows must come in the same
+order whenever the table is read, as from files; write a table first whose order may change.
 """
 
 from __future__ import annotations
@@ -122,14 +124,6 @@ def _send(passages: bool):
     return run
 
 
-def _compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    data, places = table.column("data").to_pylist(), list(zip(*(table.column(c).to_pylist() for c in PLACE)))
-    first: dict[bytes, tuple[int, int, int]] = {}
-    for d, p in zip(data, places):
-        first[d] = min(p, first.get(d, p))
-    return pa.table({"shard": table.column("shard").cast(pa.int32()), "number": table.column("number")} | {c: pa.array([first[d][k] for d in data], pa.int64()) for k, c in enumerate(PLACE)})
-
-
 def _cut(with_text: bool, passages: bool):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, wanted: pa.Table) -> pa.Table:
         shard = _Shard(docs, passages)
@@ -167,13 +161,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(F.col(text_col)).alias("text"))
     n_shards = max(1, -(-(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
-    shards = source.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).cast("int")).groupBy("shard")
+    shards = source.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_shards)).cast("int")).groupBy("shard")
     named = shards.applyInArrow(_name(passages), "h long, shard int, n long")
     repeated = named.groupBy("h").agg(F.sum("n").alias("total")).filter("total > 1").select("h")
     wanted = named.join(repeated, "h").select("shard", "h")
     sent = shards.cogroup(wanted.groupBy("shard")).applyInArrow(_send(passages), "h long, number long, id long, which long, nth long, shard int, data binary")
-    bucket = F.pmod(F.col("h"), F.lit(max(16, n_shards))).alias("bucket")
-    firsts = sent.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_compare, "shard int, number long, id long, which long, nth long")
+    # the bytes are the key, so equal hashes of different chunks stay apart; one that all shards send is summed where it is sent
+    first = sent.groupBy("h", "data").agg(F.min(F.struct(*PLACE)).alias("first"))
+    firsts = sent.select("h", "data", "shard", "number").join(first, ["h", "data"]).select("shard", "number", "first.*")
     # the names and the answers of a shard come back together
     both = firsts.unionByName(wanted, allowMissingColumns=True).select("shard", "number", *PLACE, "h")
     return shards.cogroup(both.groupBy("shard")).applyInArrow(_cut(with_text, passages), "doc_id long, n_lines long, n_removed long, n_chunks_removed long, kept_sha256 string, kept string")

@@ -179,17 +179,29 @@ def test_sieve_misses_nothing(spark):
     assert got.filter("kept").count() == 1500 and got.filter("group_size < 2").count() == 0
 
 
+def brute_chunks(lines):
+    """Chunk ends by the sum of the last three line hashes, each times a power, folded and divisible by four."""
+    h, out, start = [xxhash.xxh64_intdigest(x) for x in lines], [], 0
+    for k in range(len(lines)):
+        window = h[max(0, k - 2) : k + 1]
+        total = sum(x * 0x9E3779B97F4A7C15 ** (len(window) - 1 - j) for j, x in enumerate(window)) % (1 << 64)
+        if ((total >> 32) ^ total) % 4 == 0 or k == len(lines) - 1:
+            out.append((start, k + 1))
+            start = k + 1
+    return out
+
+
 def brute_lines(texts):
     data = sorted((LAST if i is None else i, k, i, (t or "").encode().split(b"\n")) for k, (i, t, *_) in enumerate(texts))
     first, out = {}, []
     for rank, _, _, lines in data:
-        for nth, (a, b) in enumerate(line_dedup.chunks(lines)):
+        for nth, (a, b) in enumerate(brute_chunks(lines)):
             if b - a >= 2:
                 c = b"\n".join(lines[a:b])
                 first[c] = min(first.get(c, (rank, nth)), (rank, nth))
     for rank, _, i, lines in data:
         keep, n = [], 0
-        for nth, (a, b) in enumerate(line_dedup.chunks(lines)):
+        for nth, (a, b) in enumerate(brute_chunks(lines)):
             if b - a >= 2 and first[b"\n".join(lines[a:b])] != (rank, nth):
                 n += 1
             else:
@@ -251,6 +263,7 @@ def test_line_chunks_resist_shifts():
     lines = [f"line {k * 7919 % 1000}".encode() for k in range(300)]
     a, b = line_dedup.chunks(lines), line_dedup.chunks([b"inserted", *lines])
     assert len({(i + 1, j + 1) for i, j in a} & set(b)) > 0.9 * len(a)
+    assert a == brute_chunks(lines) and line_dedup.chunks([b""]) == brute_chunks([b""])
     assert [x for i, j in a for x in lines[i:j]] == lines
 
 
