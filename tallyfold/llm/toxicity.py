@@ -5,7 +5,9 @@ sentences is: 1 - prod(1 - p). Only document labels are learned from, yet each s
 the offending ones can be shown.
 
 Fitted on a bounded sample of labelled documents (SAMPLE_TOXIC toxic and SAMPLE_OTHER others at most, about, by a hash
-of the id); four fifths fit the weights, one fifth places the threshold. All documents are scored, whole.
+of the id); four fifths fit the weights, one fifth places the threshold. All features that MIN_DOCS toxic documents of
+the sample have, and MIN_RATIO times as often as others, get a weight, so the sample alone bounds the model. All
+documents are scored, whole.
 
 Edge cases: null texts count as empty; an empty text has no sentence and the lowest score of the model; documents
 without a label, or with a null one, are scored, never learned from; several labels of a document count as toxic if
@@ -33,7 +35,6 @@ SAMPLE_OTHER = 3500
 PREFIXES = (4, 5, 6, 7, 8)
 MIN_DOCS = 4
 MIN_RATIO = 2.5
-MAX_FEATURES = 30_000
 STEPS = 250
 RATE = 0.08
 PENALTY = 2e-4
@@ -58,7 +59,6 @@ class ToxicityModel:
     bias: float = -8.0
     #: Logit of the document probability that becomes a score of THRESHOLD; None: nothing was learned.
     cut: float | None = None
-    slope: float = 1.0
 
     def __post_init__(self):
         self.cache: dict[str, float] = {}
@@ -87,14 +87,14 @@ class ToxicityModel:
     def score(self, logits: np.ndarray) -> float:
         if self.cut is None:
             return 0.0
-        z = self.slope * (self.logit(logits) - self.cut) + np.log(THRESHOLD / (1 - THRESHOLD))
+        z = self.logit(logits) - self.cut + np.log(THRESHOLD / (1 - THRESHOLD))
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
 def choose_features(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -> list[str]:
-    """Features that toxic documents have MIN_RATIO times as often as others, strongest first, MAX_FEATURES at most."""
+    """Features that toxic documents have MIN_RATIO times as often as others, strongest first."""
     ratio = {f: (c / max(1, n_pos)) / ((neg.get(f, 0) + 1) / (n_neg + 1)) for f, c in pos.items() if c >= MIN_DOCS}
-    return sorted((f for f, r in ratio.items() if r >= MIN_RATIO), key=lambda f: (-ratio[f] * pos[f], f))[:MAX_FEATURES]
+    return sorted((f for f, r in ratio.items() if r >= MIN_RATIO), key=lambda f: (-ratio[f] * pos[f], f))
 
 
 def known_features(text: str, index: dict[str, int]) -> tuple[int, list[int], list[int]]:
@@ -109,6 +109,19 @@ def known_features(text: str, index: dict[str, int]) -> tuple[int, list[int], li
     return n, sent, feat
 
 
+def loss_and_gradient(w: np.ndarray, b: float, sent_of: np.ndarray, feat: np.ndarray, doc_of: np.ndarray, toxic: np.ndarray, fitted: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean cross-entropy of the noisy-or of the fitted documents with the penalty, and its gradient in (w, b).
+
+    sent_of and feat: a sentence and a feature that stands in it; doc_of: the document of each sentence.
+    """
+    z = b + np.bincount(sent_of, w[feat], minlength=len(doc_of)) if len(feat) else np.full(len(doc_of), b)
+    s = np.maximum(np.bincount(doc_of, softplus(z), minlength=len(toxic)), 1e-9)
+    pull = np.where(toxic, -1 / np.expm1(s), 1.0)
+    dz = np.where(fitted[doc_of], pull[doc_of] / (1 + np.exp(-z)), 0.0)
+    loss = np.where(toxic, -np.log(-np.expm1(-s)), s)[fitted].sum() / fitted.sum() + PENALTY / 2 * (w**2).sum()
+    return float(loss), np.r_[np.bincount(feat, dz[sent_of], minlength=len(w)) / fitted.sum() + PENALTY * w, dz.sum() / fitted.sum()]
+
+
 def fit_weights(chosen: list[str], docs: list[tuple[int, list[int], list[int]]], toxic: np.ndarray, fitted: np.ndarray, prior: float) -> ToxicityModel:
     """Noisy-or model of document labels over known_features(); prior: share of toxic documents to place the threshold for."""
     toxic = np.asarray(toxic, bool)
@@ -119,24 +132,15 @@ def fit_weights(chosen: list[str], docs: list[tuple[int, list[int], list[int]]],
     base = np.cumsum(n_sent) - n_sent
     sent_of = np.concatenate([np.asarray(d[1], np.int64) + k for d, k in zip(docs, base)])
     feat = np.concatenate([np.asarray(d[2], np.int64) for d in docs])
-    inside = fitted[doc_of]
     w, b = np.zeros(len(chosen)), -4.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-
-    def logits() -> np.ndarray:
-        return b + np.bincount(sent_of, w[feat], minlength=len(doc_of)) if len(feat) else np.full(len(doc_of), b)
-
     for step in range(1, STEPS + 1):
-        z = logits()
-        s = np.bincount(doc_of, softplus(z), minlength=len(docs))
-        pull = np.where(toxic, -1 / np.expm1(np.maximum(s, 1e-9)), 1.0)
-        dz = np.where(inside, pull[doc_of] / (1 + np.exp(-z)), 0.0)
-        grad = np.r_[np.bincount(feat, dz[sent_of], minlength=len(chosen)) / fitted.sum() + PENALTY * w, dz.sum() / fitted.sum()]
+        _, grad = loss_and_gradient(w, b, sent_of, feat, doc_of, toxic, fitted)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
     model = ToxicityModel({f: float(x) for f, x in zip(chosen, w) if abs(x) > 1e-4}, float(b))
-    z = logits()
+    z = b + np.bincount(sent_of, w[feat], minlength=len(doc_of)) if len(feat) else np.full(len(doc_of), b)
     by_doc = np.split(z, np.searchsorted(doc_of, np.arange(1, len(docs))))
     score = np.array([model.logit(x) for x in by_doc])
     # the threshold with the best F1 among calibration documents weighted to the prior, at the middle of a gap
@@ -183,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     totals = {r["y"]: r["count"] for r in texts.filter("fitted").groupBy("y").count().collect()}
     n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
     ratio = (F.col("pos") / max(1, n_pos)) / ((F.col("neg") + 1) / F.lit(n_neg + 1))
-    strong = per.filter((F.col("pos") >= MIN_DOCS) & (ratio >= MIN_RATIO)).orderBy(F.desc(ratio * F.col("pos")), "feature").limit(MAX_FEATURES).toPandas()
+    strong = per.filter((F.col("pos") >= MIN_DOCS) & (ratio >= MIN_RATIO)).toPandas()  # features of the sample
     chosen = choose_features(dict(zip(strong["feature"], strong["pos"])), dict(zip(strong["feature"], strong["neg"])), n_pos, n_neg)
     index = {f: k for k, f in enumerate(chosen)}
 
@@ -200,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted and offending (spans and probabilities of sentences of at least 0.5) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_FEATURES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
 
