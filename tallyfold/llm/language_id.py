@@ -1,13 +1,18 @@
 """Language ID by interpolated Kneser-Ney character models, one per language, kept in sorted hash arrays.
 
-A model sees the letters of one word at a time between two word marks. Each n-gram is a 64-bit polynomial hash; the
-hashes of an order are one sorted array shared by all languages, beside it a log probability and a back-off weight
-for each language. A text gets the language of lowest cross-entropy per letter. It is rejected if it has no letter or
-if its cross-entropy is far above what texts of that language that the model didn't see had.
+A model sees the letters of one word at a time between two word marks; a word is a letter with the letters and
+combining marks that follow it, so numerals are none. Each n-gram is a 64-bit polynomial hash; the hashes of an order
+are one sorted array shared by all languages, beside it a log probability and a back-off weight for each language.
+The lowest order is interpolated with equal shares for the symbols of the language and one more for all unseen
+letters, so the probabilities after any context sum to one. A text gets the language of lowest cross-entropy per letter.
 
-The models are fitted on a bounded sample: about SAMPLE_DOCS whole documents of each language, by a hash of the id;
-one in five calibrates. A language of fewer than CALIBRATED_DOCS documents learns from all of them; it, and any other
-without calibration texts of its own, has the limit of all calibration texts together. All documents are scored.
+It is rejected if it has no letter, or if its cross-entropy is higher than chance allows: the distance from the mean of
+the language, in standard deviations for a text of its length (variance a + b / length, fitted on texts that the models
+didn't see), is compared with a limit that FALSE_REJECTS of such texts exceed at most, plus REJECT_MARGIN.
+
+The models are fitted on a bounded sample: about SAMPLE_DOCS whole documents of each language, by a hash of the id, and
+about as many others calibrate. A language of fewer than CALIBRATED_DOCS documents learns from all of them; it, and any
+other without calibration texts of its own, has mean and variance of all calibration texts. All documents are scored.
 
 Edge cases: null texts and texts without letters are `und` with score 0 and rejected; rows without a language are
 scored, never learned from; equal scores go to the first language in code point order; without any labelled row
@@ -17,13 +22,14 @@ ignored; repeated rows are scored as often as they occur.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +38,18 @@ SAMPLE_DOCS = 800
 DISCOUNT = 0.75
 #: Letters at most by which a text's evidence counts in its score.
 EVIDENCE = 60
-#: A text is rejected beyond mean + REJECT_SD standard deviations of the calibration texts.
-REJECT_SD = 8.0
+#: Share of calibration texts that the limit of rejection lets go at most, and standard deviations added to it.
+FALSE_REJECTS = 0.001
+REJECT_MARGIN = 1.0
+#: Least standard deviation of a text's cross-entropy.
+LEAST_SD = 0.03
 #: Languages with fewer documents set none aside for calibration.
 CALIBRATED_DOCS = 10
 CACHE_WORDS = 300_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MARK = 1
-LETTERS = re.compile(r"[^\W\d_]+")
+UNSEEN = np.uint64(0)
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNDETERMINED = "und"
 
 
@@ -61,7 +71,7 @@ def ngram_hashes(words: list[str], order: int = ORDER) -> tuple[list[np.ndarray]
 
 
 def fit_counts(words: list[str], counts: np.ndarray, order: int = ORDER, discount: float = DISCOUNT) -> list[pd.DataFrame]:
-    """Kneser-Ney tables of one language: for each order hash, logp, backoff of the seen n-grams.
+    """Kneser-Ney tables of one language: for each order hash, logp, backoff of the seen n-grams, and of UNSEEN.
 
     n-grams of the full order, or that begin at the opening mark, have their counts; others count the different
     letters seen before them.
@@ -83,8 +93,9 @@ def fit_counts(words: list[str], counts: np.ndarray, order: int = ORDER, discoun
         t = t[t["c"] > 0]
         total, kinds = t.groupby("ctx")["c"].sum(), t.groupby("ctx")["c"].count()
         gamma = discount * kinds / total
-        base = lower["p"].reindex(t["low"]).to_numpy() if n > 1 else np.full(len(t), 1.0 / (len(t) + 256))
-        t["p"] = (t["c"] - discount).clip(lower=0) / total.reindex(t["ctx"]).to_numpy() + gamma.reindex(t["ctx"]).to_numpy() * np.nan_to_num(base, nan=1e-6)
+        # whatever ends an n-gram has been seen one order lower
+        base = lower["p"].reindex(t["low"]).to_numpy() if n > 1 else np.full(len(t), 1.0 / (len(t) + 1))
+        t["p"] = (t["c"] - discount) / total.reindex(t["ctx"]).to_numpy() + gamma.reindex(t["ctx"]).to_numpy() * base
         if n > 1:
             tables[-1]["backoff"] = np.log(gamma.reindex(tables[-1]["hash"])).fillna(0.0).to_numpy()
         lower = t
@@ -92,7 +103,8 @@ def fit_counts(words: list[str], counts: np.ndarray, order: int = ORDER, discoun
         if n == 1:
             # the opening mark is a context but is never predicted
             mark = pd.DataFrame({"hash": np.unique(grams[0][first]), "logp": 0.0, "backoff": 0.0})
-            tables[-1] = pd.concat([tables[-1], mark[~mark["hash"].isin(tables[-1]["hash"])]], ignore_index=True)
+            unseen = pd.DataFrame({"hash": [UNSEEN], "logp": [float(np.log(gamma.iloc[0] / (len(t) + 1)))], "backoff": [0.0]})
+            tables[-1] = pd.concat([tables[-1], mark[~mark["hash"].isin(tables[-1]["hash"])], unseen], ignore_index=True)
     return tables
 
 
@@ -102,8 +114,10 @@ class LanguageModel:
     keys: list[np.ndarray]  # by order, sorted
     logp: list[np.ndarray]  # by order, (keys, langs); NaN: not seen
     backoff: list[np.ndarray]
-    unseen: float
-    limit: np.ndarray | None = None
+    unseen: np.ndarray  # by language
+    #: By language the mean of the cross-entropy and the a and b of its variance a + b / letters; the limit; None: open.
+    spread: np.ndarray | None = None
+    limit: float = np.inf
 
     def __post_init__(self):
         self.cache: dict[str, int] = {}
@@ -115,7 +129,7 @@ class LanguageModel:
         place = {x: k for k, x in enumerate(langs)}
         keys, logp, backoff = [], [], []
         for n in range(1, ORDER + 1):
-            part = rows[rows["n"] == n]
+            part = rows[(rows["n"] == n) & (rows["hash"] != UNSEEN)]
             h = part["hash"].to_numpy(np.int64).view(np.uint64)
             k = np.unique(h)
             at, col = np.searchsorted(k, h), part["lang"].map(place).to_numpy(int)
@@ -124,12 +138,12 @@ class LanguageModel:
             keys.append(k)
             logp.append(p)
             backoff.append(b)
-        return cls(langs, keys, logp, backoff, float(np.log(1e-6)))
+        return cls(langs, keys, logp, backoff, rows[rows["hash"] == UNSEEN].set_index("lang")["logp"].reindex(langs).fillna(np.log(1e-6)).to_numpy())
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word by each language."""
         grams, word, place = ngram_hashes(words, ORDER)
-        p = np.full((len(word), len(self.langs)), self.unseen)
+        p = np.tile(self.unseen, (len(word), 1))
         context = None
         for n in range(1, ORDER + 1):
             k = self.keys[n - 1]
@@ -159,7 +173,7 @@ class LanguageModel:
                 grown[: len(self.sums)] = self.sums
                 self.sums = grown
             for k in range(0, len(new), 20_000):
-                self.sums[start + k : start + k + 20_000][: len(new) - k] = self.word_scores(new[k : k + 20_000])
+                self.sums[start + k : start + min(k + 20_000, len(new))] = self.word_scores(new[k : k + 20_000])
             at = np.fromiter((cache[w] for w in words), np.int64, len(words))
         return at
 
@@ -182,7 +196,24 @@ class LanguageModel:
             return UNDETERMINED, 0.0, None, True
         best = int(np.argmin(e))
         odds = np.exp(-(e - e[best]) * min(n, EVIDENCE))
-        return self.langs[best], float(1 / odds.sum()), float(e[best]), bool(self.limit is not None and e[best] > self.limit[best])
+        return self.langs[best], float(1 / odds.sum()), float(e[best]), self.distance(best, e[best], n) > self.limit
+
+    def distance(self, lang: int, e: float, n: int) -> float:
+        """Standard deviations from the mean of a text of n letters in this language."""
+        if self.spread is None:
+            return 0.0
+        mean, a, b = self.spread[lang]
+        return float((e - mean) / np.sqrt(max(a + b / n, LEAST_SD**2)))
+
+
+def variance_line(e: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """Mean of cross-entropies e of texts of n letters, and a, b >= 0 of the variance a + b / n by least squares."""
+    mean = float(np.average(e, weights=n / (n + EVIDENCE)))
+    square, x = (e - mean) ** 2, 1.0 / n
+    vx = float(np.average((x - x.mean()) ** 2))
+    b = max(0.0, float(np.average((x - x.mean()) * (square - square.mean()))) / vx) if vx > 0 else 0.0
+    a = float(square.mean()) - b * float(x.mean())
+    return (mean, a, b) if a >= 0 else (mean, 0.0, float(square.mean() / x.mean()))
 
 
 def _fit_language(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -192,7 +223,7 @@ def _fit_language(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
-    """Models of the languages of docs from a sample of about sample_docs documents each.
+    """Models of the languages of docs from about sample_docs documents each.
 
     The model's size is bounded by the sample, not by docs.
     """
@@ -200,30 +231,43 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
-        return LanguageModel([], [np.zeros(0, np.uint64)] * ORDER, [np.zeros((0, 0))] * ORDER, [np.zeros((0, 0))] * ORDER, 0.0)
+        return LanguageModel([], [np.zeros(0, np.uint64)] * ORDER, [np.zeros((0, 0))] * ORDER, [np.zeros((0, 0))] * ORDER, np.zeros(0))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    share = F.element_at(F.create_map(*(F.lit(v) for x in langs for v in (x, min(1.0, sample_docs / sizes[x])))), F.col("lang"))
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(5))
     rare = [x for x in langs if sizes[x] < CALIBRATED_DOCS]
-    sample = labelled.filter(draw < share).withColumn("fold", F.when(F.col("lang").isin(rare), F.lit(1)).otherwise(fold))
-    words = sample.filter("fold <> 0").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    folded = labelled.withColumn("fold", F.when(F.col("lang").isin(rare), F.lit(1)).otherwise(fold))
+
+    def about(part: float) -> Column:
+        """Whether a row is among about sample_docs of the part of its language."""
+        shares = F.create_map(*(F.lit(v) for x in langs for v in (x, min(1.0, sample_docs / (part * sizes[x])))))
+        return draw < F.element_at(shares, F.col("lang"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter = Counter()
+        for pdf in batches:
+            for lang, text in zip(pdf["lang"], pdf["text"]):
+                found.update((lang, w) for w in LETTERS.findall(text.lower()))
+        rows = [(*k, n) for k, n in found.items()]
+        for k in range(0, len(rows), 20_000):
+            yield pd.DataFrame(rows[k : k + 20_000], columns=["lang", "word", "n"])
+
+    counted = folded.filter((F.col("fold") != 0) & about(0.8)).select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rows = counted.groupBy("lang").applyInPandas(_fit_language, "lang string, n int, hash long, logp double, backoff double").toPandas()
     model = LanguageModel.of(langs, rows)
-    held = sample.filter("fold = 0").select("lang", "text")
+    held = folded.filter((F.col("fold") == 0) & about(0.2)).select("lang", "text")
 
     def entropies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(x, model.entropy(t)[0]) for x, t in zip(pdf["lang"], pdf["text"])]
-            yield pd.DataFrame([(x, float(e[langs.index(x)])) for x, e in found if e is not None], columns=["lang", "e"])
-
-    spread = {r["lang"]: r for r in held.mapInPandas(entropies, "lang string, e double").groupBy("lang").agg(F.count("e").alias("n"), F.avg("e").alias("m"), F.stddev_pop("e").alias("s")).collect()}
-    pooled = np.inf
-    if spread:
-        n, m, s = np.array([[r["n"], r["m"], r["s"]] for r in spread.values()]).T
-        mean = np.average(m, weights=n)
-        pooled = mean + REJECT_SD * max(float(np.sqrt(np.average(s**2 + (m - mean) ** 2, weights=n))), 0.05)
-    model.limit = np.array([spread[x]["m"] + REJECT_SD * max(spread[x]["s"], 0.05) if x in spread else pooled for x in langs])
+            found = [(x, *model.entropy(t)) for x, t in zip(pdf["lang"], pdf["text"])]
+            yield pd.DataFrame([(x, float(e[langs.index(x)]), n) for x, e, n in found if e is not None], columns=["lang", "e", "n"])
+
+    seen = held.mapInPandas(entropies, "lang string, e double, n long").toPandas()  # about sample_docs rows a language
+    if len(seen):
+        lines = {x: variance_line(part["e"].to_numpy(), part["n"].to_numpy(float)) for x, part in seen.groupby("lang")}
+        pooled = variance_line(seen["e"].to_numpy(), seen["n"].to_numpy(float))
+        model.spread = np.array([lines.get(x, pooled) for x in langs])
+        far = np.sort([model.distance(langs.index(x), e, n) for x, e, n in zip(seen["lang"], seen["e"], seen["n"])])
+        model.limit = float(far[min(len(far), int(np.ceil((len(far) + 1) * (1 - FALSE_REJECTS)))) - 1]) + REJECT_MARGIN
     return model
 
 

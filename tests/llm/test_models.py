@@ -1,9 +1,11 @@
 """Language ID, toxicity and the pipeline: held-out accuracy, normalisation, edge rows."""
 
 import os
+import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -16,27 +18,62 @@ SF = os.environ.get("TALLYFOLD_TEST_DATA", "/root/testdata/sf0.01")
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
-def test_kneser_ney_sums_to_one():
-    words = {"aba": 3, "abb": 1, "ba": 5, "b": 2, "cab": 1}
-    tables = language_id.fit_counts(list(words), np.array(list(words.values())))
-    keys = [t.set_index("hash") for t in tables]
+WORDS = {"aba": 3, "abb": 1, "ba": 5, "b": 2, "cab": 1, "aabc": 4}
+
+
+def brute_kneser_ney(context, nxt, order=4, d=0.75):
+    """p(nxt | context) by the recursion over counts of strings, for nxt a symbol or None for an unseen letter."""
+    seen = [("\x01" + w + "\x01", n) for w, n in WORDS.items()]
+    grams = lambda n: [(s[k : k + n], k, c) for s, c in seen for k in range(len(s) - n + 1) if k + n > 1]
+    symbols = {s[k] for s, _ in seen for k in range(1, len(s))}
+
+    def count(g, top):
+        if top or g[0] == "\x01" and len(g) > 1:
+            return sum(c for x, _, c in grams(len(g)) if x == g)
+        return len({x[0] for x, _, _ in grams(len(g) + 1) if x[1:] == g})
+
+    def p(ctx, top):
+        n = len(ctx) + 1
+        after = {x: count(ctx + x, top) for x in symbols}
+        total, kinds = sum(after.values()), sum(1 for c in after.values() if c)
+        lower = p(ctx[1:], False) if ctx else 1 / (len(symbols) + 1)
+        if not total:
+            return lower
+        return max(after.get(nxt, 0) - d, 0) / total + d * kinds / total * lower
+
+    ctx = ("\x01" + context)[-(order - 1) :]
+    return p(ctx, len(ctx) == order - 1)
+
+
+def test_kneser_ney_equals_its_recursion_and_sums_to_one():
+    tables = language_id.fit_counts(list(WORDS), np.array(list(WORDS.values())))
+    rows = pd.concat([t.assign(n=k + 1, lang="x") for k, t in enumerate(tables)])
+    model = language_id.LanguageModel.of(["x"], rows)
+    assert model.spread is None
+    for k in range(4):  # as exact as the recursion
+        model.logp[k] = model.logp[k].astype(float)
 
     def logp(context, nxt):
-        grams, _, place = language_id.ngram_hashes([context + nxt], 4)
-        at = len(context) + 1
-        p, back = None, 0.0
-        for n in range(min(4, at + 1), 0, -1):
-            h = grams[n - 1][at]
-            if h in keys[n - 1].index:
-                return back + keys[n - 1].loc[h, "logp"]
-            ctx = grams[n - 2][at - 1] if n > 1 else None
-            back += keys[n - 2].loc[ctx, "backoff"] if n > 1 and ctx in keys[n - 2].index else 0.0
-        return p if p is not None else float("-inf")
-
-    # the alphabet and the closing mark; the rest of the mass is kept for unseen letters
-    for context in ("", "a", "ab", "c"):
-        total = sum(np.exp(logp(context, c)) for c in "abc\x01")
-        assert 0.6 < total < 1 + 1e-9, (context, total)
+        full, part = (model.word_scores([w])[0, 0] for w in (context + nxt, context))
+        ends = [brute_kneser_ney(w, "\x01") for w in (context + nxt, context)]
+        return full - np.log(ends[0]) - (part - np.log(ends[1]))
+
+    for context in ("", "a", "ab", "c", "aba", "abab", "q", "aq"):
+        total = brute_kneser_ney(context, None) + sum(brute_kneser_ney(context, c) for c in "abc\x01")
+        assert abs(total - 1) < 1e-9
+        for c in "abcz":
+            assert abs(logp(context, c) - np.log(brute_kneser_ney(context, c if c != "z" else None))) < 1e-5, (context, c)
+        assert abs(model.word_scores([context])[0, 0] - sum(np.log(brute_kneser_ney(context[:k], (context + "\x01")[k])) for k in range(len(context) + 1))) < 1e-4
+
+
+def test_tables_of_an_order_sum_to_one():
+    """Over the lowest order, the unseen symbol included, within 1e-9."""
+    unigrams = language_id.fit_counts(list(WORDS), np.array(list(WORDS.values())))[0]
+    assert abs(np.exp(unigrams["logp"]).sum() - 1) < 1e-9
+
+
+def test_letters_are_no_numerals():
+    assert language_id.LETTERS.findall("² ½ Ⅷ ٣ 12 _ a²b é ก็ न्") == ["a", "b", "é", "ก็", "न्"]
 
 
 @needs_tables
@@ -65,9 +102,9 @@ def test_rejection_beside_a_one_row_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     rare = spark.createDataFrame([(-1, "Selten ist dieses eine Wort hier zu lesen.", "xx")], docs.schema)
     model = language_id.fit(docs.filter("lang <> 'de'").unionByName(rare))
-    assert model.langs == ["en", "es", "fr", "xx"] and np.isfinite(model.limit).all()
+    assert model.langs == ["en", "es", "fr", "xx"] and np.isfinite(model.limit) and np.isfinite(model.spread).all()
     gibberish = spark.createDataFrame([(k, " ".join(f"{w}qzx{w[::-1]}kj" for w in ("vwq", "jzk", "qqxz", "wvk")) * k, "en") for k in (1, 5, 20)], docs.schema)
-    german = docs.filter("lang = 'de'")
+    german = docs.filter("lang = 'de' and length(text) > 100")  # a few letters prove nothing
     for unknown in (gibberish, german):
         assert language_id.classify(unknown, model).agg({"rejected": "min"}).first()[0]
     known = language_id.classify(docs.filter("lang <> 'de'"), model).toPandas()
@@ -113,6 +150,44 @@ def test_noisy_or():
     assert abs(1 / (1 + np.exp(-z)) - (1 - np.prod(1 - p))) < 1e-9
 
 
+def test_gradient_of_the_noisy_or():
+    rng = np.random.default_rng(3)
+    doc_of = np.sort(rng.integers(0, 12, 40))
+    sent_of, feat = rng.integers(0, 40, 150), rng.integers(0, 9, 150)
+    toxic, fitted = rng.random(12) < 0.4, rng.random(12) < 0.8
+    w, b = rng.standard_normal(9), -1.0
+    loss, grad = toxicity.loss_and_gradient(w, b, sent_of, feat, doc_of, toxic, fitted)
+    p = 1 / (1 + np.exp(-(b + np.array([w[feat[sent_of == k]].sum() for k in range(40)]))))
+    joined = np.array([1 - np.prod(1 - p[doc_of == d]) for d in range(12)]).clip(1e-12, 1)
+    want = -np.mean(np.where(toxic, np.log(joined), np.log1p(-joined))[fitted & np.isin(np.arange(12), doc_of)])
+    if np.isin(np.flatnonzero(fitted), doc_of).all():
+        assert abs(loss - want - toxicity.PENALTY / 2 * (w**2).sum()) < 1e-9
+    for k in range(10):
+        step = np.zeros(10)
+        step[k] = 1e-6
+        up, down = (toxicity.loss_and_gradient(w + s * step[:9], b + s * step[9], sent_of, feat, doc_of, toxic, fitted)[0] for s in (1, -1))
+        assert abs((up - down) / 2e-6 - grad[k]) < 1e-6
+
+
+def test_scores_equal_a_plain_noisy_or(spark, docs, texts):
+    """Each row against sentences, words and prefixes spelled out."""
+    model = toxicity.ToxicityModel({"fox": 2.0, "quic*": 1.5, "word*": 0.7, "sea": -1.0, "apache": 9.0}, -4.0, -1.0)
+    want = []
+    for i, t, *_ in texts:
+        clean, spans = 1.0, []
+        for m in re.finditer(r"[^.!?\n]+", (t or "").lower()):
+            words = {w for w in re.findall(r"[^\W\d_]+", m.group())}
+            if words:
+                z = -4.0 + sum(model.weights.get(w, 0) + sum(model.weights.get(w[:n] + "*", 0) for n in (4, 5, 6, 7, 8) if n <= len(w)) for w in words)
+                p = 1 / (1 + np.exp(-z))
+                clean *= 1 - p
+                spans += [(m.start(), m.end())] * int(p >= 0.5)
+        odds = np.log((1 - clean) / clean) if 0 < clean < 1 else np.log(1e-12) if clean == 1 else 700.0
+        want.append((i, round(float(1 / (1 + (3 / 7) * np.exp(-np.clip(odds + 1.0, -500, 500)))), 6), spans))
+    got = [(r["doc_id"], round(r["score"], 6), [(s["start"], s["end"]) for s in r["offending"]]) for r in toxicity.score(docs, model).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 @needs_tables
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
