@@ -1,9 +1,11 @@
 """License scans: templates with optional and replaceable regions, compiled into token automata.
 
 A template is words with two kinds of markup: [[ ... ]] may be left out, {{n}} stands for up to n words of any kind.
-Everything else is mandatory and must match word for word. compile_template turns it into an automaton whose states
-are places in the template; accepts() follows all states at once over the words of a text. Short notices ("under the
-mit license") are found as phrases, and a template that accepts adds its own label.
+Everything else is mandatory and must match word for word, but for spellings that EQUIVALENTS makes one. A template of
+a license holds its whole wording, so a text that is altered anywhere isn't accepted; notices and headers that refer
+to a license have templates of their own. compile_template turns one into an automaton whose states are places in the
+template; accepts() follows all states at once over the words of a text. Short phrases ("under the mit license") are
+the base, and a template that accepts adds its own label.
 
 Edge cases: null texts count as empty and have no words; labels are '' if there are none and first_word, last_word are
 null; non-ASCII characters are letters of words; other columns are ignored; repeated rows are scanned as often as
@@ -28,24 +30,81 @@ PHRASES: tuple[tuple[str, str], ...] = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: Wording of public licenses and of the notices that refer to them.
+#: Words that count as the same in license texts.
+EQUIVALENTS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "acknowledgement": "acknowledgment", "organisation": "organization"}
+
+#: Wording of public licenses, whole, and of the notices that refer to them.
+_HOLDER = "[[copyright [[c]] {{24}}]] [[all rights reserved]]"
+_BSD_OPEN = f"""{_HOLDER} redistribution and use in source and binary forms with or without modification are permitted provided that
+    the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the
+    following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following
+    disclaimer in the documentation and or other materials provided with the distribution"""
+_BSD_CLOSE = """this software is provided by the {{12}} as is and any express or implied warranties including but not limited to the implied
+    warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the {{12}} be liable for any direct indirect
+    incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use
+    data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including
+    negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""
 TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("mit-notice", "released under the mit license"),
+    ("mit-notice", "released under the [[terms of the]] mit license"),
     (
         "mit-text",
-        "permission is hereby granted free of charge to any person obtaining a copy of this {{4}} and associated documentation files [[the software]] to deal in the {{2}} "
-        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the {{2}}",
+        f"""[[[[the]] mit license [[mit]]]] {_HOLDER} permission is hereby granted free of charge to any person obtaining a copy of this
+        software and associated documentation files [[the software]] to deal in the software without restriction including without limitation
+        the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom
+        the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+        [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is
+        without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular
+        purpose and noninfringement in no event shall the {{{{8}}}} be liable for any claim damages or other liability whether in an action of
+        contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
+    ),
+    (
+        "isc-text",
+        f"""[[[[the]] isc license [[isc]]]] {_HOLDER} permission to use copy modify and or distribute this software for any purpose with or
+        without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is
+        provided as is and {{{{8}}}} disclaims all warranties with regard to this software including all implied warranties of merchantability and
+        fitness in no event shall {{{{8}}}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting
+        from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection
+        with the use or performance of this software""",
+    ),
+    ("bsd-2-text", f"[[[[the]] bsd 2 clause license]] {_BSD_OPEN} {_BSD_CLOSE}"),
+    (
+        "bsd-3-text",
+        f"""[[[[the]] bsd 3 clause license]] {_BSD_OPEN} [[3]] neither the name of {{{{12}}}} nor the names of its contributors may be used to endorse
+        or promote products derived from this software without specific prior written permission {_BSD_CLOSE}""",
+    ),
+    (
+        "bsd-4-text",
+        f"""[[[[the]] bsd 4 clause license]] {_BSD_OPEN} [[3]] all advertising materials mentioning features or use of this software must display the
+        following acknowledgment this product includes software developed by {{{{12}}}} [[4]] neither the name of {{{{12}}}} nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_CLOSE}""",
+    ),
+    (
+        "zlib-text",
+        f"""[[[[the]] zlib license]] {_HOLDER} this software is provided as is without any express or implied warranty in no event will the authors be
+        held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose
+        including commercial applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of
+        this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product
+        an acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly
+        marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any
+        source distribution""",
     ),
     ("apache-2-notice", "licensed under the apache license version 2 0 [[the license]]"),
     (
         "apache-2-header",
-        "licensed under the apache license version 2 0 the license you may not use this {{3}} except in compliance with the license "
-        "[[you may obtain a copy of the license at {{12}}]] unless required by applicable law",
+        """licensed under the apache license version 2 0 the license you may not use this {{3}} except in compliance with the license you may obtain
+        a copy of the license at {{12}} unless required by applicable law or agreed to in writing software distributed under the license is
+        distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific
+        language governing permissions and limitations under the license""",
     ),
     ("gpl-3-notice", "licensed under the gnu [[affero]] general public license [[as published by the free software foundation either]] version 3"),
+    (
+        "gpl-3-header",
+        """this {{3}} is free software you can redistribute it and or modify it under the terms of the gnu [[affero]] general public license as published
+        by the free software foundation either version 3 of the license or [[at your option]] any later version this {{3}} is distributed in the
+        hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular
+        purpose see the gnu [[affero]] general public license for more details""",
+    ),
     ("cc-by-nc-notice", "licensed under [[a]] [[creative commons]] cc by nc [[sa]] [[nd]] 4 0"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc-text", "permission to use copy modify and or distribute this {{3}} for any purpose with or without fee is hereby granted"),
 )
 
 
@@ -99,7 +158,8 @@ def compile_template(text: str) -> Automaton:
                 words.append(None)
                 skips.append([])
         else:
-            words.append(token.encode().lower())
+            word = token.lower()
+            words.append(EQUIVALENTS.get(word, word).encode())
             skips.append([])
             mandatory += not opened
     if opened:
@@ -117,11 +177,12 @@ class Scanner:
         self.phrases = [(re.compile(b"(?=" + gap.join(map(re.escape, p.encode().split())) + b"(?!" + edge + b"))"), edge, label) for p, label in phrases]
         self.before = re.compile(edge)
         self.templates = [(label, compile_template(t)) for label, t in templates]
-        # a template is tried only where its first two mandatory words stand; most texts hold none of these
+        self.equal = {a.encode(): b.encode() for a, b in EQUIVALENTS.items()}
+        # a template is tried only on texts that hold its longest mandatory word in some spelling; few texts do
         self.hints = []
         for label, automaton in self.templates:
             rare = max((w for w, s in zip(automaton.words, range(len(automaton.words))) if w is not None and not self._optional(automaton, s)), key=len)
-            self.hints.append((rare, label, automaton))
+            self.hints.append(([rare, *(a for a, b in self.equal.items() if b == rare)], label, automaton))
 
     @staticmethod
     def _optional(automaton: Automaton, state: int) -> bool:
@@ -139,12 +200,13 @@ class Scanner:
                     continue
                 places.append(k)
                 base.add(label)
-        near = [(label, automaton) for rare, label, automaton in self.hints if rare in low]
+        near = [(label, automaton) for spellings, label, automaton in self.hints if any(x in low for x in spellings)]
         own: dict[str, int] = {}
         words = WORD.findall(low)
+        same = [self.equal.get(w, w) for w in words] if near else words
         for label, automaton in near:
-            for k, w in enumerate(words):
-                if w in automaton.first and automaton.accepts(words, k) is not None:
+            for k, w in enumerate(same):
+                if w in automaton.first and automaton.accepts(same, k) is not None:
                     own[label] = automaton.mandatory
                     break
         starts = sorted(len(WORD.findall(low, 0, k)) for k in (min(places), max(places))) if places else [None, None]

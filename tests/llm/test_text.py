@@ -154,6 +154,48 @@ def test_templates():
             license_scan.compile_template(bad)
 
 
+def template_pattern(template):
+    """A template as a pattern over words that each end in a space."""
+    out = ""
+    for token in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template):
+        known = license_scan.EQUIVALENTS.get(token, token)
+        out += "(?:" if token == "[[" else ")?" if token == "]]" else rf"(?:\S+ ){{0,{token[2:-2]}}}" if token[0] == "{" else re.escape(known) + " "
+    return re.compile(r"(?<!\S)" + out)
+
+
+def filled(template):
+    """(all optional words in, replaceable ones said, and all of them left out)."""
+    full = re.sub(r"\[\[|\]\]", "", re.sub(r"\{\{\d+\}\}", "someone 1999", template))
+    bare = template
+    while "[[" in bare:
+        bare = re.sub(r"\[\[[^\[\]]*\]\]", "", bare)
+    return " ".join(full.split()), " ".join(re.sub(r"\{\{\d+\}\}", "", bare).split())
+
+
+def test_labels_equal_patterns_over_whole_templates(spark, texts):
+    patterns = [(label, template_pattern(t)) for label, t in license_scan.TEMPLATES]
+    cases = [t for _, t, *_ in texts] + CASES
+    for label, t in license_scan.TEMPLATES:
+        for whole in filled(t):
+            words = whole.split()
+            cases += ["Before. " + whole.replace("license", "Licence") + ", after", whole.upper(), " ".join(words[:-1]), " ".join([*words[: len(words) // 2], "not", *words[len(words) // 2 :]]), " ".join(words[1:])]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(cases):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        line = "".join(license_scan.EQUIVALENTS.get(w, w) + " " for w in words)
+        base = set(scan(text)[-1].split(",")) - {""}
+        assert got[k] == ",".join(sorted(base | {label for label, p in patterns if p.search(line)})), text
+    whole = dict(license_scan.TEMPLATES)
+    labels = lambda t: set(license_scan.Scanner().scan(t)[5].split(","))
+    for label in whole:
+        full, bare = filled(whole[label])
+        assert label in labels(full) and label in labels(bare)
+    mit = filled(whole["mit-text"])[1]
+    assert "mit-text" not in labels(mit.replace("tort or otherwise", "tort")) | labels(mit + "x") | labels(mit.replace("to any person", "to any good person"))
+    three = filled(whole["bsd-3-text"])[0]
+    assert "bsd-3-text" in labels(three) and not {"bsd-2-text", "bsd-4-text"} & labels(three)
+
+
 def test_licenses_of_nothing(empty):
     assert license_scan.license_scan(empty).count() == 0
 
