@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,26 +206,27 @@ class PieceCodec:
 _codecs: dict[str, PieceCodec] = {}
 
 
-def _codec(name: str) -> PieceCodec:
+def _codec(model: Broadcast) -> PieceCodec:
     """One codec for each Python worker and model."""
+    data = model.value
+    name = hashlib.sha256(data).hexdigest()
     if name not in _codecs:
-        with open(SparkFiles.get(name), "rb") as f:
-            _codecs[name] = PieceCodec(f.read())
+        _codecs[name] = PieceCodec(data)
     return _codecs[name]
 
 
-def _ship(docs: DataFrame, model_path: str) -> str:
-    """Give the model file to every executor by Spark's own means."""
-    docs.sparkSession.sparkContext.addFile(model_path)
-    return model_path.rsplit("/", 1)[-1]
+def _ship(docs: DataFrame, model_path: str) -> Broadcast:
+    """The model's bytes (some 500 KB, whatever the input) for every executor."""
+    with open(model_path, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row of docs."""
-    name = _ship(docs, model_path)
+    model = _ship(docs, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name)
+        codec = _codec(model)
         for batch in batches:
             ids = [codec.encode(t) if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -236,10 +237,10 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id and text of every row (doc_id, ids); null ids decode to the empty text."""
-    name = _ship(encoded, model_path)
+    model = _ship(encoded, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name)
+        codec = _codec(model)
         for batch in batches:
             texts = [codec.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -249,10 +250,10 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
 
 def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs, encoded and decoded in one pass."""
-    name = _ship(docs, model_path)
+    model = _ship(docs, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name)
+        codec = _codec(model)
         for batch in batches:
             for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
                 rows = [codec.summary(t or "") for t in part.column(1).to_pylist()]
