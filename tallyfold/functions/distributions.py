@@ -2,22 +2,43 @@
 
 from __future__ import annotations
 
-from math import factorial, sqrt
+from math import factorial, gamma, pi, sin, sqrt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Terms of the series of erf below SPLIT; nodes of the integral of erfc above it.
+TERMS, NODES, SPLIT = 36, 24, 2.0
 
-def chi2_sf_even(x: Column, df: int) -> Column:
-    """Upper tail of chi-square with an even number of degrees of freedom, in closed form."""
-    if df <= 0 or df % 2:
-        raise ValueError("df must be even")
-    half = x / 2
-    total = F.lit(1.0)
-    for j in range(1, df // 2):
-        total = total + F.pow(half, F.lit(float(j))) / float(factorial(j))
-    return F.exp(-half) * total
 
+def series_terms() -> list[float]:
+    """Coefficients of erf(x) / x in powers of x squared."""
+    return [2 / sqrt(pi) * (-1) ** k / (factorial(k) * (2 * k + 1)) for k in range(TERMS)]
 
-def normal_pdf(x: Column) -> Column:
-    return F.exp(-x * x / 2) / sqrt(2 * 3.141592653589793)
+
+def node_rates() -> list[float]:
+    """1 / sin^2 of the midpoints of Craig's integral: erfc(x) is the mean of exp(-x^2 / sin^2)."""
+    return [1 / sin((k + 0.5) * pi / (2 * NODES)) ** 2 for k in range(NODES)]
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function of x >= 0."""
+    square, low = x * x, F.lit(0.0)
+    for c in reversed(series_terms()):
+        low = low * square + F.lit(c)
+    high = F.lit(0.0)
+    for rate in node_rates():
+        high = high + F.exp(-square * F.lit(rate))
+    return F.when(x < SPLIT, 1 - x * low).otherwise(high / NODES)
+
+
+def chi2_sf(x: Column, df: int) -> Column:
+    """Upper tail of chi-square with a whole number of degrees of freedom, in closed form."""
+    if df <= 0:
+        raise ValueError("df must be positive")
+    half, total = x / 2, F.lit(0.0)
+    for j in range((df + 1) // 2 - (df % 2)):
+        power = j + 0.5 * (df % 2)
+        total = total + F.pow(half, F.lit(power)) / F.lit(gamma(power + 1))
+    tail = F.exp(-half) * total
+    return tail + erfc(F.sqrt(half)) if df % 2 else tail

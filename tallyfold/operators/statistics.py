@@ -10,7 +10,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import chi2_sf_even
+from ..functions.distributions import chi2_sf
 
 TRANSFORMS: dict[str, Column] = {"raw": F.col, "absolute": F.abs, "squared": lambda c: F.col(c) * F.col(c)}
 
@@ -48,52 +48,55 @@ def exceedances(r: DataFrame, value: str = "x", sigmas: tuple[int, ...] = (3, 4,
     return base.select("asset", rows.alias("t")).select("asset", "t.*")
 
 
-def lag_moments(r: DataFrame, lags: int, value: str = "x") -> DataFrame:
-    """asset, lag, n, and sums over t of demeaned x: of squares, of x_t x_(t-lag), of its square."""
+def lag_moments(r: DataFrame, lags: int, value: str = "x", transforms: tuple[str, ...] = ("raw",)) -> DataFrame:
+    """asset, transform, lag, n, and sums over t of a demeaned transform d: ss of squares, cross of d_t d_(t-lag), cross2 of its square.
+
+    One sort of each series serves all lags and transforms: a window hands every value the lags values before it, and
+    what is spread out from there is summed before it is shuffled.
+    """
     w = Window.partitionBy("asset")
-    dense = r.filter(F.col(value).isNotNull()).select("asset", F.row_number().over(w.orderBy("date")).alias("t"), (F.col(value) - F.avg(value).over(w)).alias("d"), F.count(F.lit(1)).over(w).alias("n"), F.col(value).alias("x"))
-    total = dense.groupBy("asset").agg(F.sum(F.col("d") * F.col("d")).alias("ss"))
-    ahead = dense.select("asset", "n", F.col("d").alias("d0"), "t", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag")).withColumn("t", F.col("t") + F.col("lag"))
-    pairs = ahead.join(dense.select("asset", "t", "d"), ["asset", "t"])
-    cross = F.col("d") * F.col("d0")
-    return pairs.groupBy("asset", "lag", "n").agg(F.sum(cross).alias("cross"), F.sum(cross * cross).alias("cross2")).join(total, "asset")
+    base = r.filter(F.col(value).isNotNull()).select("date", "asset", *(TRANSFORMS[t](value).alias(t) for t in transforms))
+    d = base.select("date", "asset", F.count(F.lit(1)).over(w).alias("n"), *((F.col(t) - F.avg(t).over(w)).alias(t) for t in transforms))
+    now = F.array(*(F.col(t) for t in transforms))
+    before = F.reverse(F.collect_list(now).over(w.orderBy("date").rowsBetween(-lags, -1)))
+    # lag 0, for the sum of squares, stands first
+    lined = d.select("asset", "n", now.alias("now"), before.alias("before"))
+    spread = lined.select("asset", "n", "now", F.posexplode(F.concat(F.array("now"), "before")).alias("lag", "then"))
+    sums = [f(F.pow(F.col("now")[k] * F.col("then")[k], F.lit(float(p)))).alias(f"{t}_{p}") for k, t in enumerate(transforms) for f, p in ((F.sum, 1), (F.sum, 2))]
+    wide = spread.groupBy("asset", "n", "lag").agg(*sums)
+    long = wide.select("asset", "n", "lag", F.explode(F.array(*(F.struct(F.lit(t).alias("transform"), F.col(f"{t}_1").alias("cross"), F.col(f"{t}_2").alias("cross2")) for t in transforms))).alias("m")).select("asset", "n", "lag", "m.*")
+    ss = F.max(F.when(F.col("lag") == 0, F.col("cross"))).over(Window.partitionBy("asset", "transform"))
+    return long.withColumn("ss", ss).filter("lag > 0").select("asset", "transform", F.col("lag").cast("int").alias("lag"), "n", "ss", "cross", "cross2")
 
 
 def acf(r: DataFrame, lags: int, value: str = "x") -> DataFrame:
     """Autocorrelation of raw, absolute and squared values with the iid band and the robust band of the raw ones."""
-    out = None
-    for name, f in TRANSFORMS.items():
-        m = lag_moments(r.select("date", "asset", f(value).alias("x")), lags).withColumn("rho", F.col("cross") / F.col("ss"))
-        gamma = F.col("ss") / F.col("n")
-        robust = 1.96 * F.sqrt(F.col("cross2") / (F.col("n") - F.col("lag")) / (gamma * gamma) / F.col("n"))
-        one = m.select("asset", "lag", F.col("rho").alias(name), *([(1.96 / F.sqrt("n")).alias("band"), robust.alias("robust_band")] if name == "raw" else []))
-        out = one if out is None else out.join(one, ["asset", "lag"])
-    return out
+    m = lag_moments(r, lags, value, tuple(TRANSFORMS))
+    gamma = F.col("ss") / F.col("n")
+    robust = 1.96 * F.sqrt(F.col("cross2") / (F.col("n") - F.col("lag")) / (gamma * gamma) / F.col("n"))
+    of = lambda t, c: F.max(F.when(F.col("transform") == t, c))
+    return m.groupBy("asset", "lag").agg(
+        *(of(t, F.col("cross") / F.col("ss")).alias(t) for t in TRANSFORMS), of("raw", 1.96 / F.sqrt("n")).alias("band"), of("raw", robust).alias("robust_band")
+    )
 
 
 def robust_portmanteau(r: DataFrame, lags: tuple[int, ...], value: str = "x") -> DataFrame:
-    """Heteroskedasticity-robust Q and its p at even numbers of lags."""
-    m = lag_moments(r, max(lags), value).withColumn("t2", F.col("cross") * F.col("cross") / F.col("cross2"))
-    return _at_lags(m, lags, F.sum("t2"))
+    """Heteroskedasticity-robust Q and its p at each number of lags."""
+    m = lag_moments(r, max(lags), value)
+    return _at_lags(m, lags, F.col("cross") * F.col("cross") / F.col("cross2")).drop("transform")
 
 
 def ljung_box(r: DataFrame, lags: tuple[int, ...], value: str = "x") -> DataFrame:
-    """Ljung-Box Q of raw, absolute and squared values and its p at even numbers of lags."""
-    out = None
-    for name, f in TRANSFORMS.items():
-        m = lag_moments(r.select("date", "asset", f(value).alias("x")), max(lags)).withColumn("rho", F.col("cross") / F.col("ss"))
-        q = F.sum(F.col("rho") * F.col("rho") / (F.col("n") - F.col("lag"))) * F.first("n") * (F.first("n") + 2)
-        one = _at_lags(m, lags, q).withColumn("transform", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _at_lags(m: DataFrame, lags: tuple[int, ...], q: Column) -> DataFrame:
-    out = None
-    for k in lags:
-        one = m.filter(F.col("lag") <= k).groupBy("asset").agg(q.alias("q")).select("asset", F.lit(k).alias("lags"), "q", chi2_sf_even(F.col("q"), k).alias("p"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Ljung-Box Q of raw, absolute and squared values and its p at each number of lags."""
+    m = lag_moments(r, max(lags), value, tuple(TRANSFORMS))
+    rho = F.col("cross") / F.col("ss")
+    return _at_lags(m, lags, F.col("n") * (F.col("n") + 2) * rho * rho / (F.col("n") - F.col("lag")))
+
+
+def _at_lags(m: DataFrame, lags: tuple[int, ...], term: Column) -> DataFrame:
+    q = m.groupBy("asset", "transform").agg(*(F.sum(F.when(F.col("lag") <= k, term)).alias(f"q{k}") for k in lags))
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("lags"), F.col(f"q{k}").alias("q"), chi2_sf(F.col(f"q{k}"), k).alias("p")) for k in lags)))
+    return q.select("asset", "transform", rows.alias("t")).select("asset", "transform", "t.*")
 
 
 def stress_sensitivity(r: DataFrame, lo: str, hi: str, value: str = "x") -> DataFrame:

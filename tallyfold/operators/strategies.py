@@ -63,16 +63,31 @@ def solved(rows: DataFrame, schedule: Schedule, rf: DataFrame | None = None, nam
         rate = float(pdf.drop_duplicates("pos")["rf"].mean() * periods) if "rf" in pdf else 0.0
         made = {name: (lambda name=name: kernels.window_weights(r, name, periods, rate, aversion, shrink)) for name in names}
         made |= {name: (lambda f=f: f(r)) for name, f in (custom or {}).items()}
-        out = []
-        for name, weights in made.items():
+        w, errors = np.full((len(made), len(assets)), np.nan), []
+        for row, weights in zip(w, made.values()):
             try:
-                w, error = kernels.valid_weights(np.asarray(weights(), float)), None
+                row[:] = weights()
+                errors.append(None)
             except (ValueError, np.linalg.LinAlgError) as e:
-                w, error = [None] * len(assets), f"{type(e).__name__}: {e}"
-            out.append(pd.DataFrame({"experiment": pdf["experiment"].iloc[0], "strategy": name, "k": pdf["k"].iloc[0], "asset": assets, "w": w, "error": error}))
-        return pd.concat(out)
-
-    return joined.groupBy("experiment", "k").applyInPandas(run, SCHEMA)
+                errors.append(f"{type(e).__name__}: {e}")
+        n = len(assets)
+        return pd.DataFrame({"experiment": pdf["experiment"].iloc[0], "strategy": np.repeat(list(made), n), "k": pdf["k"].iloc[0], "asset": assets * len(made), "w": w.ravel(), "error": np.repeat(np.array(errors, object), n)})
+
+    return validated(joined.groupBy("experiment", "k").applyInPandas(run, SCHEMA))
+
+
+def validated(weights: DataFrame, tol: float = 1e-6) -> DataFrame:
+    """Weights made exactly long-only and fully invested; those that aren't within tol fail, with null weights."""
+    by = Window.partitionBy("experiment", "strategy", "k")
+    finite = F.col("w").isNotNull() & ~F.isnan("w") & (F.abs("w") < float("inf"))
+    least, total = F.min("w").over(by), F.sum("w").over(by)
+    found = (
+        F.when(~F.every(finite).over(by), F.lit("ValueError: weights are not finite"))
+        .when(least < -tol, F.format_string("ValueError: a weight of %.2e is short", least))
+        .when(F.abs(total - 1) > tol, F.format_string("ValueError: weights sum to %.6f", total))
+    )
+    checked = weights.withColumn("error", F.coalesce("error", found)).withColumn("w", F.greatest("w", F.lit(0.0)))
+    return checked.withColumn("w", F.when(F.col("error").isNull(), F.col("w") / F.sum("w").over(by)))
 
 
 def risk_contributions(weights: DataFrame, covs: DataFrame) -> DataFrame:
@@ -116,13 +131,21 @@ def conditioning(rows: DataFrame) -> DataFrame:
 
 
 def shrinkage(rows: DataFrame) -> DataFrame:
-    """Ledoit-Wolf intensity of each estimation window."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        share = kernels.shrink_constant_correlation(pdf.pivot(index="pos", columns="asset", values="s").to_numpy())[1]
-        return pd.DataFrame({"experiment": [pdf["experiment"].iloc[0]], "k": [pdf["k"].iloc[0]], "intensity": [share]})
-
-    return rows.groupBy("experiment", "k").applyInPandas(run, "experiment int, k int, intensity double")
+    """Ledoit-Wolf intensity towards constant correlation of each estimation window, from moments of standardised returns."""
+    by = Window.partitionBy("experiment", "k", "asset")
+    z = rows.select("experiment", "k", "asset", "pos", F.var_pop("s").over(by).alias("v"), ((F.col("s") - F.avg("s").over(by)) / F.stddev_pop("s").over(by)).alias("z"))
+    a, b = (z.select("experiment", "k", "pos", F.col("asset").alias(c), F.col("v").alias(f"v{c}"), F.col("z").alias(f"z{c}")) for c in "ab")
+    cross = F.col("za") * F.col("zb")
+    m = a.join(b, ["experiment", "k", "pos"]).groupBy("experiment", "k", "a", "b").agg(
+        (F.first("va") * F.first("vb")).alias("scale"), F.avg(cross).alias("r"), F.avg(cross * cross).alias("both"), F.avg(F.col("za") * F.col("za") * cross).alias("third"), F.count(F.lit(1)).alias("t"),
+    )
+    off = F.col("a") != F.col("b")
+    m = m.withColumn("mean", F.avg(F.when(off, F.col("r"))).over(Window.partitionBy("experiment", "k")))
+    missed = F.sum(F.when(off, F.col("scale") * (F.col("mean") - F.col("r")) * (F.col("mean") - F.col("r"))))
+    noise = F.sum(F.col("scale") * (F.col("both") - F.col("r") * F.col("r")))
+    common = F.sum(F.when(off, F.col("mean") * F.col("scale") * (F.col("third") - F.col("r"))).otherwise(F.col("scale") * (F.col("both") - 1)))
+    share = F.coalesce(F.try_divide(noise - common, missed * F.first("t")), F.lit(0.0))
+    return m.groupBy("experiment", "k").agg(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)).alias("intensity"))
 
 
 def optimality(weights: DataFrame, covs: DataFrame) -> DataFrame:
@@ -132,3 +155,28 @@ def optimality(weights: DataFrame, covs: DataFrame) -> DataFrame:
     pairs = w.withColumnRenamed("asset", "a").join(covs, ["experiment", "k", "a"]).join(b, ["experiment", "k", "strategy", "b"])
     var = pairs.groupBy("experiment", "strategy", "k").agg(F.sum(F.col("w") * F.col("wb") * F.col("cov")).alias("variance"), F.avg("cov").alias("equal_variance"))
     return var.join(w.groupBy("experiment", "strategy", "k").agg(F.sum("w").alias("total"), F.min("w").alias("least")), ["experiment", "strategy", "k"])
+
+
+def kkt(weights: DataFrame, est: DataFrame, covs: DataFrame, periods: int, aversion: float = 3.0) -> DataFrame:
+    """Whether the weights of GMV, MV, MDP, MDC and ERC meet the conditions of their optimum, by (experiment, strategy, k).
+
+    A quadratic program's gradient, over the coefficient of its budget, is least and equal on what is held; ERC's risk
+    shares are equal. Of the scale-free strategies the weights before normalisation are meant, which are in proportion.
+    """
+    key = ["experiment", "k"]
+    w = weights.filter("w is not null").join(est.select(*key, "asset", "mean", "sd"), [*key, "asset"])
+    other = w.select("strategy", *key, F.col("asset").alias("b"), F.col("w").alias("wb"), F.col("sd").alias("sdb"))
+    pairs = w.withColumnRenamed("asset", "a").join(covs.select(*key, "a", "b", "cov"), [*key, "a"]).join(other, ["strategy", *key, "b"])
+    corr = F.col("cov") / (F.col("sd") * F.col("sdb"))
+    pull = pairs.groupBy("strategy", *key, "a").agg(F.first("w").alias("w"), F.first("mean").alias("mean"), F.first("sd").alias("sd"), F.sum(F.col("wb") * F.col("cov")).alias("cw"), F.sum(F.col("wb") * corr).alias("rw"))
+    gradient = (
+        F.when(F.col("strategy") == "GMV", F.col("cw") * periods)
+        .when(F.col("strategy") == "MV", (F.col("cw") * aversion - F.col("mean")) * periods)
+        .when(F.col("strategy") == "MDP", F.col("cw") / F.col("sd"))
+        .when(F.col("strategy") == "MDC", F.col("rw"))
+        .when(F.col("strategy") == "ERC", F.col("cw") * F.col("w"))
+    )
+    g = pull.withColumn("g", gradient).groupBy("experiment", "strategy", "k").agg(
+        F.sum("w").alias("total"), F.min("w").alias("least"), F.min("g").alias("floor"), F.max(F.abs("g")).alias("size"), F.max(F.when(F.col("w") > 1e-9, F.col("g"))).alias("top"),
+    )
+    return g.select("experiment", "strategy", "k", (F.abs(F.col("total") - 1) < 1e-9).alias("invested"), (F.col("least") >= 0).alias("long_only"), (F.col("top") - F.col("floor") <= 1e-6 * F.greatest("size", F.lit(1e-12))).alias("optimal"))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, panel, performance, sampler, strategies
 from ..sources import market
+from ..sources.lineage import written
 
 SCHEDULE = sampler.WEEKLY
 BASES = {"gross": 0.0, "net": 1.0, "net_2x": 2.0}
+N_EXPERIMENTS = 100
 RELATIONAL = ("EW", "IV", "QNT")
 BENCHMARK = "NATION_0"
 STRESS = ("1998-02-15", "1998-05-15")
@@ -28,12 +30,14 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 class Lab:
+    """Observations, experiments and their windows are written once; every branch of a query starts from those."""
+
     def __init__(self, spark: SparkSession, sf_dir: str, freq: str = "weekly", level: str = "nation"):
         self.spark, self.sf_dir, self.freq, self.level = spark, sf_dir, freq, level
 
     @cached_property
     def obs(self) -> DataFrame:
-        return market.observations(self.spark, self.sf_dir, self.freq, level=self.level)
+        return written(market.observations(self.spark, self.sf_dir, self.freq, level=self.level))
 
     @cached_property
     def universe(self) -> DataFrame:
@@ -59,16 +63,20 @@ class Lab:
 
     @cached_property
     def exp_asset(self) -> DataFrame:
-        return sampler.arithmetic_experiments(self.cal, self.universe, SCHEDULE)
+        return written(sampler.sample_experiments(self.panel, self.universe, SCHEDULE, N_EXPERIMENTS))
 
     @cached_property
     def windows(self) -> DataFrame:
-        return sampler.experiment_windows(self.exp_asset, self.panel, SCHEDULE)
+        return written(sampler.experiment_windows(self.exp_asset, self.panel, SCHEDULE))
 
     @cached_property
     def trades(self) -> DataFrame:
         return sampler.rebalances(self.exp_asset, SCHEDULE)
 
+    @cached_property
+    def checked_trades(self) -> DataFrame:
+        return sampler.guarded(sampler.with_last_used(self.trades, self.rows))
+
     @cached_property
     def rows(self) -> DataFrame:
         return strategies.estimation_rows(self.windows, self.trades)
@@ -91,7 +99,7 @@ class Runs:
 
     @cached_property
     def targets(self) -> DataFrame:
-        return backtest.effective(self.weights, self.lab.trades)
+        return backtest.effective(self.weights, self.lab.checked_trades)
 
     @cached_property
     def segments(self) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .context import BENCHMARK, SCHEDULE, STRESS
+from math import gamma
+
+from ..functions.distributions import NODES, SPLIT, node_rates, series_terms
+from .context import BENCHMARK, N_EXPERIMENTS, SCHEDULE, STRESS
 
 _DAY = "l_shipdate::DATE"
 _PERIOD = {"daily": _DAY, "weekly": f"({_DAY} + ((12 - dayofweek({_DAY})) % 7)::INT)::DATE", "monthly": f"last_day({_DAY})"}
@@ -49,12 +52,23 @@ lagged{tag} AS (SELECT a.asset, g.lag, a.n, sum(a.d * b.d) AS xs, sum(a.d * b.d
                FROM y{tag} a JOIN (SELECT unnest(range(1, {lags + 1})) AS lag) g ON true JOIN y{tag} b ON a.asset = b.asset AND b.t = a.t + g.lag JOIN ss{tag} s ON a.asset = s.asset GROUP BY 1, 2, 3)"""
 
 
+def erfc(x: str) -> str:
+    low = "0.0::DOUBLE"
+    for c in reversed(series_terms()):
+        low = f"({low}) * ({x}) * ({x}) + ({c!r}::DOUBLE)"
+    high = " + ".join(f"exp(-({x}) * ({x}) * {rate!r}::DOUBLE)" for rate in node_rates())
+    return f"CASE WHEN {x} < {SPLIT} THEN 1 - ({x}) * ({low}) ELSE ({high}) / {NODES} END"
+
+
 def chi2_sf(x: str, df: int) -> str:
-    terms, fact = ["1.0"], 1.0
-    for j in range(1, df // 2):
-        fact *= j
-        terms.append(f"power({x} / 2, {j}) / {fact!r}")
-    return f"exp(-({x}) / 2) * ({' + '.join(terms)})"
+    powers = [j + 0.5 * (df % 2) for j in range((df + 1) // 2 - df % 2)]
+    tail = f"exp(-({x}) / 2) * (" + (" + ".join(f"power({x} / 2, {p}::DOUBLE) / {gamma(p + 1)!r}::DOUBLE" for p in powers) or "0.0") + ")"
+    return f"{tail} + ({erfc(f'sqrt({x} / 2)')})" if df % 2 else tail
+
+
+def at_lags(lags: tuple[int, ...], q: str = "q") -> str:
+    """The tail of q at the degrees of freedom in column lags."""
+    return "CASE lags " + " ".join(f"WHEN {k} THEN {chi2_sf(q, k)}" for k in lags) + " END"
 
 
 _S = SCHEDULE
@@ -62,9 +76,13 @@ PAIRS = """,
 pr AS (SELECT a.asset AS a, b.asset AS b, corr(a.r, b.r) AS corr, covar_samp(a.r, b.r) AS cov, count(*) AS n FROM ret a JOIN ret b ON a.date = b.date WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2)"""
 
 EXPERIMENTS = PANEL + f""",
-exps AS (SELECT k::INT AS experiment, (k * 37 % greatest((SELECT max(session) FROM cal) - {_S.window}, 1) + 1)::INT AS anchor FROM range(20) t(k)),
-member AS (SELECT asset, row_number() OVER (PARTITION BY sector ORDER BY ord) - 1 AS m FROM uni),
-ea AS (SELECT experiment, anchor, asset FROM exps JOIN member ON m = experiment % 5 OR m = (experiment + 1 + experiment % 4) % 5),
+cand AS (SELECT c, asset FROM (SELECT unnest(range({4 * N_EXPERIMENTS})) AS c) CROSS JOIN uni QUALIFY row_number() OVER (PARTITION BY c, sector ORDER BY md5('42:' || c || ':' || asset)) <= 2),
+el AS (SELECT asset, session AS anchor FROM (SELECT asset, session, count(price) OVER (PARTITION BY asset ORDER BY session ROWS BETWEEN CURRENT ROW AND {_S.window} FOLLOWING) AS has FROM panel) WHERE has = {_S.window + 1}),
+sz AS (SELECT c, count(*) AS size, string_agg(asset, ',' ORDER BY asset) AS subset FROM cand GROUP BY c),
+op AS (SELECT c, anchor, subset FROM (SELECT c, anchor, count(*) AS have FROM cand JOIN el USING (asset) GROUP BY 1, 2) JOIN sz USING (c) WHERE have = size QUALIFY row_number() OVER (PARTITION BY c ORDER BY md5('42:' || c || ':' || anchor), anchor) = 1),
+ds AS (SELECT c, anchor FROM op QUALIFY row_number() OVER (PARTITION BY anchor, subset ORDER BY c) = 1),
+exps AS (SELECT (row_number() OVER (ORDER BY c) - 1)::INT AS experiment, c, anchor::INT AS anchor FROM ds QUALIFY row_number() OVER (ORDER BY c) <= {N_EXPERIMENTS}),
+ea AS (SELECT experiment, anchor, asset FROM exps JOIN cand USING (c)),
 win AS (SELECT experiment, asset, session - anchor AS pos, date, price, price / lag(price) OVER (PARTITION BY experiment, asset ORDER BY session) - 1 AS s
         FROM ea JOIN panel USING (asset) WHERE session BETWEEN anchor AND anchor + {_S.window}),
 tr AS (SELECT experiment, k, {_S.estimation} + {_S.every} * k AS execution, {_S.estimation - _S.lag} + {_S.every} * k AS formation,

@@ -11,7 +11,7 @@ from ..functions import formatting
 from ..operators import backtest, dependence, panel, performance, returns, robustness, sampler, statistics, strategies, verdicts, volatility
 from ..sources.lineage import written
 from . import oracles as o
-from .context import BENCHMARK, SCHEDULE, STRESS, Lab, Runs, tidy
+from .context import BENCHMARK, N_EXPERIMENTS, SCHEDULE, STRESS, Lab, Runs, tidy
 from .oracles import sel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,21 +172,22 @@ query(
     + " UNION ALL ".join(f"SELECT asset, {k} AS sigma, count(*) FILTER (z > {k}) AS observed, count(*) * {p}::DOUBLE AS expected FROM zz GROUP BY asset" for k, p in TAIL_SF.items())
     + f") {sel(asset='asset', sigma='#sigma', observed='#observed', expected='~expected')} FROM ez",
 )(lambda b: statistics.exceedances(b.r))
-_L = o.lagged(20) + o.lagged(20, "abs(x)", "_a") + o.lagged(20, "x * x", "_s")
+LAGS, Q_LAGS = 40, (5, 10, 20)
+_L = o.lagged(LAGS) + o.lagged(LAGS, "abs(x)", "_a") + o.lagged(LAGS, "x * x", "_s")
 query(
     "acf_lags",
     f"{P}{_L} {sel(asset='c.asset', lag='#c.lag', raw='~c.xs / c.ss', band='~1.96 / sqrt(c.n)', robust_band='~1.96 * sqrt(c.xs2 / (c.n - c.lag) / ((c.ss / c.n) * (c.ss / c.n)) / c.n)', absolute='~a.xs / a.ss', squared='~s.xs / s.ss')} FROM lagged c JOIN lagged_a a ON a.asset = c.asset AND a.lag = c.lag JOIN lagged_s s ON s.asset = c.asset AND s.lag = c.lag",
-)(lambda b: statistics.acf(b.r, 20))
+)(lambda b: statistics.acf(b.r, LAGS))
 query(
     "robust_portmanteau",
-    P + o.lagged(20) + ", rp AS (" + " UNION ALL ".join(f"SELECT asset, {k} AS lags, sum(xs * xs / xs2) AS q FROM lagged WHERE lag <= {k} GROUP BY asset" for k in (10, 20)) + ") "
-    + sel(asset="asset", lags="#lags", q="~q", p=f"~CASE lags WHEN 10 THEN {o.chi2_sf('q', 10)} ELSE {o.chi2_sf('q', 20)} END") + " FROM rp",
-)(lambda b: statistics.robust_portmanteau(b.r, (10, 20)))
+    P + o.lagged(20) + ", rp AS (" + " UNION ALL ".join(f"SELECT asset, {k} AS lags, sum(xs * xs / xs2) AS q FROM lagged WHERE lag <= {k} GROUP BY asset" for k in Q_LAGS) + ") "
+    + sel(asset="asset", lags="#lags", q="~q", p="~" + o.at_lags(Q_LAGS)) + " FROM rp",
+)(lambda b: statistics.robust_portmanteau(b.r, Q_LAGS))
 query(
     "ljung_box",
-    P + _L + ", lb AS (" + " UNION ALL ".join(f"SELECT asset, {k} AS lags, '{t}' AS transform, any_value(n) * (any_value(n) + 2) * sum(xs / ss * xs / ss / (n - lag)) AS q FROM lagged{s} WHERE lag <= {k} GROUP BY asset" for k in (10, 20) for t, s in (("raw", ""), ("absolute", "_a"), ("squared", "_s"))) + ") "
-    + sel(asset="asset", lags="#lags", transform="transform", q="~q", p=f"~CASE lags WHEN 10 THEN {o.chi2_sf('q', 10)} ELSE {o.chi2_sf('q', 20)} END") + " FROM lb",
-)(lambda b: statistics.ljung_box(b.r, (10, 20)))
+    P + _L + ", lb AS (" + " UNION ALL ".join(f"SELECT asset, {k} AS lags, '{t}' AS transform, any_value(n) * (any_value(n) + 2) * sum(xs / ss * xs / ss / (n - lag)) AS q FROM lagged{s} WHERE lag <= {k} GROUP BY asset" for k in Q_LAGS for t, s in (("raw", ""), ("absolute", "_a"), ("squared", "_s"))) + ") "
+    + sel(asset="asset", lags="#lags", transform="transform", q="~q", p="~" + o.at_lags(Q_LAGS)) + " FROM lb",
+)(lambda b: statistics.ljung_box(b.r, Q_LAGS))
 query(
     "stress_sensitivity",
     f"""{P}, bo AS (SELECT *, 'full' AS sample FROM x UNION ALL SELECT *, 'excluding' FROM x WHERE NOT (date BETWEEN DATE '{STRESS[0]}' AND DATE '{STRESS[1]}')),
@@ -216,7 +217,9 @@ E, W, S, R, T = o.EXPERIMENTS, o.WEIGHTS, o.SEGMENTS, o.returns(), o.METRICS
 query("experiments", f"{E} {sel(experiment='#experiment', anchor='#anchor', asset='asset')} FROM ea")(lambda b: b.exp_asset)
 query("experiment_windows", f"{E} {sel(experiment='#experiment', asset='asset', pos='#pos', date='date', price='~price', s='~s')} FROM win")(lambda b: b.windows)
 query("rebalance_schedule", f"{E} {sel(experiment='#experiment', k='#k', execution='#execution', formation='#formation', first='#first')} FROM tr")(lambda b: b.trades)
-query("lookahead_violations", f"{E} {sel(violations='#count(*) FILTER (first > formation OR formation >= execution)', trades='#count(*)')} FROM tr")(lambda b: sampler.lookahead_violations(b.trades))
+query("lookahead_violations", f"{E}, lu AS (SELECT experiment, k, max(pos) AS u FROM er GROUP BY 1, 2) {sel(violations='#count(*) FILTER (u IS NULL OR first > formation OR u > formation OR formation >= execution OR execution >= execution + 1)', trades='#count(*)')} FROM tr LEFT JOIN lu USING (experiment, k)")(
+    lambda b: sampler.lookahead_violations(sampler.with_last_used(b.trades, b.rows))
+)
 query("estimates", f"{E} {sel(experiment='#experiment', k='#k', asset='asset', mean='~mean', sd='~sd', n='#n')} FROM est")(lambda b: strategies.estimates(b.rows))
 query(
     "pair_covariances",
@@ -315,8 +318,8 @@ query("top_effects", f"{_EFFECT}, te AS (SELECT *, row_number() OVER (PARTITION
 )
 query(
     "noise_yardstick",
-    f"{_EFFECT}, wr AS (SELECT strategy, {o.share('sharpe > b_sharpe')} / 100 AS p FROM ag2 WHERE basis = 'net' GROUP BY 1), nb AS (SELECT ef.*, 200 * sqrt(p * (1 - p) / n_held + p * (1 - p) / nullif(20 - n_held, 0)) AS band FROM ef JOIN wr ON ef.strategy = wr.strategy) {sel(strategy='strategy', asset='asset', effect_pp='~effect_pp', band_pp='~band', beyond='abs(effect_pp) > band')} FROM nb",
-)(lambda b: robustness.noise_yardstick(robustness.asset_effect(_metrics(b), b.exp_asset, b.universe), 20, performance.win_rates(_metrics(b)).filter("basis = 'net'").select("strategy", "beats_pct")))
+    f"{_EFFECT}, wr AS (SELECT strategy, {o.share('sharpe > b_sharpe')} / 100 AS p FROM ag2 WHERE basis = 'net' GROUP BY 1), nb AS (SELECT ef.*, 200 * sqrt(p * (1 - p) / n_held + p * (1 - p) / nullif({N_EXPERIMENTS} - n_held, 0)) AS band FROM ef JOIN wr ON ef.strategy = wr.strategy) {sel(strategy='strategy', asset='asset', effect_pp='~effect_pp', band_pp='~band', beyond='abs(effect_pp) > band')} FROM nb",
+)(lambda b: robustness.noise_yardstick(robustness.asset_effect(_metrics(b), b.exp_asset, b.universe), N_EXPERIMENTS, performance.win_rates(_metrics(b)).filter("basis = 'net'").select("strategy", "beats_pct")))
 _CONC = S + ", cd AS (SELECT experiment, strategy, pos, max(weight) AS top, 1 / sum(weight * weight) AS eff FROM dw GROUP BY 1, 2, 3), cn AS (SELECT experiment, strategy, avg(top) AS mw, avg(eff) AS en, avg(CASE WHEN top > 0.99 THEN 1.0::DOUBLE ELSE 0 END) AS sa FROM cd GROUP BY 1, 2)"
 query("concentration", f"{_CONC} {sel(experiment='#experiment', strategy='strategy', max_weight='~mw', effective_n='~en', single_asset='~sa')} FROM cn")(lambda b: robustness.concentration(_runs(b).daily_weights))
 query("concentration_table", f"{_CONC} {sel(strategy='strategy', max_weight_pct='~avg(mw) * 100', effective_n='~avg(en)', lowest_n='~min(en)', single_pct='~avg(sa) * 100')} FROM cn GROUP BY strategy")(lambda b: robustness.concentration_table(robustness.concentration(_runs(b).daily_weights)))
@@ -404,6 +407,10 @@ for _name, _keep in (("gmv_n2", ("GMV",)), ("mv_n2", ("MV",)), ("msr_n2", ("MSR"
 query("solved_optimality", f"{E}, sk AS (SELECT DISTINCT experiment, k FROM tr) {sel(experiment='#experiment', k='#k', invested='true', long_only='true', calmer='true')} FROM sk")(
     lambda b: strategies.optimality(b.solved.filter("strategy = 'GMV'"), strategies.pair_covariances(b.rows)).select("experiment", "k", (F.abs(F.col("total") - 1) < 1e-9).alias("invested"), (F.col("least") >= 0).alias("long_only"), (F.col("variance") <= F.col("equal_variance") + 1e-12).alias("calmer"))
 )
+_SOLVED = ("GMV", "MV", "MDP", "MDC", "ERC")
+query("solved_kkt", f"{E} {sel(experiment='#experiment', strategy='strategy', k='#k', invested='true', long_only='true', optimal='true')} FROM (SELECT DISTINCT experiment, k FROM est) CROSS JOIN (SELECT unnest({list(_SOLVED)!r}) AS strategy)")(
+    lambda b: strategies.kkt(strategies.solved(b.rows, SCHEDULE, names=_SOLVED), strategies.estimates(b.rows), strategies.pair_covariances(b.rows), SCHEDULE.periods)
+)
 query("equal_risk_shares", f"{E} {sel(experiment='#experiment', k='#k', asset='asset', equal='true')} FROM est")(
     lambda b: strategies.risk_contributions(strategies.solved(b.rows, SCHEDULE, names=("ERC",)), strategies.pair_covariances(b.rows)).select("experiment", "k", "asset", (F.abs(F.col("share") - 0.1) < 1e-7).alias("equal"))
 )
@@ -421,12 +428,20 @@ query("calm_experiments", f"{T}{o.CRISIS} {sel(strategy='strategy', n='#count(*)
     lambda b: performance.against(_metrics(b)).filter("basis = 'net'").join(robustness.crisis_groups(b.windows, SCHEDULE.estimation, *STRESS).filter("crisis = 'neither'"), "experiment").groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.median(F.col("sharpe") - F.col("b_sharpe")).alias("d_sharpe"))
 )
 query("conditioning", None)(lambda b: strategies.conditioning(b.rows))
-query("shrinkage_intensity", None)(lambda b: strategies.shrinkage(b.rows).agg(F.min("intensity").alias("least"), F.median("intensity").alias("median"), F.max("intensity").alias("most")))
+_SHRINK = E + """, zz AS (SELECT experiment, k, asset, pos, var_pop(s) OVER p AS v, (s - avg(s) OVER p) / stddev_pop(s) OVER p AS z FROM er WINDOW p AS (PARTITION BY experiment, k, asset)),
+pm AS (SELECT a.experiment, a.k, a.asset AS a, b.asset AS b, any_value(a.v) * any_value(b.v) AS sc, avg(a.z * b.z) AS r, avg(a.z * b.z * a.z * b.z) AS m22, avg(a.z * a.z * a.z * b.z) AS m31, count(*) AS t
+       FROM zz a JOIN zz b ON a.experiment = b.experiment AND a.k = b.k AND a.pos = b.pos GROUP BY 1, 2, 3, 4),
+pq AS (SELECT *, avg(CASE WHEN a <> b THEN r END) OVER (PARTITION BY experiment, k) AS rb FROM pm),
+si AS (SELECT experiment, k, least(greatest(coalesce((sum(sc * (m22 - r * r)) - sum(CASE WHEN a <> b THEN rb * sc * (m31 - r) ELSE sc * (m22 - 1) END)) / nullif(sum(CASE WHEN a <> b THEN sc * (rb - r) * (rb - r) END) * any_value(t), 0), 0), 0), 1) AS x FROM pq GROUP BY 1, 2)"""
+query("shrinkage_by_window", f"{_SHRINK} {sel(experiment='#experiment', k='#k', intensity='~x')} FROM si")(lambda b: strategies.shrinkage(b.rows))
+query("shrinkage_intensity", f"{_SHRINK} {sel(least='~min(x)', q05='~quantile_cont(x, 0.05)', median='~median(x)', q95='~quantile_cont(x, 0.95)', most='~max(x)')} FROM si")(
+    lambda b: strategies.shrinkage(b.rows).agg(F.min("intensity").alias("least"), F.percentile("intensity", F.lit(0.05)).alias("q05"), F.median("intensity").alias("median"), F.percentile("intensity", F.lit(0.95)).alias("q95"), F.max("intensity").alias("most"))
+)
 query("aversion_sweep", None)(lambda b: _aversions(b))
 query("normality_tests", None)(lambda b: volatility.normality_tests(b.r))
 query("volatility_models", None)(lambda b: volatility.fit_models(b.r))
 query("volatility_persistence", None)(lambda b: volatility.persistence(volatility.fit_models(b.r)))
-query("news_impact", None)(lambda b: volatility.news_impact(volatility.fit_models(b.r, ("GARCH-N", "GJR-t"))))
+query("news_impact", None)(lambda b: volatility.news_impact(volatility.fit_models(b.r, ("GARCH-N", "GJR-t", "EGARCH-t"))))
 
 
 def _aversions(b: Lab, values: tuple[float, ...] = (1.0, 2.0, 3.0, 5.0, 10.0, 20.0)) -> DataFrame:
@@ -440,19 +455,19 @@ def _aversions(b: Lab, values: tuple[float, ...] = (1.0, 2.0, 3.0, 5.0, 10.0, 20
 
 query(
     "verdict_serial_correlation",
-    P + o.lagged(20) + ", rp AS (" + " UNION ALL ".join(f"SELECT asset, {k} AS lags, sum(xs * xs / xs2) AS q FROM lagged WHERE lag <= {k} GROUP BY asset" for k in (10, 20)) + f"), pp AS (SELECT asset, min(CASE lags WHEN 10 THEN {o.chi2_sf('q', 10)} ELSE {o.chi2_sf('q', 20)} END) AS p FROM rp GROUP BY asset), "
+    P + o.lagged(20) + ", rp AS (" + " UNION ALL ".join(f"SELECT asset, {k} AS lags, sum(xs * xs / xs2) AS q FROM lagged WHERE lag <= {k} GROUP BY asset" for k in Q_LAGS) + f"), pp AS (SELECT asset, min({o.at_lags(Q_LAGS)}) AS p FROM rp GROUP BY asset), "
     + "mr AS (SELECT asset, max(abs(xs / ss)) AS mx FROM lagged GROUP BY asset) "
     + sel(asset="pp.asset", fact="#1", verdict="CASE WHEN p >= 0.05 THEN 'Supported' WHEN mx < 0.1 THEN 'Partial' ELSE 'Not supported' END") + " FROM pp JOIN mr ON pp.asset = mr.asset",
-)(lambda b: verdicts.serial_correlation(statistics.robust_portmanteau(b.r, (10, 20)), statistics.acf(b.r, 20)).drop("evidence"))
+)(lambda b: verdicts.serial_correlation(statistics.robust_portmanteau(b.r, Q_LAGS), statistics.acf(b.r, LAGS)).drop("evidence"))
 
 
 def _verdicts(b: Lab) -> DataFrame:
     tests, fits = volatility.normality_tests(b.r), volatility.fit_models(b.r, ("GJR-t", "EGARCH-t"))
-    out = verdicts.serial_correlation(statistics.robust_portmanteau(b.r, (10, 20)), statistics.acf(b.r, 20))
+    out = verdicts.serial_correlation(statistics.robust_portmanteau(b.r, Q_LAGS), statistics.acf(b.r, LAGS))
     for part in (
         verdicts.fat_tails(statistics.describe(b.r), tests),
         verdicts.negative_skew(tests),
-        verdicts.clustering(statistics.ljung_box(b.r, (10, 20)), tests),
+        verdicts.clustering(statistics.ljung_box(b.r, Q_LAGS), tests),
         verdicts.leverage(fits),
         verdicts.conditional_normality(statistics.describe(volatility.standardised_residuals(b.r)), volatility.persistence(fits)),
     ):

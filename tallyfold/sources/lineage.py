@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir (one of our own only where that is unset) and read from there."""
+    """df, written to the folder in spark.checkpoint.dir and read from there.
+
+    Where that is unset a folder of our own is made, on one machine only: a cluster needs one that its hosts share.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyfold-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import backtest, sampler, strategies
 
+#: The hand-computed ledger.
 LEDGER = sampler.Schedule(estimation=2, evaluation=4, every=2, lookback=2, lag=1, periods=252)
 A = [100, 100, 100, 110, 132, 118.8, 124.74]
 B = [100, 100, 100, 95, 95, 104.5, 104.5]
@@ -78,12 +79,18 @@ def test_schedule_places(ledger):
 
 
 def test_guard(ledger):
-    trades = sampler.rebalances(ledger[1], LEDGER)
-    sampler.guard(trades)
-    with pytest.raises(sampler.LookAhead):
-        sampler.guard(trades.withColumn("formation", F.col("execution")))
-    with pytest.raises(sampler.LookAhead):
-        sampler.guard(trades.withColumn("last_used", F.col("formation") + 1))
+    panel, exp, _ = ledger
+    trades = sampler.rebalances(exp, LEDGER)
+    rows = strategies.estimation_rows(sampler.experiment_windows(exp, panel, LEDGER), trades)
+    known = sampler.with_last_used(trades, rows)
+    sampler.guard(known)
+    assert sampler.guarded(known).count() == trades.count()
+    for name, value in (("formation", F.col("execution")), ("last_used", F.col("formation") + 1), ("last_used", F.lit(None).cast("int")), ("earns", F.col("execution")), ("first", F.col("formation") + 1)):
+        bad = known.withColumn(name, value)
+        with pytest.raises(sampler.LookAhead):
+            sampler.guard(bad)
+        with pytest.raises(Exception, match="LookAhead"):
+            sampler.guarded(bad).collect()
 
 
 def test_the_future_leaves_past_weights_alone(ledger):
@@ -98,18 +105,21 @@ def test_the_future_leaves_past_weights_alone(ledger):
 
 
 def test_sampler(spark):
-    groups = {g: [f"{g}{k}" for k in range(4)] for g in "XY"}
-    assets = [a for g in groups.values() for a in g]
-    available = np.ones((40, 8), bool)
-    available[5, 0] = False
+    days = [dt.date(2020, 1, 1) + dt.timedelta(k) for k in range(40)]
+    assets = [(f"{g}{k}", g) for g in "XY" for k in range(4)]
+    panel = spark.createDataFrame([(k + 1, d, a, None if (k, a) == (5, "X0") else 1.0) for a, _ in assets for k, d in enumerate(days)], "session int, date date, asset string, price double")
+    universe = spark.createDataFrame(assets, "asset string, sector string")
     s = sampler.Schedule(8, 4, 2, 4)
-    draw = lambda seed: sorted(map(tuple, sampler.sample_experiments(spark, available, assets, groups, s, 15, 4, seed).collect()))
-    rows = draw(1)
-    assert rows == draw(1) != draw(2)
+    draw = lambda **k: sorted(map(tuple, sampler.sample_experiments(panel, universe, s, 15, **k).collect()))
+    rows = draw()
+    assert rows == draw() != draw(seed=2)
     by = {}
-    for e, anchor, asset, _ in rows:
+    for e, anchor, asset in rows:
         by.setdefault((e, anchor), []).append(asset)
     assert len(by) == 15 and all(sum(a[0] == "X" for a in v) == 2 == len(v) - 2 for v in by.values())
-    assert all(not ("X0" in v and anchor - 1 <= 5 <= anchor - 1 + 12) for (_, anchor), v in by.items())
+    assert len({(anchor, tuple(sorted(v))) for (_, anchor), v in by.items()}) == 15
+    assert all(not ("X0" in v and anchor <= 6 <= anchor + 12) for (_, anchor), v in by.items())
+    loose = draw(stratified=False, each=4, distinct=False)
+    assert len({e for e, *_ in loose}) == 15 and len(loose) == 60
     with pytest.raises(ValueError):
-        sampler.subset_rule(groups, 3)
+        sampler.subset_rule({g: [a for a, x in assets if x == g] for g in "XY"}, 3)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tallyfold.operators import kernels as k
+from tallyfold.operators import strategies
 
 
 def constructed(mu, cov, t=252):
@@ -86,10 +87,22 @@ def test_shrinkage_keeps_variances_and_is_positive_definite():
     assert np.linalg.eigvalsh(cov).min() > 0
 
 
-@pytest.mark.parametrize("w", [[0.5, 0.6], [1.1, -0.1], [np.nan, 1.0]])
-def test_invalid_weights(w):
-    with pytest.raises(ValueError):
-        k.valid_weights(np.array(w))
+def test_weights_are_validated(spark):
+    cases = {"over": [0.5, 0.6], "short": [1.1, -0.1], "nan": [float("nan"), 1.0], "near": [1.0 + 5e-7, -5e-7], "own": [None, None]}
+    rows = [(0, name, 0, a, x, "Infeasible: none" if name == "own" else None) for name, w in cases.items() for a, x in zip("AB", w)]
+    got = {}
+    for r in strategies.validated(spark.createDataFrame(rows, strategies.SCHEMA)).orderBy("asset").collect():
+        got.setdefault(r["strategy"], []).append((r["w"], r["error"]))
+    assert got["near"] == [(1.0, None), (0.0, None)]
+    for name, words in (("over", "sum to 1.1"), ("short", "is short"), ("nan", "not finite"), ("own", "Infeasible: none")):
+        assert all(w is None and words in e for w, e in got[name])
+
+
+def test_shrinkage_in_sql_is_that_of_the_kernel(spark):
+    x = np.random.default_rng(8).standard_normal((40, 5)) @ np.diag(np.arange(1, 6)) + 0.3
+    rows = [(0, 0, f"A{j}", t, float(x[t, j])) for t in range(40) for j in range(5)]
+    got = strategies.shrinkage(spark.createDataFrame(rows, "experiment int, k int, asset string, pos int, s double")).first()["intensity"]
+    assert abs(got - k.shrink_constant_correlation(x)[1]) < 1e-9
 
 
 def test_bootstrap_is_reproducible_and_keeps_the_mean():
