@@ -42,3 +42,40 @@ def chi2_sf(x: Column, df: int) -> Column:
         total = total + F.pow(half, F.lit(power)) / F.lit(gamma(power + 1))
     tail = F.exp(-half) * total
     return tail + erfc(F.sqrt(half)) if df % 2 else tail
+
+
+#: Acklam's rational approximation of the normal quantile, middle and tail, and where they meet.
+MIDDLE = ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0))
+TAIL = ((-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0))
+MEET = 0.02425
+
+
+def _polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + F.lit(c)
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the normal distribution function, to nine digits."""
+    q = p - 0.5
+    middle = q * _polynomial(q * q, MIDDLE[0]) / _polynomial(q * q, MIDDLE[1])
+    far = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    tail = _polynomial(far, TAIL[0]) / _polynomial(far, TAIL[1])
+    return F.when(F.abs(q) <= 0.5 - MEET, middle).when(q < 0, tail).otherwise(-tail)
+
+
+def student5_quantile(p: Column) -> Column:
+    """Inverse of Student's distribution with 5 degrees of freedom, by halving the angle atan(t / sqrt(5)) 50 times."""
+    target = (p - 0.5) * pi
+    step = lambda s, i: F.struct(
+        F.when(_angle(s["at"]) < target, s["at"] + s["width"] / 2).otherwise(s["at"] - s["width"] / 2).alias("at"), (s["width"] / 2).alias("width")
+    )
+    begin = F.struct(F.lit(0.0).alias("at"), F.lit(pi / 2).alias("width"))
+    return F.tan(F.aggregate(F.sequence(F.lit(1), F.lit(50)), begin, step, lambda s: s["at"])) * sqrt(5)
+
+
+def _angle(a: Column) -> Column:
+    """(F(t) - 1/2) pi of Student's distribution with 5 degrees of freedom at t = sqrt(5) tan(a)."""
+    return a + F.sin(a) * F.cos(a) * (1 + F.cos(a) * F.cos(a) * 2 / 3)

@@ -93,14 +93,22 @@ def fixed_mix(windows: DataFrame, weights: DataFrame, schedule: Schedule) -> Dat
     return inside.join(first, ["experiment", "asset"]).groupBy(*_run, "pos", "date").agg(F.sum(F.col("w") * F.col("s")).alias("ret"))
 
 
-def design(exp_asset: DataFrame) -> DataFrame:
-    """One row: experiments, distinct subsets, and the median number of assets two experiments share."""
+def design(exp_asset: DataFrame, cal: DataFrame, schedule: Schedule) -> DataFrame:
+    """One row: experiments, distinct subsets, median and largest number of assets two experiments share, and the share
+    of the sessions from the first anchor on that some evaluation covers."""
     sets = exp_asset.groupBy("experiment").agg(F.sort_array(F.collect_list("asset")).alias("assets"))  # one subset each
     base = sets.agg(F.count(F.lit(1)).alias("experiments"), F.count_distinct("assets").alias("subsets"))
     pairs = exp_asset.alias("a").join(exp_asset.alias("b"), F.col("a.asset") == F.col("b.asset")).filter("a.experiment < b.experiment").groupBy("a.experiment", "b.experiment").agg(F.count(F.lit(1)).alias("shared"))
-    total = base.select((F.col("experiments") * (F.col("experiments") - 1) / 2).cast("long").alias("pairs"))
-    found = pairs.agg(F.sum("shared").alias("s"), F.max("shared").alias("most"))
-    return base.crossJoin(found).crossJoin(total).select("experiments", "subsets", (F.col("s") / F.col("pairs")).alias("mean_shared"), F.col("most").alias("max_shared"))  # one row each
+    counted = pairs.groupBy("shared").agg(F.count(F.lit(1)).alias("n"))
+    # pairs that share nothing meet in no join
+    apart = base.select((F.col("experiments") * (F.col("experiments") - 1) / 2).alias("all"))
+    none = apart.crossJoin(counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("met"))).select(F.lit(0).cast("long").alias("shared"), (F.col("all") - F.col("met")).cast("long").alias("n"))  # one row each
+    shared = counted.unionByName(none).filter("n > 0").agg(F.expr("percentile(shared, 0.5, n)").alias("median_shared"), F.max("shared").alias("max_shared"))
+    anchors = exp_asset.select("experiment", "anchor").distinct()
+    inside = anchors.select(F.explode(F.sequence(F.col("anchor") + schedule.estimation + 1, F.col("anchor") + schedule.window)).alias("session")).distinct()
+    known = cal.join(inside.withColumn("covered", F.lit(1.0)), "session", "left").crossJoin(F.broadcast(anchors.agg(F.min("anchor").alias("first"))))  # one row
+    coverage = known.filter("session >= first").agg(F.avg(F.coalesce("covered", F.lit(0.0))).alias("coverage"))
+    return base.crossJoin(shared).crossJoin(coverage)  # one row each
 
 
 def inclusion(exp_asset: DataFrame, universe: DataFrame) -> DataFrame:
@@ -124,3 +132,16 @@ def one_way_turnover(traded: DataFrame, returns: DataFrame) -> DataFrame:
     span = returns.groupBy(*_run).agg((F.datediff(F.max("date"), F.min("date")) / 365.0).alias("years"))
     moved = traded.groupBy(*_run).agg((F.sum(F.when(F.col("k") > 0, F.col("turnover")).otherwise(0.0)) / 2).alias("moved"))
     return moved.join(span, [*_run]).select(*_run, F.try_divide("moved", "years").alias("turnover"))
+
+
+def benchmark_leg(windows: DataFrame, benchmark: DataFrame, schedule: Schedule) -> DataFrame:
+    """experiment, pos, date, ret: the benchmark's return (date, s) on each date that an experiment is evaluated on, null where it has none."""
+    dates = windows.filter(F.col("pos") > schedule.estimation).select("experiment", "pos", "date").distinct()
+    return dates.join(benchmark.select("date", F.col("s").alias("ret")), "date", "left").select("experiment", "pos", "date", "ret")
+
+
+def identity(exp_asset: DataFrame, trades: DataFrame) -> DataFrame:
+    """Weights of portfolios that each hold one asset of an experiment from its first trade on."""
+    a = exp_asset.select("experiment", F.concat(F.lit("BH "), "asset").alias("strategy"), F.col("asset").alias("own"))
+    rows = a.join(exp_asset.select("experiment", "asset"), "experiment").join(trades.select("experiment", "k").filter("k = 0"), "experiment")
+    return rows.select("experiment", "strategy", "k", "asset", F.when(F.col("asset") == F.col("own"), 1.0).otherwise(0.0).alias("w"), F.lit(None).cast("string").alias("error"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lineage import written
+
 
 def pair_moments(returns: DataFrame, value: str = "r") -> DataFrame:
     """a, b, corr, cov, n of every ordered pair of assets, from the dates on which both have a value."""
@@ -44,17 +46,37 @@ def with_others(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").groupBy(F.col("a").alias("asset")).agg(F.avg("corr").alias("mean_corr"), F.stddev_samp("corr").alias("sd_corr"))
 
 
-def spectrum(pairs: DataFrame) -> DataFrame:
-    """Share of the largest eigenvalue, the smallest one and the condition number of the correlation matrix.
+def squared(matrix: DataFrame) -> DataFrame:
+    """a, b, x of a symmetric matrix times itself, over its trace."""
+    right = matrix.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("x").alias("y"))
+    product = matrix.join(right, "b").groupBy("a", "c").agg(F.sum(F.col("x") * F.col("y")).alias("x"))
+    trace = product.filter("a = c").agg(F.sum("x").alias("trace"))
+    return product.crossJoin(F.broadcast(trace)).select("a", F.col("c").alias("b"), (F.col("x") / F.col("trace")).alias("x"))  # one row
+
+
+def top_eigenvalue(matrix: DataFrame, squarings: int) -> DataFrame:
+    """One row (value): the largest eigenvalue of a symmetric matrix (a, b, x) without a larger negative one.
 
-    One row per asset pair is gathered in one task, which suits a matrix to be decomposed.
+    After enough squarings only its own projection is left, whose product with the matrix has the eigenvalue as trace.
     """
-    import numpy as np
-    import pandas as pd
+    power = matrix
+    for _ in range(squarings):
+        power = written(squared(power))
+    total = power.join(matrix.withColumnRenamed("x", "m"), ["a", "b"]).agg(F.sum(F.col("x") * F.col("m")).alias("value"))
+    return total.crossJoin(power.filter("a = b").agg(F.sum("x").alias("trace"))).select((F.col("value") / F.col("trace")).alias("value"))  # one row each
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="a", columns="b", values="corr").to_numpy()
-        e = np.linalg.eigvalsh(m)
-        return pd.DataFrame({"first_share": [e[-1] / e.sum()], "smallest": [e[0]], "condition": [e[-1] / e[0]]})
 
-    return pairs.groupBy(F.lit(1).alias("k")).applyInPandas(run, "first_share double, smallest double, condition double")
+def spectrum(pairs: DataFrame, squarings: int = 12) -> DataFrame:
+    """Share of the largest eigenvalue, the smallest one and the condition number of the correlation matrix.
+
+    By repeated squaring of the long table of pairs, so no task holds the matrix; the smallest is that of the matrix
+    taken from the largest times one.
+    """
+    matrix = written(pairs.select("a", "b", F.col("corr").alias("x")))
+    largest = written(top_eigenvalue(matrix, squarings).withColumnRenamed("value", "largest"))
+    turned = matrix.crossJoin(F.broadcast(largest)).select("a", "b", (F.when(F.col("a") == F.col("b"), F.col("largest")).otherwise(0.0) - F.col("x")).alias("x"))  # one row
+    gap = top_eigenvalue(written(turned), squarings).withColumnRenamed("value", "gap")
+    size = matrix.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("x"))).alias("trace"), F.sum(F.col("x") * F.col("x")).alias("squares"))
+    one = largest.crossJoin(gap).crossJoin(size)  # one row each
+    smallest = F.col("largest") - F.col("gap")
+    return one.select("trace", "squares", (F.col("largest") / F.col("trace")).alias("first_share"), smallest.alias("smallest"), (F.col("largest") / smallest).alias("condition"))

@@ -193,3 +193,8 @@ def classify_actions(actions: DataFrame, returns: DataFrame) -> DataFrame:
     ratio = F.greatest(F.col("split"), F.try_divide(F.lit(1.0), F.col("split")))
     kind = F.when(whole(ratio), "split").otherwise("spin-off")
     return actions.filter("split is not null and split <> 0").select("date", "asset", "split", kind.alias("kind")).join(returns.select("date", "asset", "r"), ["date", "asset"], "left")
+
+
+def with_value(table: DataFrame, column: str) -> DataFrame:
+    """The rows that have a value in the column, such as the assets with a proxy."""
+    return table.filter(F.col(column).isNotNull())

@@ -137,3 +137,56 @@ def benchmark_wins(metrics: DataFrame, benchmark: str = "EW", directions: dict[s
     sign = F.when(F.col("metric").isin(*(m for m, up in directions.items() if up)), 1.0).otherwise(-1.0)
     d = F.col("value") - F.col("theirs")
     return j.groupBy("strategy", "basis", "metric").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_d"), _share(d * sign > 0).alias("win_pct"))
+
+
+#: The second implementation's metrics in the order of its table.
+SECOND_METRICS = ("ann_return", "cum_return", "ann_vol", "sharpe", "sortino", "calmar", "sterling", "mean_dd", "max_dd", "win_pct", "skew", "kurt", "var95", "cvar95")
+Z95 = -1.6448536269514729
+
+
+def second_metrics(returns: DataFrame, periods: int) -> DataFrame:
+    """The 14 metrics of the second implementation for each run, without a risk-free rate.
+
+    Value at risk is the normal quantile at the run's mean and deviation, the conditional one the mean of what is below
+    it (else the quantile); Calmar is over compounded growth; the win rate counts days that moved; skewness and kurtosis
+    are the unbiased sample forms; the median calendar-year return stands beside them.
+    """
+    run = Window.partitionBy(*_run)
+    by = run.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    path = returns.withColumn("wealth", F.exp(F.sum(F.log1p("ret")).over(by))).withColumn("fall", F.col("wealth") / F.greatest(F.lit(1.0), F.max("wealth").over(by)) - 1)
+    path = path.withColumn("limit", F.avg("ret").over(run) + F.lit(Z95) * F.stddev_samp("ret").over(run))
+    year = float(periods)
+    a = path.groupBy(*_run).agg(
+        F.count("ret").cast("double").alias("n"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("sd"), F.sum(F.log1p("ret")).alias("grown"),
+        F.avg(F.pow(F.least("ret", F.lit(0.0)), F.lit(2.0))).alias("down"), F.least(F.min("fall"), F.lit(0.0)).alias("worst"), F.avg(F.when(F.col("fall") < 0, F.col("fall"))).alias("mean_fall"),
+        (100 * F.count_if(F.col("ret") > 0) / F.count_if(F.col("ret") != 0)).alias("win_pct"), F.skewness("ret").alias("g1"), F.kurtosis("ret").alias("g2"),
+        (-F.first("limit")).alias("var95"), (-F.coalesce(F.avg(F.when(F.col("ret") < F.col("limit"), F.col("ret"))), F.first("limit"))).alias("cvar95"),
+    )
+    years = returns.groupBy(*_run, F.year("date").alias("year")).agg(F.expm1(F.sum(F.log1p("ret"))).alias("grown")).groupBy(*_run).agg(F.median("grown").alias("median_year"))
+    n, ret = F.col("n"), F.col("m") * year
+    made = a.select(
+        *_run, ret.alias("ann_return"), F.expm1("grown").alias("cum_return"), (F.col("sd") * year**0.5).alias("ann_vol"), F.try_divide(F.col("m"), F.col("sd")).alias("s"),
+        F.try_divide(F.col("m") * year**0.5, F.sqrt("down")).alias("sortino"), F.try_divide(F.expm1(F.col("grown") * year / n), -F.col("worst")).alias("calmar"),
+        F.try_divide(ret, -F.col("mean_fall")).alias("sterling"), F.coalesce(-F.col("mean_fall"), F.lit(0.0)).alias("mean_dd"), (-F.col("worst")).alias("max_dd"), "win_pct",
+        (F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6)).alias("kurt"), "var95", "cvar95",
+    )
+    return made.withColumn("sharpe", F.col("s") * year**0.5).join(years, [*_run]).select(*_run, *SECOND_METRICS, "median_year")
+
+
+def across_runs(metrics: DataFrame, names: tuple[str, ...] = SECOND_METRICS) -> DataFrame:
+    """Mean and median of each metric over the runs of a strategy and basis, one row a metric."""
+    long = metrics.unpivot(["experiment", "strategy", "basis"], list(names), "metric", "value")
+    return long.groupBy("strategy", "basis", "metric").agg(F.avg("value").alias("mean"), F.median("value").alias("median"))
+
+
+def win_table(wins: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """benchmark_wins() with a column for each metric."""
+    return wins.groupBy("strategy", "basis").agg(*(F.max(F.when(F.col("metric") == m, F.col("win_pct"))).alias(m) for m in names))
+
+
+def fee_cost(returns: DataFrame, free: str, fees: tuple[str, ...], periods: int) -> DataFrame:
+    """Mean arithmetic annual return lost to each fee level against the free basis, one row a strategy."""
+    a = returns.groupBy(*_run).agg((F.avg("ret") * periods).alias("a"))
+    base = a.filter(F.col("basis") == free).select("experiment", "strategy", F.col("a").alias("best"))
+    lost = a.join(base, ["experiment", "strategy"]).withColumn("lost", F.col("best") - F.col("a"))
+    return lost.groupBy("strategy").agg(*(F.avg(F.when(F.col("basis") == f, F.col("lost"))).alias(f"cost_{f}") for f in fees))

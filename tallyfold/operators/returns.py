@@ -21,9 +21,8 @@ def full_window(value: Column, over: Column, width: int) -> Column:
 
 def period_returns(panel: DataFrame, freq: str) -> DataFrame:
     """date, asset, log_r, simple_r by period: the sum of what the period has, null if it has nothing."""
-    r = log_returns(panel)
-    first = r.agg(F.min("session").alias("s0")).first()["s0"]
-    summed = r.filter(F.col("session") > F.lit(first)).groupBy(period_end(F.col("date"), freq).alias("date"), "asset").agg(F.sum("r").alias("log_r"))
+    # the calendar's first session, 1, has no return
+    summed = log_returns(panel).filter("session > 1").groupBy(period_end(F.col("date"), freq).alias("date"), "asset").agg(F.sum("r").alias("log_r"))
     return summed.withColumn("simple_r", F.expm1("log_r"))
 
 

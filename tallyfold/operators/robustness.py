@@ -104,3 +104,14 @@ def period_association(metrics: DataFrame, windows: DataFrame, estimation: int,
     years = windows.filter(F.col("pos") == estimation + 1).groupBy("experiment").agg(F.year(F.min("date")).alias("year"))
     j = against(metrics.filter(F.col("basis") == basis)).join(years, "experiment").withColumn("d", F.col("sharpe") - F.col("b_sharpe"))
     return j.groupBy("strategy", "year").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("wins"), F.avg("d").alias("mean_d"), F.median("d").alias("median_d"))
+
+
+def association_differences(metrics: DataFrame, exp_asset: DataFrame, basis: str = "net", least: int = 5) -> DataFrame:
+    """For each strategy and asset held in enough runs: win rate and mean Sharpe difference with it, without it, and the gaps."""
+    d = against(metrics.filter(F.col("basis") == basis)).select("experiment", "strategy", (F.col("sharpe") - F.col("b_sharpe")).alias("d")).withColumn("win", F.when(F.col("d") > 0, 100.0).otherwise(0.0))
+    total = d.groupBy("strategy").agg(F.count(F.lit(1)).alias("all_n"), F.sum("win").alias("all_win"), F.sum("d").alias("all_d"))
+    held = d.join(exp_asset.select("experiment", "asset"), "experiment").groupBy("strategy", "asset").agg(F.count(F.lit(1)).alias("n"), F.sum("win").alias("win"), F.sum("d").alias("d"))
+    j = held.filter(F.col("n") >= least).join(total, "strategy")
+    rest = F.col("all_n") - F.col("n")
+    j = j.select("strategy", "asset", "n", (F.col("win") / F.col("n")).alias("win_with"), F.try_divide(F.col("all_win") - F.col("win"), rest).alias("win_without"), (F.col("d") / F.col("n")).alias("d_with"), F.try_divide(F.col("all_d") - F.col("d"), rest).alias("d_without"))
+    return j.withColumn("win_gap", F.col("win_with") - F.col("win_without")).withColumn("d_gap", F.col("d_with") - F.col("d_without"))

@@ -10,7 +10,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import chi2_sf
+from ..functions.distributions import chi2_sf, student5_quantile
 
 TRANSFORMS: dict[str, Column] = {"raw": F.col, "absolute": F.abs, "squared": lambda c: F.col(c) * F.col(c)}
 
@@ -140,3 +140,16 @@ def box_stats(r: DataFrame, value: str = "x") -> DataFrame:
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = F.col(value).between(F.col("q")[0] - reach, F.col("q")[2] + reach)
     return r.join(q, "asset").groupBy("asset").agg(F.first("q")[0].alias("q1"), F.first("q")[1].alias("median"), F.first("q")[2].alias("q3"), F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count_if(~inside).alias("outliers"))
+
+
+def with_student(points: DataFrame) -> DataFrame:
+    """qq_points() with the quantile of Student's distribution of 5 degrees of freedom, plain and scaled to unit variance."""
+    t = student5_quantile(F.col("prob"))
+    return points.select("asset", "i", "z", t.alias("student"), (t * (3 / 5) ** 0.5).alias("unit_student"))
+
+
+def white_noise(rows: DataFrame, label: str = "noise") -> DataFrame:
+    """date, asset, x: standard normal noise on the rows (date, asset, session), by Box and Muller from a hash of label, asset and session."""
+    h = F.md5(F.concat_ws(":", F.lit(label), F.col("asset"), F.col("session").cast("string")).cast("binary"))
+    u, v = ((F.conv(F.substring(h, k, 13), 16, 10).cast("double") + 0.5) / float(1 << 52) for k in (1, 14))
+    return rows.select("date", "asset", (F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)).alias("x"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.lineage import fanned
 from . import kernels
 from .sampler import Schedule
 
@@ -73,7 +74,7 @@ def solved(rows: DataFrame, schedule: Schedule, rf: DataFrame | None = None, nam
         n = len(assets)
         return pd.DataFrame({"experiment": pdf["experiment"].iloc[0], "strategy": np.repeat(list(made), n), "k": pdf["k"].iloc[0], "asset": assets * len(made), "w": w.ravel(), "error": np.repeat(np.array(errors, object), n)})
 
-    return validated(joined.groupBy("experiment", "k").applyInPandas(run, SCHEMA))
+    return validated(fanned(joined, "experiment", "k").groupBy("experiment", "k").applyInPandas(run, SCHEMA))
 
 
 def validated(weights: DataFrame, tol: float = 1e-6) -> DataFrame:
@@ -127,7 +128,7 @@ def conditioning(rows: DataFrame) -> DataFrame:
         top = int(np.argmax(c.to_numpy()[i, j]))
         return pd.DataFrame({"experiment": [pdf["experiment"].iloc[0]], "k": [pdf["k"].iloc[0]], "condition": [e[-1] / e[0]], "max_corr": [c.to_numpy()[i[top], j[top]]], "pair": [f"{c.columns[i[top]]}/{c.columns[j[top]]}"]})
 
-    return rows.groupBy("experiment", "k").applyInPandas(run, "experiment int, k int, condition double, max_corr double, pair string")
+    return fanned(rows, "experiment", "k").groupBy("experiment", "k").applyInPandas(run, "experiment int, k int, condition double, max_corr double, pair string")
 
 
 def shrinkage(rows: DataFrame) -> DataFrame:
@@ -180,3 +181,11 @@ def kkt(weights: DataFrame, est: DataFrame, covs: DataFrame, periods: int, avers
         F.sum("w").alias("total"), F.min("w").alias("least"), F.min("g").alias("floor"), F.max(F.abs("g")).alias("size"), F.max(F.when(F.col("w") > 1e-9, F.col("g"))).alias("top"),
     )
     return g.select("experiment", "strategy", "k", (F.abs(F.col("total") - 1) < 1e-9).alias("invested"), (F.col("least") >= 0).alias("long_only"), (F.col("top") - F.col("floor") <= 1e-6 * F.greatest("size", F.lit(1e-12))).alias("optimal"))
+
+
+def gap_by_correlation(weights: DataFrame, covs: DataFrame) -> DataFrame:
+    """One row: mean distance of IV and ERC weights, and its correlation over windows with the spread of correlations."""
+    wide = weights.filter(F.col("strategy").isin("IV", "ERC")).groupBy("experiment", "k", "asset").agg(*(F.max(F.when(F.col("strategy") == s, F.col("w"))).alias(s) for s in ("IV", "ERC")))
+    gap = wide.groupBy("experiment", "k").agg((F.sum(F.abs(F.col("IV") - F.col("ERC"))) / 2).alias("gap"))
+    own = covs.filter("a <> b").groupBy("experiment", "k", "a").agg(F.avg("corr").alias("mean")).groupBy("experiment", "k").agg(F.stddev_samp("mean").alias("spread"))
+    return gap.join(own, ["experiment", "k"]).agg(F.count(F.lit(1)).alias("windows"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"), F.corr("gap", "spread").alias("corr"))

@@ -15,7 +15,7 @@ SCHEDULE = sampler.WEEKLY
 BASES = {"gross": 0.0, "net": 1.0, "net_2x": 2.0}
 N_EXPERIMENTS = 100
 RELATIONAL = ("EW", "IV", "QNT")
-BENCHMARK = "NATION_0"
+BENCHMARK, REGION_BENCHMARK = "NATION_0", "ASIA"
 STRESS = ("1998-02-15", "1998-05-15")
 
 
@@ -32,8 +32,9 @@ def tidy(df: DataFrame) -> DataFrame:
 class Lab:
     """Observations, experiments and their windows are written once; every branch of a query starts from those."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, freq: str = "weekly", level: str = "nation"):
-        self.spark, self.sf_dir, self.freq, self.level = spark, sf_dir, freq, level
+    def __init__(self, spark: SparkSession, sf_dir: str, freq: str = "weekly", level: str = "nation", schedule: sampler.Schedule = SCHEDULE):
+        self.spark, self.sf_dir, self.freq, self.level, self.schedule = spark, sf_dir, freq, level, schedule
+        self.benchmark = REGION_BENCHMARK if level == "region" else BENCHMARK
 
     @cached_property
     def obs(self) -> DataFrame:
@@ -45,7 +46,7 @@ class Lab:
 
     @cached_property
     def cal(self) -> DataFrame:
-        return panel.calendar(self.obs, BENCHMARK if self.freq == "daily" else None)
+        return panel.calendar(self.obs, self.benchmark if self.freq == "daily" else None)
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -59,19 +60,19 @@ class Lab:
     @cached_property
     def rf(self) -> DataFrame:
         series = market.risk_free(self.spark, self.sf_dir, self.freq)
-        return panel.align_series(series, self.cal, "rf_pct", None).select("session", "date", (F.col("rf_pct") / 100 / SCHEDULE.periods).alias("rf"))
+        return panel.align_series(series, self.cal, "rf_pct", None).select("session", "date", (F.col("rf_pct") / 100 / self.schedule.periods).alias("rf"))
 
     @cached_property
     def exp_asset(self) -> DataFrame:
-        return written(sampler.sample_experiments(self.panel, self.universe, SCHEDULE, N_EXPERIMENTS))
+        return written(sampler.sample_experiments(self.panel, self.universe, self.schedule, N_EXPERIMENTS))
 
     @cached_property
     def windows(self) -> DataFrame:
-        return written(sampler.experiment_windows(self.exp_asset, self.panel, SCHEDULE))
+        return written(sampler.experiment_windows(self.exp_asset, self.panel, self.schedule))
 
     @cached_property
     def trades(self) -> DataFrame:
-        return sampler.rebalances(self.exp_asset, SCHEDULE)
+        return sampler.rebalances(self.exp_asset, self.schedule)
 
     @cached_property
     def checked_trades(self) -> DataFrame:
@@ -88,7 +89,7 @@ class Lab:
     @cached_property
     def solved(self) -> DataFrame:
         rf = self.windows.select("experiment", "pos", "date").distinct().join(self.rf.select("date", "rf"), "date").drop("date")
-        return strategies.solved(self.rows, SCHEDULE, rf)
+        return strategies.solved(self.rows, self.schedule, rf)
 
 
 class Runs:
@@ -103,11 +104,11 @@ class Runs:
 
     @cached_property
     def segments(self) -> DataFrame:
-        return backtest.segments(self.targets, self.lab.windows, SCHEDULE)
+        return backtest.segments(self.targets, self.lab.windows, self.lab.schedule)
 
     @cached_property
     def daily_weights(self) -> DataFrame:
-        return backtest.daily_weights(self.segments, SCHEDULE)
+        return backtest.daily_weights(self.segments, self.lab.schedule)
 
     @cached_property
     def traded(self) -> DataFrame:
@@ -115,8 +116,8 @@ class Runs:
 
     @cached_property
     def returns(self) -> DataFrame:
-        return backtest.daily_returns(self.segments, self.traded, SCHEDULE, self.bases)
+        return backtest.daily_returns(self.segments, self.traded, self.lab.schedule, self.bases)
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return performance.run_metrics(self.returns, self.lab.rf, SCHEDULE.periods)
+        return performance.run_metrics(self.returns, self.lab.rf, self.lab.schedule.periods)

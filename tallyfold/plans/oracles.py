@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from math import gamma
 
-from ..functions.distributions import NODES, SPLIT, node_rates, series_terms
-from .context import BENCHMARK, N_EXPERIMENTS, SCHEDULE, STRESS
+from ..operators.sampler import Schedule
+from ..functions.distributions import MEET, MIDDLE, NODES, SPLIT, TAIL, node_rates, series_terms
+from .context import BENCHMARK, N_EXPERIMENTS, REGION_BENCHMARK, SCHEDULE, STRESS
 
 _DAY = "l_shipdate::DATE"
 _PERIOD = {"daily": _DAY, "weekly": f"({_DAY} + ((12 - dayofweek({_DAY})) % 7)::INT)::DATE", "monthly": f"last_day({_DAY})"}
@@ -20,12 +21,15 @@ def sel(**cols: str) -> str:
     return "SELECT " + ", ".join(out)
 
 
-def panel(freq: str = "weekly") -> str:
-    where = f" WHERE asset = '{BENCHMARK}'" if freq == "daily" else ""
+def panel(freq: str = "weekly", level: str = "nation") -> str:
+    region = level == "region"
+    where = f" WHERE asset = '{REGION_BENCHMARK if region else BENCHMARK}'" if freq == "daily" else ""
+    name, joined = ("r_name", " JOIN region ON n_regionkey = r_regionkey") if region else ("n_name", "")
+    uni = "SELECT r_name AS asset, r_regionkey AS ord, 'ALL' AS sector, 2.0::DOUBLE + r_regionkey % 4 AS cost_bp FROM region" if region else "SELECT n_name AS asset, n_nationkey AS ord, r_name AS sector, 2.0::DOUBLE + n_nationkey % 4 AS cost_bp FROM nation JOIN region ON n_regionkey = r_regionkey"
     return f"""WITH obs AS (
-  SELECT {_PERIOD[freq]} AS date, n_name AS asset, power(avg(l_extendedprice / l_quantity), 0.05) AS price, sum(l_quantity) AS volume
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
-uni AS (SELECT n_name AS asset, n_nationkey AS ord, r_name AS sector, 2.0::DOUBLE + n_nationkey % 4 AS cost_bp FROM nation JOIN region ON n_regionkey = r_regionkey),
+  SELECT {_PERIOD[freq]} AS date, {name} AS asset, power(avg(l_extendedprice / l_quantity), 0.05) AS price, sum(l_quantity) AS volume
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey{joined} GROUP BY 1, 2),
+uni AS ({uni}),
 cal AS (SELECT date, row_number() OVER (ORDER BY date) AS session FROM (SELECT DISTINCT date FROM obs{where})),
 grid AS (SELECT session, date, asset, price AS price_raw, volume FROM cal CROSS JOIN (SELECT asset FROM uni) LEFT JOIN obs USING (date, asset)),
 marked AS (SELECT *, last_value(price_raw IGNORE NULLS) OVER w AS lp, max(CASE WHEN price_raw IS NOT NULL THEN session END) OVER w AS ls
@@ -66,6 +70,20 @@ def chi2_sf(x: str, df: int) -> str:
     return f"{tail} + ({erfc(f'sqrt({x} / 2)')})" if df % 2 else tail
 
 
+def _polynomial(x: str, coefficients: tuple[float, ...]) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out}) * ({x}) + ({c!r}::DOUBLE)"
+    return f"({out})"
+
+
+def normal_quantile(p: str) -> str:
+    q, far = f"({p} - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    middle = f"{q} * {_polynomial(f'{q} * {q}', MIDDLE[0])} / {_polynomial(f'{q} * {q}', MIDDLE[1])}"
+    tail = f"{_polynomial(far, TAIL[0])} / {_polynomial(far, TAIL[1])}"
+    return f"CASE WHEN abs({q}) <= {0.5 - MEET!r} THEN {middle} WHEN {q} < 0 THEN {tail} ELSE -{tail} END"
+
+
 def at_lags(lags: tuple[int, ...], q: str = "q") -> str:
     """The tail of q at the degrees of freedom in column lags."""
     return "CASE lags " + " ".join(f"WHEN {k} THEN {chi2_sf(q, k)}" for k in lags) + " END"
@@ -75,7 +93,8 @@ _S = SCHEDULE
 PAIRS = """,
 pr AS (SELECT a.asset AS a, b.asset AS b, corr(a.r, b.r) AS corr, covar_samp(a.r, b.r) AS cov, count(*) AS n FROM ret a JOIN ret b ON a.date = b.date WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2)"""
 
-EXPERIMENTS = PANEL + f""",
+def experiments(_S: Schedule = SCHEDULE, freq: str = "weekly", level: str = "nation") -> str:
+    return panel(freq, level) + f""",
 cand AS (SELECT c, asset FROM (SELECT unnest(range({4 * N_EXPERIMENTS})) AS c) CROSS JOIN uni QUALIFY row_number() OVER (PARTITION BY c, sector ORDER BY md5('42:' || c || ':' || asset)) <= 2),
 el AS (SELECT asset, session AS anchor FROM (SELECT asset, session, count(price) OVER (PARTITION BY asset ORDER BY session ROWS BETWEEN CURRENT ROW AND {_S.window} FOLLOWING) AS has FROM panel) WHERE has = {_S.window + 1}),
 sz AS (SELECT c, count(*) AS size, string_agg(asset, ',' ORDER BY asset) AS subset FROM cand GROUP BY c),
@@ -90,13 +109,15 @@ tr AS (SELECT experiment, k, {_S.estimation} + {_S.every} * k AS execution, {_S.
 er AS (SELECT experiment, k, asset, pos, s FROM win JOIN tr USING (experiment) WHERE pos >= 1 AND pos BETWEEN first AND formation),
 est AS (SELECT experiment, k, asset, avg(s) AS mean, stddev_samp(s) AS sd, count(s) AS n FROM er GROUP BY 1, 2, 3)"""
 
-WEIGHTS = EXPERIMENTS + """,
+def weights(_S: Schedule = SCHEDULE, freq: str = "weekly", level: str = "nation") -> str:
+    return experiments(_S, freq, level) + """,
 wide AS (SELECT experiment, k, asset, 1.0::DOUBLE / count(*) OVER p AS ew, (1 / sd) / sum(1 / sd) OVER p AS iv,
                 greatest(floor(count(*) OVER p / 5.0), 1) AS fifth, row_number() OVER (PARTITION BY experiment, k ORDER BY mean DESC, asset) AS rk FROM est WINDOW p AS (PARTITION BY experiment, k)),
 w AS (SELECT experiment, 'EW' AS strategy, k, asset, ew AS w FROM wide UNION ALL SELECT experiment, 'IV', k, asset, iv FROM wide
       UNION ALL SELECT experiment, 'QNT', k, asset, CASE WHEN rk <= fifth THEN 1.0::DOUBLE / fifth ELSE 0.0 END FROM wide)"""
 
-SEGMENTS = WEIGHTS + f""",
+def segments(_S: Schedule = SCHEDULE, freq: str = "weekly", level: str = "nation") -> str:
+    return weights(_S, freq, level) + f""",
 tg AS (SELECT w.*, execution, coalesce(lead(execution) OVER (PARTITION BY experiment, strategy, asset ORDER BY k), {_S.window}) AS until FROM w JOIN tr USING (experiment, k)),
 g AS (SELECT experiment, strategy, k, asset, execution, until, pos, date, w * price / first_value(price) OVER (PARTITION BY experiment, strategy, k, asset ORDER BY pos) AS g
       FROM tg JOIN win USING (experiment, asset) WHERE pos BETWEEN execution AND until),
@@ -106,8 +127,8 @@ td AS (SELECT t.experiment, t.strategy, t.k, t.execution, sum(abs(t.w - coalesce
        FROM tg t LEFT JOIN (SELECT * FROM seg WHERE pos = until) b ON t.experiment = b.experiment AND t.strategy = b.strategy AND t.asset = b.asset AND t.execution = b.until JOIN uni u ON t.asset = u.asset GROUP BY 1, 2, 3, 4)"""
 
 
-def returns(bases: str = "('gross', 0.0::DOUBLE), ('net', 1.0), ('net_2x', 2.0)") -> str:
-    return SEGMENTS + f""",
+def returns(bases: str = "('gross', 0.0::DOUBLE), ('net', 1.0), ('net_2x', 2.0)", _S: Schedule = SCHEDULE, freq: str = "weekly") -> str:
+    return segments(_S, freq) + f""",
 dv AS (SELECT DISTINCT experiment, strategy, k, pos, date, execution, v FROM seg),
 dg AS (SELECT *, v / lag(v) OVER (PARTITION BY experiment, strategy, k ORDER BY pos) - 1 AS gross FROM dv),
 bs AS (SELECT * FROM (VALUES {bases}) t(basis, mult)),
@@ -120,6 +141,7 @@ _PATH = """,
 wl AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY experiment, strategy, basis ORDER BY pos)) AS wealth FROM rt),
 fl AS (SELECT *, wealth / greatest(1.0, max(wealth) OVER (PARTITION BY experiment, strategy, basis ORDER BY pos)) - 1 AS fall FROM wl)"""
 
+EXPERIMENTS, WEIGHTS, SEGMENTS = experiments(), weights(), segments()
 METRICS = returns() + _PATH + f""",
 rfs AS (SELECT {_PERIOD["weekly"]} AS date, avg(l_tax) * 100 / 100 / {_S.periods} AS rf FROM lineitem GROUP BY 1),
 ag AS (SELECT experiment, strategy, basis, count(ret) AS n, exp(sum(ln(1 + ret)) * {_S.periods}.0 / count(ret)) - 1 AS ann_return, stddev_samp(ret) * sqrt({_S.periods}) AS ann_vol,
@@ -141,3 +163,9 @@ def share(condition: str) -> str:
 
 
 PATH = _PATH
+
+SHRINK = EXPERIMENTS + """, zz AS (SELECT experiment, k, asset, pos, var_pop(s) OVER p AS v, (s - avg(s) OVER p) / stddev_pop(s) OVER p AS z FROM er WINDOW p AS (PARTITION BY experiment, k, asset)),
+pm AS (SELECT a.experiment, a.k, a.asset AS a, b.asset AS b, any_value(a.v) * any_value(b.v) AS sc, avg(a.z * b.z) AS r, avg(a.z * b.z * a.z * b.z) AS m22, avg(a.z * a.z * a.z * b.z) AS m31, count(*) AS t
+       FROM zz a JOIN zz b ON a.experiment = b.experiment AND a.k = b.k AND a.pos = b.pos GROUP BY 1, 2, 3, 4),
+pq AS (SELECT *, avg(CASE WHEN a <> b THEN r END) OVER (PARTITION BY experiment, k) AS rb FROM pm),
+si AS (SELECT experiment, k, least(greatest(coalesce((sum(sc * (m22 - r * r)) - sum(CASE WHEN a <> b THEN rb * sc * (m31 - r) ELSE sc * (m22 - 1) END)) / nullif(sum(CASE WHEN a <> b THEN sc * (rb - r) * (rb - r) END) * any_value(t), 0), 0), 0), 1) AS x FROM pq GROUP BY 1, 2)"""

@@ -150,7 +150,22 @@ query("corr_by_sector", f"{P}{_SEC} {sel(sector='sa', within='~avg(corr) FILTER
     lambda b: dependence.by_sector(_pairs(b), b.universe, BENCHMARK)
 )
 query("corr_with_others", f"{P}{o.PAIRS} {sel(asset='a', mean_corr='~avg(corr)', sd_corr='~stddev_samp(corr)')} FROM pr WHERE a <> b GROUP BY a")(lambda b: dependence.with_others(_pairs(b)))
-query("corr_spectrum", None)(lambda b: dependence.spectrum(_pairs(b)))
+
+
+def _top(tag: str, source: str, squarings: int = 12) -> str:
+    """CTEs that end in {tag}(value), the largest eigenvalue of source(a, b, x)."""
+    out, last = "", source
+    for k in range(squarings):
+        out += f", {tag}p{k} AS MATERIALIZED (SELECT l.a, r.b, sum(l.x * r.x) AS x FROM {last} l JOIN {last} r ON l.b = r.a GROUP BY 1, 2), {tag}q{k} AS MATERIALIZED (SELECT a, b, x / (SELECT sum(x) FROM {tag}p{k} WHERE a = b) AS x FROM {tag}p{k})"
+        last = f"{tag}q{k}"
+    return out + f", {tag} AS MATERIALIZED (SELECT (SELECT sum(p.x * m.x) FROM {last} p JOIN {source} m USING (a, b)) / (SELECT sum(x) FROM {last} WHERE a = b) AS value)"
+
+
+query(
+    "corr_spectrum",
+    f"{P}{o.PAIRS}, c0 AS MATERIALIZED (SELECT a, b, corr AS x FROM pr){_top('ev', 'c0')}, c1 AS MATERIALIZED (SELECT a, b, CASE WHEN a = b THEN (SELECT value FROM ev) ELSE 0 END - x AS x FROM c0){_top('ew', 'c1')}, "
+    + f"ez AS (SELECT sum(CASE WHEN a = b THEN x END) AS trace, sum(x * x) AS squares FROM c0) {sel(trace='~trace', squares='~squares', first_share='~ev.value / trace', smallest='~ev.value - ew.value', condition='~ev.value / (ev.value - ew.value)')} FROM ev, ew, ez",
+)(lambda b: dependence.spectrum(_pairs(b)))
 
 # ---- statistics ----
 M = P + o.MOMENTS
@@ -248,8 +263,10 @@ query(
 )(lambda b: backtest.fixed_mix(b.windows, b.relational, SCHEDULE).drop("date"))
 query(
     "bt_design",
-    f"{E}, st AS (SELECT experiment, list(asset ORDER BY asset) AS l FROM ea GROUP BY 1), sh AS (SELECT a.experiment AS x, b.experiment AS y, count(*) AS c FROM ea a JOIN ea b ON a.asset = b.asset AND a.experiment < b.experiment GROUP BY 1, 2) {sel(experiments='#(SELECT count(*) FROM st)', subsets='#(SELECT count(DISTINCT l) FROM st)', mean_shared='~sum(c)::DOUBLE / (SELECT count(*) * (count(*) - 1) / 2 FROM st)', max_shared='#max(c)')} FROM sh",
-)(lambda b: backtest.design(b.exp_asset))
+    f"""{E}, st AS (SELECT experiment, any_value(anchor) AS anchor, list(asset ORDER BY asset) AS l FROM ea GROUP BY 1), sh AS (SELECT len(list_intersect(a.l, b.l)) AS c FROM st a JOIN st b ON a.experiment < b.experiment),
+    iv AS (SELECT DISTINCT unnest(range(anchor + {SCHEDULE.estimation + 1}, anchor + {SCHEDULE.window + 1})) AS session FROM st)
+    {sel(experiments='#(SELECT count(*) FROM st)', subsets='#(SELECT count(DISTINCT l) FROM st)', median_shared='~quantile_cont(c, 0.5)', max_shared='#max(c)', coverage='~(SELECT avg(CASE WHEN iv.session IS NULL THEN 0.0::DOUBLE ELSE 1 END) FROM cal LEFT JOIN iv USING (session) WHERE cal.session >= (SELECT min(anchor) FROM st))')} FROM sh""",
+)(lambda b: backtest.design(b.exp_asset, b.cal, SCHEDULE))
 query(
     "bt_inclusion",
     f"{E}, ic AS (SELECT asset, count(*) AS n, list_sort(list(anchor)) AS l FROM ea GROUP BY 1) {sel(asset='uni.asset', sector='sector', n='#coalesce(n, 0)', first='#l[1]', middle='#l[len(l) // 2 + 1]', last='#l[len(l)]')} FROM uni LEFT JOIN ic ON uni.asset = ic.asset",
@@ -356,14 +373,17 @@ def _actions(b: Lab) -> DataFrame:
     return b.panel.select("date", "asset", F.when(F.col("session") % 13 == 0, 0.1).otherwise(0.0).alias("dividend"), F.when(F.col("session") % 101 == 0, 2.0).when(F.col("session") % 103 == 0, 1.25).otherwise(0.0).alias("split"))
 
 
-query(
-    "adjustment_table",
-    f"""{P}{_EVENTS}, un AS (SELECT date, asset, price AS adj, price * (1 + 0.0005::DOUBLE * session) AS raw FROM panel WHERE price IS NOT NULL),
+_ADJUSTED = f"""{P}{_EVENTS}, un AS (SELECT date, asset, price AS adj, price * (1 + 0.0005::DOUBLE * session) AS raw FROM panel WHERE price IS NOT NULL),
     sp AS (SELECT asset, min(date) AS f, max(date) AS l, min_by(adj, date) AS a0, max_by(adj, date) AS a1, min_by(raw, date) AS r0, max_by(raw, date) AS r1 FROM un GROUP BY asset),
     ev AS (SELECT ac.asset, count(*) FILTER (dividend <> 0) AS nd, count(*) FILTER (split <> 0) AS ns FROM ac JOIN sp ON ac.asset = sp.asset WHERE date > f AND date <= l GROUP BY 1),
-    cg AS (SELECT *, power(a1 / a0, 365.25::DOUBLE / (l - f)) - 1 AS ac, power(r1 / r0, 365.25::DOUBLE / (l - f)) - 1 AS rc FROM sp)
-    {sel(asset='cg.asset', first='f', last='l', adj_cagr='~ac', raw_cagr='~rc', gap='~ac - rc', dividends='#coalesce(nd, 0)', splits='#coalesce(ns, 0)')} FROM cg LEFT JOIN ev ON cg.asset = ev.asset""",
-)(lambda b: panel.adjustment_table(b.panel, b.panel.withColumn("price", F.col("price") * (1 + 0.0005 * F.col("session"))), _actions(b)))
+    cg AS (SELECT *, power(a1 / a0, 365.25::DOUBLE / (l - f)) - 1 AS ac, power(r1 / r0, 365.25::DOUBLE / (l - f)) - 1 AS rc FROM sp)"""
+
+
+def _adjustment(b: Lab) -> DataFrame:
+    return panel.adjustment_table(b.panel, b.panel.withColumn("price", F.col("price") * (1 + 0.0005 * F.col("session"))), _actions(b))
+
+
+query("adjustment_table", f"{_ADJUSTED} {sel(asset='cg.asset', first='f', last='l', adj_cagr='~ac', raw_cagr='~rc', gap='~ac - rc', dividends='#coalesce(nd, 0)', splits='#coalesce(ns, 0)')} FROM cg LEFT JOIN ev ON cg.asset = ev.asset")(_adjustment)
 query("classified_actions", f"""{P}{_EVENTS} {sel(date='ac.date', asset='ac.asset', split='~split', kind="CASE WHEN abs(split - round(split)) < 1e-6 THEN 'split' ELSE 'spin-off' END", r='~r')} FROM ac JOIN ret ON ac.date = ret.date AND ac.asset = ret.asset WHERE split <> 0""")(lambda b: panel.classify_actions(_actions(b), panel.log_returns(b.panel)))
 query("formatted_headline", f"""{T} {sel(strategy='strategy', basis='basis', ann_return="format('{:,.2f}', round(median(ann_return) * 100, 6))", n="format('{:,.0f}', sum(n)::DOUBLE)")} FROM m GROUP BY strategy, basis""")(
     lambda b: _metrics(b).groupBy("strategy", "basis").agg(formatting.fixed(F.round(F.median("ann_return") * 100, 6), 2).alias("ann_return"), formatting.fixed(F.sum("n").cast("double"), 0).alias("n"))
@@ -428,11 +448,7 @@ query("calm_experiments", f"{T}{o.CRISIS} {sel(strategy='strategy', n='#count(*)
     lambda b: performance.against(_metrics(b)).filter("basis = 'net'").join(robustness.crisis_groups(b.windows, SCHEDULE.estimation, *STRESS).filter("crisis = 'neither'"), "experiment").groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.median(F.col("sharpe") - F.col("b_sharpe")).alias("d_sharpe"))
 )
 query("conditioning", None)(lambda b: strategies.conditioning(b.rows))
-_SHRINK = E + """, zz AS (SELECT experiment, k, asset, pos, var_pop(s) OVER p AS v, (s - avg(s) OVER p) / stddev_pop(s) OVER p AS z FROM er WINDOW p AS (PARTITION BY experiment, k, asset)),
-pm AS (SELECT a.experiment, a.k, a.asset AS a, b.asset AS b, any_value(a.v) * any_value(b.v) AS sc, avg(a.z * b.z) AS r, avg(a.z * b.z * a.z * b.z) AS m22, avg(a.z * a.z * a.z * b.z) AS m31, count(*) AS t
-       FROM zz a JOIN zz b ON a.experiment = b.experiment AND a.k = b.k AND a.pos = b.pos GROUP BY 1, 2, 3, 4),
-pq AS (SELECT *, avg(CASE WHEN a <> b THEN r END) OVER (PARTITION BY experiment, k) AS rb FROM pm),
-si AS (SELECT experiment, k, least(greatest(coalesce((sum(sc * (m22 - r * r)) - sum(CASE WHEN a <> b THEN rb * sc * (m31 - r) ELSE sc * (m22 - 1) END)) / nullif(sum(CASE WHEN a <> b THEN sc * (rb - r) * (rb - r) END) * any_value(t), 0), 0), 0), 1) AS x FROM pq GROUP BY 1, 2)"""
+_SHRINK = o.SHRINK
 query("shrinkage_by_window", f"{_SHRINK} {sel(experiment='#experiment', k='#k', intensity='~x')} FROM si")(lambda b: strategies.shrinkage(b.rows))
 query("shrinkage_intensity", f"{_SHRINK} {sel(least='~min(x)', q05='~quantile_cont(x, 0.05)', median='~median(x)', q95='~quantile_cont(x, 0.95)', most='~max(x)')} FROM si")(
     lambda b: strategies.shrinkage(b.rows).agg(F.min("intensity").alias("least"), F.percentile("intensity", F.lit(0.05)).alias("q05"), F.median("intensity").alias("median"), F.percentile("intensity", F.lit(0.95)).alias("q95"), F.max("intensity").alias("most"))
@@ -462,14 +478,14 @@ query(
 
 
 def _verdicts(b: Lab) -> DataFrame:
-    tests, fits = volatility.normality_tests(b.r), volatility.fit_models(b.r, ("GJR-t", "EGARCH-t"))
+    tests, fits = written(volatility.normality_tests(b.r)), written(volatility.fit_models(b.r, ("GJR-t", "EGARCH-t")))
     out = verdicts.serial_correlation(statistics.robust_portmanteau(b.r, Q_LAGS), statistics.acf(b.r, LAGS))
     for part in (
         verdicts.fat_tails(statistics.describe(b.r), tests),
         verdicts.negative_skew(tests),
         verdicts.clustering(statistics.ljung_box(b.r, Q_LAGS), tests),
         verdicts.leverage(fits),
-        verdicts.conditional_normality(statistics.describe(volatility.standardised_residuals(b.r)), volatility.persistence(fits)),
+        verdicts.conditional_normality(statistics.describe(volatility.standardised_residuals(b.r, fits)), volatility.persistence(fits)),
     ):
         out = out.unionByName(part)
     return out
@@ -497,3 +513,6 @@ _REPLICATION = f"""{R}{o.PATH},
 query("benchmark_wins", f"{_REPLICATION} {sel(strategy='strategy', basis='basis', metric='metric', n='#count(*)', mean_d='~avg(d)', win_pct='~' + o.share('d * sg > 0'))} FROM rj GROUP BY strategy, basis, metric")(
     lambda b: performance.benchmark_wins(performance.replication_metrics(_runs(b).returns, 52))
 )
+
+
+from . import extended  # noqa: E402,F401  registers its queries here

@@ -18,3 +18,11 @@ def written(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyfold-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def fanned(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over twice as many tasks as there are cores, for grouped maps that compute much on few bytes.
+
+    Adaptive execution joins partitions by their bytes and would give all such groups to one task.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)

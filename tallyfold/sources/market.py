@@ -23,9 +23,14 @@ def period_end(day: Column, freq: str) -> Column:
     raise ValueError(f"unknown frequency {freq!r}")
 
 
-def observations(spark: SparkSession, sf_dir: str, freq: str = "weekly", damping: float = DAMPING, level: str = "nation") -> DataFrame:
-    """date, asset, price, volume of every period in which an asset traded; level: nation, or region for small tables."""
+def observations(spark: SparkSession, sf_dir: str, freq: str = "weekly", damping: float = DAMPING, level: str = "nation", end: str | None = None) -> DataFrame:
+    """date, asset, price, volume of every period in which an asset traded; level: nation, or region for small tables.
+
+    end cuts periods whose date isn't before it; no day of the others comes after their date, so the scan stops there too.
+    """
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_shipdate", "l_quantity", "l_extendedprice")
+    if end is not None:
+        line = line.filter((F.col("l_shipdate") < F.lit(end).cast("date")) & (period_end(F.col("l_shipdate"), freq) < F.lit(end).cast("date")))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
