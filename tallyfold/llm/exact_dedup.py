@@ -12,42 +12,27 @@ below all others; other columns are ignored; an empty table gives an empty resul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text
+from .common import cut, sieve, sifted, whole_text
 
 PREFIX_CHARS = 64
-SIEVE_BITS = 1 << 25
 
 
-def _slot(*key: Column) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(SIEVE_BITS)) + 1
-
-
-def _sieve(keys: DataFrame, *cols: str) -> DataFrame:
-    """The keys that more than one row has, as rows (bucket, bits) of 4 KB, SIEVE_BITS in all."""
-    slot = keys.groupBy(*cols).count().filter("count > 1").select(_slot(*cols).alias("slot"))
-    return slot.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-
-
-def _sifted(df: DataFrame, sieve: DataFrame, cols: tuple[str, ...], flag: str) -> DataFrame:
-    """df with flag: whether the sieve has the row's key. The broadcast holds SIEVE_BITS / 8 bytes at most."""
-    slot = _slot(*cols)
-    place = F.bitmap_bit_position(slot)
-    octet = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = df.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(sieve), "bucket", "left")
-    return joined.withColumn(flag, F.coalesce(F.getbit(octet, (place % 8).cast("int")) == 1, F.lit(False))).drop("bucket", "bits")
+def _repeated(keys: DataFrame, *cols: str) -> DataFrame:
+    """A sieve of the keys that more than one row has."""
+    return sieve(keys.groupBy(*cols).count().filter("count > 1"), *cols)
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, t (the text) and shared: whether another row has its length and prefix, as far as the sieves tell."""
     text = whole_text(F.col(text_col))
     sized = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), F.octet_length(text).alias("len"))
-    by_length = _sieve(sized.select("len"), "len")
-    prefixed = _sifted(sized, by_length, ("len",), "again").withColumn("prefix", F.when(F.col("again"), F.xxhash64(F.substring("t", 1, PREFIX_CHARS))))
-    by_prefix = _sieve(prefixed.filter("again").select("len", "prefix"), "len", "prefix")
-    return _sifted(prefixed, by_prefix, ("len", "prefix"), "met").select("doc_id", "t", (F.col("again") & F.col("met")).alias("shared"))
+    by_length = _repeated(sized.select("len"), "len")
+    prefixed = sifted(sized, by_length, ("len",), "again").withColumn("prefix", F.when(F.col("again"), F.xxhash64(F.substring("t", 1, PREFIX_CHARS))))
+    by_prefix = _repeated(prefixed.filter("again").select("len", "prefix"), "len", "prefix")
+    return sifted(prefixed, by_prefix, ("len", "prefix"), "met").select("doc_id", "t", (F.col("again") & F.col("met")).alias("shared"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
@@ -56,8 +41,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Groups are formed among the survivors of both sieves only; every other row is alone. With digest_all those get
     their text_sha256 as well, which decides nothing; without it theirs is null.
     """
-    sifted = survivors(docs, id_col, text_col)
-    hashed = sifted.filter("shared").select("doc_id", F.sha2("t", 256).alias("text_sha256"))
+    found = survivors(docs, id_col, text_col)
+    hashed = found.filter("shared").select("doc_id", F.sha2("t", 256).alias("text_sha256"))
     groups = cut(hashed.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"))
     # the groups come from a written table, so AQE can split the rows of a hot one
     joined = hashed.join(groups, "text_sha256", "left")
@@ -70,5 +55,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "text_sha256",
     )
     digest = F.sha2("t", 256) if digest_all else F.lit(None).cast("string")
-    alone = sifted.filter("not shared").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest.alias("text_sha256"))
+    alone = found.filter("not shared").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest.alias("text_sha256"))
     return together.unionByName(alone)

@@ -37,21 +37,29 @@ FANOUT = 16
 FRONTIER = 1_000_000
 
 
-def text_fingerprint(text: str | None, words_each: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> int:
-    """Unsigned 64-bit SimHash: bit set if set in over half of the shingle hashes; 0 without words."""
+def shingle_hashes(text: str | None, words_each: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; fewer words are one shingle, no words none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[k:] for k in range(words_each)))) if len(words) >= words_each else [b" ".join(words)]
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64, max(1, len(words) - words_each + 1))
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64, max(1, len(words) - words_each + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash: bit set if set in over half of the hashes; 0 for none."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def text_fingerprint(text: str | None, words_each: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> int:
+    return majority(shingle_hashes(text, words_each, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every row of docs."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

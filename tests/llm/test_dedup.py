@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyfold.llm import exact_dedup, line_dedup, queries, simhash, suffix_dedup
+from tallyfold.llm import exact_dedup, line_dedup, near_dedup, queries, simhash, suffix_dedup
 from tallyfold.llm.blind_trie import BlindTrie, equal_groups
 
 from .conftest import ordered, result
@@ -335,3 +335,66 @@ def test_simhash_of_nothing(empty):
 def test_gray_rank():
     x = np.array([0b0000, 0b0001, 0b0011, 0b0010, 0b0110, 0b0111, 0b0101, 0b0100], np.uint64)
     assert simhash.gray_rank(x).tolist() == list(range(8))
+
+
+def edited(rng, words, share):
+    """words with a share of them replaced, dropped or doubled, in runs."""
+    out = list(words)
+    for _ in range(max(1, int(len(words) * share / 3))):
+        k = int(rng.integers(0, max(1, len(out) - 3)))
+        out[k : k + 3] = [[], ["new%d" % rng.integers(1e6)], out[k : k + 3] + ["more"]][int(rng.integers(0, 3))]
+    return out
+
+
+def near_texts():
+    rng = np.random.default_rng(11)
+    fresh = lambda n: ["w%d" % k for k in rng.integers(0, 3000, n)]
+    passage, texts = fresh(60), []
+    for n in (3, 6, 9, 14, 25, 40, 80, 130, 260, 520, 1300, 1300):
+        base = fresh(n)
+        texts += [" ".join(edited(rng, base, share)) for share in (0, 0.005, 0.01, 0.02, 0.04, 0.06, 0.1, 0.2)] + [" ".join(base)]
+    texts += [" ".join(fresh(int(rng.integers(30, 120))) + passage + fresh(20)) for _ in range(150)]  # share a passage only
+    hot = fresh(150)
+    texts += [" ".join(edited(rng, hot, 0.01)) for _ in range(150)]
+    return texts + ["", None, " ", "one", "ONE", "one two three four five six", "x" * 100000, "y " * 40000]
+
+
+def brute_near(texts):
+    sets = []
+    for t in texts:
+        w = re.sub(r"[A-Z]", lambda m: m.group().lower(), t or "").split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 5 * len(a & b) >= 4 * len(a | b)]
+    root = list(range(len(texts)))
+    for _ in texts:
+        before = list(root)
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+        if before == root:
+            return root, links
+    return root, links
+
+
+def test_near_groups_equal_brute_force(spark):
+    texts = near_texts()
+    want, links = brute_near(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    root = {r["node"]: r["root"] for r in near_dedup.near_groups(df).collect()}
+    got = [root.get(k, k) for k in range(len(texts))]
+    assert [(k, g, w) for k, (g, w) in enumerate(zip(got, want)) if g != w] == []
+    assert len(links) > 5000
+
+
+def test_similar_sets_have_a_part_in_common():
+    rng = np.random.default_rng(5)
+    for n in (5, 8, 17, 33, 64, 127, 129, 500, 1020):
+        for _ in range(20):
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            gone = int(0.2 * n + 1e-9)  # one set within the other, or as many replaced on both sides
+            swap = int(n / 9)
+            for b in (a[gone:], np.r_[a[swap:], rng.integers(0, 1 << 63, swap).astype(np.uint64)]):
+                assert np.isin(near_dedup.part_keys(np.unique(a)), near_dedup.part_keys(np.unique(b))).any()
+
+
+def test_near_groups_of_nothing(empty):
+    assert near_dedup.near_groups(empty.selectExpr("doc_id row", "text")).count() == 0
