@@ -231,7 +231,7 @@ query(
 E, W, S, R, T = o.EXPERIMENTS, o.WEIGHTS, o.SEGMENTS, o.returns(), o.METRICS
 query("experiments", f"{E} {sel(experiment='#experiment', anchor='#anchor', asset='asset')} FROM ea")(lambda b: b.exp_asset)
 query("experiment_windows", f"{E} {sel(experiment='#experiment', asset='asset', pos='#pos', date='date', price='~price', s='~s')} FROM win")(lambda b: b.windows)
-query("rebalance_schedule", f"{E} {sel(experiment='#experiment', k='#k', execution='#execution', formation='#formation', first='#first')} FROM tr")(lambda b: b.trades)
+query("rebalance_schedule", f"{E} {sel(experiment='#experiment', k='#k', execution='#execution', formation='#formation', first='#first', earns='#execution + 1')} FROM tr")(lambda b: b.trades)
 query("lookahead_violations", f"{E}, lu AS (SELECT experiment, k, max(pos) AS u FROM er GROUP BY 1, 2) {sel(violations='#count(*) FILTER (u IS NULL OR first > formation OR u > formation OR formation >= execution OR execution >= execution + 1)', trades='#count(*)')} FROM tr LEFT JOIN lu USING (experiment, k)")(
     lambda b: sampler.lookahead_violations(sampler.with_last_used(b.trades, b.rows))
 )
