@@ -6,23 +6,32 @@ import importlib.util
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, line_dedup, mixing, piece_codec, quality_rules, simhash, suffix_dedup, toxicity
+from . import exact_dedup, language_id, lexical_search, license_scan, line_dedup, mixing, piece_codec, quality_rules, simhash, spelling, suffix_dedup, token_counts, toxicity
 from .common import read
 
 PIECE_MODEL = os.environ.get("TALLYFOLD_PIECE_MODEL", "")
+WORD_TOKENIZER = os.environ.get("TALLYFOLD_WORD_TOKENIZER", "")
 
 
 def piece_model() -> str:
     """Path of the SentencePiece model: TALLYFOLD_PIECE_MODEL, else the public tokenizers' folder."""
-    if PIECE_MODEL:
-        return PIECE_MODEL
+    return PIECE_MODEL or tokenizer_file("piece_bpe_32k.model")
+
+
+def word_tokenizer() -> str:
+    """Path of the word tokenizer: TALLYFOLD_WORD_TOKENIZER, else the public tokenizers' folder."""
+    return WORD_TOKENIZER or tokenizer_file("word_bpe_49k.json")
+
+
+def tokenizer_file(name: str) -> str:
     if importlib.util.find_spec("public_tokenizers"):
         import public_tokenizers
 
-        return public_tokenizers.path("piece_bpe_32k.model")
-    return "/opt/tokenizers/piece_bpe_32k.model"
+        return public_tokenizers.path(name)
+    return f"/opt/tokenizers/{name}"
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +75,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents")).select(*columns)
 
 
+def lose_letters(id_: Column, run: Column) -> Column:
+    """run without one of its code points where 97 divides the crc32 of `<id>:<run>`: misspellings to be found."""
+    h = F.crc32(F.concat(id_, F.lit(":"), run).cast("binary"))
+    at = (h % F.char_length(run)).cast("int")
+    rest = F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.char_length(run)))
+    return F.when(h % 97 == 0, rest).otherwise(run)
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(read(spark, sf_dir, "documents"), lose_letters))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), word_tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_piece_codec": op2_piece_codec,
@@ -77,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_token_counts": op13_token_counts,
 }
 
 _STOP_LIST = ", ".join(f"'{w}'" for w in quality_rules.STOP_FORMS)
@@ -143,5 +175,37 @@ v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
                CASE WHEN n_repeat_words / nullif(n_words, 0)::DOUBLE > {_RULE_BOUNDS["repeated_word_share"].high} THEN 'repeated_word_share' END
              ], lambda x: x IS NOT NULL), ',') AS failed_rules FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM v
+""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(0, 8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(0, 256) r(i)),
+runs AS (SELECT coalesce(doc_id::VARCHAR, 'null') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT id, run, count(*) AS c, hex(encode(id || ':' || run)) AS x FROM runs GROUP BY id, run),
+h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) AS h FROM g, crc),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(c)::BIGINT AS n FROM h GROUP BY 1),
+v AS (SELECT word, n FROM w WHERE n >= 3 AND length(word) >= 5),
+dl AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS key FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM dl a JOIN dl b ON a.key = b.key AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, a.n, b.word, b.n FROM v a JOIN dl b ON a.word = b.key
+      UNION SELECT b.word, b.n, a.word, a.n FROM v a JOIN dl b ON a.word = b.key),
+f AS (SELECT word, n, count(*) AS n_near, max(other_n) AS best_n FROM p GROUP BY word, n),
+o AS (SELECT f.word, min(p.other) AS form FROM f JOIN p ON p.word = f.word AND p.other_n = f.best_n WHERE f.best_n >= 2 * f.n GROUP BY f.word),
+r AS (SELECT word, form AS root FROM o UNION ALL SELECT r.word, o.form FROM r JOIN o ON o.word = r.root),
+e AS (SELECT r.word, r.root FROM r LEFT JOIN o ON o.word = r.root WHERE o.word IS NULL)
+SELECT v.word, o.form, coalesce(e.root, v.word) AS root, v.n, coalesce(f.n_near, 0)::BIGINT AS n_near, CASE WHEN o.form IS NOT NULL THEN f.best_n END AS form_n
+FROM v LEFT JOIN f ON f.word = v.word LEFT JOIN o ON o.word = v.word LEFT JOIN e ON e.word = v.word
+""",
+    "op12_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+s AS (SELECT count(*) FILTER (len(ts) > 0)::BIGINT AS big_n, sum(len(ts))::BIGINT AS big_l FROM d),
+qt AS (SELECT item_id, term, count(*)::BIGINT AS repeats FROM (
+         SELECT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+p AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY rid, term),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term), s),
+m AS (SELECT rid, doc_id, 100 - 25 + ((25 * len(ts)::BIGINT * big_n) // big_l) AS m FROM d, s WHERE len(ts) > 0),
+c AS (SELECT item_id, rid, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM qt JOIN w USING (term) JOIN p USING (term) JOIN m USING (rid) GROUP BY item_id, rid),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, rid)::INT AS rank, doc_id, score FROM c JOIN m USING (rid) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
 """,
 }
