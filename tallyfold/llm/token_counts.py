@@ -2,18 +2,16 @@
 
 A first reading gathers the distinct pre-tokens with the number of documents that hold each, and the tokenizer's model
 cuts each of them once. A second reading gives the pre-tokens of each document with their frequencies; the counts are
-joined to them and summed. Pre-tokens that make up over 1 / HOT_SHARE of all (document, pre-token) rows, HOT_SHARE of
-them at most and of HOT_CHARS characters at most, come by a broadcast join, so nearly all rows are summed before
-anything is shuffled; the others meet their counts in a shuffled join.
-
-A document is known by its id and a digest of its text, so no row number has to stay the same when a lost executor's
-part is read again.
+joined to them and summed. Pre-tokens that make up over 1 / HOT_SHARE of all (document, pre-token) pairs, HOT_SHARE of
+them at most and of HOT_CHARS characters at most (or over 1 / LONG_SHARE, if longer), are joined where a document is
+read, so that most pairs are summed before anything is shuffled; the others are written with their document and meet
+their counts in a shuffled join, in which no short pre-token has more than that share.
 
 Special strings inside texts are one token each, as the library has it by default. A tokenizer that trims or matches
 them in another way, cuts texts off or pads them raises ValueError.
 
-Edge cases: null texts count as empty; empty texts have no tokens; rows that repeat an id and its text get a row
-each, with equal counts; one id with two texts is two documents; null ids are documents like others; a word of any
+Edge cases: null texts count as empty; empty texts have no tokens; every row is a document of its own, whether its id
+repeats or not; null ids are documents like others; a word of any
 length is one pre-token; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -26,14 +24,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-HOT_SHARE = 1 << 16
-HOT_CHARS = 64
+HOT_SHARE, HOT_CHARS = 1 << 19, 32
+LONG_SHARE, LONG_CHARS = 1 << 10, 4096
 MAX_TOKENS = 2048
 CACHE_CHUNKS = 300_000
 CACHED_CHARS = 48
@@ -42,6 +41,21 @@ SLICE = 200
 
 _CHUNK = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _PROBE = " Aé  b's\n«x»\t12.5 'll\r\n"
+#: Texts in which normal forms and character classes are the same for every library.
+_PLAIN = re.compile(r"[\x20-\x7E\t\n\x0b\x0c\r]*")
+
+
+def _plain_pattern(told: dict) -> str | None:
+    """The pattern of pre-tokens in lower-cased plain text, if that is all the tokenizer looks at; else None."""
+    steps = (told.get("normalizer") or {}).get("normalizers", [])
+    lowers = [s["type"] for s in steps if s["type"] != "Replace" or (s["pattern"], s["content"]) != ({"Regex": "\\s+"}, " ")] == ["NFC", "Lowercase"]
+    cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if not lowers or [c["type"] for c in cuts] != ["Split", "ByteLevel"]:
+        return None
+    split, by_bytes = cuts
+    if split["behavior"] != "Removed" or not split["invert"] or by_bytes["add_prefix_space"] or by_bytes["use_regex"]:
+        return None
+    return split["pattern"].get("Regex")
 
 
 class PreTokens:
@@ -59,6 +73,8 @@ class PreTokens:
         longest_first = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.split = re.compile("(" + "|".join(longest_first) + ")").split if self.special else lambda t: [t]
         self.known: dict[str, list[str]] = {}
+        pattern = _plain_pattern(told)
+        self.plain = regex.compile(pattern).findall if pattern else None
         parts = [p for c in _CHUNK.findall(_PROBE) for p in self.cut(c)]
         #: Texts are cut at white space first if no pre-token holds or crosses it.
         self.chunks = _CHUNK.findall if parts == self.cut(_PROBE) else lambda t: [t] if t else []
@@ -75,7 +91,12 @@ class PreTokens:
                     found += [p for p, _ in pre.pre_tokenize_str(plain)] if pre else [plain]
         return found
 
+    def is_plain(self, text: str) -> bool:
+        return self.plain is not None and text.isascii() and _PLAIN.fullmatch(text) is not None and not any(t in text for t in self.special)
+
     def look_up(self, chunk: str) -> list[str]:
+        if self.is_plain(chunk):
+            return self.plain(chunk.lower())
         found = self.known.get(chunk)
         if found is None:
             found = self.cut(chunk)
@@ -86,6 +107,8 @@ class PreTokens:
         return found
 
     def frequencies(self, text: str) -> Counter[str]:
+        if self.is_plain(text):
+            return Counter(self.plain(text.lower()))
         total: Counter[str] = Counter()
         for chunk, n in Counter(self.chunks(text)).items():
             for p in self.look_up(chunk):
@@ -134,48 +157,49 @@ def vocabulary(docs: DataFrame, file: Broadcast, text_col: str = "text") -> Data
     return found.groupBy("pre").agg(F.sum("n_docs").alias("n_docs")).mapInArrow(count, "pre string, n_docs long, pieces long")
 
 
-def frequencies(docs: DataFrame, file: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, n_bytes, pre and n: a row for each pre-token of a document, and one with a null pre for the document."""
+def frequencies(docs: DataFrame, file: Broadcast, hot: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, known and rare of each row of docs.
+
+    known is the number of pieces of its hot pre-tokens, rare the others with their frequencies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _pre_tokens(file)
+        of, pieces = _pre_tokens(file), hot.value
         for batch in _slices(batches):
-            at, digests, sizes, pres, counts = [], [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                data = (text or "").encode()
-                digest, held = hashlib.sha256(data).digest(), of.frequencies(text or "")
-                rows = 1 + len(held)
-                at += [k] * rows
-                digests += [digest] * rows
-                sizes += [len(data)] * rows
-                pres += [None, *held]
-                counts += [0, *held.values()]
-            columns = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(pres, pa.string()), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n_bytes", "pre", "n"])
+            sizes, known, starts, pres, counts = [], [], [0], [], []
+            for text in batch.column(1).to_pylist():
+                total = 0
+                for p, n in of.frequencies(text or "").items():
+                    found = pieces.get(p)
+                    if found is None:
+                        pres.append(p)
+                        counts.append(n)
+                    else:
+                        total += n * found
+                sizes.append(len((text or "").encode()))
+                known.append(total)
+                starts.append(len(pres))
+            rare = pa.StructArray.from_arrays([pa.array(pres, pa.string()), pa.array(counts, pa.int64())], ["pre", "n"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), rare)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "known", "rare"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, digest binary, n_bytes long, pre string, n long")
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes long, known long, rare array<struct<pre:string,n:bigint>>")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > max_tokens) of every row of docs."""
+    sc = docs.sparkSession.sparkContext
     with open(tokenizer_path, "rb") as f:
         # the tokenizer's file (some 4 MB, whatever the input) for every executor
-        file = docs.sparkSession.sparkContext.broadcast(f.read())
+        file = sc.broadcast(f.read())
     counts = cut(vocabulary(docs, file, text_col))
-    rows = counts.agg(F.sum("n_docs")).first()[0] or 0
-    hot = counts.filter((F.col("n_docs") * HOT_SHARE > rows) & (F.char_length("pre") <= HOT_CHARS)).select("pre", F.col("pieces").alias("found"))
-    document = ("doc_id", "digest", "n_bytes")
-    met = frequencies(docs, file, id_col, text_col).join(F.broadcast(hot), "pre", "left")
-    rare = F.when(F.col("found").isNull(), F.col("pre")).alias("pre")
-    summed = met.groupBy(*document, rare).agg(
-        F.sum(F.col("n") * F.coalesce("found", F.lit(1))).alias("n"),
-        F.count_if(F.col("n") == 0).alias("copies"),
-    )
-    summed = cut(summed)
-    known = summed.filter("pre IS NULL").select(*document, "n", "copies")
-    others = summed.filter("pre IS NOT NULL").join(counts, "pre").select(*document, (F.col("n") * F.col("pieces")).alias("n"), F.lit(0).cast("long").alias("copies"))
-    total = known.unionByName(others).groupBy(*document).agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
-    n_tokens = F.expr("n div copies")
-    each = total.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > max_tokens).alias("over_limit"))
+    pairs = counts.agg(F.sum("n_docs")).first()[0] or 0
+    length = F.char_length("pre")
+    often = ((F.col("n_docs") * HOT_SHARE > pairs) & (length <= HOT_CHARS)) | ((F.col("n_docs") * LONG_SHARE > pairs) & (length <= LONG_CHARS))
+    # HOT_SHARE short ones and LONG_SHARE long ones at most
+    hot = sc.broadcast({r["pre"]: r["pieces"] for r in counts.filter(often).select("pre", "pieces").toLocalIterator()})
+    read = cut(frequencies(docs, file, hot, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    rare = read.select("row", F.inline("rare")).join(counts, "pre").select("row", F.lit(None).cast(read.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"), (F.col("n") * F.col("pieces")).alias("n"))
+    each = read.select("row", "doc_id", "n_bytes", F.col("known").alias("n")).unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit"))
