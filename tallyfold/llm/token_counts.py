@@ -24,7 +24,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +40,9 @@ SLICE = 200
 
 _CHUNK = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _PROBE = " Aé  b's\n«x»\t12.5 'll\r\n"
-#: Texts in which normal forms and character classes are the same for every library.
-_PLAIN = re.compile(r"[\x20-\x7E\t\n\x0b\x0c\r]*")
+#: Letters and texts in which normal forms, lower case and character classes are the same for every library.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(rf"[\x20-\x7E\t\n\x0b\x0c\rÀ-ÖØ-öø-ÿ]*")
 
 
 def _plain_pattern(told: dict) -> str | None:
@@ -55,7 +55,8 @@ def _plain_pattern(told: dict) -> str | None:
     split, by_bytes = cuts
     if split["behavior"] != "Removed" or not split["invert"] or by_bytes["add_prefix_space"] or by_bytes["use_regex"]:
         return None
-    return split["pattern"].get("Regex")
+    pattern = split["pattern"].get("Regex")
+    return pattern and pattern.replace(r"\p{L}", _LETTERS).replace(r"\p{N}", "0-9")
 
 
 class PreTokens:
@@ -74,7 +75,10 @@ class PreTokens:
         self.split = re.compile("(" + "|".join(longest_first) + ")").split if self.special else lambda t: [t]
         self.known: dict[str, list[str]] = {}
         pattern = _plain_pattern(told)
-        self.plain = regex.compile(pattern).findall if pattern else None
+        self.plain = re.compile(pattern).findall if pattern else None
+        if pattern:
+            letters = (c for c in map(chr, range(0xC0, 0x100)) if c.isalpha())
+            self.by_bytes = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
         parts = [p for c in _CHUNK.findall(_PROBE) for p in self.cut(c)]
         #: Texts are cut at white space first if no pre-token holds or crosses it.
         self.chunks = _CHUNK.findall if parts == self.cut(_PROBE) else lambda t: [t] if t else []
@@ -92,11 +96,15 @@ class PreTokens:
         return found
 
     def is_plain(self, text: str) -> bool:
-        return self.plain is not None and text.isascii() and _PLAIN.fullmatch(text) is not None and not any(t in text for t in self.special)
+        return self.plain is not None and _PLAIN.fullmatch(text) is not None and not any(t in text for t in self.special)
+
+    def plain_frequencies(self, text: str) -> Counter[str]:
+        found = Counter(self.plain(text.lower()))
+        if text.isascii():
+            return found
+        return Counter({p if p.isascii() else p.translate(self.by_bytes): n for p, n in found.items()})
 
     def look_up(self, chunk: str) -> list[str]:
-        if self.is_plain(chunk):
-            return self.plain(chunk.lower())
         found = self.known.get(chunk)
         if found is None:
             found = self.cut(chunk)
@@ -108,7 +116,7 @@ class PreTokens:
 
     def frequencies(self, text: str) -> Counter[str]:
         if self.is_plain(text):
-            return Counter(self.plain(text.lower()))
+            return self.plain_frequencies(text)
         total: Counter[str] = Counter()
         for chunk, n in Counter(self.chunks(text)).items():
             for p in self.look_up(chunk):
