@@ -42,7 +42,7 @@ _CHUNK = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _PROBE = " Aé  b's\n«x»\t12.5 'll\r\n"
 #: Letters and texts in which normal forms, lower case and character classes are the same for every library.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"[\x20-\x7E\t\n\x0b\x0c\rÀ-ÖØ-öø-ÿ]*")
+_PLAIN = re.compile(r"[\x20-\x7E\t\n\x0b\x0c\rÀ-ÖØ-öø-ÿ]*")
 
 
 def _plain_pattern(told: dict) -> str | None:
