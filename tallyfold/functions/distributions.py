@@ -32,6 +32,24 @@ def erfc(x: Column) -> Column:
     return F.when(x < SPLIT, 1 - x * low).otherwise(high / NODES)
 
 
+def normal_sf(x: Column) -> Column:
+    """Upper tail of the standard normal."""
+    tail = erfc(F.abs(x) / sqrt(2)) / 2
+    return F.when(x >= 0, tail).otherwise(1 - tail)
+
+
+def half_log_tail(u: Column) -> Column:
+    """log(erfc(u) / 2) of a column u >= 0, as exact far out as near zero.
+
+    Far out the slowest node's rate is taken out of the mean of exponentials, so that none vanishes before the log.
+    """
+    slowest, square = min(node_rates()), u * u
+    rest = F.lit(0.0)
+    for rate in node_rates():
+        rest = rest + F.exp(-square * F.lit(rate - slowest))
+    return F.when(u < SPLIT, F.log(erfc(u) / 2)).otherwise(-square * F.lit(slowest) + F.log(rest / (2 * NODES)))
+
+
 def chi2_sf(x: Column, df: int) -> Column:
     """Upper tail of chi-square with a whole number of degrees of freedom, in closed form."""
     if df <= 0:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import carry
 from .sampler import Schedule
 
 _run = ("experiment", "strategy")
@@ -82,8 +83,8 @@ def turnover(traded: DataFrame, schedule: Schedule) -> DataFrame:
 
 def wealth(returns: DataFrame) -> DataFrame:
     """Growth of 1 at each close."""
-    by = Window.partitionBy(*_run, "basis").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return returns.withColumn("wealth", F.exp(F.sum(F.log1p("ret")).over(by)))
+    grown = carry.running(returns, (*_run, "basis"), "pos", F.year("date"), grown=carry.total(F.log1p("ret")))
+    return grown.withColumn("wealth", F.exp("grown")).drop("grown")
 
 
 def fixed_mix(windows: DataFrame, weights: DataFrame, schedule: Schedule) -> DataFrame:

@@ -6,12 +6,20 @@ the calendar. Only the calendar's numbering is a window without a key; it has on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from . import carry
+
 FILL_LIMIT = 3
 EXTREME_MOVE = 0.15
 STALE = 1e-12
+#: Sessions of a block of a series, about a year of days.
+BLOCK = 256
+
+
+def block() -> Column:
+    return F.floor(F.col("session") / BLOCK)
 
 
 def _by_asset() -> WindowSpec:
@@ -43,9 +51,10 @@ def align(obs: DataFrame, cal: DataFrame, assets: DataFrame, limit: int = FILL_L
     """The panel on calendar x assets; each gap's first limit sessions carry the last price, nothing comes before the first."""
     grid = cal.crossJoin(assets.select("asset"))  # every cell of the panel is a row of the result
     panel = grid.join(obs.select("date", "asset", F.col("price").alias("price_raw"), "volume"), ["date", "asset"], "left")
-    last = F.last("price_raw", ignorenulls=True).over(_so_far())
-    seen = F.last(F.when(F.col("price_raw").isNotNull(), F.col("session")), ignorenulls=True).over(_so_far())
-    return panel.withColumn("price", F.when(F.col("session") - seen <= limit, last)).select("session", "date", "asset", "price_raw", "price", "volume")
+    there = F.when(F.col("price_raw").isNotNull(), F.struct("session", "price_raw"))
+    carried = carry.running(panel, ("asset",), "session", block(), last=carry.last_seen(there))
+    price = F.when(F.col("session") - F.col("last.session") <= limit, F.col("last.price_raw"))
+    return carried.select("session", "date", "asset", "price_raw", price.alias("price"), "volume")
 
 
 def align_series(series: DataFrame, cal: DataFrame, value: str, limit: int | None = FILL_LIMIT) -> DataFrame:
@@ -63,9 +72,10 @@ def fill_counts(panel: DataFrame) -> DataFrame:
 
 def gap_islands(panel: DataFrame, column: str = "price") -> DataFrame:
     """asset, gap_start, gap_end, sessions of each run of missing values after the asset's first value."""
-    first = F.min(F.when(F.col(column).isNotNull(), F.col("session"))).over(Window.partitionBy("asset"))
-    missing = panel.withColumn("first", first).filter(F.col(column).isNull() & (F.col("session") > F.col("first")))
-    island = missing.withColumn("island", F.col("session") - F.row_number().over(_by_asset()))
+    first = panel.filter(F.col(column).isNotNull()).groupBy("asset").agg(F.min("session").alias("first"))
+    missing = panel.filter(F.col(column).isNull()).join(first, "asset").filter("session > first")
+    counted = carry.running(missing, ("asset",), "session", block(), nth=carry.total(F.lit(1)))
+    island = counted.withColumn("island", F.col("session") - F.col("nth"))
     return island.groupBy("asset", "island").agg(F.min("date").alias("gap_start"), F.max("date").alias("gap_end"), F.count(F.lit(1)).alias("sessions")).drop("island")
 
 
@@ -82,9 +92,8 @@ def first_complete(panel: DataFrame) -> DataFrame:
 
 
 def log_returns(panel: DataFrame) -> DataFrame:
-    """The panel with r, the log return on the dense grid: a missing price leaves two returns missing."""
-    logged = F.ln("price")
-    return panel.withColumn("r", logged - F.lag(logged).over(_by_asset()))
+    """The panel, a row for every session of its assets, with r, the log return: a missing price leaves two returns missing."""
+    return carry.with_before(panel, ("asset",), "session", BLOCK, before=F.col("price")).withColumn("r", F.ln("price") - F.ln("before")).drop("before")
 
 
 def availability(obs: DataFrame, panel: DataFrame, min_years: float) -> DataFrame:
@@ -152,7 +161,7 @@ def interpolate(panel: DataFrame) -> DataFrame:
 def buy_and_hold(panel: DataFrame, benchmark: str) -> DataFrame:
     """Growth, yearly growth and volatility of each asset from the first date that all have, and whether it beat the benchmark."""
     complete = panel.withColumn("gap", F.count_if(F.col("price").isNull()).over(Window.partitionBy("date"))).filter("gap = 0")
-    r = log_returns(complete)
+    r = carry.running(complete, ("asset",), "session", block(), before=carry.previous(F.col("price"))).withColumn("r", F.ln("price") - F.ln("before"))
     own = r.groupBy("asset").agg(
         (F.max_by("price", "session") / F.min_by("price", "session")).alias("growth"),
         (F.datediff(F.max("date"), F.min("date")) / 365.25).alias("years"),

@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import carry
+from .panel import block
+
 CUSHION = 0.10
 _run = ("experiment", "strategy", "basis")
 
 
+def falls(returns: DataFrame) -> DataFrame:
+    """returns with fall, the wealth of each run over the highest it had so far, 1 at the start, less 1."""
+    path = carry.paths(returns, _run, "pos", F.year("date"), F.log1p("ret"))
+    return path.withColumn("fall", F.expm1(F.col("grown") - F.greatest(F.lit(0.0), F.col("peak")))).drop("grown", "peak")
+
+
 def run_metrics(returns: DataFrame, rf: DataFrame, periods: int) -> DataFrame:
     """Annualised return, volatility, Sharpe, Sortino, maximum drawdown, Calmar and Sterling of each run.
 
     returns: experiment, strategy, basis, pos, date, ret; rf: date, rf for a period.
     """
-    by = Window.partitionBy(*_run).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    path = returns.join(rf.select("date", "rf"), "date", "left").withColumn("wealth", F.exp(F.sum(F.log1p("ret")).over(by)))
-    fall = F.col("wealth") / F.greatest(F.lit(1.0), F.max("wealth").over(by)) - 1
     e = F.col("ret") - F.col("rf")
-    a = path.withColumn("fall", fall).groupBy(*_run).agg(
+    a = falls(returns).join(rf.select("date", "rf"), "date", "left").groupBy(*_run).agg(
         F.count("ret").alias("n"), F.sum(F.log1p("ret")).alias("grown"), F.stddev_samp("ret").alias("sd"),
         F.avg(e).alias("em"), F.stddev_samp(e).alias("es"), F.avg(F.pow(F.least(e, F.lit(0.0)), F.lit(2.0))).alias("ed"), F.least(F.min("fall"), F.lit(0.0)).alias("max_dd"),
     )
@@ -94,10 +100,7 @@ def regimes(metrics: DataFrame, benchmark: str = "EW", basis: str = "net") -> Da
 
 def replication_metrics(returns: DataFrame, periods: int) -> DataFrame:
     """The second implementation's conventions: arithmetic return, positive drawdown, Sterling over the mean drawdown."""
-    by = Window.partitionBy(*_run).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    path = returns.withColumn("wealth", F.exp(F.sum(F.log1p("ret")).over(by)))
-    fall = F.col("wealth") / F.greatest(F.lit(1.0), F.max("wealth").over(by)) - 1
-    a = path.withColumn("fall", fall).groupBy(*_run).agg(
+    a = falls(returns).groupBy(*_run).agg(
         (F.avg("ret") * periods).alias("ann_return"), (F.stddev_samp("ret") * F.sqrt(F.lit(float(periods)))).alias("ann_vol"), (-F.least(F.min("fall"), F.lit(0.0))).alias("max_dd"),
         F.avg(F.when(F.col("fall") < 0, F.col("fall"))).alias("mean_fall"), _share(F.col("ret") > 0).alias("win_pct"), F.skewness("ret").alias("skew"), F.kurtosis("ret").alias("kurt"),
     )
@@ -112,9 +115,9 @@ def annual_table(panel: DataFrame, periods: int) -> DataFrame:
 
 def downside_table(panel: DataFrame, level: float = 0.05) -> DataFrame:
     """Semi-deviation over all rows, value at risk, the mean beyond it, and the drawdown of summed (not compounded) returns."""
-    up_to = Window.partitionBy("asset").orderBy("session").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = panel.filter("s is not null").select("asset", "session", "s", F.avg("s").over(Window.partitionBy("asset")).alias("m")).withColumn("path", F.sum("s").over(up_to))
-    s = s.withColumn("fall", F.max("path").over(up_to) - F.col("path"))
+    s = panel.filter("s is not null").select("asset", "session", "s")
+    s = carry.paths(s, ("asset",), "session", block(), F.col("s")).withColumn("fall", F.col("peak") - F.col("grown"))
+    s = s.join(s.groupBy("asset").agg(F.avg("s").alias("m")), "asset")
     a = s.groupBy("asset").agg(F.sqrt(F.avg(F.pow(F.least(F.col("s") - F.col("m"), F.lit(0.0)), F.lit(2.0)))).alias("semi_dev"), F.percentile("s", F.lit(level)).alias("q"), F.max("fall").alias("max_dd"))
     beyond = s.join(a.select("asset", "q"), "asset").filter("s <= q").groupBy("asset").agg((-F.avg("s")).alias("cvar"))
     return a.join(beyond, "asset").select("asset", "semi_dev", (-F.col("q")).alias("var"), "cvar", "max_dd")
@@ -151,10 +154,8 @@ def second_metrics(returns: DataFrame, periods: int) -> DataFrame:
     it (else the quantile); Calmar is over compounded growth; the win rate counts days that moved; skewness and kurtosis
     are the unbiased sample forms; the median calendar-year return stands beside them.
     """
-    run = Window.partitionBy(*_run)
-    by = run.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    path = returns.withColumn("wealth", F.exp(F.sum(F.log1p("ret")).over(by))).withColumn("fall", F.col("wealth") / F.greatest(F.lit(1.0), F.max("wealth").over(by)) - 1)
-    path = path.withColumn("limit", F.avg("ret").over(run) + F.lit(Z95) * F.stddev_samp("ret").over(run))
+    limits = returns.groupBy(*_run).agg((F.avg("ret") + F.lit(Z95) * F.stddev_samp("ret")).alias("limit"))
+    path = falls(returns).join(limits, [*_run])
     year = float(periods)
     a = path.groupBy(*_run).agg(
         F.count("ret").cast("double").alias("n"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("sd"), F.sum(F.log1p("ret")).alias("grown"),

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..sources.market import period_end
-from .panel import log_returns
+from . import carry
+from .panel import BLOCK, block, log_returns
 
 
 def _by_asset() -> WindowSpec:
@@ -27,7 +28,7 @@ def period_returns(panel: DataFrame, freq: str) -> DataFrame:
 
 
 def simple_returns(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("s", F.try_divide(F.col("price"), F.lag("price").over(_by_asset())) - 1)
+    return carry.with_before(panel, ("asset",), "session", BLOCK, before=F.col("price")).withColumn("s", F.try_divide(F.col("price"), F.col("before")) - 1).drop("before")
 
 
 def complete_periods(returns: DataFrame, last_day: str) -> DataFrame:
@@ -60,9 +61,9 @@ def yearly(panel: DataFrame) -> DataFrame:
 
 def wealth_paths(panel: DataFrame) -> DataFrame:
     """Additive and compounded wealth of each asset."""
-    up_to = _by_asset().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = simple_returns(panel).filter("s is not null")
-    return s.select("date", "asset", (1 + F.sum("s").over(up_to)).alias("additive"), F.exp(F.sum(F.log1p("s")).over(up_to)).alias("compounded"))
+    s = simple_returns(panel).filter("s is not null").select("session", "date", "asset", "s")
+    grown = carry.running(s, ("asset",), "session", block(), simple=carry.total(F.col("s")), logged=carry.total(F.log1p("s")))
+    return grown.select("date", "asset", (1 + F.col("simple")).alias("additive"), F.exp("logged").alias("compounded"))
 
 
 def split_rows(panel: DataFrame, share: float = 0.7) -> DataFrame:

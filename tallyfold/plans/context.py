@@ -50,7 +50,7 @@ class Lab:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return panel.align(self.obs, self.cal, self.universe)
+        return written(panel.align(self.obs, self.cal, self.universe))
 
     @cached_property
     def r(self) -> DataFrame:
@@ -104,7 +104,7 @@ class Runs:
 
     @cached_property
     def segments(self) -> DataFrame:
-        return backtest.segments(self.targets, self.lab.windows, self.lab.schedule)
+        return written(backtest.segments(self.targets, self.lab.windows, self.lab.schedule))
 
     @cached_property
     def daily_weights(self) -> DataFrame:
@@ -120,4 +120,4 @@ class Runs:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return performance.run_metrics(self.returns, self.lab.rf, self.lab.schedule.periods)
+        return performance.run_metrics(written(self.returns), self.lab.rf, self.lab.schedule.periods)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import normal_quantile
-from ..operators import backtest, conventions, panel, performance, returns, robustness, sampler, statistics, strategies, volatility
+from ..operators import backtest, bootstrap, conventions, normality, panel, performance, regression, returns, robustness, sampler, statistics, strategies, volatility
 from ..sources import market
 from ..sources.lineage import written
 from . import oracles as o
@@ -120,6 +120,34 @@ by_frequency(
     lambda p: f"{_lagged(p, LAGS)} {sel(asset='c.asset', lag='#c.lag', raw='~c.xs / c.ss', absolute='~a.xs / a.ss', squared='~s.xs / s.ss')} FROM lagged c JOIN lagged_a a ON a.asset = c.asset AND a.lag = c.lag JOIN lagged_s s ON s.asset = c.asset AND s.lag = c.lag",
     lambda b: statistics.acf(b.r, LAGS).select("asset", "lag", "raw", "absolute", "squared"),
 )
+by_frequency("normality_by_freq", lambda p: f"{p}{o.NORMALITY} {sel(asset='asset', test='test', stat='~stat', p='~p')} FROM nt", lambda b: normality.tests(b.r))
+by_frequency(
+    "arch_lm_by_freq",
+    lambda p: f"{o.recursive(p)}{o.arch_lm(Q_LAGS)} {sel(asset='asset', lags='#lags', n='#n', lm='~lm', p='~' + o.at_lags(Q_LAGS, 'lm'))} FROM lm",
+    lambda b: regression.arch_lm(b.r, Q_LAGS),
+)
+by_frequency(
+    "ar1_by_freq",
+    lambda p: f"{p}, ap AS (SELECT asset, x AS y, lag(x) OVER (PARTITION BY asset ORDER BY date) AS z FROM x) {sel(asset='asset', n='#count(z)', intercept='~regr_intercept(y, z)', slope='~regr_slope(y, z)', r2='~regr_r2(y, z)')} FROM ap WHERE z IS NOT NULL GROUP BY asset",
+    lambda b: regression.autoregression(b.r).select("asset", "n", "intercept", F.col("slopes")[0].alias("slope"), "r2"),
+)
+
+
+def _dependence_rows(b: Lab) -> DataFrame:
+    """Statistic and p of every dependence test at every number of lags."""
+    boxes = statistics.ljung_box(b.r, Q_LAGS).select("asset", F.concat(F.lit("ljung-box "), "transform").alias("test"), "lags", F.col("q").alias("stat"), "p")
+    robust = statistics.robust_portmanteau(b.r, Q_LAGS).select("asset", F.lit("robust portmanteau").alias("test"), "lags", F.col("q").alias("stat"), "p")
+    arch = regression.arch_lm(b.r, Q_LAGS).select("asset", F.lit("arch-lm").alias("test"), "lags", F.col("lm").alias("stat"), "p")
+    return boxes.unionByName(robust).unionByName(arch)
+
+
+_PORTMANTEAU = ", rp AS (" + " UNION ALL ".join(f"SELECT asset, {k} AS lags, sum(xs * xs / xs2) AS q FROM lagged WHERE lag <= {k} GROUP BY asset" for k in Q_LAGS) + ")"
+by_frequency(
+    "dependence_table",
+    lambda p: f"""{_boxes(o.recursive(p))}{_PORTMANTEAU}{o.arch_lm(Q_LAGS)}, dt AS (SELECT asset, 'ljung-box ' || transform AS test, lags, q, p FROM lp UNION ALL SELECT asset, 'robust portmanteau', lags, q, {o.at_lags(Q_LAGS)} FROM rp
+    UNION ALL SELECT asset, 'arch-lm', lags, lm, {o.at_lags(Q_LAGS, 'lm')} FROM lm) {sel(asset='asset', test='test', lags='#lags', stat='~q', p='~p')} FROM dt""",
+    _dependence_rows,
+)
 _LAYOUT = [(f"{t}_{k}", t, k) for t, _ in _KINDS for k in Q_LAGS]
 by_frequency(
     "dependence_layout",
@@ -135,7 +163,24 @@ wn AS (SELECT date, asset, session, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS x FR
 query("white_noise_acf", f"{P}{_NOISE}{o.lagged(10).replace('FROM x)', 'FROM wn)')} {sel(asset='asset', lag='#lag', rho='~xs / ss', inside='abs(xs / ss) <= 1.96 / sqrt(n)')} FROM lagged")(
     lambda b: statistics.acf(statistics.white_noise(panel.log_returns(b.panel).filter("r is not null").select("date", "asset", "session")), 10).select("asset", "lag", F.col("raw").alias("rho"), (F.abs("raw") <= F.col("band")).alias("inside"))
 )
-query("skew_standard_errors", None)(lambda b: volatility.skew_errors(b.r))
+_BOOT = f""",
+bz AS (SELECT asset, count(*) AS n, round_even(power(count(*)::DOUBLE, {1 / 3!r}::DOUBLE), 0)::INT AS width, avg(x) AS mean FROM x GROUP BY asset HAVING count(*) >= {bootstrap.MIN_N}),
+bd AS (SELECT x.asset, row_number() OVER (PARTITION BY x.asset ORDER BY date) AS t, x - mean AS d FROM x JOIN bz ON x.asset = bz.asset),
+bp AS (SELECT asset, t, sum(d) OVER w AS p1, sum(d * d) OVER w AS p2, sum(d * d * d) OVER w AS p3 FROM bd WINDOW w AS (PARTITION BY asset ORDER BY t) UNION ALL SELECT asset, 0, 0, 0, 0 FROM bz),
+bb AS (SELECT asset, n, width, draw, unnest(range(ceil(n / width::DOUBLE)::INT)) AS b FROM bz CROSS JOIN (SELECT unnest(range({bootstrap.DRAWS})) AS draw)),
+bs_ AS (SELECT *, (('0x' || substr(md5('{bootstrap.SEED}:' || asset || ':' || draw || ':' || (b // 4)), ((b % 4) * 8 + 1)::INT, 8))::BIGINT * n) >> 32 AS s, least(width, n - b * width) AS len FROM bb),
+bt AS (SELECT bs_.asset, draw, bs_.n, sum(e.p1 - s.p1 + CASE WHEN bs_.s + len > bs_.n THEN f.p1 ELSE 0 END) / bs_.n AS m1, sum(e.p2 - s.p2 + CASE WHEN bs_.s + len > bs_.n THEN f.p2 ELSE 0 END) / bs_.n AS m2, sum(e.p3 - s.p3 + CASE WHEN bs_.s + len > bs_.n THEN f.p3 ELSE 0 END) / bs_.n AS m3
+       FROM bs_ JOIN bp s ON s.asset = bs_.asset AND s.t = bs_.s JOIN bp e ON e.asset = bs_.asset AND e.t = CASE WHEN bs_.s + len > bs_.n THEN bs_.s + len - bs_.n ELSE bs_.s + len END JOIN bp f ON f.asset = bs_.asset AND f.t = bs_.n GROUP BY 1, 2, 3),
+bw AS (SELECT asset, n, draw, (m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / power(m2 - m1 * m1, 1.5) AS w, avg((m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / power(m2 - m1 * m1, 1.5)) OVER (PARTITION BY asset) AS mid FROM bt),
+bo AS (SELECT asset, count(*) AS n, avg(d * d * d) / power(avg(d * d), 1.5) AS own FROM bd GROUP BY asset)"""
+by_frequency(
+    "skew_bootstrap_by_freq",
+    lambda p: f"{p}{_BOOT} {sel(asset='bo.asset', n='#any_value(bo.n)', skew='~any_value(own)', p='~avg(CASE WHEN abs(w - mid) >= abs(own) THEN 1.0::DOUBLE ELSE 0 END)', se='~stddev_samp(w)', textbook='~sqrt(6.0 * (any_value(bo.n) - 2) / ((any_value(bo.n) + 1) * (any_value(bo.n) + 3)))')} FROM bo JOIN bw ON bw.asset = bo.asset GROUP BY bo.asset",
+    lambda b: bootstrap.skew_tests(b.r),
+)
+query("skew_standard_errors", f"{P}{_BOOT} {sel(asset='bo.asset', textbook='~sqrt(6.0 * (any_value(bo.n) - 2) / ((any_value(bo.n) + 1) * (any_value(bo.n) + 3)))', bootstrap='~stddev_samp(w)')} FROM bo JOIN bw ON bw.asset = bo.asset GROUP BY bo.asset")(
+    lambda b: bootstrap.skew_tests(b.r).select("asset", "textbook", F.col("se").alias("bootstrap"))
+)
 
 
 def _residuals(b: Lab) -> DataFrame:

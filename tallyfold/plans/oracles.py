@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import gamma
 
+from ..operators import normality
 from ..operators.sampler import Schedule
 from ..functions.distributions import MEET, MIDDLE, NODES, SPLIT, TAIL, node_rates, series_terms
 from .context import BENCHMARK, N_EXPERIMENTS, REGION_BENCHMARK, SCHEDULE, STRESS
@@ -64,6 +65,17 @@ def erfc(x: str) -> str:
     return f"CASE WHEN {x} < {SPLIT} THEN 1 - ({x}) * ({low}) ELSE ({high}) / {NODES} END"
 
 
+def half_log_tail(u: str) -> str:
+    """log(erfc(u) / 2) for u >= 0."""
+    slowest = min(node_rates())
+    rest = " + ".join(f"exp(-({u}) * ({u}) * {rate - slowest!r}::DOUBLE)" for rate in node_rates())
+    return f"CASE WHEN {u} < {SPLIT} THEN ln(({erfc(u)}) / 2) ELSE -({u}) * ({u}) * {slowest!r}::DOUBLE + ln(({rest}) / {2 * NODES}) END"
+
+
+def normal_sf(x: str) -> str:
+    return f"CASE WHEN {x} >= 0 THEN ({erfc(f'(abs({x}) / sqrt(2.0::DOUBLE))')}) / 2 ELSE 1 - ({erfc(f'(abs({x}) / sqrt(2.0::DOUBLE))')}) / 2 END"
+
+
 def chi2_sf(x: str, df: int) -> str:
     powers = [j + 0.5 * (df % 2) for j in range((df + 1) // 2 - df % 2)]
     tail = f"exp(-({x}) / 2) * (" + (" + ".join(f"power({x} / 2, {p}::DOUBLE) / {gamma(p + 1)!r}::DOUBLE" for p in powers) or "0.0") + ")"
@@ -169,3 +181,50 @@ pm AS (SELECT a.experiment, a.k, a.asset AS a, b.asset AS b, any_value(a.v) * an
        FROM zz a JOIN zz b ON a.experiment = b.experiment AND a.k = b.k AND a.pos = b.pos GROUP BY 1, 2, 3, 4),
 pq AS (SELECT *, avg(CASE WHEN a <> b THEN r END) OVER (PARTITION BY experiment, k) AS rb FROM pm),
 si AS (SELECT experiment, k, least(greatest(coalesce((sum(sc * (m22 - r * r)) - sum(CASE WHEN a <> b THEN rb * sc * (m31 - r) ELSE sc * (m22 - 1) END)) / nullif(sum(CASE WHEN a <> b THEN sc * (rb - r) * (rb - r) END) * any_value(t), 0), 0), 0), 1) AS x FROM pq GROUP BY 1, 2)"""
+
+
+def _ends(coefficients: tuple[float, ...], x: str, last: str) -> str:
+    return f"({_polynomial(x, coefficients)} * ({x}) + {last})"
+
+
+def _stephens(a: str) -> str:
+    out = f"CASE WHEN {a} >= {normality.CERTAIN} THEN 0"
+    for least, (c0, c1, c2), rising in normality.PIECES:
+        tail = f"exp({c0}::DOUBLE + {c1}::DOUBLE * {a} + {c2}::DOUBLE * {a} * {a})"
+        tail = f"1 - {tail}" if rising else tail
+        out += f" WHEN {a} >= {least} THEN {tail}" if least is not None else f" ELSE {tail}"
+    return out + " END"
+
+
+#: CTEs after x that end in nt(asset, test, stat, p).
+NORMALITY = f""",
+nr AS (SELECT asset, x, row_number() OVER (PARTITION BY asset ORDER BY x, date) AS i, count(*) OVER a AS n, avg(x) OVER a AS mean, stddev_samp(x) OVER a AS sd, var_pop(x) OVER a AS var FROM x WINDOW a AS (PARTITION BY asset)),
+nz AS (SELECT *, (x - mean) / sd AS z, abs((x - mean) / sd) / sqrt(2.0::DOUBLE) AS u, {normal_quantile("((i - 0.375::DOUBLE) / (n + 0.25::DOUBLE))")} AS sc FROM nr WHERE n >= {normality.MIN_N} AND var > 0),
+nl AS (SELECT *, {half_log_tail("u")} AS lt FROM nz),
+ns AS (SELECT asset, n::DOUBLE AS n, any_value(var) AS var, sum((2 * i - 1) * CASE WHEN z <= 0 THEN lt ELSE ln(1 - exp(lt)) END + (2 * n - 2 * i + 1) * CASE WHEN z >= 0 THEN lt ELSE ln(1 - exp(lt)) END) AS tails, sum(sc * sc) AS mm, sum(sc * x) FILTER (i > 2 AND i < n - 1) AS inner_,
+       max(x) FILTER (i = 1) AS low1, max(x) FILTER (i = 2) AS low2, max(x) FILTER (i = n) AS high1, max(x) FILTER (i = n - 1) AS high2, avg(power(x - mean, 4)) AS m4, {normal_quantile("((n - 0.375::DOUBLE) / (n + 0.25::DOUBLE))")} AS m1, {normal_quantile("((n - 1.375::DOUBLE) / (n + 0.25::DOUBLE))")} AS m2 FROM nl GROUP BY asset, n),
+na AS (SELECT *, {_ends(normality.LAST, "(1 / sqrt(n))", "m1 / sqrt(mm)")} AS a1, {_ends(normality.NEXT, "(1 / sqrt(n))", "m2 / sqrt(mm)")} AS a2 FROM ns),
+nb AS (SELECT *, power(inner_ / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) + a1 * (high1 - low1) + a2 * (high2 - low2), 2) / (n * var) AS w, -n - tails / n AS ad, m4 / (var * var) AS b2,
+       6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS ks FROM na),
+nc AS (SELECT *, ad * (1 + 0.75::DOUBLE / n + 2.25::DOUBLE / (n * n)) AS aa, (ln(1 - w) - {_polynomial("ln(n)", normality.CENTRE)}) / exp({_polynomial("ln(n)", normality.SPREAD)}) AS wz, 6 + 8 / ks * (2 / ks + sqrt(1 + 4 / (ks * ks))) AS ka FROM nb),
+nd AS (SELECT *, (1 - 2 / ka) / (1 + (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) * sqrt(2 / (ka - 4))) AS kt FROM nc),
+ne AS (SELECT *, (1 - 2 / (9 * ka) - sign(kt) * power(abs(kt), {1 / 3!r}::DOUBLE)) / sqrt(2 / (9 * ka)) AS kz FROM nd),
+nt AS (SELECT asset, 'shapiro' AS test, w AS stat, {normal_sf("wz")} AS p FROM ne UNION ALL SELECT asset, 'anderson', ad, {_stephens("aa")} FROM ne UNION ALL SELECT asset, 'kurtosis', kz, 2 * ({normal_sf("abs(kz)")}) FROM ne)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def arch_lm(lags: tuple[int, ...]) -> str:
+    """CTEs after x (of a recursive WITH) that end in lm(asset, lags, n, lm): each step clears a column of the matrix m of cross products."""
+    return f""",
+ad AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY date) AS t, power(x - avg(x) OVER a, 2) / var_pop(x) OVER a AS s FROM x WINDOW a AS (PARTITION BY asset)),
+al AS (SELECT unnest({list(lags)}) AS lags), ai AS (SELECT unnest(range(0, {max(lags) + 1})) AS i),
+af AS (SELECT asset, lags, t, 0 AS i, 1.0::DOUBLE AS v FROM ad JOIN al ON t > lags
+       UNION ALL SELECT a.asset, lags, a.t, lags + 1 - i, b.s FROM ad a JOIN al ON a.t > lags JOIN ai ON i <= lags JOIN ad b ON b.asset = a.asset AND b.t = a.t - i),
+ag AS (SELECT p.asset, p.lags, p.i, q.i AS j, sum(p.v * q.v) AS v, count(*) AS n FROM af p JOIN af q ON p.asset = q.asset AND p.lags = q.lags AND p.t = q.t GROUP BY 1, 2, 3, 4),
+am AS (SELECT asset, lags, any_value(n) AS n, list(line ORDER BY i) AS m FROM (SELECT asset, lags, i, any_value(n) AS n, list(v ORDER BY j) AS line FROM ag GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ae AS (SELECT asset, lags, n, 1 AS k, m, m[lags + 2][lags + 2] - m[1][lags + 2] * m[1][lags + 2] / n AS tss FROM am
+       UNION ALL SELECT asset, lags, n, k + 1, list_transform(range(1, lags + 3), lambda i: CASE WHEN i = k THEN m[i] ELSE list_transform(range(1, lags + 3), lambda j: m[i][j] - m[i][k] / m[k][k] * m[k][j]) END), tss FROM ae WHERE k <= lags + 1),
+lm AS (SELECT asset, lags, n, n * (1 - m[lags + 2][lags + 2] / tss) AS lm FROM ae WHERE k = lags + 2)"""
