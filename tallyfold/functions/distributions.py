@@ -23,13 +23,13 @@ def node_rates() -> list[float]:
 
 def erfc(x: Column) -> Column:
     """Complementary error function of x >= 0."""
-    square, low = x * x, F.lit(0.0)
-    for c in reversed(series_terms()):
-        low = low * square + F.lit(c)
-    high = F.lit(0.0)
-    for rate in node_rates():
-        high = high + F.exp(-square * F.lit(rate))
-    return F.when(x < SPLIT, 1 - x * low).otherwise(high / NODES)
+    low = F.aggregate(F.lit(series_terms()[::-1]), F.lit(0.0), lambda acc, c: acc * (x * x) + c)
+    return F.when(x < SPLIT, 1 - x * low).otherwise(_mean_exp(x, node_rates()))
+
+
+def _mean_exp(x: Column, rates: list[float]) -> Column:
+    """Mean of exp(-x^2 rate). A fold, so that the expression is small and compiles."""
+    return F.aggregate(F.lit(rates), F.lit(0.0), lambda acc, rate: acc + F.exp(-x * x * rate)) / NODES
 
 
 def normal_sf(x: Column) -> Column:
@@ -43,11 +43,9 @@ def half_log_tail(u: Column) -> Column:
 
     Far out the slowest node's rate is taken out of the mean of exponentials, so that none vanishes before the log.
     """
-    slowest, square = min(node_rates()), u * u
-    rest = F.lit(0.0)
-    for rate in node_rates():
-        rest = rest + F.exp(-square * F.lit(rate - slowest))
-    return F.when(u < SPLIT, F.log(erfc(u) / 2)).otherwise(-square * F.lit(slowest) + F.log(rest / (2 * NODES)))
+    slowest = min(node_rates())
+    rest = _mean_exp(u, [rate - slowest for rate in node_rates()])
+    return F.when(u < SPLIT, F.log(erfc(u) / 2)).otherwise(-u * u * F.lit(slowest) + F.log(rest / 2))
 
 
 def chi2_sf(x: Column, df: int) -> Column:
