@@ -1,7 +1,7 @@
 """Conditional-variance models as folds over a series' array, and their fit by a compass search, all in columns.
 
 A row is a series with its values in the order of dates; a model's log-likelihood at given parameters is one fold over
-them. The search tries a step up and down in each parameter, goes where the likelihood is highest, doubles its steps
+them. The search tries a step up and down in each parameter and along the way it came, goes where the likelihood is highest, doubles its steps
 there and halves them where none is better; it looks at nothing but likelihoods, so an engine that folds in the same order takes the same
 way. Steps are taken in the mean, the log of the long-run variance, the persistence, the shock terms and the log of
 the degrees of freedom, which depend on one another far less than the models' own parameters.
@@ -24,10 +24,12 @@ PARAMETERS = ("mu", "omega", "alpha", "gamma", "beta", "nu")
 #: Places in the search's vector, with where it begins (less the mean and log variance of the series) and its first step.
 MU, LEVEL, KEPT, SHOCK, LEAN, FREEDOM = range(6)
 BEGIN = (0.0, 0.0, 0.9, 0.08, 0.02, log(8.0))
-STEP = (0.1, 0.2, 0.05, 0.04, 0.04, 0.3)
-ROUNDS, FINEST = 120, 2.0**-12
-#: Pairs of places that are also stepped together, as they make up for one another.
-TOGETHER = ((LEVEL, KEPT), (KEPT, SHOCK), (SHOCK, LEAN))
+STEP = (0.1, 0.2, 0.05, 0.05, 0.1, 0.3)
+ROUNDS, FINEST = 160, 2.0**-12
+#: How much of the drift, the sum of the steps taken, is left after a further one, and how far along it is tried.
+FADING, ONWARD = 0.75, (0.25, 1.0, 4.0, -0.5)
+#: Pairs of places that are also stepped together: they make up for one another, and three of them leave beta as it is.
+TOGETHER = ((LEVEL, KEPT), (KEPT, SHOCK), (KEPT, LEAN), (SHOCK, LEAN))
 MIN_N = 30
 #: Decay and length of the weights of the first variance.
 DECAY, DEPTH = 0.94, 75
@@ -85,16 +87,24 @@ def _inside(model: str, q: Column) -> Column:
     return fine & (q["nu"] > NU_BOUNDS[0]) & (q["nu"] < NU_BOUNDS[1]) if model.endswith("-t") else fine
 
 
+def _next(model: str, q: Column, h: Column, e: Column) -> Column:
+    """Variance after a residual e of variance h."""
+    if model.startswith("EGARCH"):
+        z = e / F.sqrt(h)
+        return F.exp(q["omega"] + q["alpha"] * (F.abs(z) - MEAN_ABS) + q["gamma"] * z + q["beta"] * F.log(h))
+    return q["omega"] + (q["alpha"] + F.when(e < 0, q["gamma"]).otherwise(0.0)) * e * e + q["beta"] * h
+
+
+def _first(model: str, x: Column, q: Column) -> Column:
+    """Variance of the first value; before it comes a shock of average size and either sign."""
+    before = first_variance(x, q["mu"])
+    return before if model.startswith("EGARCH") else q["omega"] + (q["alpha"] + q["gamma"] / 2 + q["beta"]) * before
+
+
 def log_likelihood(model: str, x: Column, q: Column) -> Column:
     """Log-likelihood of the values x at parameters q (struct), null outside the model's bounds."""
 
     def of(q: Column) -> Column:
-        def next_variance(h: Column, e: Column) -> Column:
-            if model.startswith("EGARCH"):
-                z = e / F.sqrt(h)
-                return F.exp(q["omega"] + q["alpha"] * (F.abs(z) - MEAN_ABS) + q["gamma"] * z + q["beta"] * F.log(h))
-            return q["omega"] + (q["alpha"] + F.when(e < 0, q["gamma"]).otherwise(0.0)) * e * e + q["beta"] * h
-
         def step(acc: Column, v: Column) -> Column:
             """The state holds the variance of the value to come and the sum so far."""
             e, h = v - q["mu"], acc["h"]
@@ -102,18 +112,26 @@ def log_likelihood(model: str, x: Column, q: Column) -> Column:
                 term = -0.5 * F.log(h) - (q["nu"] + 1) / 2 * F.log1p(e * e / (h * (q["nu"] - 2)))
             else:
                 term = -0.5 * (F.log(h) + e * e / h)
-            return F.struct(next_variance(h, e).alias("h"), (acc["ll"] + term).alias("ll"))
+            return F.struct(_next(model, q, h, e).alias("h"), (acc["ll"] + term).alias("ll"))
 
         each = log_gamma((q["nu"] + 1) / 2) - log_gamma(q["nu"] / 2) - 0.5 * F.log(pi * (q["nu"] - 2)) if model.endswith("-t") else F.lit(-0.5 * log(2 * pi))
-        # before the first value comes a shock of average size and either sign
-        before = first_variance(x, q["mu"])
-        h = before if model.startswith("EGARCH") else q["omega"] + (q["alpha"] + q["gamma"] / 2 + q["beta"]) * before
-        begin = F.struct(h.alias("h"), F.lit(0.0).alias("ll"))
+        begin = F.struct(_first(model, x, q).alias("h"), F.lit(0.0).alias("ll"))
         return F.when(_inside(model, q), F.aggregate(x, begin, step, lambda acc: acc["ll"]) + F.size(x) * each)
 
     return _once(q, of)
 
 
+def standardised(model: str, x: Column, q: Column) -> Column:
+    """Array of the values less their mean over their conditional deviations."""
+
+    def step(acc: Column, v: Column) -> Column:
+        e = v - q["mu"]
+        return F.struct(_next(model, q, acc["h"], e).alias("h"), F.concat(acc["z"], F.array(e / F.sqrt(acc["h"]))).alias("z"))
+
+    begin = F.struct(_first(model, x, q).alias("h"), F.expr("cast(array() as array<double>)").alias("z"))
+    return F.aggregate(x, begin, step, lambda acc: acc["z"])
+
+
 def series(r: DataFrame, value: str = "x") -> DataFrame:
     """asset, n, mean, var and x, the array of its values by date."""
     lined = r.filter(F.col(value).isNotNull()).groupBy("asset").agg(
@@ -139,15 +157,22 @@ def fitted(lined: DataFrame, model: str) -> DataFrame:
     worst = F.lit(float("-inf"))
     value = lambda p: F.coalesce(log_likelihood(model, x, natural(model, p)), worst)
 
+    add = lambda p, d, by: F.zip_with(p, d, lambda a, b: a + b * by)
+
     def round_(state: Column, _: Column) -> Column:
-        tried = F.transform(F.lit(moves(model)), lambda d: F.zip_with(state["p"], F.zip_with(d, F.col("unit"), lambda a, b: a * b), lambda a, b: a + b * state["scale"]))
+        steps = F.transform(F.lit(moves(model)), lambda d: add(state["p"], F.zip_with(d, F.col("unit"), lambda a, b: a * b), state["scale"]))
+        tried = F.concat(steps, F.transform(F.lit(list(ONWARD)), lambda by: add(state["p"], state["drift"], by)))
         best = F.array_max(F.transform(tried, lambda p: F.struct(value(p).alias("ll"), p.alias("p"))))
-        go = lambda b: F.when(b["ll"] > state["ll"], F.struct(b["p"].alias("p"), F.least(state["scale"] * 2, F.lit(1.0)).alias("scale"), b["ll"].alias("ll"))).otherwise(
-            F.struct(state["p"].alias("p"), (state["scale"] / 2).alias("scale"), state["ll"].alias("ll"))
-        )
+
+        def go(b: Column) -> Column:
+            drift = F.zip_with(state["drift"], add(b["p"], state["p"], -1.0), lambda a, c: a * FADING + c)
+            moved = F.struct(b["p"].alias("p"), drift.alias("drift"), F.least(state["scale"] * 2, F.lit(1.0)).alias("scale"), b["ll"].alias("ll"))
+            stayed = F.struct(state["p"].alias("p"), state["drift"].alias("drift"), (state["scale"] / 2).alias("scale"), state["ll"].alias("ll"))
+            return F.when(b["ll"] > state["ll"], moved).otherwise(stayed)
+
         return F.when(state["scale"] < FINEST, state).otherwise(_once(best, go))
 
-    at = F.struct(F.col("begin").alias("p"), F.lit(1.0).alias("scale"), value(F.col("begin")).alias("ll"))
+    at = F.struct(F.col("begin").alias("p"), F.lit([0.0] * 6).alias("drift"), F.lit(1.0).alias("scale"), value(F.col("begin")).alias("ll"))
     found = lined.withColumn("unit", scaled).withColumn("begin", begin).withColumn("found", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), at, round_))
     return found.select("asset", "n", "x", natural(model, F.col("found.p")).alias("q"), F.col("found.ll").alias("loglik"))
 
@@ -172,3 +197,9 @@ def profiles(r: DataFrame, models: tuple[str, ...] = MODELS, share: float = 0.01
         out = one if out is None else out.unionByName(one)
     none_above = F.greatest(F.coalesce("lower", F.lit(float("-inf"))), F.coalesce("higher", F.lit(float("-inf")))) <= F.col("loglik") + 1e-6
     return out.select("asset", "model", "n", "parameter", "estimate", "loglik", "lower", "higher", none_above.alias("largest"))
+
+
+def residuals(r: DataFrame, model: str, value: str = "x") -> DataFrame:
+    """asset, date (the place in the series) and x, the standardised residual under the model as fitted()."""
+    found = fitted(fanned(series(r, value), "asset"), model)
+    return found.select("asset", F.posexplode(standardised(model, F.col("x"), F.col("q"))).alias("date", "x"))

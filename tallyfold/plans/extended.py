@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import normal_quantile
-from ..operators import backtest, bootstrap, conventions, normality, panel, performance, regression, returns, robustness, sampler, statistics, strategies, volatility
+from ..operators import backtest, bootstrap, conventions, garch, normality, panel, performance, regression, returns, robustness, sampler, statistics, strategies, volatility
 from ..sources import market
 from ..sources.lineage import written
 from . import oracles as o
@@ -188,7 +188,15 @@ def _residuals(b: Lab) -> DataFrame:
     return volatility.standardised_residuals(r, volatility.fit_models(r, ("GJR-t",)))
 
 
-query("residual_ljung_box", None)(lambda b: statistics.ljung_box(_residuals(b), Q_LAGS).filter("transform = 'squared'"))
+_PROFILE = dict(asset="asset", model="model", n="#n", parameter="parameter", estimate="~estimate", loglik="~loglik", lower="~lower", higher="~higher", largest="greatest(coalesce(lower, '-infinity'::DOUBLE), coalesce(higher, '-infinity'::DOUBLE)) <= loglik + 1e-6")
+by_frequency("variance_profiles", lambda p: f"{o.recursive(p)}{o.variance_profiles('GARCH-N', 'g')} {sel(**_PROFILE)} FROM gp", lambda b: garch.profiles(b.r, ("GARCH-N",)))
+query("variance_profiles_gjr", f"{o.recursive(P)}{o.variance_profiles('GJR-t', 'g')} {sel(**_PROFILE)} FROM gp")(lambda b: garch.profiles(b.r, ("GJR-t",)))
+_RESIDUAL = o.variance_residuals("GARCH-N", "g") + o.lagged(max(Q_LAGS), "x * x", "_z").replace("FROM x)", "FROM zx)")
+_RESIDUAL_BOX = " UNION ALL ".join(f"SELECT asset, {k} AS lags, any_value(n) * (any_value(n) + 2) * sum(xs / ss * xs / ss / (n - lag)) AS q FROM lagged_z WHERE lag <= {k} GROUP BY asset" for k in Q_LAGS)
+query("residual_ljung_box", f"{o.recursive(P)}{o.variance_profiles('GARCH-N', 'g')}{_RESIDUAL}, zb AS ({_RESIDUAL_BOX}) " + sel(asset="asset", lags="#lags", transform="'squared'", q="~q", p="~" + o.at_lags(Q_LAGS)) + " FROM zb")(
+    lambda b: statistics.ljung_box(written(garch.residuals(b.r, "GARCH-N")), Q_LAGS).filter("transform = 'squared'")
+)
+query("residual_ljung_box_gjr", None)(lambda b: statistics.ljung_box(_residuals(b), Q_LAGS).filter("transform = 'squared'"))
 query("asymmetry_robustness", None)(lambda b: volatility.asymmetry_robustness(b.r, *STRESS))
 query("convergence_log", None)(lambda b: volatility.convergence_log(written(volatility.fit_models(b.r, ("GARCH-N", "GJR-t")))))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import gamma
 
-from ..operators import normality
+from ..operators import garch, normality
 from ..operators.sampler import Schedule
 from ..functions.distributions import MEET, MIDDLE, NODES, SPLIT, TAIL, node_rates, series_terms
 from .context import BENCHMARK, N_EXPERIMENTS, REGION_BENCHMARK, SCHEDULE, STRESS
@@ -228,3 +228,56 @@ am AS (SELECT asset, lags, any_value(n) AS n, list(line ORDER BY i) AS m FROM (S
 ae AS (SELECT asset, lags, n, 1 AS k, m, m[lags + 2][lags + 2] - m[1][lags + 2] * m[1][lags + 2] / n AS tss FROM am
        UNION ALL SELECT asset, lags, n, k + 1, list_transform(range(1, lags + 3), lambda i: CASE WHEN i = k THEN m[i] ELSE list_transform(range(1, lags + 3), lambda j: m[i][j] - m[i][k] / m[k][k] * m[k][j]) END), tss FROM ae WHERE k <= lags + 1),
 lm AS (SELECT asset, lags, n, n * (1 - m[lags + 2][lags + 2] / tss) AS lm FROM ae WHERE k = lags + 2)"""
+
+
+def _natural(model: str) -> str:
+    """Columns mu..nu of a model at the search's vector c."""
+    own = garch.free(model)
+    ga = "c[5]" if garch.LEAN in own else "0.0::DOUBLE"
+    return f"c[1] AS mu, (1 - c[3]) * exp(c[2]) AS om, c[4] AS al, {ga} AS ga, c[3] - c[4] - {ga} / 2 AS be, {'exp(c[6])' if garch.FREEDOM in own else '0.0::DOUBLE'} AS nu"
+
+
+def _likelihood(model: str) -> str:
+    """Log-likelihood of xs (n values) at mu..nu, one fold over them."""
+    student = model.endswith("-t")
+    inside = "om > 0 AND al >= 0 AND be >= 0 AND al + ga >= 0 AND al + be + ga / 2 < 1" + (f" AND nu > {garch.NU_BOUNDS[0]} AND nu < {garch.NU_BOUNDS[1]}" if student else "")
+    weight = f"list_transform(range(1, least({garch.DEPTH}, n) + 1), lambda i: power({garch.DECAY}::DOUBLE, i - 1)"
+    first = f"list_sum({weight} * (xs[i] - mu) * (xs[i] - mu))) / list_sum({weight}))"
+    term = "-0.5 * ln(a.h) - (nu + 1) / 2 * ln(1 + b.e * b.e / (a.h * (nu - 2)))" if student else "-0.5 * (ln(a.h) + b.e * b.e / a.h)"
+    each = "lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * ln(pi() * (nu - 2))" if student else "-0.5 * ln(2 * pi())"
+    zero = "0.0::DOUBLE"
+    return f"""CASE WHEN {inside} THEN list_reduce(list_prepend({{'e': {zero}, 'h': om + (al + ga / 2 + be) * ({first}), 'l': {zero}}}, list_transform(xs, lambda v: {{'e': v - mu, 'h': {zero}, 'l': {zero}}})),
+    lambda a, b: {{'e': b.e, 'h': om + (al + CASE WHEN b.e < 0 THEN ga ELSE {zero} END) * b.e * b.e + be * a.h, 'l': a.l + ({term})}}).l + n * ({each}) END"""
+
+
+def variance_profiles(model: str, tag: str, share: float = 0.01) -> str:
+    """CTEs after x (of a recursive WITH) that end in {tag}p(asset, model, n, parameter, estimate, loglik, lower, higher); GARCH and GJR only."""
+    ways = [*((f"{d}::DOUBLE[]", "0.0::DOUBLE") for d in garch.moves(model)), *(("NULL::DOUBLE[]", f"{by}::DOUBLE") for by in garch.ONWARD)]
+    begin = f"[mean, ln(var), {', '.join(repr(b) + '::DOUBLE' for b in garch.BEGIN[2:])}]"
+    own = [c for c in garch.PARAMETERS if not (c == "gamma" and garch.LEAN not in garch.free(model)) and not (c == "nu" and garch.FREEDOM not in garch.free(model))]
+    short = dict(zip(garch.PARAMETERS, ("mu", "om", "al", "ga", "be", "nu")))
+    least = "'-infinity'::DOUBLE"
+    return f""",
+{tag}s AS MATERIALIZED (SELECT asset, count(*) AS n, avg(x) AS mean, var_pop(x) AS var, list(x ORDER BY date) AS xs FROM x GROUP BY asset HAVING count(*) >= {garch.MIN_N} AND var_pop(x) > 0),
+{tag}w AS (SELECT * FROM (VALUES {', '.join(f'({d}, {by})' for d, by in ways)}) t(d, far)),
+{tag}f AS (SELECT asset, 0 AS round, c AS p, [0, 0, 0, 0, 0, 0]::DOUBLE[] AS drift, 1.0::DOUBLE AS scale, {_likelihood(model)} AS ll FROM (SELECT *, {_natural(model)} FROM (SELECT *, {begin} AS c FROM {tag}s))
+  UNION ALL
+  SELECT asset, round + 1, CASE WHEN bl > ll THEN bp ELSE p END, CASE WHEN bl > ll THEN list_transform(range(1, 7), lambda i: drift[i] * {garch.FADING} + (bp[i] + p[i] * -1.0::DOUBLE)) ELSE drift END,
+         CASE WHEN bl > ll THEN least(scale * 2, 1.0::DOUBLE) ELSE scale / 2 END, greatest(bl, ll)
+  FROM (SELECT asset, round, p, drift, scale, ll, max(l) AS bl, arg_max(c, l) AS bp
+        FROM (SELECT *, coalesce({_likelihood(model)}, {least}) AS l FROM (SELECT *, {_natural(model)} FROM (
+              SELECT f.*, s.n, s.xs, list_transform(range(1, 7), lambda i: CASE WHEN d IS NULL THEN p[i] + drift[i] * far ELSE p[i] + d[i] * (CASE WHEN i = 1 THEN sqrt(var) ELSE 1.0::DOUBLE END) * scale END) AS c
+              FROM {tag}f f JOIN {tag}s s ON f.asset = s.asset CROSS JOIN {tag}w WHERE round < {garch.ROUNDS} AND scale >= {garch.FINEST!r}))) GROUP BY ALL)),
+{tag}b AS (SELECT s.asset, n, xs, ll, {_natural(model)} FROM (SELECT asset, p AS c, ll FROM {tag}f QUALIFY row_number() OVER (PARTITION BY asset ORDER BY round DESC) = 1) f JOIN {tag}s s ON f.asset = s.asset),
+{tag}v AS (SELECT asset, n, xs, ll, parameter, side, CASE parameter {' '.join(f"WHEN '{c}' THEN {short[c]}" for c in garch.PARAMETERS)} END AS estimate, {', '.join(f"{short[c]} * CASE WHEN parameter = '{c}' THEN 1 + side * {share}::DOUBLE ELSE 1.0::DOUBLE END AS {short[c]}" for c in garch.PARAMETERS)}
+  FROM (SELECT *, unnest([{', '.join(f"'{c}'" for c in own)}]) AS parameter FROM {tag}b) CROSS JOIN (VALUES (-1), (1)) t(side)),
+{tag}p AS (SELECT asset, '{model}' AS model, n, parameter, any_value(estimate) AS estimate, any_value(ll) AS loglik, max(l) FILTER (side = -1) AS lower, max(l) FILTER (side = 1) AS higher FROM (SELECT *, {_likelihood(model)} AS l FROM {tag}v) GROUP BY asset, n, parameter)"""
+
+
+def variance_residuals(model: str, tag: str) -> str:
+    """CTEs that end in zx(asset, date, x): standardised residuals at what variance_profiles() found, date their place."""
+    zero, first = "0.0::DOUBLE", _likelihood(model).split("'h': om + (al + ga / 2 + be) * (", 1)[1].split("), 'l'", 1)[0]
+    return f""",
+zz AS (SELECT asset, n, list_reduce(list_prepend({{'e': {zero}, 'h': om + (al + ga / 2 + be) * ({first}), 'z': []::DOUBLE[]}}, list_transform(xs, lambda v: {{'e': v - mu, 'h': {zero}, 'z': []::DOUBLE[]}})),
+    lambda a, b: {{'e': b.e, 'h': om + (al + CASE WHEN b.e < 0 THEN ga ELSE {zero} END) * b.e * b.e + be * a.h, 'z': list_append(a.z, b.e / sqrt(a.h))}}).z AS z FROM {tag}b),
+zx AS (SELECT asset, unnest(range(n)) AS date, unnest(z) AS x FROM zz)"""
