@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.lineage import fanned
-from . import kernels
+from ..sources.lineage import fanned, written
+from . import eigen, kernels
 from .sampler import Schedule
 
 SOLVED = ("GMV", "MV", "MSR", "ERC", "MDP", "MDC")
@@ -119,16 +119,11 @@ def quintiles(est: DataFrame) -> DataFrame:
 
 
 def conditioning(rows: DataFrame) -> DataFrame:
-    """Condition number, largest correlation and its pair of each estimation window."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = pdf.pivot(index="pos", columns="asset", values="s").corr()
-        e = np.linalg.eigvalsh(c.to_numpy())
-        i, j = np.triu_indices(len(c), 1)
-        top = int(np.argmax(c.to_numpy()[i, j]))
-        return pd.DataFrame({"experiment": [pdf["experiment"].iloc[0]], "k": [pdf["k"].iloc[0]], "condition": [e[-1] / e[0]], "max_corr": [c.to_numpy()[i[top], j[top]]], "pair": [f"{c.columns[i[top]]}/{c.columns[j[top]]}"]})
-
-    return fanned(rows, "experiment", "k").groupBy("experiment", "k").applyInPandas(run, "experiment int, k int, condition double, max_corr double, pair string")
+    """Condition number of the correlations, largest correlation and its pair of each estimation window."""
+    corr = written(pair_covariances(rows))
+    ends = eigen.extremes(fanned(eigen.matrices(corr, ("experiment", "k"), "corr"), "experiment", "k"))
+    most = corr.filter("a < b").groupBy("experiment", "k").agg(F.max("corr").alias("max_corr"), F.max_by(F.concat_ws("/", "a", "b"), "corr").alias("pair"))
+    return ends.join(most, ["experiment", "k"]).select("experiment", "k", F.try_divide("largest", "smallest").alias("condition"), "max_corr", "pair")
 
 
 def shrinkage(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import gamma
 
-from ..operators import garch, normality
+from ..operators import eigen, garch, normality
 from ..operators.sampler import Schedule
 from ..functions.distributions import MEET, MIDDLE, NODES, SPLIT, TAIL, node_rates, series_terms
 from .context import BENCHMARK, N_EXPERIMENTS, REGION_BENCHMARK, SCHEDULE, STRESS
@@ -281,3 +281,25 @@ def variance_residuals(model: str, tag: str) -> str:
 zz AS (SELECT asset, n, list_reduce(list_prepend({{'e': {zero}, 'h': om + (al + ga / 2 + be) * ({first}), 'z': []::DOUBLE[]}}, list_transform(xs, lambda v: {{'e': v - mu, 'h': {zero}, 'z': []::DOUBLE[]}})),
     lambda a, b: {{'e': b.e, 'h': om + (al + CASE WHEN b.e < 0 THEN ga ELSE {zero} END) * b.e * b.e + be * a.h, 'z': list_append(a.z, b.e / sqrt(a.h))}}).z AS z FROM {tag}b),
 zx AS (SELECT asset, unnest(range(n)) AS date, unnest(z) AS x FROM zz)"""
+
+
+def _top_of(m: str) -> str:
+    """The eigenvalue of largest size of the matrix in column m, by the iteration that the operator takes."""
+    zero = "0.0::DOUBLE"
+    start = f"list_transform(range(1, len({m}) + 1), lambda i: 1.0::DOUBLE / i)"
+    unit = f"list_transform({start}, lambda x: x / sqrt(list_dot_product({start}, {start})))"
+    w = f"list_transform({m}, lambda row: list_dot_product(row, a.v))"
+    return f"""list_reduce(list_prepend({{'v': {unit}, 'w': []::DOUBLE[], 'l': {zero}, 'done': false}}, list_transform(range({2 * eigen.ROUNDS}), lambda i: {{'v': []::DOUBLE[], 'w': []::DOUBLE[], 'l': {zero}, 'done': i % 2 = 0}})),
+      lambda a, b: CASE WHEN b.done THEN CASE WHEN a.done THEN a ELSE {{'v': a.v, 'w': {w}, 'l': a.l, 'done': false}} END
+      WHEN a.done THEN a ELSE {{'v': list_transform(a.w, lambda x: x / sqrt(list_dot_product(a.w, a.w))), 'w': a.w, 'l': list_dot_product(a.v, a.w), 'done': abs(list_dot_product(a.v, a.w) - a.l) <= {eigen.TOL!r} * abs(list_dot_product(a.v, a.w))}} END).l"""
+
+
+#: CTEs after er (of a recursive WITH) that end in cn(experiment, k, condition, max_corr, pair).
+CONDITIONING = f""",
+ec AS MATERIALIZED (SELECT a.experiment, a.k, a.asset AS a, b.asset AS b, corr(a.s, b.s) AS c FROM er a JOIN er b ON a.experiment = b.experiment AND a.k = b.k AND a.pos = b.pos GROUP BY 1, 2, 3, 4),
+ek AS (SELECT experiment, k, list(line ORDER BY a) AS m FROM (SELECT experiment, k, a, list(c ORDER BY b) AS line FROM ec GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ei AS (SELECT experiment, k, m, 1 AS j, list_transform(range(1, len(m) + 1), lambda i: list_concat(m[i], list_transform(range(1, len(m) + 1), lambda q: CASE WHEN q = i THEN 1.0::DOUBLE ELSE 0 END))) AS g FROM ek
+  UNION ALL SELECT experiment, k, m, j + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = j THEN list_transform(g[j], lambda x: x / g[j][j]) ELSE list_transform(range(1, 2 * len(m) + 1), lambda q: g[i][q] - g[i][j] * (g[j][q] / g[j][j])) END) FROM ei WHERE j <= len(m)),
+en AS (SELECT experiment, k, m, list_transform(g, lambda row: row[len(m) + 1:]) AS inv FROM ei WHERE j = len(m) + 1),
+ev AS (SELECT experiment, k, ({_top_of("m")}) * ({_top_of("inv")}) AS condition FROM en),
+cn AS (SELECT ev.experiment, ev.k, condition, max(c) AS max_corr, arg_max(a || '/' || b, c) AS pair FROM ev JOIN ec ON ev.experiment = ec.experiment AND ev.k = ec.k AND a < b GROUP BY 1, 2, 3)"""

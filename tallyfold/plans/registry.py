@@ -447,7 +447,7 @@ query(
 query("calm_experiments", f"{T}{o.CRISIS} {sel(strategy='strategy', n='#count(*)', d_sharpe='~median(sharpe - b_sharpe)')} FROM ag2 JOIN cr USING (experiment) WHERE basis = 'net' AND crisis = 'neither' GROUP BY strategy")(
     lambda b: performance.against(_metrics(b)).filter("basis = 'net'").join(robustness.crisis_groups(b.windows, SCHEDULE.estimation, *STRESS).filter("crisis = 'neither'"), "experiment").groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.median(F.col("sharpe") - F.col("b_sharpe")).alias("d_sharpe"))
 )
-query("conditioning", None)(lambda b: strategies.conditioning(b.rows))
+query("conditioning", f"{o.recursive(E)}{o.CONDITIONING} {sel(experiment='#experiment', k='#k', condition='~condition', max_corr='~max_corr', pair='pair')} FROM cn")(lambda b: strategies.conditioning(b.rows))
 _SHRINK = o.SHRINK
 query("shrinkage_by_window", f"{_SHRINK} {sel(experiment='#experiment', k='#k', intensity='~x')} FROM si")(lambda b: strategies.shrinkage(b.rows))
 query("shrinkage_intensity", f"{_SHRINK} {sel(least='~min(x)', q05='~quantile_cont(x, 0.05)', median='~median(x)', q95='~quantile_cont(x, 0.95)', most='~max(x)')} FROM si")(
