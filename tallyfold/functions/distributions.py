@@ -38,14 +38,19 @@ def normal_sf(x: Column) -> Column:
     return F.when(x >= 0, tail).otherwise(1 - tail)
 
 
-def half_log_tail(u: Column) -> Column:
-    """log(erfc(u) / 2) of a column u >= 0, as exact far out as near zero.
+#: Levels of the continued fraction of erfc above SPLIT.
+LEVELS = 80
+
+
+def fraction_steps() -> list[float]:
+    """k / 2 from the innermost level out, of erfc(u) = exp(-u^2) / sqrt(pi) / (u + 1/2 / (u + 2/2 / (u + ...)))."""
+    return [k / 2 for k in range(LEVELS, 0, -1)]
 
-    Far out the slowest node's rate is taken out of the mean of exponentials, so that none vanishes before the log.
-    """
-    slowest = min(node_rates())
-    rest = _mean_exp(u, [rate - slowest for rate in node_rates()])
-    return F.when(u < SPLIT, F.log(erfc(u) / 2)).otherwise(-u * u * F.lit(slowest) + F.log(rest / 2))
+
+def half_log_tail(u: Column) -> Column:
+    """log(erfc(u) / 2) of a column u >= 0, as exact far out as near zero: there by Laplace's continued fraction."""
+    fraction = F.aggregate(F.lit(fraction_steps()), u, lambda t, c: u + c / t)
+    return F.when(u < SPLIT, F.log(erfc(u) / 2)).otherwise(-u * u - F.log(2 * sqrt(pi) * fraction))
 
 
 def chi2_sf(x: Column, df: int) -> Column:

@@ -6,7 +6,7 @@ from math import gamma
 
 from ..operators import eigen, garch, normality
 from ..operators.sampler import Schedule
-from ..functions.distributions import MEET, MIDDLE, NODES, SPLIT, TAIL, node_rates, series_terms
+from ..functions.distributions import MEET, MIDDLE, NODES, SPLIT, TAIL, fraction_steps, node_rates, series_terms
 from .context import BENCHMARK, N_EXPERIMENTS, REGION_BENCHMARK, SCHEDULE, STRESS
 
 _DAY = "l_shipdate::DATE"
@@ -67,9 +67,9 @@ def erfc(x: str) -> str:
 
 def half_log_tail(u: str) -> str:
     """log(erfc(u) / 2) for u >= 0."""
-    slowest = min(node_rates())
-    rest = " + ".join(f"exp(-({u}) * ({u}) * {rate - slowest!r}::DOUBLE)" for rate in node_rates())
-    return f"CASE WHEN {u} < {SPLIT} THEN ln(({erfc(u)}) / 2) ELSE -({u}) * ({u}) * {slowest!r}::DOUBLE + ln(({rest}) / {2 * NODES}) END"
+    steps = ", ".join(f"{c!r}::DOUBLE" for c in fraction_steps())
+    fraction = f"list_reduce(list_prepend(({u})::DOUBLE, [{steps}]), lambda t, c: ({u}) + c / t)"
+    return f"CASE WHEN {u} < {SPLIT} THEN ln(({erfc(u)}) / 2) ELSE -({u}) * ({u}) - ln(2 * sqrt(pi()) * {fraction}) END"
 
 
 def normal_sf(x: str) -> str:
