@@ -1,18 +1,18 @@
-"""Near-dedup by SimHash at a Jaccard similarity of 0.8 or more on sets of five-word shingles.
-
-One 64-bit fingerprint a text can't reach that similarity: texts at 0.8 differ in some 10 bits, for which blocks of 64
-bits are too short to narrow a search. So the Gray index (simhash.py) finds what differs in 3 bits at most, and for
-the rest each text has a fingerprint for every part of its shingles: shingles are dealt by their hash over more parts
-than two texts so similar can differ in, so those have a part in common (of 256 shingles and more over half as many,
-where they practically always have). Number of parts and meeting place go by
-powers of two of the number of shingles; a text whose partners may be in the next one goes there too.
-
-Texts that share a part never all meet each other. Each meets the first by key (a star), and its two neighbours in an
-order that the part itself shuffles (a chain): within an Arrow batch before the shuffle, so a part that a third of all
-texts have sends a few rows a batch, and then among what the batches sent. Pairs whose whole fingerprints differ in over
-FAR_BITS bits are pruned and the others checked exactly, stars first; of the chains only pairs are checked that the
-stars' links don't connect. No link comes from bits alone. A pair that shares a part is missed only where all its parts
-are shared by more texts that are similar to neither, or by the pruning (less than one in a thousand at 0.8).
+"""Near-dedup at a Jaccard similarity of 0.8 or more on sets of five-word shingles: SimHash first, then an exact rest.
+
+The Gray index (simhash.py) links texts whose 64-bit fingerprints differ in 3 bits at most, which finds what differs
+little. At 0.8 fingerprints differ in some 10 bits, for which blocks of 64 bits are too short, so the rest meets by
+shingles: all texts put theirs in one order, and two similar ones have their first common shingle among the first
+n - ceil(0.8 n) + 1 of each. A text is entered under these only. Any order does; this one puts shingles last that a
+bounded sample of texts (SAMPLE_TEXTS) has more than once, the most frequent (FREQUENT of them at most) at the end, so
+that what pages of one template share stands in no entry. Entries that no other text has are dropped by a sieve before
+they move. What meets must fit in length and in how much can follow the common shingle, and is then checked on the
+whole sets. No similar pair is missed, no link comes from bits alone, and no cap drops a candidate.
+
+Texts under one shingle don't all meet at once. First each meets the first of them and its neighbours in a shuffled
+order, within a batch before the shuffle and then among what batches sent; links found so make groups. Then only texts
+of different groups meet, for shingles that have several groups: large ones in blocks of BLOCK_ROWS, the largest group's
+members with the others only.
 
 Edge cases: texts without words (null, empty) are equal to each other and like no other; texts of fewer than five
 words are one shingle; repeated rows share a component; an empty table gives an empty result. The key must be a
@@ -21,10 +21,12 @@ unique number from 0 on.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,18 +36,14 @@ from .simhash import link_fingerprints, majority, shingle_hashes
 
 WORDS_EACH = 5
 SIMILARITY = 0.8
-#: At that similarity fingerprints differ in 9.7 bits on average with a deviation of 2.9.
-FAR_BITS = 20
-#: Texts of few shingles have a part for each, up to this number.
-FEW = 24
-#: Longer sets have half the parts.
-MANY = 256
-#: Neighbours in the shuffled order of a part that a text meets.
+#: Texts that the order of shingles is taken from, and frequent shingles it holds at most.
+SAMPLE_TEXTS, FREQUENT, OFTEN = 20_000, 1 << 17, 3
+#: Neighbours in the shuffled order of a shingle's texts that a text meets at first.
 NEIGHBOURS = 2
-#: Rows of a part that a batch sends as they are; of more it sends the first in both orders.
+#: Rows of a shingle that a batch sends as they are; of more it sends the first in both orders.
 SENT_WHOLE = 8
-#: Parts whose bits a task adds up at once.
-SLICE_PARTS = 8192
+#: Texts of a block, where more have a shingle.
+BLOCK_ROWS = 4096
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -53,14 +51,15 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, WORDS_EACH))
 
 
-def part_count(most: int) -> int:
-    """Parts for sets of at most so many shingles: more than those in which two similar ones can differ.
+def prefix_size(n: int) -> int:
+    """How many of n shingles two similar sets must have their first common one among."""
+    return n - -(-4 * n // 5) + 1 if n else 0
 
-    Half as many from MANY shingles on, where two sets at SIMILARITY still share 6 of 57 parts on average at the least,
-    and more from there on; none with a probability below two in a thousand.
-    """
-    differ = int(2 * most * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9)
-    return max((differ if most <= MANY else differ // 2) + 1, min(most, FEW))
+
+def may_be_similar(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray) -> np.ndarray:
+    """Whether sets of na and nb shingles, whose first common one is at places pa_ and pb of the order, can be similar."""
+    most = np.minimum(na - pa_, nb - pb)
+    return (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (9 * most >= 4 * (na + nb))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -68,127 +67,189 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def part_keys(shingles: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each part with shingles: where it stands and its fingerprint."""
-    if not len(shingles):
-        return np.zeros(1, np.uint64)
-    level, keys = len(shingles).bit_length() - 1, []
-    for k in (level, level + 1):
-        if k > level and len(shingles) < SIMILARITY * (1 << k) - 1e-9:
-            break
-        part = (shingles >> np.uint64(16)) % np.uint64(part_count((2 << k) - 1))
-        order = np.argsort(part, kind="stable")
-        part, dealt = part[order], shingles[order]
-        start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        ends = np.r_[start[1:], len(part)]
-        for lo in range(0, len(start), SLICE_PARTS):
-            first, last = start[lo : lo + SLICE_PARTS], ends[lo : lo + SLICE_PARTS]
-            bits = np.unpackbits(dealt[first[0] : last[-1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, first - first[0], axis=0, dtype=np.int32)
-            fps = np.packbits(2 * ones > (last - first)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-            keys.append(_mixed(fps ^ _mixed((np.uint64(k) << np.uint64(40)) + part[first] + np.uint64(1))))
-    return np.concatenate(keys)
-
-
-def _near(fp: np.ndarray, row: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of rows at these places, each once, whose fingerprints are near enough."""
-    keep = (row[at] != row[to]) & (np.bitwise_count(fp[at] ^ fp[to]) <= FAR_BITS)
-    pairs = np.unique(np.stack([row[at][keep], row[to][keep]], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+# ---- the entries of each text ----
+def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 200):
+            sets = [shingle_set(t.as_py()) for t in batch.column(0)[k : k + 200]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["key"])
 
 
-def _first(key: np.ndarray) -> np.ndarray:
-    return np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+def frequent_shingles(texts: DataFrame) -> np.ndarray:
+    """Shingles that several texts of the sample have, those of most texts last; FREQUENT at most."""
+    every = max(1, texts.count() // SAMPLE_TEXTS)
+    sample = texts.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInArrow(_sample, "key long")
+    often = sample.groupBy("key").count().filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(FREQUENT)
+    return np.array([r["key"] for r in often.collect()][::-1], np.int64).view(np.uint64)
+
+
+def ordered(shingles: np.ndarray, names: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The set in the order of all texts: by rank among the frequent ones (names, sorted, with their ranks), then by hash."""
+    if not len(names):
+        return shingles
+    at = np.minimum(np.searchsorted(names, shingles), len(names) - 1)
+    rank = np.where(names[at] == shingles, ranks[at] + 1, 0)
+    return shingles[np.lexsort((shingles, rank))]
+
 
+_ENTRIES = "row long, n int, fp long, whole binary, keys array<long>"
 
-SENT = "kind byte, key long, row long, fp long, mate long"
-ENTRY, STAR, CHAIN = range(3)
 
+def entries(texts: DataFrame, frequent: Broadcast) -> DataFrame:
+    """row, n, fp, whole (a digest of the set) and keys, the first shingles of the order, of every row of texts(row, text)."""
 
-def _table(kind: int, key: np.ndarray, row: np.ndarray, fp: np.ndarray, mate: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(row), kind, np.int8))] + [pa.array(x.view(np.int64)) for x in (key, row, fp, mate)]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "key", "row", "fp", "mate"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = np.argsort(frequent.value)
+        names = frequent.value[ranks]
+        for batch in batches:
+            sets = [shingle_set(t.as_py()) for t in batch.column(1)]
+            fps = np.array([majority(s) for s in sets], np.uint64)
+            whole = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            keys = [ordered(s, names, ranks)[: prefix_size(len(s))].view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps.view(np.int64)), pa.array(whole, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["row", "n", "fp", "whole", "keys"])
+
+    return texts.mapInArrow(run, _ENTRIES)
+
+
+# ---- first meetings ----
+SENT = "key long, row long, n int, pos int, mate long"
+
+
+def _table(key: np.ndarray, row: np.ndarray, n: np.ndarray, pos: np.ndarray, mate: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(key), pa.array(row), pa.array(n, pa.int32()), pa.array(pos, pa.int32()), pa.array(mate)]
+    return pa.RecordBatch.from_arrays(columns, ["key", "row", "n", "pos", "mate"])
+
+
+def _first(key: np.ndarray) -> np.ndarray:
+    return np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
 
 
-def _meet(key: np.ndarray, row: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, list[pa.RecordBatch]]:
-    """Of rows sorted by key and row: places of those that stand for their key elsewhere, and the near pairs."""
+def _meet(key: np.ndarray, row: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, pa.RecordBatch]:
+    """Of rows sorted by key and row: places of those that stand for their key elsewhere, and the pairs that may be similar."""
     lead = _first(key)
-    at = np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))
-    star = _near(fp, row, np.flatnonzero(~lead), at[~lead])
-    order = np.lexsort((_mixed(_mixed(row.astype(np.uint64)) ^ key.view(np.uint64)), key))
-    shuffled, at, to = key[order], [], []
+    first = np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))
+    order = np.lexsort((_mixed(_mixed(row.view(np.uint64)) ^ key.view(np.uint64)), key))
+    shuffled, at, to = key[order], [np.flatnonzero(~lead)], [first[~lead]]
     for step in range(1, NEIGHBOURS + 1):
         same = np.flatnonzero(shuffled[step:] == shuffled[:-step])
         at.append(order[same + step])
         to.append(order[same])
-    chain = _near(fp, row, np.concatenate(at), np.concatenate(to))
-    out = []
-    for kind, (a, b) in ((STAR, star), (CHAIN, chain)):
-        # any key will do for a pair: it spreads them over the tasks
-        out.append(_table(kind, _mixed(a.astype(np.uint64)), a, np.zeros(len(a), np.int64), b))
+    a, b = np.concatenate(at), np.concatenate(to)
+    fine = (row[a] != row[b]) & may_be_similar(n[a], pos[a], n[b], pos[b])
+    pairs = np.unique(np.stack([np.maximum(row[a], row[b])[fine], np.minimum(row[a], row[b])[fine]], axis=1), axis=0)
+    nothing = np.zeros(len(pairs), np.int64)
+    # any key will do for a pair: it spreads them over the tasks
+    found = _table(_mixed(pairs[:, 0].view(np.uint64)).view(np.int64) if len(pairs) else nothing, pairs[:, 0], nothing, nothing, pairs[:, 1])
     place = np.flatnonzero(lead)
     size = np.diff(np.r_[place, len(key)])
     few = np.repeat(size <= SENT_WHOLE, size)
-    return np.unique(np.r_[place, order[_first(shuffled)], np.flatnonzero(few)]), out
+    return np.unique(np.r_[place, order[_first(shuffled)], np.flatnonzero(few)]), found
+
+
+def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
 
 
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first rows of each part in a batch, and the near pairs in it."""
+    """The first rows of each key in a batch of entries, and the pairs in it."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-        keys = [part_keys(s) for s in sets]
-        size = [len(k) for k in keys]
-        row = np.repeat(batch.column(0).to_numpy(), size)
-        fp = np.repeat(np.array([majority(s) for s in sets], np.uint64), size)
-        key = np.concatenate(keys)
-        order = np.lexsort((row, key))
-        key, row, fp = key[order], row[order], fp[order]
-        sent, pairs = _meet(key, row, fp)
-        yield _table(ENTRY, key[sent], row[sent], fp[sent], np.zeros(len(sent), np.int64))
-        yield from pairs
+        if batch.num_rows:
+            key, row, n, pos = _columns(batch, ("key", "row", "n", "pos"))
+            order = np.lexsort((row, key))
+            key, row, n, pos = (x[order] for x in (key, row, n, pos))
+            sent, pairs = _meet(key, row, n, pos)
+            yield _table(key[sent], row[sent], n[sent], pos[sent], np.full(len(sent), -1, np.int64))
+            yield pairs
 
 
 def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs among rows sorted by key and row; pairs found before pass through."""
-    last = [np.zeros(0, np.int64) for _ in range(3)]
+    """Pairs (a, b) among rows sorted by key and row; pairs found before pass through."""
+    last = [np.zeros(0, np.int64) for _ in range(4)]
     for batch in batches:
-        kind, *columns = (c.to_numpy() for c in batch.columns)
-        yield batch.filter(pa.array(kind != ENTRY)).select(["row", "mate", "kind"])
-        key, row, fp = (np.r_[x, y[kind == ENTRY]] for x, y in zip(last, columns))
-        for pairs in _meet(key, row, fp.view(np.uint64))[1]:
-            yield pairs.select(["row", "mate", "kind"])
+        *columns, mate = _columns(batch, ("key", "row", "n", "pos", "mate"))
+        done = mate >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(columns[1][done]), pa.array(mate[done])], ["a", "b"])
+        key, row, n, pos = (np.r_[x, y[~done]] for x, y in zip(last, columns))
+        pairs = _meet(key, row, n, pos)[1]
+        yield pa.RecordBatch.from_arrays([pairs.column("row"), pairs.column("mate")], ["a", "b"])
         # the first row of the last key meets those of the next batch
-        last = [x[np.flatnonzero(_first(key))[-1:]] for x in (key, row, fp)]
+        last = [x[np.flatnonzero(_first(key))[-1:]] for x in (key, row, n, pos)]
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = np.array([majority(shingle_set(t.as_py())) for t in batch.column(1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["row", "fp"])
+def first_pairs(entered: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of entries (key, row, n, pos): each text with the first of its key, and with neighbours."""
+    dealt = entered.mapInArrow(_send, SENT).repartition("key").sortWithinPartitions("key", "row")
+    return dealt.mapInArrow(_pair, "a long, b long").distinct()
 
 
+# ---- meetings of different groups ----
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that may be similar among rows (key, cell, part, row, n, pos, root) sorted by key and cell.
+
+    Only rows of different parts and roots meet; in the cell of a block with itself part is the row's own.
+    """
+    names = ("key", "cell", "part", "row", "n", "pos", "root")
+    left = [np.zeros(0, np.int64) for _ in names]
+
+    def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
+        key, cell, part, row, n, pos, root = columns
+        new = np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])] if len(key) else np.zeros(0, bool)
+        group = np.cumsum(new)
+        size = np.bincount(group, minlength=1)[group] if len(key) else group
+        at = np.flatnonzero(size > 1)
+        found, step = [], 1
+        while len(at):
+            at = at[at + step < len(key)]
+            at = at[group[at + step] == group[at]]
+            to = at + step
+            fine = (root[at] != root[to]) & (part[at] != part[to]) & may_be_similar(n[at], pos[at], n[to], pos[to])
+            a, b = row[at[fine]], row[to[fine]]
+            found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
+            step += 1
+        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        columns = [np.r_[x, y] for x, y in zip(left, _columns(batch, names))]
+        # the last cell goes on in the next batch
+        key, cell = columns[0], columns[1]
+        whole = (key != key[-1]) | (cell != cell[-1]) if len(key) else np.zeros(0, bool)
+        yield pairs([x[whole] for x in columns])
+        left = [x[~whole] for x in columns]
+    yield pairs(left)
+
+
+def further_pairs(entered: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of entries (key, row, n, pos) of different groups that may be similar; roots: node, root."""
+    named = cut(entered.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")))
+    sized = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("many"), F.sum("size").alias("all"))
+    blocks = lambda c: F.greatest(F.ceil(c / BLOCK_ROWS), F.lit(1)).cast("int")
+    contested = cut(sized.filter("all > many").select("key", "main", blocks(F.col("many")).alias("d"), blocks(F.col("all") - F.col("many")).alias("o")))
+    met = named.join(contested, "key").withColumn("is_main", F.col("root") == F.col("main"))
+    own = F.pmod(F.xxhash64("row"), F.when(F.col("is_main"), F.col("d")).otherwise(F.col("o"))).cast("int")
+    met = met.withColumn("own", own)
+    # cells of the largest group's blocks with others', then of others' with each other: number, and the side that a row is on
+    cell = lambda i, j: i.cast("long") * F.col("o") + j
+    beyond = F.col("d").cast("long") * F.col("o")
+    sides = F.sequence(F.lit(0), F.col("o") - 1)
+    of_main = F.transform(sides, lambda j: F.struct(cell(F.col("own"), j).alias("cell"), F.lit(-1).cast("long").alias("part")))
+    to_main = F.transform(F.sequence(F.lit(0), F.col("d") - 1), lambda i: F.struct(cell(i, F.col("own")).alias("cell"), F.lit(-2).cast("long").alias("part")))
+    among = F.transform(
+        sides,
+        lambda j: F.struct((beyond + cell(F.least(j, F.col("own")), F.greatest(j, F.col("own")))).alias("cell"), F.when(j == F.col("own"), F.col("row")).otherwise(-3 - F.col("own").cast("long")).alias("part")),
+    )
+    spread = met.withColumn("c", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(to_main, among))))
+    dealt = spread.select("key", "c.cell", "c.part", "row", "n", "pos", "root").repartition("key", "cell").sortWithinPartitions("key", "cell", "row")
+    return dealt.mapInArrow(_across, "a long, b long").distinct()
+
+
+# ---- the check ----
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = pa.array([shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["row", "shingles"])
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows of texts(row, text) that the exact check may have to decide; kind STAR comes first."""
-    whole = cut(texts.mapInArrow(_whole, "row long, fp long"))
-    first = cut(whole.groupBy("fp").agg(F.min("row").alias("first")))
-    same = whole.join(first, "fp").select(F.col("row").alias("a"), F.col("first").alias("b"))
-    named = lambda fp, name: first.select(F.col("fp").alias(fp), F.col("first").alias(name))
-    gray = link_fingerprints(first.select("fp")).distinct().withColumnsRenamed({"a": "u", "b": "v"})
-    near = gray.join(named("u", "a"), "u").join(named("v", "b"), "v").select("a", "b")
-    dealt = texts.mapInArrow(_send, SENT).repartition("key").sortWithinPartitions("key", "row")
-    parts = dealt.mapInArrow(_pair, "a long, b long, kind byte")
-    found = same.unionByName(near).withColumn("kind", F.lit(STAR).cast("byte")).unionByName(parts).filter("a <> b")
-    return found.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.min("kind").alias("kind"))
-
-
 def similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of rows of texts(row, text) whose shingle sets have a similarity of SIMILARITY or more."""
     wanted = sieve(pairs.select(F.explode(F.array("a", "b")).alias("row")), "row")
@@ -204,13 +265,22 @@ def similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, key_col: str = "row", text_col: str = "text") -> DataFrame:
     """Pairs (a, b) of keys of similar texts that connect the groups."""
     texts = docs.select(F.col(key_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
-    pairs = cut(candidates(texts))
-    links = cut(similar(texts, pairs.filter(F.col("kind") == STAR).select("a", "b")))
-    roots = cut(components(links))
-    label = lambda row, name: roots.select(F.col("node").alias(row), F.col("root").alias(name))
-    rest = pairs.filter(F.col("kind") == CHAIN).join(label("a", "u"), "a", "left").join(label("b", "v"), "b", "left")
-    apart = cut(rest.filter(F.coalesce("u", "a") != F.coalesce("v", "b")).select("a", "b"))
-    return links.unionByName(similar(texts, apart))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
+    read = cut(entries(texts, frequent))
+    # equal sets are linked by their digests, what is near in bits goes to the check
+    alike = cut(read.groupBy("whole").agg(F.min("row").alias("b")))
+    same = read.select("whole", F.col("row").alias("a")).join(alike, "whole").filter("a <> b").select("a", "b")
+    first = cut(read.groupBy("fp").agg(F.min("row").alias("first")))
+    named = lambda fp, name: first.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    gray = link_fingerprints(first.select("fp")).distinct().withColumnsRenamed({"a": "u", "b": "v"})
+    near = gray.join(named("u", "a"), "u").join(named("v", "b"), "v").select("a", "b")
+    # a shingle that only one text has among its first meets nothing
+    repeated = sieve(read.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1"), "key")
+    each = read.select("row", "n", F.posexplode("keys").alias("pos", "key"))
+    entered = cut(sifted(each, repeated, ("key",), "met").filter("met").select("key", "row", "n", "pos"))
+    pairs = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(first_pairs(entered)).distinct()
+    links = cut(same.unionByName(similar(texts, cut(pairs))))
+    return links.unionByName(similar(texts, cut(further_pairs(entered, components(links)))))
 
 
 def near_groups(docs: DataFrame, key_col: str = "row", text_col: str = "text") -> DataFrame:

@@ -385,15 +385,46 @@ def test_near_groups_equal_brute_force(spark):
     assert len(links) > 5000
 
 
-def test_similar_sets_have_a_part_in_common():
+def test_first_common_shingle_is_entered():
+    """Of sets at 0.8 or more, in any order: it stands in both prefixes, at places that let them be similar."""
     rng = np.random.default_rng(5)
-    for n in (5, 8, 17, 33, 64, 127, 129, 500, 1020):
-        for _ in range(20):
-            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
-            gone = int(0.2 * n + 1e-9)  # one set within the other, or as many replaced on both sides
-            swap = int(n / 9)
-            for b in (a[gone:], np.r_[a[swap:], rng.integers(0, 1 << 63, swap).astype(np.uint64)]):
-                assert np.isin(near_dedup.part_keys(np.unique(a)), near_dedup.part_keys(np.unique(b))).any()
+    for n in (1, 2, 5, 8, 17, 33, 64, 127, 500):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            names = np.sort(rng.permutation(a)[: n // 3])
+            ranks = rng.permutation(len(names))
+            gone, swap = int(0.2 * n + 1e-9), int(n / 9)  # one set within the other, or as many replaced on both sides
+            for b in (rng.permutation(a)[gone:], np.r_[rng.permutation(a)[swap:], rng.integers(0, 1 << 63, swap).astype(np.uint64)]):
+                x, y = (near_dedup.ordered(np.unique(s), names, ranks) for s in (a, b))
+                common = x[np.isin(x, y)][0]
+                i, j = np.flatnonzero(x == common)[0], np.flatnonzero(y == common)[0]
+                assert i < near_dedup.prefix_size(len(x)) and j < near_dedup.prefix_size(len(y))
+                assert near_dedup.may_be_similar(*(np.array([v]) for v in (len(x), i, len(y), j)))[0]
+
+
+def families(pairs, own, shared, boilerplate=84):
+    """Pages of one template: own words, the template's, and some that only the page's partner has; partners are similar, others aren't."""
+    frame = " ".join(f"frame{k}" for k in range(boilerplate))
+    pages = []
+    for p in range(pairs):
+        ending = " ".join(f"end{p}x{k}" for k in range(shared))
+        for side in "ab":
+            mine = " ".join(f"own{p}{side}{k}" for k in range(own))
+            pages.append(f"{mine} {frame} {ending}")
+    return pages
+
+
+@pytest.mark.parametrize(("own", "shared"), [(6, 9), (5, 6), (4, 4)])
+def test_pages_of_a_template(spark, monkeypatch, own, shared):
+    """All pairs of a template's pages are connected, whatever many others share the template."""
+    texts = families(300, own, shared)
+    want, links = brute_near(texts)
+    # with few words of their own all pages are similar
+    assert len(links) == (300 if own > 4 else 179_700)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 50)
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    root = {r["node"]: r["root"] for r in near_dedup.near_groups(df).collect()}
+    assert [root.get(k, k) for k in range(len(texts))] == want
 
 
 def test_near_groups_of_nothing(empty):
