@@ -32,13 +32,13 @@ def tidy(df: DataFrame) -> DataFrame:
 class Lab:
     """Observations, experiments and their windows are written once; every branch of a query starts from those."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, freq: str = "weekly", level: str = "nation", schedule: sampler.Schedule = SCHEDULE):
-        self.spark, self.sf_dir, self.freq, self.level, self.schedule = spark, sf_dir, freq, level, schedule
+    def __init__(self, spark: SparkSession, sf_dir: str, freq: str = "weekly", level: str = "nation", schedule: sampler.Schedule = SCHEDULE, days: DataFrame | None = None):
+        self.spark, self.sf_dir, self.freq, self.level, self.schedule, self.days = spark, sf_dir, freq, level, schedule, days
         self.benchmark = REGION_BENCHMARK if level == "region" else BENCHMARK
 
     @cached_property
     def obs(self) -> DataFrame:
-        return written(market.observations(self.spark, self.sf_dir, self.freq, level=self.level))
+        return written(market.observations(self.spark, self.sf_dir, self.freq, level=self.level, days=self.days))
 
     @cached_property
     def universe(self) -> DataFrame:

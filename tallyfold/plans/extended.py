@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import normal_quantile
 from ..operators import backtest, bootstrap, conventions, garch, normality, panel, performance, regression, returns, robustness, sampler, statistics, strategies, volatility
-from ..sources import market
-from ..sources.lineage import written
+from ..sources import market, workbook
+from ..sources.lineage import shared_folder, written
 from . import oracles as o
 from .context import BENCHMARK, REGION_BENCHMARK, SCHEDULE, STRESS, Lab, Runs, tidy
 from .oracles import sel
@@ -25,8 +26,9 @@ def by_frequency(name: str, sql: Callable[[str], str] | None, f: Callable[[Lab],
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = None
+        days = written(market.daily_sums(spark, sf_dir))
         for freq in FREQUENCIES:
-            one = f(Lab(spark, sf_dir, freq)).withColumn("freq", F.lit(freq))
+            one = f(Lab(spark, sf_dir, freq, days=days)).withColumn("freq", F.lit(freq))
             out = one if out is None else out.unionByName(one)
         return tidy(out)
 
@@ -46,6 +48,40 @@ def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["panel_end_cut"] = _cut
 ORACLE_SQL["panel_end_cut"] = f"{P} {sel(asset='asset', n='#count(*)', last='max(date)')} FROM obs WHERE date < DATE '{_END}' GROUP BY asset"
+_LONG_A, _LONG_B = "Weekly prices of all nations, as traded", "Weekly prices of all nations, as filled"
+
+
+def _round_trip(b: Lab) -> DataFrame:
+    """Two tables whose names are cut alike, written as one workbook and read back, with their sheets and row counts."""
+    sheets = {_LONG_A: b.panel.select("date", "asset", F.col("price_raw").alias("price")), _LONG_B: b.panel.select("date", "asset", "price")}
+    folder = f"{shared_folder(b.spark)}/workbook-{uuid.uuid4().hex}"
+    workbook.save(sheets, folder, b.spark)
+    known = workbook.manifest(b.spark, folder).select("name", "sheet", "rows")
+    out = None
+    for name in sheets:
+        one = workbook.load(b.spark, folder, name).groupBy("asset").agg(F.count("price").alias("n"), F.sum("price").alias("total")).withColumn("name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.join(known, "name").select("sheet", "rows", "asset", "n", "total")
+
+
+def _book(column: str, sheet: str) -> str:
+    return f"SELECT '{sheet}' AS sheet, (SELECT count(*) FROM panel) AS rows, asset, count({column}) AS n, sum({column}) AS total FROM panel GROUP BY asset"
+
+
+_SHEETS = workbook.sheet_names([_LONG_A, _LONG_B])
+query("workbook_round_trip", f"{P}, wb AS ({_book('price_raw', _SHEETS[0])} UNION ALL {_book('price', _SHEETS[1])}) {sel(sheet='sheet', rows='#rows', asset='asset', n='#n', total='~total')} FROM wb")(_round_trip)
+
+
+def _snapshot(b: Lab) -> DataFrame:
+    """Observations as they are in the latest of two versions of a snapshot, the first cut off in the middle."""
+    folder = f"{shared_folder(b.spark)}/snapshot-{uuid.uuid4().hex}"
+    for obs in (b.obs.filter(F.col("date") < F.lit(_END).cast("date")), b.obs):
+        workbook.save({"observations": obs, "universe": b.universe}, folder, b.spark, "parquet")
+    found = workbook.load(b.spark, folder, "observations").join(workbook.load(b.spark, folder, "universe"), "asset")
+    return found.groupBy("sector").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"), F.max("date").alias("last"))
+
+
+query("snapshot_latest", f"{P} {sel(sector='sector', n='#count(*)', volume='~sum(volume)', last='max(date)')} FROM obs JOIN uni USING (asset) GROUP BY sector")(_snapshot)
 query("fill_limit_two", f"{D} {sel(asset='asset', before='#count(*) FILTER (price_raw IS NULL)', after='#count(*) FILTER (price_raw IS NULL AND coalesce(session - ls, 3) > 2)')} FROM marked GROUP BY asset", "daily")(
     lambda b: panel.align(b.obs, b.cal, b.universe, 2).groupBy("asset").agg(F.count_if(F.col("price_raw").isNull()).alias("before"), F.count_if(F.col("price").isNull()).alias("after"))
 )

@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir.
 
     Where that is unset a folder of our own is made, on one machine only: a cluster needs one that its hosts share.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyfold-checkpoint-"))
+        found = tempfile.mkdtemp(prefix="tallyfold-checkpoint-")
+        sc.setCheckpointDir(found)
+    return found
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -23,10 +23,10 @@ def period_end(day: Column, freq: str) -> Column:
     raise ValueError(f"unknown frequency {freq!r}")
 
 
-def observations(spark: SparkSession, sf_dir: str, freq: str = "weekly", damping: float = DAMPING, level: str = "nation", end: str | None = None) -> DataFrame:
-    """date, asset, price, volume of every period in which an asset traded; level: nation, or region for small tables.
+def daily_sums(spark: SparkSession, sf_dir: str, freq: str = "daily", level: str = "nation", end: str | None = None) -> DataFrame:
+    """date (day), asset, total and n of the unit prices, volume: what the observations of any frequency are made from.
 
-    end cuts periods whose date isn't before it; no day of the others comes after their date, so the scan stops there too.
+    end cuts days of periods whose date isn't before it.
     """
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_shipdate", "l_quantity", "l_extendedprice")
     if end is not None:
@@ -39,10 +39,20 @@ def observations(spark: SparkSession, sf_dir: str, freq: str = "weekly", damping
     nation = nation.select("n_nationkey", F.col("r_name" if level == "region" else "n_name").alias("asset"))
     owner = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     sold = line.join(owner.select("o_orderkey", "asset"), line.l_orderkey == owner.o_orderkey)
-    return sold.groupBy(period_end(F.col("l_shipdate"), freq).alias("date"), "asset").agg(
-        F.pow(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), F.lit(damping)).alias("price"),
-        F.sum("l_quantity").alias("volume"),
-    )
+    unit = F.col("l_extendedprice") / F.col("l_quantity")
+    return sold.groupBy(F.to_date("l_shipdate").alias("date"), "asset").agg(F.sum(unit).alias("total"), F.count(unit).alias("n"), F.sum("l_quantity").alias("volume"))
+
+
+def observations(spark: SparkSession, sf_dir: str, freq: str = "weekly", damping: float = DAMPING, level: str = "nation", end: str | None = None, days: DataFrame | None = None) -> DataFrame:
+    """date, asset, price, volume of every period in which an asset traded; level: nation, or region for small tables.
+
+    end cuts periods whose date isn't before it; no day of the others comes after their date, so the scan stops there too.
+    days: daily_sums() that were made before, for several frequencies.
+    """
+    if days is None:
+        days = daily_sums(spark, sf_dir, freq, level, end)
+    rolled = days.groupBy(period_end(F.col("date"), freq).alias("date"), "asset").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("volume").alias("volume"))
+    return rolled.select("date", "asset", F.pow(F.try_divide(F.col("total"), F.col("n").cast("double")), F.lit(damping)).alias("price"), "volume")
 
 
 def universe(spark: SparkSession, sf_dir: str, level: str = "nation") -> DataFrame:
@@ -59,19 +69,3 @@ def risk_free(spark: SparkSession, sf_dir: str, freq: str = "weekly") -> DataFra
     """date, rf_pct: an annualised percentage for each period."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return line.groupBy(period_end(F.col("l_shipdate"), freq).alias("date")).agg((F.avg("l_tax") * 100).alias("rf_pct"))
-
-
-def snapshot(df: DataFrame, path: str, *partition: str) -> DataFrame:
-    """Write df as Parquet (partitioned by the given columns) and read it again."""
-    df.write.mode("overwrite").partitionBy(*partition).parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def write_tables(tables: dict[str, DataFrame], folder: str) -> list[str]:
-    """Each table as a CSV directory named after it, at most 31 safe characters; gives the names."""
-    names = []
-    for name, df in tables.items():
-        safe = "".join(c if c.isalnum() or c in " _-" else "_" for c in name)[:31]
-        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{safe}")
-        names.append(safe)
-    return names
