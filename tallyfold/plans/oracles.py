@@ -303,3 +303,26 @@ ei AS (SELECT experiment, k, m, 1 AS j, list_transform(range(1, len(m) + 1), lam
 en AS (SELECT experiment, k, m, list_transform(g, lambda row: row[len(m) + 1:]) AS inv FROM ei WHERE j = len(m) + 1),
 ev AS (SELECT experiment, k, ({_top_of("m")}) * ({_top_of("inv")}) AS condition FROM en),
 cn AS (SELECT ev.experiment, ev.k, condition, max(c) AS max_corr, arg_max(a || '/' || b, c) AS pair FROM ev JOIN ec ON ev.experiment = ec.experiment AND ev.k = ec.k AND a < b GROUP BY 1, 2, 3)"""
+
+
+def _descent(a: str, equal_risk: bool = False, sweeps: int = 400) -> str:
+    """y of cyclical coordinate descent on the correlations r, from list a of the linear terms."""
+    rest = "list_dot_product(r[j], s.y) - s.y[j]"
+    new = f"(sqrt(({rest}) * ({rest}) + 4.0::DOUBLE / len(r)) - ({rest})) / 2" if equal_risk else f"greatest(0.0::DOUBLE, {a}[j] - ({rest}))"
+    start = f"list_transform(range(1, len(r) + 1), lambda j: {'1.0::DOUBLE / sqrt(len(r))' if equal_risk else '0.0::DOUBLE'})"
+    return f"""list_reduce(list_prepend({{'y': {start}, 'i': 0::BIGINT}}, list_transform(range({sweeps} * len(r)), lambda i: {{'y': []::DOUBLE[], 'i': (i % len(r) + 1)::BIGINT}})),
+      lambda s, e: {{'y': list_transform(range(1, len(r) + 1), lambda j: CASE WHEN j = e.i THEN {new} ELSE s.y[j] END), 'i': e.i}}).y"""
+
+
+#: CTEs after est and er that end in sw(experiment, strategy, k, asset, w): solved weights by another method than the
+#: operator's. On assets scaled to unit deviation each of the scale-free strategies is min y'Ry/2 - a'y, y >= 0.
+SOLVED_WEIGHTS = f""",
+rfs AS (SELECT {_PERIOD["weekly"]} AS date, avg(l_tax) / {SCHEDULE.periods} AS rf FROM lineitem GROUP BY 1),
+rw AS (SELECT experiment, k, avg(rf) AS rf FROM (SELECT DISTINCT experiment, k, pos, date FROM er JOIN win USING (experiment, asset, pos)) JOIN rfs USING (date) GROUP BY 1, 2),
+ec AS MATERIALIZED (SELECT a.experiment, a.k, a.asset AS a, b.asset AS b, corr(a.s, b.s) AS c FROM er a JOIN er b ON a.experiment = b.experiment AND a.k = b.k AND a.pos = b.pos GROUP BY 1, 2, 3, 4),
+em AS (SELECT experiment, k, list(line ORDER BY a) AS r FROM (SELECT experiment, k, a, list(c ORDER BY b) AS line FROM ec GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ev AS (SELECT experiment, k, list(asset ORDER BY asset) AS assets, list(sd ORDER BY asset) AS sd, list((mean - rf) / sd ORDER BY asset) AS excess, list(1 / sd ORDER BY asset) AS calm, list(1.0::DOUBLE ORDER BY asset) AS one FROM est JOIN rw USING (experiment, k) GROUP BY 1, 2),
+ey AS (SELECT experiment, k, assets, sd, excess, {_descent('calm')} AS gmv, {_descent('excess')} AS msr, {_descent('one')} AS md, {_descent('one', True)} AS erc FROM em JOIN ev USING (experiment, k)),
+el_ AS (SELECT experiment, k, unnest(['GMV', 'MSR', 'MDP', 'MDC', 'ERC']) AS strategy, unnest([gmv, msr, md, md, erc]) AS y, assets, sd FROM ey),
+ew AS (SELECT experiment, strategy, k, unnest(assets) AS asset, unnest(y) / CASE WHEN strategy = 'MDC' THEN 1.0::DOUBLE ELSE unnest(sd) END AS x FROM el_),
+sw AS (SELECT experiment, strategy, k, asset, x / sum(x) OVER (PARTITION BY experiment, strategy, k) AS w FROM ew QUALIFY sum(x) OVER (PARTITION BY experiment, strategy, k) > 0)"""

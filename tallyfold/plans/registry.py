@@ -427,6 +427,9 @@ for _name, _keep in (("gmv_n2", ("GMV",)), ("mv_n2", ("MV",)), ("msr_n2", ("MSR"
 query("solved_optimality", f"{E}, sk AS (SELECT DISTINCT experiment, k FROM tr) {sel(experiment='#experiment', k='#k', invested='true', long_only='true', calmer='true')} FROM sk")(
     lambda b: strategies.optimality(b.solved.filter("strategy = 'GMV'"), strategies.pair_covariances(b.rows)).select("experiment", "k", (F.abs(F.col("total") - 1) < 1e-9).alias("invested"), (F.col("least") >= 0).alias("long_only"), (F.col("variance") <= F.col("equal_variance") + 1e-12).alias("calmer"))
 )
+query("solved_weights", f"{E}{o.SOLVED_WEIGHTS} {sel(experiment='#experiment', strategy='strategy', k='#k', asset='asset', w='~w')} FROM sw")(
+    lambda b: b.solved.filter("strategy <> 'MV' and w is not null").select("experiment", "strategy", "k", "asset", "w")
+)
 _SOLVED = ("GMV", "MV", "MDP", "MDC", "ERC")
 query("solved_kkt", f"{E} {sel(experiment='#experiment', strategy='strategy', k='#k', invested='true', long_only='true', optimal='true')} FROM (SELECT DISTINCT experiment, k FROM est) CROSS JOIN (SELECT unnest({list(_SOLVED)!r}) AS strategy)")(
     lambda b: strategies.kkt(strategies.solved(b.rows, SCHEDULE, names=_SOLVED), strategies.estimates(b.rows), strategies.pair_covariances(b.rows), SCHEDULE.periods)

@@ -32,8 +32,22 @@ def test_program_is_feasible_and_no_random_point_is_better(seed):
 def test_program_without_answer():
     with pytest.raises(k.Infeasible):
         k.quadratic_program(np.eye(2), np.zeros(2), np.array([-1.0, 0.0]))
-    with pytest.raises(ValueError):
-        k.quadratic_program(np.eye(13), np.zeros(13), np.ones(13))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_program_meets_its_conditions(seed):
+    """Multipliers prove the optimum: the gradient, less the constraint's price, is zero on what is held and not below elsewhere."""
+    rng = np.random.default_rng(1000 + seed)
+    n = int(rng.integers(1, 40))
+    m = rng.standard_normal((n, n + 2))
+    q, c, a = m @ m.T / n + 1e-3 * np.eye(n), rng.standard_normal(n), rng.standard_normal(n)
+    a[0] = 1.0
+    x = k.quadratic_program(q, c, a)
+    g = q @ x + c
+    held = x > 1e-12
+    price = (g[held] @ a[held]) / (a[held] @ a[held])
+    assert abs(a @ x - 1) < 1e-9 and x.min() >= 0
+    assert np.abs(g - price * a)[held].max() < 1e-7 and (g - price * a).min() > -1e-7
 
 
 def test_two_assets_in_closed_form():
