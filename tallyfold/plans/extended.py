@@ -246,8 +246,15 @@ query("identity_weights", f"{E} {sel(experiment='#a.experiment', strategy='''con
 query("gmrp_weights", f"{E} {sel(experiment='#experiment', k='#k', asset='asset', w='~CASE WHEN row_number() OVER (PARTITION BY experiment, k ORDER BY mean DESC, asset) = 1 THEN 1.0::DOUBLE ELSE 0 END')} FROM est")(
     lambda b: strategies.relational(strategies.estimates(b.rows)).filter("strategy = 'GMRP'").select("experiment", "k", "asset", "w")
 )
-query("results_frame", f"{T}, tv AS (SELECT experiment, strategy, coalesce(sum(turnover) FILTER (k > 0), 0) * {SCHEDULE.periods} / {SCHEDULE.evaluation}.0::DOUBLE AS turnover FROM td GROUP BY 1, 2) {sel(experiment='#m.experiment', strategy='m.strategy', basis='basis', ann_return='~ann_return', sharpe='~sharpe', max_dd='~max_dd', turnover='~turnover')} FROM m JOIN tv ON m.experiment = tv.experiment AND m.strategy = tv.strategy")(
-    lambda b: _runs(b).metrics.join(backtest.turnover(_runs(b).traded, SCHEDULE), ["experiment", "strategy"]).select("experiment", "strategy", "basis", "ann_return", "sharpe", "max_dd", "turnover")
+
+
+def _frame(runs: Runs) -> DataFrame:
+    """One row a run, with turnover beside its metrics."""
+    return runs.metrics.join(backtest.turnover(runs.traded, SCHEDULE), ["experiment", "strategy"]).select("experiment", "strategy", "basis", "ann_return", "sharpe", "max_dd", "turnover")
+
+
+query("results_frame", f"{o.ALL_METRICS}, tv AS (SELECT experiment, strategy, coalesce(sum(turnover) FILTER (k > 0), 0) * {SCHEDULE.periods} / {SCHEDULE.evaluation}.0::DOUBLE AS turnover FROM td GROUP BY 1, 2) {sel(experiment='#m.experiment', strategy='m.strategy', basis='basis', ann_return='~ann_return', sharpe='~sharpe', max_dd='~max_dd', turnover='~turnover')} FROM m JOIN tv ON m.experiment = tv.experiment AND m.strategy = tv.strategy WHERE m.strategy <> 'QNT'")(
+    lambda b: _frame(Runs(b, b.solved.unionByName(b.relational.filter("strategy <> 'QNT'"))))
 )
 query("turnover_summary", f"{S}, tv AS (SELECT experiment, strategy, coalesce(sum(turnover) FILTER (k > 0), 0) AS t FROM td GROUP BY 1, 2) {sel(strategy='strategy', mean='~avg(t)', median='~median(t)')} FROM tv GROUP BY strategy")(
     lambda b: backtest.turnover(_runs(b).traded, SCHEDULE).groupBy("strategy").agg(F.avg("turnover").alias("mean"), F.median("turnover").alias("median"))
@@ -260,7 +267,11 @@ query(
     .join(b.rows.join(b.windows.select("experiment", "asset", "pos", "date"), ["experiment", "asset", "pos"]).groupBy("experiment", "k").agg(F.bool_or(F.col("date").between(F.lit(STRESS[0]).cast("date"), F.lit(STRESS[1]).cast("date"))).alias("stressed")), ["experiment", "k"])
     .groupBy("stressed").agg(F.count(F.lit(1)).alias("n"), F.median("intensity").alias("median"))
 )
-query("iv_erc_gap", None)(lambda b: strategies.gap_by_correlation(b.relational.unionByName(strategies.solved(b.rows, SCHEDULE, names=("ERC",))), strategies.pair_covariances(b.rows)))
+query(
+    "iv_erc_gap",
+    f"""{o.ALL_WEIGHTS}, gw AS (SELECT experiment, k, sum(abs(x.w - y.w)) / 2 AS gap FROM w x JOIN w y USING (experiment, k, asset) WHERE x.strategy = 'IV' AND y.strategy = 'ERC' GROUP BY 1, 2),
+    gs AS (SELECT experiment, k, stddev_samp(m) AS spread FROM (SELECT experiment, k, a, avg(c) AS m FROM ec WHERE a <> b GROUP BY 1, 2, 3) GROUP BY 1, 2) {sel(windows='#count(*)', mean_gap='~avg(gap)', max_gap='~max(gap)', corr='~corr(gap, spread)')} FROM gw JOIN gs USING (experiment, k)""",
+)(lambda b: strategies.gap_by_correlation(b.relational.unionByName(strategies.solved(b.rows, SCHEDULE, names=("ERC",))), strategies.pair_covariances(b.rows)))
 
 # ---- the second implementation ----
 _LAB2 = sampler.SECOND

@@ -128,8 +128,9 @@ wide AS (SELECT experiment, k, asset, 1.0::DOUBLE / count(*) OVER p AS ew, (1 /
 w AS (SELECT experiment, 'EW' AS strategy, k, asset, ew AS w FROM wide UNION ALL SELECT experiment, 'IV', k, asset, iv FROM wide
       UNION ALL SELECT experiment, 'QNT', k, asset, CASE WHEN rk <= fifth THEN 1.0::DOUBLE / fifth ELSE 0.0 END FROM wide)"""
 
-def segments(_S: Schedule = SCHEDULE, freq: str = "weekly", level: str = "nation") -> str:
-    return weights(_S, freq, level) + f""",
+def segments(_S: Schedule = SCHEDULE, freq: str = "weekly", level: str = "nation", made: str | None = None) -> str:
+    """made: CTEs that end in the weights w, if they aren't those of weights()."""
+    return (made or weights(_S, freq, level)) + f""",
 tg AS (SELECT w.*, execution, coalesce(lead(execution) OVER (PARTITION BY experiment, strategy, asset ORDER BY k), {_S.window}) AS until FROM w JOIN tr USING (experiment, k)),
 g AS (SELECT experiment, strategy, k, asset, execution, until, pos, date, w * price / first_value(price) OVER (PARTITION BY experiment, strategy, k, asset ORDER BY pos) AS g
       FROM tg JOIN win USING (experiment, asset) WHERE pos BETWEEN execution AND until),
@@ -139,8 +140,8 @@ td AS (SELECT t.experiment, t.strategy, t.k, t.execution, sum(abs(t.w - coalesce
        FROM tg t LEFT JOIN (SELECT * FROM seg WHERE pos = until) b ON t.experiment = b.experiment AND t.strategy = b.strategy AND t.asset = b.asset AND t.execution = b.until JOIN uni u ON t.asset = u.asset GROUP BY 1, 2, 3, 4)"""
 
 
-def returns(bases: str = "('gross', 0.0::DOUBLE), ('net', 1.0), ('net_2x', 2.0)", _S: Schedule = SCHEDULE, freq: str = "weekly") -> str:
-    return segments(_S, freq) + f""",
+def returns(bases: str = "('gross', 0.0::DOUBLE), ('net', 1.0), ('net_2x', 2.0)", _S: Schedule = SCHEDULE, freq: str = "weekly", made: str | None = None) -> str:
+    return segments(_S, freq, made=made) + f""",
 dv AS (SELECT DISTINCT experiment, strategy, k, pos, date, execution, v FROM seg),
 dg AS (SELECT *, v / lag(v) OVER (PARTITION BY experiment, strategy, k ORDER BY pos) - 1 AS gross FROM dv),
 bs AS (SELECT * FROM (VALUES {bases}) t(basis, mult)),
@@ -154,7 +155,7 @@ wl AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY experiment, strategy, b
 fl AS (SELECT *, wealth / greatest(1.0, max(wealth) OVER (PARTITION BY experiment, strategy, basis ORDER BY pos)) - 1 AS fall FROM wl)"""
 
 EXPERIMENTS, WEIGHTS, SEGMENTS = experiments(), weights(), segments()
-METRICS = returns() + _PATH + f""",
+_METRICS = _PATH + f""",
 rfs AS (SELECT {_PERIOD["weekly"]} AS date, avg(l_tax) * 100 / 100 / {_S.periods} AS rf FROM lineitem GROUP BY 1),
 ag AS (SELECT experiment, strategy, basis, count(ret) AS n, exp(sum(ln(1 + ret)) * {_S.periods}.0 / count(ret)) - 1 AS ann_return, stddev_samp(ret) * sqrt({_S.periods}) AS ann_vol,
               avg(ret - rf) * {_S.periods} / nullif(stddev_samp(ret - rf) * sqrt({_S.periods}), 0) AS sharpe,
@@ -163,6 +164,7 @@ ag AS (SELECT experiment, strategy, basis, count(ret) AS n, exp(sum(ln(1 + ret))
 m AS (SELECT *, ann_return / nullif(abs(max_dd), 0) AS calmar, ann_return / (abs(max_dd) + 0.1) AS sterling FROM ag),
 ag2 AS (SELECT m.*, b.sharpe AS b_sharpe, b.ann_return AS b_ann_return, b.ann_vol AS b_ann_vol, b.max_dd AS b_max_dd
         FROM m JOIN m b ON m.experiment = b.experiment AND m.basis = b.basis AND b.strategy = 'EW' WHERE m.strategy <> 'EW')"""
+METRICS = returns() + _METRICS
 
 CRISIS = f""",
 cr AS (SELECT experiment, CASE WHEN min(CASE WHEN pos > {_S.estimation} THEN date END) <= DATE '{STRESS[1]}' AND max(date) >= DATE '{STRESS[0]}' THEN 'evaluation'
@@ -316,7 +318,7 @@ def _descent(a: str, equal_risk: bool = False, sweeps: int = 400) -> str:
 
 #: CTEs after est and er that end in sw(experiment, strategy, k, asset, w): solved weights by another method than the
 #: operator's. On assets scaled to unit deviation each of the scale-free strategies is min y'Ry/2 - a'y, y >= 0.
-SOLVED_WEIGHTS = f""",
+_SOLVED_WEIGHTS = f""",
 rfs AS (SELECT {_PERIOD["weekly"]} AS date, avg(l_tax) / {SCHEDULE.periods} AS rf FROM lineitem GROUP BY 1),
 rw AS (SELECT experiment, k, avg(rf) AS rf FROM (SELECT DISTINCT experiment, k, pos, date FROM er JOIN win USING (experiment, asset, pos)) JOIN rfs USING (date) GROUP BY 1, 2),
 ec AS MATERIALIZED (SELECT a.experiment, a.k, a.asset AS a, b.asset AS b, corr(a.s, b.s) AS c FROM er a JOIN er b ON a.experiment = b.experiment AND a.k = b.k AND a.pos = b.pos GROUP BY 1, 2, 3, 4),
@@ -325,4 +327,28 @@ ev AS (SELECT experiment, k, list(asset ORDER BY asset) AS assets, list(sd ORDER
 ey AS (SELECT experiment, k, assets, sd, excess, {_descent('calm')} AS gmv, {_descent('excess')} AS msr, {_descent('one')} AS md, {_descent('one', True)} AS erc FROM em JOIN ev USING (experiment, k)),
 el_ AS (SELECT experiment, k, unnest(['GMV', 'MSR', 'MDP', 'MDC', 'ERC']) AS strategy, unnest([gmv, msr, md, md, erc]) AS y, assets, sd FROM ey),
 ew AS (SELECT experiment, strategy, k, unnest(assets) AS asset, unnest(y) / CASE WHEN strategy = 'MDC' THEN 1.0::DOUBLE ELSE unnest(sd) END AS x FROM el_),
-sw AS (SELECT experiment, strategy, k, asset, x / sum(x) OVER (PARTITION BY experiment, strategy, k) AS w FROM ew QUALIFY sum(x) OVER (PARTITION BY experiment, strategy, k) > 0)"""
+sw AS MATERIALIZED (SELECT experiment, strategy, k, asset, x / sum(x) OVER (PARTITION BY experiment, strategy, k) AS w FROM ew QUALIFY sum(x) OVER (PARTITION BY experiment, strategy, k) > 0
+  UNION ALL SELECT experiment, 'MV', k, asset, w FROM mv WHERE aversion = 3)"""
+
+
+def _pairwise(sweeps: int = 300) -> str:
+    """x of min x'Qx/2 - mean'x, sum 1, x >= 0, by moving weight between two assets at a time, all pairs in turn."""
+    g = lambda j: f"(list_dot_product(q[{j}], s.x) - mean[{j}])"
+    step = f"least(greatest(-({g('e.i')} - {g('e.j')}) / (q[e.i][e.i] + q[e.j][e.j] - 2 * q[e.i][e.j]), -s.x[e.i]), s.x[e.j])"
+    return f"""list_reduce(list_prepend({{'x': list_transform(mean, lambda v: 1.0::DOUBLE / len(mean)), 'i': 0::BIGINT, 'j': 0::BIGINT}},
+      list_transform(list_filter(range({sweeps} * len(mean) * len(mean)), lambda t: t % (len(mean) * len(mean)) // len(mean) < t % len(mean)), lambda t: {{'x': []::DOUBLE[], 'i': (t % (len(mean) * len(mean)) // len(mean) + 1)::BIGINT, 'j': (t % len(mean) + 1)::BIGINT}})),
+      lambda s, e: {{'x': list_transform(range(1, len(mean) + 1), lambda m: CASE WHEN m = e.i THEN s.x[m] + {step} WHEN m = e.j THEN s.x[m] - {step} ELSE s.x[m] END), 'i': e.i, 'j': e.j}}).x"""
+
+
+def solved_weights(aversions: tuple[float, ...] = (3.0,)) -> str:
+    """CTEs after est and er that end in sw(experiment, strategy, k, asset, w) and mv(experiment, k, aversion, asset, w)."""
+    head, tail = _SOLVED_WEIGHTS.split("sw AS MATERIALIZED", 1)
+    return head + f"""mq AS (SELECT experiment, k, aversion, assets, mean, list_transform(range(1, len(sd) + 1), lambda i: list_transform(range(1, len(sd) + 1), lambda j: aversion * r[i][j] * sd[i] * sd[j])) AS q
+  FROM em JOIN ev USING (experiment, k) JOIN (SELECT experiment, k, list(mean ORDER BY asset) AS mean FROM est GROUP BY 1, 2) USING (experiment, k) CROSS JOIN (SELECT unnest([{', '.join(f'{a}::DOUBLE' for a in aversions)}]) AS aversion)),
+mv AS MATERIALIZED (SELECT experiment, k, aversion, unnest(assets) AS asset, unnest({_pairwise()}) AS w FROM mq),
+sw AS MATERIALIZED""" + tail
+
+
+#: CTEs that end in w, the weights of all strategies.
+ALL_WEIGHTS = weights().replace("w AS (SELECT experiment, 'EW'", "w0 AS (SELECT experiment, 'EW'") + solved_weights() + ", w AS (SELECT experiment, strategy, k, asset, w FROM w0 UNION ALL SELECT experiment, strategy, k, asset, w FROM sw)"
+ALL_METRICS = returns(made=ALL_WEIGHTS) + _METRICS.replace("rfs AS (", "rfs2 AS (")

@@ -274,11 +274,21 @@ query(
 query("evaluation_years", f"{E} {sel(year='#year(date)', n='#count(*)')} FROM win WHERE pos = {SCHEDULE.estimation + 1} AND asset = (SELECT min(asset) FROM ea e WHERE e.experiment = win.experiment) GROUP BY year(date)")(
     lambda b: b.windows.filter(F.col("pos") == SCHEDULE.estimation + 1).groupBy("experiment").agg(F.year(F.min("date")).alias("year")).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
 )
-query("bt_solved_checks", None)(lambda b: b.solved.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("failed"), F.min("w").alias("least"), F.max("w").alias("most")))
-query("strategy_distances", None)(lambda b: strategies.distances(b.solved.unionByName(b.relational)))
-query("risk_contributions", None)(lambda b: strategies.risk_contributions(b.solved.filter("strategy = 'ERC'"), strategies.pair_covariances(b.rows)))
+_W8 = o.ALL_WEIGHTS
+query("bt_solved_checks", f"{E}{o.solved_weights()} {sel(strategy='strategy', n='#count(*)', failed='#count(*) FILTER (w IS NULL)', least='~min(w)', most='~max(w)')} FROM sw GROUP BY strategy")(
+    lambda b: b.solved.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("failed"), F.min("w").alias("least"), F.max("w").alias("most"))
+)
+query(
+    "strategy_distances",
+    f"{_W8}, dd AS (SELECT x.strategy AS a, y.strategy AS b, x.experiment, x.k, sum(abs(x.w - y.w)) / 2 AS d FROM w x JOIN w y ON x.experiment = y.experiment AND x.k = y.k AND x.asset = y.asset AND x.strategy < y.strategy GROUP BY 1, 2, 3, 4) {sel(a='a', b='b', distance='~avg(d)', coincide='~avg(CASE WHEN d < 1e-4 THEN 1.0::DOUBLE ELSE 0 END)')} FROM dd GROUP BY a, b",
+)(lambda b: strategies.distances(b.solved.unionByName(b.relational)))
+query(
+    "risk_contributions",
+    f"{E}{o.solved_weights()}, rk AS (SELECT experiment, k, a AS asset, sum(x.w * y.w * c * s.sd * t.sd) AS part FROM ec JOIN sw x USING (experiment, k) JOIN sw y USING (experiment, k) JOIN est s USING (experiment, k) JOIN est t USING (experiment, k) WHERE x.strategy = 'ERC' AND y.strategy = 'ERC' AND x.asset = a AND y.asset = b AND s.asset = a AND t.asset = b GROUP BY 1, 2, 3) "
+    + sel(experiment="#experiment", strategy="'ERC'", k="#k", asset="asset", share="~part / sum(part) OVER (PARTITION BY experiment, k)") + " FROM rk",
+)(lambda b: strategies.risk_contributions(b.solved.filter("strategy = 'ERC'"), strategies.pair_covariances(b.rows)))
 query("bt_failures", None)(lambda b: backtest.failures(b.solved))
-query("solved_metrics", None)(lambda b: Runs(b, b.solved.unionByName(b.relational)).metrics)
+query("solved_metrics", f"{o.ALL_METRICS} {sel(experiment='#experiment', strategy='strategy', basis='basis', n='#n', ann_return='~ann_return', ann_vol='~ann_vol', sharpe='~sharpe', sortino='~sortino', max_dd='~max_dd', calmar='~calmar', sterling='~sterling')} FROM m")(lambda b: Runs(b, b.solved.unionByName(b.relational)).metrics)
 
 # ---- performance ----
 def _metrics(b: Lab) -> DataFrame:
@@ -427,8 +437,8 @@ for _name, _keep in (("gmv_n2", ("GMV",)), ("mv_n2", ("MV",)), ("msr_n2", ("MSR"
 query("solved_optimality", f"{E}, sk AS (SELECT DISTINCT experiment, k FROM tr) {sel(experiment='#experiment', k='#k', invested='true', long_only='true', calmer='true')} FROM sk")(
     lambda b: strategies.optimality(b.solved.filter("strategy = 'GMV'"), strategies.pair_covariances(b.rows)).select("experiment", "k", (F.abs(F.col("total") - 1) < 1e-9).alias("invested"), (F.col("least") >= 0).alias("long_only"), (F.col("variance") <= F.col("equal_variance") + 1e-12).alias("calmer"))
 )
-query("solved_weights", f"{E}{o.SOLVED_WEIGHTS} {sel(experiment='#experiment', strategy='strategy', k='#k', asset='asset', w='~w')} FROM sw")(
-    lambda b: b.solved.filter("strategy <> 'MV' and w is not null").select("experiment", "strategy", "k", "asset", "w")
+query("solved_weights", f"{E}{o.solved_weights()} {sel(experiment='#experiment', strategy='strategy', k='#k', asset='asset', w='~w')} FROM sw")(
+    lambda b: b.solved.filter("w is not null").select("experiment", "strategy", "k", "asset", "w")
 )
 _SOLVED = ("GMV", "MV", "MDP", "MDC", "ERC")
 query("solved_kkt", f"{E} {sel(experiment='#experiment', strategy='strategy', k='#k', invested='true', long_only='true', optimal='true')} FROM (SELECT DISTINCT experiment, k FROM est) CROSS JOIN (SELECT unnest({list(_SOLVED)!r}) AS strategy)")(
@@ -456,14 +466,15 @@ query("shrinkage_by_window", f"{_SHRINK} {sel(experiment='#experiment', k='#k',
 query("shrinkage_intensity", f"{_SHRINK} {sel(least='~min(x)', q05='~quantile_cont(x, 0.05)', median='~median(x)', q95='~quantile_cont(x, 0.95)', most='~max(x)')} FROM si")(
     lambda b: strategies.shrinkage(b.rows).agg(F.min("intensity").alias("least"), F.percentile("intensity", F.lit(0.05)).alias("q05"), F.median("intensity").alias("median"), F.percentile("intensity", F.lit(0.95)).alias("q95"), F.max("intensity").alias("most"))
 )
-query("aversion_sweep", None)(lambda b: _aversions(b))
+_SWEEP = (1.0, 2.0, 3.0, 5.0, 10.0, 20.0)
+query("aversion_sweep", f"{E}{o.solved_weights(_SWEEP)} {sel(aversion='~aversion', mean_top='~avg(t)')} FROM (SELECT experiment, k, aversion, max(w) AS t FROM mv GROUP BY 1, 2, 3) GROUP BY aversion")(lambda b: _aversions(b))
 query("normality_tests", None)(lambda b: volatility.normality_tests(b.r))
 query("volatility_models", None)(lambda b: volatility.fit_models(b.r))
 query("volatility_persistence", None)(lambda b: volatility.persistence(volatility.fit_models(b.r)))
 query("news_impact", None)(lambda b: volatility.news_impact(volatility.fit_models(b.r, ("GARCH-N", "GJR-t", "EGARCH-t"))))
 
 
-def _aversions(b: Lab, values: tuple[float, ...] = (1.0, 2.0, 3.0, 5.0, 10.0, 20.0)) -> DataFrame:
+def _aversions(b: Lab, values: tuple[float, ...] = _SWEEP) -> DataFrame:
     """Mean largest mean-variance weight at each risk aversion."""
     out = None
     for a in values:
