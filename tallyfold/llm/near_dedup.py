@@ -42,6 +42,8 @@ SAMPLE_TEXTS, FREQUENT, OFTEN = 20_000, 1 << 17, 3
 NEIGHBOURS = 2
 #: Rows of a shingle that a batch sends as they are; of more it sends the first in both orders.
 SENT_WHOLE = 8
+#: Texts whose sets a task holds at once.
+SLICE_TEXTS = 250
 #: Texts of a block, where more have a shingle.
 BLOCK_ROWS = 4096
 
@@ -67,12 +69,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a task holds the sets of few texts at once."""
+    for batch in batches:
+        yield from (batch.slice(k, SLICE_TEXTS) for k in range(0, batch.num_rows, SLICE_TEXTS))
+
+
 # ---- the entries of each text ----
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, 200):
-            sets = [shingle_set(t.as_py()) for t in batch.column(0)[k : k + 200]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["key"])
+    for batch in _sliced(batches):
+        sets = [shingle_set(t.as_py()) for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["key"])
 
 
 def frequent_shingles(texts: DataFrame) -> np.ndarray:
@@ -101,7 +108,7 @@ def entries(texts: DataFrame, frequent: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = np.argsort(frequent.value)
         names = frequent.value[ranks]
-        for batch in batches:
+        for batch in _sliced(batches):
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
             fps = np.array([majority(s) for s in sets], np.uint64)
             whole = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
@@ -191,32 +198,30 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("key", "cell", "part", "row", "n", "pos", "root")
     left = [np.zeros(0, np.int64) for _ in names]
 
-    def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
+    def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, cell, part, row, n, pos, root = columns
         new = np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])] if len(key) else np.zeros(0, bool)
         group = np.cumsum(new)
         size = np.bincount(group, minlength=1)[group] if len(key) else group
-        at = np.flatnonzero(size > 1)
-        found, step = [], 1
+        at, step = np.flatnonzero(size > 1), 1
         while len(at):
             at = at[at + step < len(key)]
             at = at[group[at + step] == group[at]]
             to = at + step
             fine = (root[at] != root[to]) & (part[at] != part[to]) & may_be_similar(n[at], pos[at], n[to], pos[to])
             a, b = row[at[fine]], row[to[fine]]
-            found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
             step += 1
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     for batch in batches:
         columns = [np.r_[x, y] for x, y in zip(left, _columns(batch, names))]
         # the last cell goes on in the next batch
         key, cell = columns[0], columns[1]
         whole = (key != key[-1]) | (cell != cell[-1]) if len(key) else np.zeros(0, bool)
-        yield pairs([x[whole] for x in columns])
+        yield from pairs([x[whole] for x in columns])
         left = [x[~whole] for x in columns]
-    yield pairs(left)
+    yield from pairs(left)
 
 
 def further_pairs(entered: DataFrame, roots: DataFrame) -> DataFrame:
@@ -245,7 +250,7 @@ def further_pairs(entered: DataFrame, roots: DataFrame) -> DataFrame:
 
 # ---- the check ----
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _sliced(batches):
         sets = pa.array([shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["row", "shingles"])
 
