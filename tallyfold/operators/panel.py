@@ -183,6 +183,47 @@ def complete_rows(returns: DataFrame, value: str = "r") -> DataFrame:
     return returns.withColumn("gap", gap).filter("gap = 0").drop("gap")
 
 
+def _later_factors(prices: DataFrame, log_factor: Column) -> DataFrame:
+    """prices with later: the sum of the log factors of all later rows of the asset, by blocks from the last one back."""
+    back = prices.withColumn("back", -F.col("session")).withColumn("own", log_factor)
+    summed = carry.running(back, ("asset",), "back", -block(), upto=carry.total(F.col("own")))
+    return summed.withColumn("later", F.col("upto") - F.col("own")).drop("back", "own", "upto")
+
+
+def _with_actions(prices: DataFrame, actions: DataFrame, *columns: str) -> DataFrame:
+    there = prices.filter("price is not null").select("session", "date", "asset", "price")
+    return there.join(actions.select("date", "asset", *columns), ["date", "asset"], "left").na.fill(0.0, list(columns))
+
+
+def unadjusted(prices: DataFrame, actions: DataFrame) -> DataFrame:
+    """session, date, asset, price (as it was traded), dividend (an amount) and split of an adjusted series.
+
+    actions: date, asset, income (share of the price before) and split (shares from one, 0 for none). Prices before an
+    action were lowered by 1 / split and 1 - income; here that is undone. An asset's first price has none before, so an
+    action on it does nothing; actions on dates without a price are left out.
+    """
+    joined = _with_actions(prices, actions, "income", "split")
+    known = carry.running(joined, ("asset",), "session", block(), before=carry.previous(F.col("price")))
+    acts = F.col("before").isNotNull()
+    joined = known.withColumns({"income": F.when(acts, F.col("income")).otherwise(0.0), "split": F.when(acts, F.col("split")).otherwise(0.0)}).drop("before")
+    ratio = F.when(F.col("split") > 0, F.col("split")).otherwise(1.0)
+    traded = _later_factors(joined, F.log1p(-F.col("income")) - F.log(ratio)).withColumn("price", F.col("price") * F.exp(-F.col("later"))).drop("later")
+    before = carry.running(traded, ("asset",), "session", block(), before=carry.previous(F.col("price")))
+    return before.select("session", "date", "asset", "price", F.coalesce(F.col("income") * F.col("before"), F.lit(0.0)).alias("dividend"), "split")
+
+
+def adjusted(traded: DataFrame) -> DataFrame:
+    """session, date, asset, price: traded prices (session, date, asset, price, dividend, split) made comparable.
+
+    Each price is lowered by the later splits, and by the later dividends as shares of the price before each.
+    """
+    known = carry.running(traded, ("asset",), "session", block(), before=carry.previous(F.col("price")))
+    share = F.coalesce(F.try_divide(F.col("dividend"), F.col("before")), F.lit(0.0))
+    ratio = F.when(F.col("split") > 0, F.col("split")).otherwise(1.0)
+    later = _later_factors(known.withColumn("share", share), F.log1p(-F.col("share")) - F.log(ratio))
+    return later.select("session", "date", "asset", (F.col("price") * F.exp("later")).alias("price"))
+
+
 def adjustment_table(adjusted: DataFrame, unadjusted: DataFrame, actions: DataFrame) -> DataFrame:
     """Yearly growth of both price series over their common dates, the difference, and events after the first date.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import normal_quantile
-from ..operators import backtest, bootstrap, conventions, garch, normality, panel, performance, regression, returns, robustness, sampler, statistics, strategies, volatility
+from ..operators import backtest, bootstrap, garch, normality, panel, performance, regression, returns, robustness, sampler, statistics, strategies, volatility
 from ..sources import market, workbook
 from ..sources.lineage import shared_folder, written
 from . import oracles as o
@@ -115,16 +115,6 @@ for _freq in ("weekly", "monthly"):
     query(f"returns_{_freq}_of_daily", f"{D}, pr AS (SELECT {o._PERIOD[_freq].replace(o._DAY, 'date')} AS d, asset, sum(r) AS lr FROM ret WHERE session > 1 GROUP BY 1, 2) {sel(date='d', asset='asset', log_r='~lr', simple_r='~exp(lr) - 1')} FROM pr", "daily")(lambda b, freq=_freq: returns.period_returns(b.panel, freq))
 
 
-def _yearly_row(spark: SparkSession, rows: tuple, columns: str) -> str:
-    names = [c.split()[0] for c in columns.split(", ")]
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in r) + ')' for r in rows)}) t({', '.join(names)})"
-
-
-QUERIES["specification"] = lambda spark, sf_dir: conventions.specification(spark)
-ORACLE_SQL["specification"] = _yearly_row(None, conventions.SPECIFICATION, "strategy s, objective s, inputs s, weakness s")
-QUERIES["conventions"] = lambda spark, sf_dir: conventions.conventions(spark)
-ORACLE_SQL["conventions"] = _yearly_row(None, conventions.CONVENTIONS, "metric s, formula s, remark s")
-
 # ---- statistics at three frequencies ----
 by_frequency(
     "describe_by_freq",

@@ -307,7 +307,7 @@ ev AS (SELECT experiment, k, ({_top_of("m")}) * ({_top_of("inv")}) AS condition
 cn AS (SELECT ev.experiment, ev.k, condition, max(c) AS max_corr, arg_max(a || '/' || b, c) AS pair FROM ev JOIN ec ON ev.experiment = ec.experiment AND ev.k = ec.k AND a < b GROUP BY 1, 2, 3)"""
 
 
-def _descent(a: str, equal_risk: bool = False, sweeps: int = 400) -> str:
+def _descent(a: str, equal_risk: bool = False, sweeps: int = 150) -> str:
     """y of cyclical coordinate descent on the correlations r, from list a of the linear terms."""
     rest = "list_dot_product(r[j], s.y) - s.y[j]"
     new = f"(sqrt(({rest}) * ({rest}) + 4.0::DOUBLE / len(r)) - ({rest})) / 2" if equal_risk else f"greatest(0.0::DOUBLE, {a}[j] - ({rest}))"
@@ -331,7 +331,7 @@ sw AS MATERIALIZED (SELECT experiment, strategy, k, asset, x / sum(x) OVER (PART
   UNION ALL SELECT experiment, 'MV', k, asset, w FROM mv WHERE aversion = 3)"""
 
 
-def _pairwise(sweeps: int = 300) -> str:
+def _pairwise(sweeps: int = 100) -> str:
     """x of min x'Qx/2 - mean'x, sum 1, x >= 0, by moving weight between two assets at a time, all pairs in turn."""
     g = lambda j: f"(list_dot_product(q[{j}], s.x) - mean[{j}])"
     step = f"least(greatest(-({g('e.i')} - {g('e.j')}) / (q[e.i][e.i] + q[e.j][e.j] - 2 * q[e.i][e.j]), -s.x[e.i]), s.x[e.j])"

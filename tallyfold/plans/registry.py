@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formatting
 from ..operators import backtest, dependence, panel, performance, returns, robustness, sampler, statistics, strategies, verdicts, volatility
+from ..sources import market
 from ..sources.lineage import written
 from . import oracles as o
 from .context import BENCHMARK, N_EXPERIMENTS, SCHEDULE, STRESS, Lab, Runs, tidy
@@ -375,24 +376,37 @@ query("median_by_year", f"{T}, yr AS (SELECT experiment, year(min(date)) AS y FR
 # ---- more audits, tests and tables ----
 query("data_checks", f"{P} {sel(asset='asset', n='#count(*)', missing='#count(*) FILTER (price IS NULL)', not_positive='#count(*) FILTER (price <= 0)', not_finite='#count(*) FILTER (isnan(price) OR isinf(price))')} FROM obs GROUP BY asset")(lambda b: panel.data_checks(b.obs))
 query("complete_rows", f"{D}, mi AS (SELECT date FROM ret GROUP BY date HAVING count(r) = count(*)) {sel(date='date', asset='asset', r='~r')} FROM ret WHERE date IN (SELECT date FROM mi)", "daily")(lambda b: panel.complete_rows(panel.log_returns(b.panel)).select("date", "asset", "r"))
-_EVENTS = ", ac AS (SELECT date, asset, CASE WHEN session % 13 = 0 THEN 0.1::DOUBLE ELSE 0 END AS dividend, CASE WHEN session % 101 = 0 THEN 2.0::DOUBLE WHEN session % 103 = 0 THEN 1.25 ELSE 0 END AS split FROM panel)"
+#: CTEs after panel that end in un(session, date, asset, adj, raw, income, split) and ac(date, asset, dividend, split): what is traded, and actions read off order lines.
+_EVENTS = f""", cx AS (
+  SELECT {o._PERIOD['weekly']} AS date, n_name AS asset, coalesce(avg(CASE WHEN l_quantity = 1 AND l_discount > 0.095 THEN l_tax / 4 END), 0) AS income,
+         coalesce(max(CASE WHEN l_quantity = 50 AND l_discount > 0.095 AND l_tax > 0.075 THEN CASE l_returnflag WHEN 'R' THEN 2.0::DOUBLE WHEN 'A' THEN 3.0 ELSE 1.25 END END), 0) AS split
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+ua AS (SELECT p.session, p.date, p.asset, price AS adj, CASE WHEN lag(price) OVER s IS NULL THEN 0 ELSE coalesce(income, 0) END AS income, CASE WHEN lag(price) OVER s IS NULL THEN 0 ELSE coalesce(split, 0) END AS split
+       FROM panel p LEFT JOIN cx ON p.date = cx.date AND p.asset = cx.asset WHERE price IS NOT NULL WINDOW s AS (PARTITION BY p.asset ORDER BY p.session)),
+un AS (SELECT *, adj * exp(-coalesce(sum(ln(1 - income) - ln(CASE WHEN split > 0 THEN split ELSE 1 END)) OVER (PARTITION BY asset ORDER BY session DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS raw FROM ua),
+ac AS (SELECT session, date, asset, raw, coalesce(income * lag(raw) OVER (PARTITION BY asset ORDER BY session), 0) AS dividend, split FROM un)"""
 
 
 def _actions(b: Lab) -> DataFrame:
-    """Corporate actions by arithmetic on the session, as there is no table of them."""
-    return b.panel.select("date", "asset", F.when(F.col("session") % 13 == 0, 0.1).otherwise(0.0).alias("dividend"), F.when(F.col("session") % 101 == 0, 2.0).when(F.col("session") % 103 == 0, 1.25).otherwise(0.0).alias("split"))
+    """session, date, asset, price, dividend and split: prices as traded, with the corporate actions of order lines."""
+    if not hasattr(b, "acted"):
+        b.acted = written(panel.unadjusted(b.panel, market.actions(b.spark, b.sf_dir, b.freq, b.level)))
+    return b.acted
 
 
-_ADJUSTED = f"""{P}{_EVENTS}, un AS (SELECT date, asset, price AS adj, price * (1 + 0.0005::DOUBLE * session) AS raw FROM panel WHERE price IS NOT NULL),
+_ADJUSTED = f"""{P}{_EVENTS},
     sp AS (SELECT asset, min(date) AS f, max(date) AS l, min_by(adj, date) AS a0, max_by(adj, date) AS a1, min_by(raw, date) AS r0, max_by(raw, date) AS r1 FROM un GROUP BY asset),
     ev AS (SELECT ac.asset, count(*) FILTER (dividend <> 0) AS nd, count(*) FILTER (split <> 0) AS ns FROM ac JOIN sp ON ac.asset = sp.asset WHERE date > f AND date <= l GROUP BY 1),
     cg AS (SELECT *, power(a1 / a0, 365.25::DOUBLE / (l - f)) - 1 AS ac, power(r1 / r0, 365.25::DOUBLE / (l - f)) - 1 AS rc FROM sp)"""
 
 
 def _adjustment(b: Lab) -> DataFrame:
-    return panel.adjustment_table(b.panel, b.panel.withColumn("price", F.col("price") * (1 + 0.0005 * F.col("session"))), _actions(b))
+    return panel.adjustment_table(b.panel, _actions(b), _actions(b))
 
 
+query("traded_prices", f"{P}{_EVENTS} {sel(session='session', date='date', asset='asset', price='~raw', dividend='~dividend', split='~split')} FROM ac")(_actions)
+# what the given series is lowered by must come out of the traded prices and actions again
+query("readjusted_prices", f"{P} {sel(session='session', date='date', asset='asset', price='~price')} FROM panel WHERE price IS NOT NULL")(lambda b: panel.adjusted(_actions(b)))
 query("adjustment_table", f"{_ADJUSTED} {sel(asset='cg.asset', first='f', last='l', adj_cagr='~ac', raw_cagr='~rc', gap='~ac - rc', dividends='#coalesce(nd, 0)', splits='#coalesce(ns, 0)')} FROM cg LEFT JOIN ev ON cg.asset = ev.asset")(_adjustment)
 query("classified_actions", f"""{P}{_EVENTS} {sel(date='ac.date', asset='ac.asset', split='~split', kind="CASE WHEN abs(split - round(split)) < 1e-6 THEN 'split' ELSE 'spin-off' END", r='~r')} FROM ac JOIN ret ON ac.date = ret.date AND ac.asset = ret.asset WHERE split <> 0""")(lambda b: panel.classify_actions(_actions(b), panel.log_returns(b.panel)))
 query("formatted_headline", f"""{T} {sel(strategy='strategy', basis='basis', ann_return="format('{:,.2f}', round(median(ann_return) * 100, 6))", n="format('{:,.0f}', sum(n)::DOUBLE)")} FROM m GROUP BY strategy, basis""")(

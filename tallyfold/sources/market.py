@@ -28,7 +28,29 @@ def daily_sums(spark: SparkSession, sf_dir: str, freq: str = "daily", level: str
 
     end cuts days of periods whose date isn't before it.
     """
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_shipdate", "l_quantity", "l_extendedprice")
+    unit = F.col("l_extendedprice") / F.col("l_quantity")
+    sold = sales(spark, sf_dir, freq, level, end)
+    return sold.groupBy(F.to_date("l_shipdate").alias("date"), "asset").agg(F.sum(unit).alias("total"), F.count(unit).alias("n"), F.sum("l_quantity").alias("volume"))
+
+
+def actions(spark: SparkSession, sf_dir: str, freq: str = "weekly", level: str = "nation") -> DataFrame:
+    """date, asset, income and split of the periods with corporate actions, read off order lines of rare kinds.
+
+    A line of one piece at the highest discount pays a quarter of its tax rate in income; one of the largest quantity at
+    the highest discount and tax splits one share into 2, 3 or 1.25 by its return flag R, A or N. Of several the mean
+    income and the largest split count; 0 is none.
+    """
+    income = F.when((F.col("l_quantity") == 1) & (F.col("l_discount") > 0.095), F.col("l_tax") / 4)
+    ratio = F.when(F.col("l_returnflag") == "R", 2.0).when(F.col("l_returnflag") == "A", 3.0).otherwise(1.25)
+    split = F.when((F.col("l_quantity") == 50) & (F.col("l_discount") > 0.095) & (F.col("l_tax") > 0.075), ratio)
+    sold = sales(spark, sf_dir, freq, level)
+    found = sold.groupBy(period_end(F.col("l_shipdate"), freq).alias("date"), "asset").agg(F.coalesce(F.avg(income), F.lit(0.0)).alias("income"), F.coalesce(F.max(split), F.lit(0.0)).alias("split"))
+    return found.filter("income <> 0 or split <> 0")
+
+
+def sales(spark: SparkSession, sf_dir: str, freq: str = "daily", level: str = "nation", end: str | None = None) -> DataFrame:
+    """Order lines with the asset of their customer."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
     if end is not None:
         line = line.filter((F.col("l_shipdate") < F.lit(end).cast("date")) & (period_end(F.col("l_shipdate"), freq) < F.lit(end).cast("date")))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
@@ -38,9 +60,7 @@ def daily_sums(spark: SparkSession, sf_dir: str, freq: str = "daily", level: str
         nation = nation.join(spark.read.parquet(f"{sf_dir}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
     nation = nation.select("n_nationkey", F.col("r_name" if level == "region" else "n_name").alias("asset"))
     owner = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    sold = line.join(owner.select("o_orderkey", "asset"), line.l_orderkey == owner.o_orderkey)
-    unit = F.col("l_extendedprice") / F.col("l_quantity")
-    return sold.groupBy(F.to_date("l_shipdate").alias("date"), "asset").agg(F.sum(unit).alias("total"), F.count(unit).alias("n"), F.sum("l_quantity").alias("volume"))
+    return line.join(owner.select("o_orderkey", "asset"), line.l_orderkey == owner.o_orderkey)
 
 
 def observations(spark: SparkSession, sf_dir: str, freq: str = "weekly", damping: float = DAMPING, level: str = "nation", end: str | None = None, days: DataFrame | None = None) -> DataFrame:

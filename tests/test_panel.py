@@ -51,3 +51,19 @@ def test_interpolation_stays_inside(small):
 def test_periods_without_returns_are_null(small):
     weekly = returns.period_returns(small[2], "weekly").filter("asset = 'B'").orderBy("date").collect()
     assert weekly[0]["log_r"] is not None and weekly[0]["date"].weekday() == 4
+
+
+def test_prices_as_traded_and_adjusted_again(spark, small, monkeypatch):
+    """A 2-for-1 split and a dividend of 10 % of the price before, by hand; blocks of few sessions."""
+    monkeypatch.setattr(panel, "BLOCK", 4)
+    rows = [(k + 1, d, "A", p and float(p)) for k, (d, p) in enumerate(zip(DAYS, (10, 11, 12, 13, 14, 15, 16, 17, 18, None, 20, 21)))]
+    prices = spark.createDataFrame(rows, "session int, date date, asset string, price double")
+    acts = spark.createDataFrame([(DAYS[0], "A", 0.5, 4.0), (DAYS[3], "A", 0.1, 0.0), (DAYS[6], "A", 0.0, 2.0), (DAYS[9], "A", 0.2, 3.0)], "date date, asset string, income double, split double")
+    traded = {r["session"]: r for r in panel.unadjusted(prices, acts).collect()}
+    assert set(traded) == set(range(1, 13)) - {10}
+    assert [round(traded[k]["price"], 9) for k in (1, 3, 4, 6, 7, 12)] == [round(x, 9) for x in (10 / 0.45, 12 / 0.45, 13 / 0.5, 15 / 0.5, 16, 21)]
+    assert round(traded[4]["dividend"], 9) == round(0.1 * 12 / 0.45, 9) and traded[7]["split"] == 2.0
+    # an action on the first price, or on a date without one, does nothing
+    assert sum(r["dividend"] != 0 for r in traded.values()) == 1 and sum(r["split"] != 0 for r in traded.values()) == 1
+    again = {r["session"]: r["price"] for r in panel.adjusted(panel.unadjusted(prices, acts)).collect()}
+    assert all(abs(again[k] - p) < 1e-9 for k, _, _, p in rows if p is not None)
