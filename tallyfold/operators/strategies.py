@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.lineage import fanned, written
-from . import eigen, kernels
+from . import dependence, eigen, kernels
 from .sampler import Schedule
 
 SOLVED = ("GMV", "MV", "MSR", "ERC", "MDP", "MDC")
@@ -29,9 +29,8 @@ def estimates(rows: DataFrame) -> DataFrame:
 
 def pair_covariances(rows: DataFrame) -> DataFrame:
     """experiment, k, a, b, cov, corr of all ordered pairs of an experiment's assets."""
-    a = rows.select("experiment", "k", "pos", F.col("asset").alias("a"), F.col("s").alias("x"))
-    b = rows.select("experiment", "k", "pos", F.col("asset").alias("b"), F.col("s").alias("y"))
-    return a.join(b, ["experiment", "k", "pos"]).groupBy("experiment", "k", "a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("corr"))
+    key = ("experiment", "k")
+    return dependence.moments(dependence.pair_sums(rows, key, "pos", "asset", "s"), key).select(*key, "a", "b", "cov", "corr")
 
 
 def relational(est: DataFrame) -> DataFrame:
