@@ -64,7 +64,7 @@ class Lab:
 
     @cached_property
     def exp_asset(self) -> DataFrame:
-        return written(sampler.sample_experiments(self.panel, self.universe, self.schedule, N_EXPERIMENTS))
+        return sampler.filled(lambda tries: written(sampler.sample_experiments(self.panel, self.universe, self.schedule, N_EXPERIMENTS, tries=tries)), N_EXPERIMENTS)
 
     @cached_property
     def windows(self) -> DataFrame:

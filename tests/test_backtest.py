@@ -123,3 +123,12 @@ def test_sampler(spark):
     assert len({e for e, *_ in loose}) == 15 and len(loose) == 60
     with pytest.raises(ValueError):
         sampler.subset_rule({g: [a for a, x in assets if x == g] for g in "XY"}, 3)
+
+
+def test_too_few_windows_raise(spark):
+    """Further tries are made until the experiments are there; where they can't be, it fails."""
+    sizes = {4: 3, 16: 12}
+    made = lambda tries: spark.range(sizes.get(tries, 0)).selectExpr("cast(id AS int) AS experiment", "0 AS anchor", "'a' AS asset")
+    assert sampler.filled(made, 10, 16).count() == 12
+    with pytest.raises(sampler.TooFewWindows):
+        sampler.filled(made, 13, 16)
