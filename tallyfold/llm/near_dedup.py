@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sieve, sifted
+from .common import SIEVE_BITS, cut, sieve, sifted
 from .components import components
 from .simhash import link_fingerprints, majority, shingle_hashes
 
@@ -118,6 +118,36 @@ def entries(texts: DataFrame, frequent: Broadcast) -> DataFrame:
     return texts.mapInArrow(run, _ENTRIES)
 
 
+def repeated_bits(read: DataFrame) -> np.ndarray:
+    """A bitmap of SIEVE_BITS bits (4 MB) over the low bits of the keys that several entries have; they are hashes already."""
+    slot = F.col("key").bitwiseAND(F.lit(SIEVE_BITS - 1)) + 1
+    several = read.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1").select(slot.alias("slot"))
+    rows = several.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = np.zeros(SIEVE_BITS // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["bucket"] - 1) * len(bits) : r["bucket"] * len(bits)] = bits
+    return out
+
+
+def met_entries(read: DataFrame, repeated: Broadcast) -> DataFrame:
+    """key, row, n and pos of the entries whose key another may have: what only one text has meets nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = repeated.value
+        for batch in batches:
+            lists = batch.column(2)
+            size = np.diff(lists.offsets.to_numpy())
+            key, of = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), size)
+            pos = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+            slot = key & (SIEVE_BITS - 1)
+            met = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            row, n = (batch.column(c).to_numpy()[of[met]] for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(row), pa.array(n, pa.int32()), pa.array(pos[met], pa.int32())], ["key", "row", "n", "pos"])
+
+    return read.select("row", "n", "keys").mapInArrow(run, "key long, row long, n int, pos int")
+
+
 # ---- first meetings ----
 SENT = "key long, row long, n int, pos int, mate long"
 
@@ -279,10 +309,8 @@ def near_links(docs: DataFrame, key_col: str = "row", text_col: str = "text") ->
     named = lambda fp, name: first.select(F.col("fp").alias(fp), F.col("first").alias(name))
     gray = link_fingerprints(first.select("fp")).distinct().withColumnsRenamed({"a": "u", "b": "v"})
     near = gray.join(named("u", "a"), "u").join(named("v", "b"), "v").select("a", "b")
-    # a shingle that only one text has among its first meets nothing
-    repeated = sieve(read.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1"), "key")
-    each = read.select("row", "n", F.posexplode("keys").alias("pos", "key"))
-    entered = cut(sifted(each, repeated, ("key",), "met").filter("met").select("key", "row", "n", "pos"))
+    repeated = docs.sparkSession.sparkContext.broadcast(repeated_bits(read))
+    entered = cut(met_entries(read, repeated))
     pairs = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(first_pairs(entered)).distinct()
     links = cut(same.unionByName(similar(texts, cut(pairs))))
     return links.unionByName(similar(texts, cut(further_pairs(entered, components(links)))))
