@@ -88,8 +88,12 @@ class Lab:
 
     @cached_property
     def solved(self) -> DataFrame:
+        return self.solve()
+
+    def solve(self, shrink: bool = False) -> DataFrame:
+        """Weights of the solved strategies; shrink: from covariances shrunk to constant correlation."""
         rf = self.windows.select("experiment", "pos", "date").distinct().join(self.rf.select("date", "rf"), "date").drop("date")
-        return strategies.solved(self.rows, self.schedule, rf)
+        return strategies.solved(self.rows, self.schedule, rf, shrink=shrink)
 
 
 class Runs:

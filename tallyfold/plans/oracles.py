@@ -340,9 +340,16 @@ def _pairwise(sweeps: int = 100) -> str:
       lambda s, e: {{'x': list_transform(range(1, len(mean) + 1), lambda m: CASE WHEN m = e.i THEN s.x[m] + {step} WHEN m = e.j THEN s.x[m] - {step} ELSE s.x[m] END), 'i': e.i, 'j': e.j}}).x"""
 
 
-def solved_weights(aversions: tuple[float, ...] = (3.0,)) -> str:
-    """CTEs after est and er that end in sw(experiment, strategy, k, asset, w) and mv(experiment, k, aversion, asset, w)."""
+def solved_weights(aversions: tuple[float, ...] = (3.0,), shrunk: bool = False) -> str:
+    """CTEs after est and er that end in sw(experiment, strategy, k, asset, w) and mv(experiment, k, aversion, asset, w).
+
+    shrunk: correlations are those of SHRINK, which then stands before.
+    """
     head, tail = _SOLVED_WEIGHTS.split("sw AS MATERIALIZED", 1)
+    if shrunk:
+        before, after = head.split("ec AS MATERIALIZED (", 1)
+        rest = after.split("GROUP BY 1, 2, 3, 4),", 1)[1]
+        head = before + "ec AS MATERIALIZED (SELECT experiment, k, a, b, CASE WHEN a = b THEN 1.0::DOUBLE ELSE (1 - x) * r + x * rb END AS c FROM pq JOIN si USING (experiment, k))," + rest
     return head + f"""mq AS (SELECT experiment, k, aversion, assets, mean, list_transform(range(1, len(sd) + 1), lambda i: list_transform(range(1, len(sd) + 1), lambda j: aversion * r[i][j] * sd[i] * sd[j])) AS q
   FROM em JOIN ev USING (experiment, k) JOIN (SELECT experiment, k, list(mean ORDER BY asset) AS mean FROM est GROUP BY 1, 2) USING (experiment, k) CROSS JOIN (SELECT unnest([{', '.join(f'{a}::DOUBLE' for a in aversions)}]) AS aversion)),
 mv AS MATERIALIZED (SELECT experiment, k, aversion, unnest(assets) AS asset, unnest({_pairwise()}) AS w FROM mq),

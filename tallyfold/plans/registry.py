@@ -454,6 +454,9 @@ query("solved_optimality", f"{E}, sk AS (SELECT DISTINCT experiment, k FROM tr)
 query("solved_weights", f"{E}{o.solved_weights()} {sel(experiment='#experiment', strategy='strategy', k='#k', asset='asset', w='~w')} FROM sw")(
     lambda b: b.solved.filter("w is not null").select("experiment", "strategy", "k", "asset", "w")
 )
+query("solved_weights_shrunk", f"{o.SHRINK}{o.solved_weights(shrunk=True)} {sel(experiment='#experiment', strategy='strategy', k='#k', asset='asset', w='~w')} FROM sw")(
+    lambda b: b.solve(shrink=True).filter("w is not null").select("experiment", "strategy", "k", "asset", "w")
+)
 _SOLVED = ("GMV", "MV", "MDP", "MDC", "ERC")
 query("solved_kkt", f"{E} {sel(experiment='#experiment', strategy='strategy', k='#k', invested='true', long_only='true', optimal='true')} FROM (SELECT DISTINCT experiment, k FROM est) CROSS JOIN (SELECT unnest({list(_SOLVED)!r}) AS strategy)")(
     lambda b: strategies.kkt(strategies.solved(b.rows, SCHEDULE, names=_SOLVED), strategies.estimates(b.rows), strategies.pair_covariances(b.rows), SCHEDULE.periods)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.functions import distributions
-from tallyfold.operators import bootstrap, carry, eigen, garch, normality, regression
+from tallyfold.operators import bootstrap, carry, dependence, eigen, garch, normality, regression
 from tallyfold.operators import volatility as v
 
 
@@ -171,3 +171,23 @@ def test_extreme_eigenvalues(spark):
         else:
             assert (row["largest"], row["smallest"]) == (pytest.approx(want[row["k"]][-1], rel=1e-6), pytest.approx(want[row["k"]][0], rel=1e-6))
             assert row["rounds"] < eigen.ROUNDS
+
+
+def test_pair_moments(spark):
+    """Gaps, series that never meet, chunks that some lack; every ordered pair once."""
+    rng = np.random.default_rng(8)
+    data = {f"s{k}": {t: float(x) for t, x in enumerate(rng.standard_normal(200)) if rng.random() < 0.8 and (k != 3 or t < 50) and (k != 4 or t > 120)} for k in range(5)}
+    rows = [(t, a, x) for a, xs in data.items() for t, x in xs.items()] + [(5, "null", None), (7, "one", 1.0)]
+    got = {(r["a"], r["b"]): r for r in dependence.pair_moments(spark.createDataFrame(rows, "session int, asset string, r double")).collect()}
+    want = {}
+    for a, x in [*data.items(), ("one", {7: 1.0})]:
+        for b, y in [*data.items(), ("one", {7: 1.0})]:
+            both = sorted(set(x) & set(y))
+            if both:
+                want[a, b] = (len(both), np.cov([x[t] for t in both], [y[t] for t in both])[0, 1] if len(both) > 1 else None, np.corrcoef([x[t] for t in both], [y[t] for t in both])[0, 1] if len(both) > 1 else None)
+    assert set(got) == set(want)
+    for pair, (n, cov, corr) in want.items():
+        r = got[pair]
+        assert r["n"] == n
+        assert r["cov"] == (pytest.approx(cov, abs=1e-12) if cov is not None else None)
+        assert r["corr"] == (pytest.approx(corr, abs=1e-12) if corr is not None else None)

@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from tallyfold.plans import registry
+from tallyfold.plans import extended, registry
+from tallyfold.plans.context import Lab
 
 SF = os.environ.get("TALLYFOLD_TEST_DATA", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -44,3 +45,35 @@ def test_matches_sql(spark, name):
 
 def test_every_query_has_a_name_of_its_own():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+#: Queries whose fits take long before their columns are known.
+SLOW = ("variance_profiles", "variance_profiles_gjr", "residual_ljung_box")
+
+
+@pytest.fixture(scope="module")
+def shared_labs():
+    """One Lab for all queries of the same panel, so that its tables are written once."""
+    labs = {}
+
+    def lab(spark, sf_dir, freq="weekly", level="nation", schedule=extended.SCHEDULE, days=None):
+        return labs.setdefault((freq, level, schedule), Lab(spark, sf_dir, freq, level, schedule))
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(registry, "Lab", lab)
+        m.setattr(extended, "Lab", lab)
+        yield
+
+
+@pytest.fixture(scope="module")
+def con():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.ORACLE_SQL) - set(SLOW)))
+def test_columns_are_those_of_the_sql(spark, con, shared_labs, name):
+    theirs = sorted(d[0] for d in con.execute(f"DESCRIBE {registry.ORACLE_SQL[name]}").fetchall())
+    assert sorted(registry.QUERIES[name](spark, SF).columns) == theirs
