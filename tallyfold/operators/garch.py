@@ -203,3 +203,12 @@ def residuals(r: DataFrame, model: str, value: str = "x") -> DataFrame:
     """asset, date (the place in the series) and x, the standardised residual under the model as fitted()."""
     found = fitted(fanned(series(r, value), "asset"), model)
     return found.select("asset", F.posexplode(standardised(model, F.col("x"), F.col("q"))).alias("date", "x"))
+
+
+def persistence(r: DataFrame, model: str, value: str = "x") -> DataFrame:
+    """asset, persistence, half_life (periods until half of a shock is left, null where none ends) and nu of each fit."""
+    q = F.col("q")
+    kept = q["beta"] if model.startswith("EGARCH") else q["alpha"] + q["beta"] + q["gamma"] / 2
+    found = fitted(fanned(series(r, value), "asset"), model).select("asset", kept.alias("persistence"), q["nu"].alias("nu"))
+    half = F.when((F.col("persistence") > 0) & (F.col("persistence") < 1), F.log(F.lit(0.5)) / F.log("persistence"))
+    return found.select("asset", "persistence", half.alias("half_life"), "nu")

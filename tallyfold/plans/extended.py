@@ -183,7 +183,10 @@ by_frequency(
 query("qq_normal", f"{P}, qz AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY x, date) AS i, count(*) OVER (PARTITION BY asset) AS n, (x - avg(x) OVER (PARTITION BY asset)) / stddev_samp(x) OVER (PARTITION BY asset) AS z FROM x), qp AS (SELECT *, (i - 0.5) / n AS pr FROM qz) {sel(asset='asset', i='#i', z='~z', normal='~' + o.normal_quantile('pr'))} FROM qp")(
     lambda b: statistics.qq_points(b.r).select("asset", "i", "z", normal_quantile(F.col("prob")).alias("normal"))
 )
-query("qq_student", None)(lambda b: statistics.with_student(statistics.qq_points(b.r)))
+#: Student's quantile of 5 degrees of freedom: the angle atan(t / sqrt(5)) halved 50 times, as the operator does.
+_ANGLE = "(a.at + sin(a.at) * cos(a.at) * (1 + cos(a.at) * cos(a.at) * 2 / 3))"
+_STUDENT = f"tan(list_reduce(list_prepend({{'at': 0.0::DOUBLE, 'width': pi() / 2}}, list_transform(range(50), lambda i: {{'at': 0.0::DOUBLE, 'width': 0.0::DOUBLE}})), lambda a, b: {{'at': a.at + CASE WHEN {_ANGLE} < (pr - 0.5) * pi() THEN a.width / 2 ELSE -a.width / 2 END, 'width': a.width / 2}}).at) * sqrt(5.0::DOUBLE)"
+query("qq_student", f"{P}, qz AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY x, date) AS i, count(*) OVER (PARTITION BY asset) AS n, (x - avg(x) OVER (PARTITION BY asset)) / stddev_samp(x) OVER (PARTITION BY asset) AS z FROM x), qs AS (SELECT *, {_STUDENT} AS t FROM (SELECT *, (i - 0.5) / n AS pr FROM qz)) {sel(asset='asset', i='#i', z='~z', student='~t', unit_student='~t * sqrt(0.6::DOUBLE)')} FROM qs")(lambda b: statistics.with_student(statistics.qq_points(b.r)))
 _NOISE = """, un AS (SELECT date, asset, session, (('0x' || substr(md5('noise:' || asset || ':' || session), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u, (('0x' || substr(md5('noise:' || asset || ':' || session), 14, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS v FROM x),
 wn AS (SELECT date, asset, session, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS x FROM un)"""
 query("white_noise_acf", f"{P}{_NOISE}{o.lagged(10).replace('FROM x)', 'FROM wn)')} {sel(asset='asset', lag='#lag', rho='~xs / ss', inside='abs(xs / ss) <= 1.96 / sqrt(n)')} FROM lagged")(
@@ -217,6 +220,9 @@ def _residuals(b: Lab) -> DataFrame:
 _PROFILE = dict(asset="asset", model="model", n="#n", parameter="parameter", estimate="~estimate", loglik="~loglik", lower="~lower", higher="~higher", largest="greatest(coalesce(lower, '-infinity'::DOUBLE), coalesce(higher, '-infinity'::DOUBLE)) <= loglik + 1e-6")
 by_frequency("variance_profiles", lambda p: f"{o.recursive(p)}{o.variance_profiles('GARCH-N', 'g')} {sel(**_PROFILE)} FROM gp", lambda b: garch.profiles(b.r, ("GARCH-N",)))
 query("variance_profiles_gjr", f"{o.recursive(P)}{o.variance_profiles('GJR-t', 'g')} {sel(**_PROFILE)} FROM gp")(lambda b: garch.profiles(b.r, ("GJR-t",)))
+query("variance_persistence", f"{o.recursive(P)}{o.variance_profiles('GJR-t', 'g')}, pe AS (SELECT asset, al + be + ga / 2 AS kept, nu FROM gb) {sel(asset='asset', persistence='~kept', half_life='~CASE WHEN kept > 0 AND kept < 1 THEN ln(0.5::DOUBLE) / ln(kept) END', nu='~nu')} FROM pe")(
+    lambda b: garch.persistence(b.r, "GJR-t")
+)
 _RESIDUAL = o.variance_residuals("GARCH-N", "g") + o.lagged(max(Q_LAGS), "x * x", "_z").replace("FROM x)", "FROM zx)")
 _RESIDUAL_BOX = " UNION ALL ".join(f"SELECT asset, {k} AS lags, any_value(n) * (any_value(n) + 2) * sum(xs / ss * xs / ss / (n - lag)) AS q FROM lagged_z WHERE lag <= {k} GROUP BY asset" for k in Q_LAGS)
 query("residual_ljung_box", f"{o.recursive(P)}{o.variance_profiles('GARCH-N', 'g')}{_RESIDUAL}, zb AS ({_RESIDUAL_BOX}) " + sel(asset="asset", lags="#lags", transform="'squared'", q="~q", p="~" + o.at_lags(Q_LAGS)) + " FROM zb")(

@@ -288,7 +288,11 @@ query(
     f"{E}{o.solved_weights()}, rk AS (SELECT experiment, k, a AS asset, sum(x.w * y.w * c * s.sd * t.sd) AS part FROM ec JOIN sw x USING (experiment, k) JOIN sw y USING (experiment, k) JOIN est s USING (experiment, k) JOIN est t USING (experiment, k) WHERE x.strategy = 'ERC' AND y.strategy = 'ERC' AND x.asset = a AND y.asset = b AND s.asset = a AND t.asset = b GROUP BY 1, 2, 3) "
     + sel(experiment="#experiment", strategy="'ERC'", k="#k", asset="asset", share="~part / sum(part) OVER (PARTITION BY experiment, k)") + " FROM rk",
 )(lambda b: strategies.risk_contributions(b.solved.filter("strategy = 'ERC'"), strategies.pair_covariances(b.rows)))
-query("bt_failures", None)(lambda b: backtest.failures(b.solved))
+query(
+    "bt_failures",
+    f"""{E}{o.solved_weights()}, fl AS (SELECT experiment, k, any_value(rf) * {SCHEDULE.periods} AS rate FROM est JOIN rw USING (experiment, k) GROUP BY 1, 2 HAVING max(mean - rf) <= 0)
+    {sel(experiment='#experiment', strategy="'MSR'", k='#k', error="format('Infeasible: no expected return above the risk-free rate of {:.2f}%', 100 * rate)", fallback="CASE WHEN k = 0 THEN 'equal weights' ELSE 'held weights' END")} FROM fl""",
+)(lambda b: backtest.failures(b.solved))
 query("solved_metrics", f"{o.ALL_METRICS} {sel(experiment='#experiment', strategy='strategy', basis='basis', n='#n', ann_return='~ann_return', ann_vol='~ann_vol', sharpe='~sharpe', sortino='~sortino', max_dd='~max_dd', calmar='~calmar', sterling='~sterling')} FROM m")(lambda b: Runs(b, b.solved.unionByName(b.relational)).metrics)
 
 # ---- performance ----
