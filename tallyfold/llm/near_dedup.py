@@ -6,8 +6,8 @@ shingles: all texts put theirs in one order, and two similar ones have their fir
 n - ceil(0.8 n) + 1 of each. A text is entered under these only. Any order does; this one puts shingles last that a
 bounded sample of texts (SAMPLE_TEXTS) has more than once, the most frequent (FREQUENT of them at most) at the end, so
 that what pages of one template share stands in no entry. Entries that no other text has are dropped by a sieve before
-they move. What meets must fit in length and in how much can follow the common shingle, and is then checked on the
-whole sets. No similar pair is missed, no link comes from bits alone, and no cap drops a candidate.
+they move. What meets must fit in length, in how much can follow the common shingle and in counts over buckets, and is then checked
+on the whole sets. No similar pair is missed, no link comes from bits alone, and no cap drops a candidate.
 
 Texts under one shingle don't all meet at once. First each meets the first of them and its neighbours in a shuffled
 order, within a batch before the shuffle and then among what batches sent; links found so make groups. Then only texts
@@ -42,6 +42,8 @@ SAMPLE_TEXTS, FREQUENT, OFTEN = 20_000, 1 << 17, 3
 NEIGHBOURS = 2
 #: Rows of a shingle that a batch sends as they are; of more it sends the first in both orders.
 SENT_WHOLE = 8
+#: Buckets over which a set's shingles are counted for the last test before the check.
+BUCKETS = 256
 #: Texts whose sets a task holds at once.
 SLICE_TEXTS = 250
 #: Texts of a block, where more have a shingle.
@@ -99,11 +101,11 @@ def ordered(shingles: np.ndarray, names: np.ndarray, ranks: np.ndarray) -> np.nd
     return shingles[np.lexsort((shingles, rank))]
 
 
-_ENTRIES = "row long, n int, fp long, whole binary, keys array<long>"
+_ENTRIES = "row long, n int, fp long, whole binary, buckets binary, keys array<long>"
 
 
 def entries(texts: DataFrame, frequent: Broadcast) -> DataFrame:
-    """row, n, fp, whole (a digest of the set) and keys, the first shingles of the order, of every row of texts(row, text)."""
+    """row, n, fp, whole (a digest of the set), buckets (bucket_counts) and keys, the first shingles of the order, of every row of texts(row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = np.argsort(frequent.value)
@@ -113,7 +115,7 @@ def entries(texts: DataFrame, frequent: Broadcast) -> DataFrame:
             fps = np.array([majority(s) for s in sets], np.uint64)
             whole = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             keys = [ordered(s, names, ranks)[: prefix_size(len(s))].view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps.view(np.int64)), pa.array(whole, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["row", "n", "fp", "whole", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps.view(np.int64)), pa.array(whole, pa.binary()), pa.array(map(bucket_counts, sets), pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["row", "n", "fp", "whole", "buckets", "keys"])
 
     return texts.mapInArrow(run, _ENTRIES)
 
@@ -279,22 +281,53 @@ def further_pairs(entered: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 # ---- the check ----
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def bucket_counts(shingles: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each of BUCKETS; 255 stands for that many or more."""
+    return np.minimum(np.bincount((shingles >> np.uint64(40)) & np.uint64(BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("x", "y"))
+        least = np.minimum(x, y)
+        shared = least.sum(axis=1, dtype=np.int64)
+        keep = (9 * shared >= 4 * n) | (least == 255).any(axis=1)
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+
+def plausible(pairs: DataFrame, read: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets can have enough in common: no more in a bucket than the smaller of its two counts."""
+    side = lambda row, n, name: read.select(F.col("row").alias(row), F.col("n").alias(n), F.col("buckets").alias(name))
+    return pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_plausible, "a long, b long")
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _sliced(batches):
-        sets = pa.array([shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["row", "shingles"])
+        sets: dict[int, np.ndarray] = {}
+        keep = []
+        for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "x", "y"))):
+            for row, text in ((a.as_py(), x), (b.as_py(), y)):
+                if row not in sets:
+                    sets[row] = shingle_set(text.as_py())
+            p, q = sets[a.as_py()], sets[b.as_py()]
+            shared = len(np.intersect1d(p, q, assume_unique=True))
+            # shared / union in whole numbers, so that exactly 0.8 counts; two empty sets are equal
+            keep.append(shared * 1000 >= round(SIMILARITY * 1000) * (len(p) + len(q) - shared))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rows of texts(row, text) whose shingle sets have a similarity of SIMILARITY or more."""
+    """The pairs (a, b) of rows of texts(row, text) whose shingle sets have a similarity of SIMILARITY or more.
+
+    Texts travel, not their sets, which are several times as large after compression.
+    """
     wanted = sieve(pairs.select(F.explode(F.array("a", "b")).alias("row")), "row")
-    # a wrong hit of the sieve only brings a set that no pair asks for
-    sets = sifted(texts, wanted, ("row",), "asked").filter("asked").select("row", "text").mapInArrow(_sets, "row long, shingles array<long>")
-    side = lambda row, name: sets.select(F.col("row").alias(row), F.col("shingles").alias(name))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    shared, sizes = F.size(F.array_intersect("x", "y")).cast("long"), (F.size("x") + F.size("y")).cast("long")
-    # shared / union in whole numbers, so that exactly 0.8 counts; two empty sets are equal
-    return both.filter(shared * 1000 >= round(SIMILARITY * 1000) * (sizes - shared)).select("a", "b")
+    # a wrong hit of the sieve only brings a text that no pair asks for
+    asked = sifted(texts, wanted, ("row",), "asked").filter("asked").select("row", "text")
+    side = lambda row, name: asked.select(F.col("row").alias(row), F.col("text").alias(name))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(_check, "a long, b long")
 
 
 def near_links(docs: DataFrame, key_col: str = "row", text_col: str = "text") -> DataFrame:
@@ -312,8 +345,8 @@ def near_links(docs: DataFrame, key_col: str = "row", text_col: str = "text") ->
     repeated = docs.sparkSession.sparkContext.broadcast(repeated_bits(read))
     entered = cut(met_entries(read, repeated))
     pairs = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(first_pairs(entered)).distinct()
-    links = cut(same.unionByName(similar(texts, cut(pairs))))
-    return links.unionByName(similar(texts, cut(further_pairs(entered, components(links)))))
+    links = cut(same.unionByName(similar(texts, cut(plausible(pairs, read)))))
+    return links.unionByName(similar(texts, cut(plausible(further_pairs(entered, components(links)), read))))
 
 
 def near_groups(docs: DataFrame, key_col: str = "row", text_col: str = "text") -> DataFrame:

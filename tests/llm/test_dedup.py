@@ -402,6 +402,16 @@ def test_first_common_shingle_is_entered():
                 assert near_dedup.may_be_similar(*(np.array([v]) for v in (len(x), i, len(y), j)))[0]
 
 
+def test_bucket_counts_bound_what_is_shared():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 40, 900, 90_000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.r_[a[: n // 2], rng.integers(0, 1 << 63, n // 2).astype(np.uint64)])
+        x, y = (np.frombuffer(near_dedup.bucket_counts(s), np.uint8) for s in (a, b))
+        assert len(x) == near_dedup.BUCKETS and x.sum() <= len(a)
+        assert (np.minimum(x, y) == 255).any() or np.minimum(x, y).sum(dtype=int) >= len(np.intersect1d(a, b))
+
+
 def families(pairs, own, shared, boilerplate=84):
     """Pages of one template: own words, the template's, and some that only the page's partner has; partners are similar, others aren't."""
     frame = " ".join(f"frame{k}" for k in range(boilerplate))
