@@ -77,3 +77,15 @@ def con():
 def test_columns_are_those_of_the_sql(spark, con, shared_labs, name):
     theirs = sorted(d[0] for d in con.execute(f"DESCRIBE {registry.ORACLE_SQL[name]}").fetchall())
     assert sorted(registry.QUERIES[name](spark, SF).columns) == theirs
+
+
+def test_package_is_packed_for_a_cluster(tmp_path):
+    """What executors are sent imports without the repository."""
+    import subprocess
+    import sys
+
+    import __spark_entry__
+
+    path = __spark_entry__.packed(str(tmp_path))
+    found = subprocess.run([sys.executable, "-c", "import tallyfold.operators.carry as c; print(c.__file__)"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": path}, capture_output=True, text=True, check=True)
+    assert found.stdout.startswith(path)
