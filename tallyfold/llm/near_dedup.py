@@ -44,6 +44,8 @@ NEIGHBOURS = 2
 SENT_WHOLE = 8
 #: Buckets over which a set's shingles are counted for the last test before the check.
 BUCKETS = 256
+#: Buckets where texts of different groups meet, each several of those.
+FEWER = 64
 #: Texts whose sets a task holds at once.
 SLICE_TEXTS = 250
 #: Texts of a block, where more have a shingle.
@@ -150,6 +152,13 @@ def met_entries(read: DataFrame, repeated: Broadcast) -> DataFrame:
     return read.select("row", "n", "keys").mapInArrow(run, "key long, row long, n int, pos int")
 
 
+def can_share(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether sets of n shingles together can be similar by their bucket counts: in a bucket no more is shared than the
+    smaller count; 255 stands for any number."""
+    least = np.minimum(x, y)
+    return (9 * least.sum(axis=1, dtype=np.int64) >= 4 * n) | (least == 255).any(axis=1)
+
+
 # ---- first meetings ----
 SENT = "key long, row long, n int, pos int, mate long"
 
@@ -223,15 +232,15 @@ def first_pairs(entered: DataFrame) -> DataFrame:
 
 # ---- meetings of different groups ----
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) that may be similar among rows (key, cell, part, row, n, pos, root) sorted by key and cell.
+    """Pairs (a, b) that may be similar among rows (key, cell, part, row, n, pos, root, buckets) sorted by key and cell.
 
     Only rows of different parts and roots meet; in the cell of a block with itself part is the row's own.
     """
     names = ("key", "cell", "part", "row", "n", "pos", "root")
-    left = [np.zeros(0, np.int64) for _ in names]
+    left = [*(np.zeros(0, np.int64) for _ in names), np.zeros((0, FEWER), np.uint8)]
 
     def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, cell, part, row, n, pos, root = columns
+        key, cell, part, row, n, pos, root, counts = columns
         new = np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])] if len(key) else np.zeros(0, bool)
         group = np.cumsum(new)
         size = np.bincount(group, minlength=1)[group] if len(key) else group
@@ -241,13 +250,16 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[group[at + step] == group[at]]
             to = at + step
             fine = (root[at] != root[to]) & (part[at] != part[to]) & may_be_similar(n[at], pos[at], n[to], pos[to])
-            a, b = row[at[fine]], row[to[fine]]
+            x, y = at[fine], to[fine]
+            enough = can_share(counts[x], counts[y], n[x] + n[y])
+            a, b = row[x[enough]], row[y[enough]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
             step += 1
 
     for batch in batches:
-        columns = [np.r_[x, y] for x, y in zip(left, _columns(batch, names))]
+        counts = np.frombuffer(b"".join(batch.column("buckets").to_pylist()), np.uint8).reshape(-1, FEWER)
+        columns = [np.concatenate([x, y]) for x, y in zip(left, [*_columns(batch, names), counts])]
         # the last cell goes on in the next batch
         key, cell = columns[0], columns[1]
         whole = (key != key[-1]) | (cell != cell[-1]) if len(key) else np.zeros(0, bool)
@@ -256,15 +268,27 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pairs(left)
 
 
-def further_pairs(entered: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b), a > b, of entries (key, row, n, pos) of different groups that may be similar; roots: node, root."""
+def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row and its bucket counts, several buckets taken together."""
+    for batch in batches:
+        counts = np.frombuffer(b"".join(batch.column("buckets").to_pylist()), np.uint8).reshape(-1, FEWER, BUCKETS // FEWER)
+        # what stands for 255 or more makes the sum stand for it too
+        together = np.minimum(counts.sum(axis=2, dtype=np.int64), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([c.tobytes() for c in together], pa.binary())], ["row", "buckets"])
+
+
+def further_pairs(entered: DataFrame, roots: DataFrame, read: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of entries (key, row, n, pos) of different groups that may be similar; roots: node, root.
+
+    read: row and buckets, by which a pair is tested where it meets.
+    """
     named = cut(entered.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")))
     sized = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("many"), F.sum("size").alias("all"))
     blocks = lambda c: F.greatest(F.ceil(c / BLOCK_ROWS), F.lit(1)).cast("int")
     contested = cut(sized.filter("all > many").select("key", "main", blocks(F.col("many")).alias("d"), blocks(F.col("all") - F.col("many")).alias("o")))
     met = named.join(contested, "key").withColumn("is_main", F.col("root") == F.col("main"))
     own = F.pmod(F.xxhash64("row"), F.when(F.col("is_main"), F.col("d")).otherwise(F.col("o"))).cast("int")
-    met = met.withColumn("own", own)
+    met = met.withColumn("own", own).join(read.select("row", "buckets").mapInArrow(_fewer, "row long, buckets binary"), "row")
     # cells of the largest group's blocks with others', then of others' with each other: number, and the side that a row is on
     cell = lambda i, j: i.cast("long") * F.col("o") + j
     beyond = F.col("d").cast("long") * F.col("o")
@@ -276,7 +300,7 @@ def further_pairs(entered: DataFrame, roots: DataFrame) -> DataFrame:
         lambda j: F.struct((beyond + cell(F.least(j, F.col("own")), F.greatest(j, F.col("own")))).alias("cell"), F.when(j == F.col("own"), F.col("row")).otherwise(-3 - F.col("own").cast("long")).alias("part")),
     )
     spread = met.withColumn("c", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(to_main, among))))
-    dealt = spread.select("key", "c.cell", "c.part", "row", "n", "pos", "root").repartition("key", "cell").sortWithinPartitions("key", "cell", "row")
+    dealt = spread.select("key", "c.cell", "c.part", "row", "n", "pos", "root", "buckets").repartition("key", "cell").sortWithinPartitions("key", "cell", "row")
     return dealt.mapInArrow(_across, "a long, b long").distinct()
 
 
@@ -290,10 +314,7 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("x", "y"))
-        least = np.minimum(x, y)
-        shared = least.sum(axis=1, dtype=np.int64)
-        keep = (9 * shared >= 4 * n) | (least == 255).any(axis=1)
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+        yield batch.select(["a", "b"]).filter(pa.array(can_share(x, y, n)))
 
 
 def plausible(pairs: DataFrame, read: DataFrame) -> DataFrame:
@@ -346,7 +367,7 @@ def near_links(docs: DataFrame, key_col: str = "row", text_col: str = "text") ->
     entered = cut(met_entries(read, repeated))
     pairs = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(first_pairs(entered)).distinct()
     links = cut(same.unionByName(similar(texts, cut(plausible(pairs, read)))))
-    return links.unionByName(similar(texts, cut(plausible(further_pairs(entered, components(links)), read))))
+    return links.unionByName(similar(texts, cut(plausible(further_pairs(entered, components(links), read), read))))
 
 
 def near_groups(docs: DataFrame, key_col: str = "row", text_col: str = "text") -> DataFrame:
