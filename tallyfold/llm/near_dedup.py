@@ -22,6 +22,7 @@ unique number from 0 on.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,13 @@ WORDS_EACH = 5
 SIMILARITY = 0.8
 #: Texts that the order of shingles is taken from, and frequent shingles it holds at most.
 SAMPLE_TEXTS, FREQUENT, OFTEN = 20_000, 1 << 17, 3
+#: Low bits of a shingle's hash that stand for it where shingles are only counted; a wrong meeting there costs work, no link.
+LOW_BITS = 40
+LOW = np.uint64((1 << LOW_BITS) - 1)
+#: Numbers that a task packs at once, and those of a range that is counted at once, about.
+PACKED, RANGE = 1 << 21, 1 << 18
+#: Ranges of the sample's shingles, 2 to this.
+SAMPLE_RANGES = 6
 #: Neighbours in the shuffled order of a shingle's texts that a text meets at first.
 NEIGHBOURS = 2
 #: Rows of a shingle that a batch sends as they are; of more it sends the first in both orders.
@@ -79,27 +87,75 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (batch.slice(k, SLICE_TEXTS) for k in range(0, batch.num_rows, SLICE_TEXTS))
 
 
+# ---- counting shingles ----
+def packed(low: np.ndarray) -> bytes:
+    """Sorted numbers of LOW_BITS bits, repeats included, as gaps with their bytes of one place together, compressed."""
+    gaps = np.diff(low, prepend=np.uint64(0))
+    return zlib.compress(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8].T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    places = np.frombuffer(zlib.decompress(data), np.uint8).reshape(LOW_BITS // 8, -1)
+    gaps = np.zeros((places.shape[1], 8), np.uint8)
+    gaps[:, : LOW_BITS // 8] = places.T
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _ranges(keys: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (range, packed): the low bits of the keys, dealt over 2^bits ranges."""
+
+    def rows(parts: list[np.ndarray]) -> pa.RecordBatch:
+        low = np.sort(np.concatenate(parts) & LOW)
+        of = low >> np.uint64(LOW_BITS - bits)
+        cuts = np.r_[np.flatnonzero(_first(of)), len(low)]
+        data = [packed(low[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(of[cuts[:-1]].astype(np.int32)), pa.array(data, pa.binary())], ["range", "packed"])
+
+    parts, held = [], 0
+    for k in keys:
+        parts.append(k)
+        held += len(k)
+        if held >= PACKED:
+            yield rows(parts)
+            parts, held = [], 0
+    if held:
+        yield rows(parts)
+
+
+def counted(ranges: DataFrame, least: int) -> DataFrame:
+    """key and count of the low bits in rows (range, packed) that occur least times or more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        low, n = np.unique(np.concatenate([unpacked(x.as_py()) for x in table.column("packed")]), return_counts=True)
+        often = n >= least
+        return pa.table({"key": low[often].view(np.int64), "count": n[often].astype(np.int64)})
+
+    return ranges.groupBy("range").applyInArrow(run, "key long, count long")
+
+
 # ---- the entries of each text ----
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _sliced(batches):
-        sets = [shingle_set(t.as_py()) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["key"])
+    yield from _ranges((shingle_set(t.as_py()) for batch in batches for t in batch.column(0)), SAMPLE_RANGES)
 
 
 def frequent_shingles(texts: DataFrame) -> np.ndarray:
-    """Shingles that several texts of the sample have, those of most texts last; FREQUENT at most."""
+    """Low bits of shingles that several texts of the sample have, those of most texts last; FREQUENT at most."""
     every = max(1, texts.count() // SAMPLE_TEXTS)
-    sample = texts.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInArrow(_sample, "key long")
-    often = sample.groupBy("key").count().filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(FREQUENT)
+    sample = texts.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInArrow(_sample, "range int, packed binary")
+    often = counted(sample, OFTEN).orderBy(F.desc("count"), "key").limit(FREQUENT)
     return np.array([r["key"] for r in often.collect()][::-1], np.int64).view(np.uint64)
 
 
-def ordered(shingles: np.ndarray, names: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The set in the order of all texts: by rank among the frequent ones (names, sorted, with their ranks), then by hash."""
+def ordered(shingles: np.ndarray, names: np.ndarray, ranks: np.ndarray, bits: np.uint64 = ~np.uint64(0)) -> np.ndarray:
+    """The set in the order of all texts: by rank among the frequent ones (names, sorted, with their ranks), then by hash.
+
+    bits: those of a shingle that its name has.
+    """
     if not len(names):
         return shingles
-    at = np.minimum(np.searchsorted(names, shingles), len(names) - 1)
-    rank = np.where(names[at] == shingles, ranks[at] + 1, 0)
+    short = shingles & bits
+    at = np.minimum(np.searchsorted(names, short), len(names) - 1)
+    rank = np.where(names[at] == short, ranks[at] + 1, 0)
     return shingles[np.lexsort((shingles, rank))]
 
 
@@ -116,7 +172,7 @@ def entries(texts: DataFrame, frequent: Broadcast) -> DataFrame:
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
             fps = np.array([majority(s) for s in sets], np.uint64)
             whole = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            keys = [ordered(s, names, ranks)[: prefix_size(len(s))].view(np.int64) for s in sets]
+            keys = [ordered(s, names, ranks, LOW)[: prefix_size(len(s))].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps.view(np.int64)), pa.array(whole, pa.binary()), pa.array(map(bucket_counts, sets), pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["row", "n", "fp", "whole", "buckets", "keys"])
 
     return texts.mapInArrow(run, _ENTRIES)
@@ -124,8 +180,14 @@ def entries(texts: DataFrame, frequent: Broadcast) -> DataFrame:
 
 def repeated_bits(read: DataFrame) -> np.ndarray:
     """A bitmap of SIEVE_BITS bits (4 MB) over the low bits of the keys that several entries have; they are hashes already."""
-    slot = F.col("key").bitwiseAND(F.lit(SIEVE_BITS - 1)) + 1
-    several = read.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1").select(slot.alias("slot"))
+    every = read.agg(F.sum(F.size("keys"))).first()[0] or 0
+    bits = min(max(every // RANGE, 1).bit_length(), LOW_BITS // 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _ranges((batch.column(0).flatten().to_numpy().view(np.uint64) for batch in batches), bits)
+
+    ranges = read.select("keys").mapInArrow(run, "range int, packed binary")
+    several = counted(ranges, 2).select((F.col("key").bitwiseAND(F.lit(SIEVE_BITS - 1)) + 1).alias("slot"))
     rows = several.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     out = np.zeros(SIEVE_BITS // 8, np.uint8)
     for r in rows.toLocalIterator():

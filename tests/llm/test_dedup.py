@@ -412,6 +412,20 @@ def test_bucket_counts_bound_what_is_shared():
         assert (np.minimum(x, y) == 255).any() or np.minimum(x, y).sum(dtype=int) >= len(np.intersect1d(a, b))
 
 
+def test_shingles_are_counted_as_packed_numbers(spark):
+    """Keys travel packed, about four bytes each, and are counted exactly over all tasks and ranges."""
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 5000):
+        low = np.sort(np.r_[rng.integers(0, 1 << near_dedup.LOW_BITS, n), np.zeros(3)].astype(np.uint64))
+        data = near_dedup.packed(low)
+        assert (near_dedup.unpacked(data) == low).all() and (n < 5000 or len(data) < 4.5 * n)
+    keys = rng.permutation(np.repeat(rng.integers(0, 1 << 63, 3000), rng.integers(1, 5, 3000))).astype(np.uint64)
+    rows = [r for half in (keys[:4000], keys[4000:]) for b in near_dedup._ranges(iter([half]), 3) for r in b.to_pylist()]
+    got = {(r["key"], r["count"]) for r in near_dedup.counted(spark.createDataFrame(rows, "range int, packed binary"), 3).collect()}
+    low, n = np.unique(keys & near_dedup.LOW, return_counts=True)
+    assert got == {(int(k), int(c)) for k, c in zip(low, n) if c >= 3}
+
+
 def families(pairs, own, shared, boilerplate=84):
     """Pages of one template: own words, the template's, and some that only the page's partner has; partners are similar, others aren't."""
     frame = " ".join(f"frame{k}" for k in range(boilerplate))
