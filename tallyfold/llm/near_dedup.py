@@ -12,7 +12,8 @@ on the whole sets. No similar pair is missed, no link comes from bits alone, and
 Texts under one shingle don't all meet at once. First each meets the first of them and its neighbours in a shuffled
 order, within a batch before the shuffle and then among what batches sent; links found so make groups. Then only texts
 of different groups meet, for shingles that have several groups: large ones in blocks of BLOCK_ROWS, the largest group's
-members with the others only.
+members with the others only. Variants of one text share many shingles; each entry brings the first FIRSTS of its text,
+and two texts that have an earlier one of these in common are left to the meeting there.
 
 Edge cases: texts without words (null, empty) are equal to each other and like no other; texts of fewer than five
 words are one shingle; repeated rows share a component; an empty table gives an empty result. The key must be a
@@ -54,6 +55,8 @@ SENT_WHOLE = 8
 BUCKETS = 256
 #: Buckets where texts of different groups meet, each several of those.
 FEWER = 64
+#: First shingles of a text, of those that different groups have, that say whether two texts met before.
+FIRSTS = 4
 #: Texts whose sets a task holds at once.
 SLICE_TEXTS = 250
 #: Texts of a block, where more have a shingle.
@@ -143,7 +146,8 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
     every = max(1, texts.count() // SAMPLE_TEXTS)
     sample = texts.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInArrow(_sample, "range int, packed binary")
     often = counted(sample, OFTEN).orderBy(F.desc("count"), "key").limit(FREQUENT)
-    return np.array([r["key"] for r in often.collect()][::-1], np.int64).view(np.uint64)
+    # as one column, not as a row object each in the driver
+    return often.select("key").toArrow().column("key").to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def ordered(shingles: np.ndarray, names: np.ndarray, ranks: np.ndarray, bits: np.uint64 = ~np.uint64(0)) -> np.ndarray:
@@ -293,16 +297,28 @@ def first_pairs(entered: DataFrame) -> DataFrame:
 
 
 # ---- meetings of different groups ----
+def met_before(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Whether two texts have a shingle in common before the one that is place nx and ny of theirs; x, y: their first FIRSTS.
+
+    All texts have one order, so what they share earlier brought them together there.
+    """
+    met = np.zeros(len(nx), bool)
+    for i in range(FIRSTS):
+        for j in range(FIRSTS):
+            met |= (x[:, i] == y[:, j]) & (i < nx) & (j < ny)
+    return met
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) that may be similar among rows (key, cell, part, row, n, pos, root, buckets) sorted by key and cell.
+    """Pairs (a, b) that may be similar among rows (key, cell, part, row, n, pos, root, nth, firsts, buckets) sorted by key and cell.
 
     Only rows of different parts and roots meet; in the cell of a block with itself part is the row's own.
     """
-    names = ("key", "cell", "part", "row", "n", "pos", "root")
-    left = [*(np.zeros(0, np.int64) for _ in names), np.zeros((0, FEWER), np.uint8)]
+    names = ("key", "cell", "part", "row", "n", "pos", "root", "nth")
+    left = [*(np.zeros(0, np.int64) for _ in names), np.zeros((0, FIRSTS), np.int64), np.zeros((0, FEWER), np.uint8)]
 
     def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, cell, part, row, n, pos, root, counts = columns
+        key, cell, part, row, n, pos, root, nth, firsts, counts = columns
         new = np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])] if len(key) else np.zeros(0, bool)
         group = np.cumsum(new)
         size = np.bincount(group, minlength=1)[group] if len(key) else group
@@ -313,6 +329,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             to = at + step
             fine = (root[at] != root[to]) & (part[at] != part[to]) & may_be_similar(n[at], pos[at], n[to], pos[to])
             x, y = at[fine], to[fine]
+            new_here = ~met_before(firsts[x], nth[x], firsts[y], nth[y])
+            x, y = x[new_here], y[new_here]
             enough = can_share(counts[x], counts[y], n[x] + n[y])
             a, b = row[x[enough]], row[y[enough]]
             if len(a):
@@ -321,7 +339,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         counts = np.frombuffer(b"".join(batch.column("buckets").to_pylist()), np.uint8).reshape(-1, FEWER)
-        columns = [np.concatenate([x, y]) for x, y in zip(left, [*_columns(batch, names), counts])]
+        firsts = batch.column("firsts").flatten().to_numpy().reshape(-1, FIRSTS)
+        columns = [np.concatenate([x, y]) for x, y in zip(left, [*_columns(batch, names), firsts, counts])]
         # the last cell goes on in the next batch
         key, cell = columns[0], columns[1]
         whole = (key != key[-1]) | (cell != cell[-1]) if len(key) else np.zeros(0, bool)
@@ -349,8 +368,12 @@ def further_pairs(entered: DataFrame, roots: DataFrame, read: DataFrame) -> Data
     blocks = lambda c: F.greatest(F.ceil(c / BLOCK_ROWS), F.lit(1)).cast("int")
     contested = cut(sized.filter("all > many").select("key", "main", blocks(F.col("many")).alias("d"), blocks(F.col("all") - F.col("many")).alias("o")))
     met = named.join(contested, "key").withColumn("is_main", F.col("root") == F.col("main"))
+    texts = met.groupBy("row", "n", "root").agg(F.sort_array(F.collect_list(F.struct("pos", "key", "is_main", "d", "o"))).alias("found"))
+    firsts = F.array(*(F.coalesce(F.get("found.key", F.lit(k)), F.lit(0).cast("long")) for k in range(FIRSTS)))
+    buckets = read.select("row", "buckets").mapInArrow(_fewer, "row long, buckets binary")
+    met = texts.join(buckets, "row").select("row", "n", "root", "buckets", firsts.alias("firsts"), F.posexplode("found").alias("nth", "e"))
     own = F.pmod(F.xxhash64("row"), F.when(F.col("is_main"), F.col("d")).otherwise(F.col("o"))).cast("int")
-    met = met.withColumn("own", own).join(read.select("row", "buckets").mapInArrow(_fewer, "row long, buckets binary"), "row")
+    met = met.select("*", "e.*").withColumn("own", own)
     # cells of the largest group's blocks with others', then of others' with each other: number, and the side that a row is on
     cell = lambda i, j: i.cast("long") * F.col("o") + j
     beyond = F.col("d").cast("long") * F.col("o")
@@ -362,7 +385,7 @@ def further_pairs(entered: DataFrame, roots: DataFrame, read: DataFrame) -> Data
         lambda j: F.struct((beyond + cell(F.least(j, F.col("own")), F.greatest(j, F.col("own")))).alias("cell"), F.when(j == F.col("own"), F.col("row")).otherwise(-3 - F.col("own").cast("long")).alias("part")),
     )
     spread = met.withColumn("c", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(to_main, among))))
-    dealt = spread.select("key", "c.cell", "c.part", "row", "n", "pos", "root", "buckets").repartition("key", "cell").sortWithinPartitions("key", "cell", "row")
+    dealt = spread.select("key", "c.cell", "c.part", "row", "n", "pos", "root", "nth", "firsts", "buckets").repartition("key", "cell").sortWithinPartitions("key", "cell", "row")
     return dealt.mapInArrow(_across, "a long, b long").distinct()
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -451,5 +452,24 @@ def test_pages_of_a_template(spark, monkeypatch, own, shared):
     assert [root.get(k, k) for k in range(len(texts))] == want
 
 
+def test_variants_meet_once():
+    """Texts that share many shingles are paired at the first of them, whatever batches they come in; no pair is missed."""
+    rng = np.random.default_rng(8)
+    base = rng.permutation(300)[:60]
+    texts = [np.sort(np.unique(np.r_[rng.permutation(base)[:50], rng.integers(300, 1500, 30)])) for _ in range(40)]
+    texts += [np.sort(rng.permutation(np.arange(300, 1500))[:60]) for _ in range(20)]
+    rows = []
+    for row, keys in enumerate(texts):
+        firsts = [*keys[: near_dedup.FIRSTS].tolist(), *[0] * near_dedup.FIRSTS][: near_dedup.FIRSTS]
+        rows += [(int(k), 0, row, row, 1000, i, row, i, firsts, b"\xff" * near_dedup.FEWER) for i, k in enumerate(keys)]
+    names = ["key", "cell", "part", "row", "n", "pos", "root", "nth", "firsts", "buckets"]
+    table = pa.Table.from_pylist([dict(zip(names, r)) for r in sorted(rows)])
+    found = [(a, b) for out in near_dedup._across(iter(table.to_batches(max_chunksize=700))) for a, b in zip(*(out.column(c).to_pylist() for c in "ab"))]
+    shared = {(i, j): np.intersect1d(texts[i], texts[j]) for i in range(len(texts)) for j in range(i)}
+    assert set(found) == {p for p, s in shared.items() if len(s)}
+    variants = [p for p in found if max(p) < 40]
+    assert len(variants) < 1.5 * len(set(variants)) and sum(len(shared[p]) for p in set(variants)) > 20 * len(set(variants))
+
+
 def test_near_groups_of_nothing(empty):
     assert near_dedup.near_groups(empty.selectExpr("doc_id row", "text")).count() == 0
