@@ -99,7 +99,7 @@ def multikey_quicksort(perm: np.ndarray, lo: np.ndarray, hi: np.ndarray, key_of,
     return lo[keep], hi[keep]
 
 
-def equal_groups(group: np.ndarray, start: np.ndarray, length: int, text: np.ndarray, shallow_words: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def equal_groups(group: np.ndarray, start: np.ndarray, length: int, text: np.ndarray, shallow_words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(member, class) of strings text[start:start + length] that another of their group equals, classes in order.
 
     Multikey quicksort orders each group to a depth of shallow_words words of 8 bytes; what is alone by then is done.
@@ -128,14 +128,17 @@ def equal_groups(group: np.ndarray, start: np.ndarray, length: int, text: np.nda
         same &= (word[start[member] + k] == word[start[head] + k]) if length >= 8 else text[start[member] + k] == text[start[head] + k]
     whole = np.logical_and.reduceat(same, first)
     out = np.repeat(np.arange(len(first)) << 32, size)
-    data = text.tobytes()
-    for c in np.flatnonzero(~whole):
+    data, begin, rest = text.tobytes(), (start[member] + done).tolist(), length - done
+    places: list[int] = []
+    ranks: list[int] = []
+    for f, n in zip(first[~whole].tolist(), size[~whole].tolist()):
         trie = BlindTrie()
-        for k in range(first[c], first[c] + size[c]):
-            at = int(start[member[k]])
-            trie.insert(data[at + done : at + length], k)
+        for k in range(f, f + n):
+            trie.insert(data[begin[k] : begin[k] + rest], k)
         for rank, ks in enumerate(trie.ordered()):
-            out[ks] += rank
+            places += ks
+            ranks += [rank] * len(ks)
+    out[np.array(places, np.int64)] += np.array(ranks, np.int64)
     _, out, count = np.unique(out, return_inverse=True, return_counts=True)
     keep = count[out] > 1
     return member[keep], out[keep]

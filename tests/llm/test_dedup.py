@@ -135,6 +135,25 @@ def test_equal_groups(strings, data):
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def test_tries_get_only_what_parts_late(monkeypatch):
+    """Strings that part within five words are told apart by the quicksort; the tries get the others; classes equal brute force."""
+    rng = random.Random(9)
+    head = bytes(rng.choices(b"ab", k=24))
+    strings = [head + bytes(rng.choices(b"ab", k=16)) + b"c" * 10 for _ in range(300)]
+    strings += [b"d" * 40 + bytes(rng.choices(b"ab", k=10)) for _ in range(200)] + strings[:50]
+    tried = []
+    insert = BlindTrie.insert
+    monkeypatch.setattr(BlindTrie, "insert", lambda self, s, k: (tried.append(s), insert(self, s, k)))
+    member, cls = equal_groups(np.zeros(len(strings), int), np.arange(len(strings)) * 50, 50, np.frombuffer(b"".join(strings), np.uint8))
+    got, want = {}, {}
+    for m, c in zip(member, cls):
+        got.setdefault(c, set()).add(int(m))
+    for k, s in enumerate(strings):
+        want.setdefault(s, set()).add(k)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    assert len(tried) == 200
+
+
 @pytest.mark.parametrize("digest_all", [True, False])
 def test_exact(docs, texts, digest_all):
     got = exact_dedup.exact_dedup(docs, digest_all=digest_all)
