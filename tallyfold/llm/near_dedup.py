@@ -194,9 +194,11 @@ def repeated_bits(read: DataFrame) -> np.ndarray:
     several = counted(ranges, 2).select((F.col("key").bitwiseAND(F.lit(SIEVE_BITS - 1)) + 1).alias("slot"))
     rows = several.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     out = np.zeros(SIEVE_BITS // 8, np.uint8)
-    for r in rows.toLocalIterator():
-        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[(r["bucket"] - 1) * len(bits) : r["bucket"] * len(bits)] = bits
+    # in one job, 4 MB: fetched by partitions it is a job for each
+    found = rows.toArrow()
+    for bucket, data in zip(found.column("bucket").to_pylist(), found.column("bits")):
+        bits = np.frombuffer(data.as_py(), np.uint8)
+        out[(bucket - 1) * len(bits) : bucket * len(bits)] = bits
     return out
 
 
@@ -436,8 +438,8 @@ def similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(_check, "a long, b long")
 
 
-def near_links(docs: DataFrame, key_col: str = "row", text_col: str = "text") -> DataFrame:
-    """Pairs (a, b) of keys of similar texts that connect the groups."""
+def near_groups(docs: DataFrame, key_col: str = "row", text_col: str = "text") -> DataFrame:
+    """(node, root) of every key that is linked to another; root, the smallest key of its group, has a row as well."""
     texts = docs.select(F.col(key_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
     read = cut(entries(texts, frequent))
@@ -452,10 +454,14 @@ def near_links(docs: DataFrame, key_col: str = "row", text_col: str = "text") ->
     entered = cut(met_entries(read, repeated))
     pairs = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(first_pairs(entered)).distinct()
     links = cut(same.unionByName(similar(texts, cut(plausible(pairs, read)))))
-    return links.unionByName(similar(texts, cut(plausible(further_pairs(entered, components(links), read), read))))
-
-
-def near_groups(docs: DataFrame, key_col: str = "row", text_col: str = "text") -> DataFrame:
-    """(node, root) of every key that is linked to another; root, the smallest key of its group, has a row as well."""
-    roots = components(near_links(docs, key_col, text_col))
-    return cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    # the first links make groups; those found later only join groups, by their roots
+    roots = cut(components(links))
+    further = similar(texts, cut(plausible(further_pairs(entered, roots, read), read)))
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    between = further.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = components(between.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    joined = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    # a group's members take the root of what their group joined, its old root and what joined by itself likewise
+    moved = roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    every = cut(moved.unionByName(joined.select(F.col("root").alias("node"), F.col("top").alias("root"))))
+    return cut(every.unionByName(every.select(F.col("root").alias("node"), "root").distinct()))

@@ -492,3 +492,51 @@ def test_variants_meet_once():
 
 def test_near_groups_of_nothing(empty):
     assert near_dedup.near_groups(empty.selectExpr("doc_id row", "text")).count() == 0
+
+
+def tasks_and_jobs(spark, run):
+    """What run() returns, and the tasks and jobs that it took."""
+    import uuid
+
+    group, sc = uuid.uuid4().hex, spark.sparkContext
+    sc.setJobGroup(group, "test")
+    out = run()
+    sc.setJobGroup("", "")
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    stages = [sc.statusTracker().getStageInfo(k) for j in jobs for k in j.stageIds]
+    return out, sum(x.numCompletedTasks for x in stages if x), len(jobs)
+
+
+@pytest.fixture
+def many_partitions(spark):
+    conf = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_rounds_over_few_edges_take_few_tasks(spark, many_partitions):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(40) if k % 10], "a long, b long")
+    found, tasks, _ = tasks_and_jobs(spark, lambda: simhash.components(edges).collect())
+    assert {(r["node"], r["root"]) for r in found} == {(k, 10 * ((k - 1) // 10) + 1) for k in range(2, 41) if k % 10 != 1}
+    # the first writing deals the edges out; a round has no shuffle
+    assert tasks < 61 * 5
+
+
+def test_repeated_bits_come_in_few_jobs(spark, many_partitions):
+    read = spark.createDataFrame([([k, k + 1],) for k in range(0, 3000, 3)] + [([5 << 12],), ([5 << 12],)], "keys array<long>")
+    bits, _, jobs = tasks_and_jobs(spark, lambda: near_dedup.repeated_bits(read))
+    assert np.flatnonzero(bits).tolist() == [(5 << 12) >> 3] and jobs < 10
+
+
+def test_groups_joined_late_keep_their_members(spark, monkeypatch):
+    # two groups of equal texts, and two texts of their own, are linked by what is found last only
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join(words), " ".join([*words, "x"]), " ".join([*words, "x"]), " ".join([*words, "y"]), "else " * 9]
+    monkeypatch.setattr(near_dedup, "first_pairs", lambda entered: entered.select(F.lit(0).alias("a"), F.lit(0).alias("b")).limit(0))
+    monkeypatch.setattr(near_dedup, "link_fingerprints", lambda first: first.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0))
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    assert result(near_dedup.near_groups(docs), "node", "root") == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0)]
