@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -206,13 +207,17 @@ class PieceCodec:
 _codecs: dict[str, PieceCodec] = {}
 
 
-def _codec(model: Broadcast) -> PieceCodec:
-    """One codec for each Python worker and model."""
+@contextmanager
+def _codec(model: Broadcast) -> Iterator[PieceCodec]:
+    """One codec for each Python worker and model; its cache goes with the task, since workers wait idle through later stages."""
     data = model.value
     name = hashlib.sha256(data).hexdigest()
     if name not in _codecs:
         _codecs[name] = PieceCodec(data)
-    return _codecs[name]
+    try:
+        yield _codecs[name]
+    finally:
+        _codecs[name].span_cache.clear()
 
 
 def _ship(docs: DataFrame, model_path: str) -> Broadcast:
@@ -226,10 +231,10 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     model = _ship(docs, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model)
-        for batch in batches:
-            ids = [codec.encode(t) if t else [] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        with _codec(model) as codec:
+            for batch in batches:
+                ids = [codec.encode(t) if t else [] for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -240,10 +245,10 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     model = _ship(encoded, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model)
-        for batch in batches:
-            texts = [codec.decode(ids or []) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+        with _codec(model) as codec:
+            for batch in batches:
+                texts = [codec.decode(ids or []) for ids in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
@@ -253,12 +258,12 @@ def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     model = _ship(docs, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model)
-        for batch in batches:
-            for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                rows = [codec.summary(t or "") for t in part.column(1).to_pylist()]
-                columns = [part.column(0), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with _codec(model) as codec:
+            for batch in batches:
+                for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
+                    rows = [codec.summary(t or "") for t in part.column(1).to_pylist()]
+                    columns = [part.column(0), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

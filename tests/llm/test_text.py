@@ -38,6 +38,17 @@ def test_pieces(docs, texts, library):
     assert result(decoded, "doc_id", "text") == ordered([(i, library.decode(library.encode(t or ""))) for i, t, *_ in texts])
 
 
+def test_a_worker_keeps_no_spans_between_tasks():
+    class Sent:
+        with open(piece_model(), "rb") as f:
+            value = f.read()
+
+    with piece_codec._codec(Sent) as codec:
+        codec.summary("some words of a text")
+        assert codec.span_cache
+    assert not codec.span_cache
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("  ▁abcdefghinorst.,!?ABC\n\t0123é日本😀ß")), max_size=40) | st.text(max_size=20))
 def test_pieces_of_any_text(codec, library, text):
